@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -24,3 +25,10 @@ def word_bpe() -> str:
 def op1_best_fit_packing(spark, sf_dir):
     """Every document in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), 2048, 0)
+
+
+@query
+def op6_wavelet_shards(spark, sf_dir):
+    """Every document's place, length and checksum, read back from wavelet-matrix files."""
+    back = wavelet.round_trip(table(spark, sf_dir, "documents"), word_bpe(), 2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
