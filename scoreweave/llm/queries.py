@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, wavelet
+from . import packing, simhash, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -32,3 +32,10 @@ def op6_wavelet_shards(spark, sf_dir):
     """Every document's place, length and checksum, read back from wavelet-matrix files."""
     back = wavelet.round_trip(table(spark, sf_dir, "documents"), word_bpe(), 2)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op2_simhash_near_dedup(spark, sf_dir):
+    """Fingerprints of all documents and the groups that links of at most two bits make."""
+    near = simhash.near_groups(table(spark, sf_dir, "documents"), 2, 3)
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
