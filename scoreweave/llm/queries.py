@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, simhash, wavelet
+from . import packing, rules, simhash, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -39,3 +39,10 @@ def op2_simhash_near_dedup(spark, sf_dir):
     """Fingerprints of all documents and the groups that links of at most two bits make."""
     near = simhash.near_groups(table(spark, sf_dir, "documents"), 2, 3)
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    """Counts of every text, the base rule and the learned verdict."""
+    judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "rule")
