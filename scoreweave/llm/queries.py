@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, rules, simhash, wavelet
+from . import decontam, packing, rules, simhash, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -46,3 +46,22 @@ def op5_quality_rules(spark, sf_dir):
     """Counts of every text, the base rule and the learned verdict."""
     judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "rule")
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    """Every benchmark item of which a document holds 0.8 or more of the five-word shingles."""
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8)
+
+
+#: Lower-cased runs of letters and digits of a text; bytes of other alphabets count as letters.
+_LETTER_WORDS = """list_filter(string_split(regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda x: x <> '')"""
+_SHINGLES = "SELECT {id} AS id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM (SELECT {id}, {words} AS w FROM {table})"
+ORACLES["op4_benchmark_decontamination"] = f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", words=_LETTER_WORDS.format(text="text"), table="documents")}),
+b AS ({_SHINGLES.format(id="item_id", words=_LETTER_WORDS.format(text="text"), table="benchmark")}),
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) / any_value(n.n)::DOUBLE AS containment
+FROM d JOIN b ON d.s = b.s JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
+"""
