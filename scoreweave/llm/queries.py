@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, packing, rules, simhash, wavelet
+from . import decontam, factors, packing, rules, simhash, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -65,3 +65,9 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*) / any_value(n.n)::DOUBLE AS con
 FROM d JOIN b ON d.s = b.s JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 """
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    """Bytes covered by 100-byte strings that start earlier, removed."""
+    return factors.digest(table(spark, sf_dir, "documents"), 100)
