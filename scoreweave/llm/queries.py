@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, factors, packing, rules, simhash, wavelet
+from . import decontam, factors, lines, packing, rules, simhash, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,29 @@ GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 def op9_suffix_array_dedup(spark, sf_dir):
     """Bytes covered by 100-byte strings that start earlier, removed."""
     return factors.digest(table(spark, sf_dir, "documents"), 100)
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    """Later copies of line runs with stretches of ten words or more, removed."""
+    return lines.digest(table(spark, sf_dir, "documents"), 10)
+
+
+def _line_dedup_sql(min_words: int, levels: int = 13) -> str:
+    """Stretches of 1, 2, 4, ... lines as joined texts; no table here has a document of 2**levels lines."""
+    stretches = " UNION ALL ".join(
+        f"SELECT doc_id, i, {1 << k} AS n, array_to_string(ls[i:i + {(1 << k) - 1}], chr(10)) AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - {(1 << k) - 2})) AS i FROM d WHERE len(ls) >= {1 << k})" for k in range(levels)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, md5(s) ORDER BY doc_id, i) > 1 AS later, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words FROM ({stretches})),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+g AS (SELECT l.doc_id, l.i, any_value(l.line) AS line, count(w.i) > 0 AS gone FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.later AND w.words >= {min_words} AND l.i BETWEEN w.i AND w.i + w.n - 1 GROUP BY l.doc_id, l.i),
+b AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM b GROUP BY doc_id
+"""
+
+
+ORACLES["op10_line_dedup"] = _line_dedup_sql(10)
