@@ -1,47 +1,99 @@
-"""Exact token ids by a tokenizers file, encoded once per distinct word.
+"""Exact token ids by a tokenizers file, encoded once per distinct piece of a word.
 
-The vocabulary file splits at white space before it merges and drops the space, so a text's ids
-are its words' ids in a row. A worker keeps the ids of words it has met, up to a bound.
+The vocabulary file lower-cases, drops white space, and splits words into runs of letters, single
+digits and runs of other signs before it merges. A text's ids are therefore its pieces' ids in a
+row, where pieces end at ASCII white space and between a letter and an ASCII sign (but for the
+apostrophe, which belongs to some contractions). A worker keeps the ids of pieces it has met.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
+from .words import SPACED, bytes_of, spans
 
-class WordEncoder:
-    """ids of whole texts, as little-endian unsigned 32-bit bytes."""
+_LETTER, _SIGN = 1, 2
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = _LETTER
+for _a, _b in ((33, 39), (40, 48), (58, 65), (91, 97), (123, 127)):
+    _KIND[_a:_b] = _SIGN
+# Byte-level vocabularies write a byte as the character of its number, or, where that is a space or
+# a control, as the next character from number 256 on.
+_BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
-    def __init__(self, path: str, most_words: int = 300_000):
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Positions between a letter (ASCII or Latin-1) and an ASCII sign, in either order."""
+    kind = _KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # the signs among these letters: times and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    return np.flatnonzero((kind[1:] | kind[:-1]) == _LETTER | _SIGN) + 1
+
+
+class PieceEncoder:
+    """ids of whole texts."""
+
+    def __init__(self, path: str, most_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._most, self._ids = most_words, {}
+        self._merge = self._tokenizer.model.tokenize
+        self._most, self._ids, self._older = most_pieces, {}, {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """ids per piece, as native unsigned 32-bit; of the pieces met, those of the last two rounds are kept."""
         if len(self._ids) > self._most:
-            self._ids.clear()
-        ids = self._ids
-        new = list(set().union(*words).difference(ids))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            ids.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+            self._older, self._ids = self._ids, {}
+        ids, older, merge, rest = self._ids, self._older, self._merge, []
+        for p in set(pieces).difference(ids):
+            if p in older:
+                ids[p] = older[p]
+                continue
+            word = p.decode("utf-8", "replace")
+            if not word.isascii():
+                word = word.lower()
+                word = word.encode().decode("latin-1").translate(_BYTE_SIGNS) if word.isalpha() and max(word) < "\u0100" else ""
+            elif not word.isalpha():
+                word = ""
+            if word:  # one run of letters, in composed form: it goes to the merges as it is
+                ids[p] = array("I", [t.id for t in merge(word)]).tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            got = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
+            ids.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, got, strict=True))
+        return list(map(ids.__getitem__, pieces))
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """An Arrow string column's ids, one text after another, and where each text begins (with the end)."""
+        raw, starts = bytes_of(column)
+        s = spans(raw, starts, SPACED, lower=True, cuts=_cuts(raw) if len(raw) > 1 else None)
+        if not len(s.hash):
+            return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
+        _, first, which = np.unique(s.hash, return_index=True, return_inverse=True)
+        known = self._look_up([raw[a:b].tobytes().lower() for a, b in zip(s.start[first].tolist(), s.end[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table, begins = np.frombuffer(b"".join(known), np.uint32), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = table[np.arange(ends[-1]) + np.repeat(begins[which] - (ends - n), n)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(s.start, starts)]
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
     """One per Python worker."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 

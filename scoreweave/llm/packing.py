@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
-from .encode import encoder, in_slices, texts_of
+from .encode import encoder, in_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,11 +32,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         step, end = 4 * capacity, np.uint32(end_id).astype("<u4").tobytes()
         for whole in batches:
             for batch in in_slices(whole, "text"):
-                rows = [
-                    (doc, at // step, at // 4, (min(len(ids), at + step) - at) // 4, zlib.crc32(ids[at : at + step]))
-                    for doc, ids in zip(batch.column("doc_id").to_pylist(), (x + end for x in encoder(tokenizer).encode(texts_of(batch.column("text")))), strict=True)
-                    for at in range(0, len(ids), step)
-                ]
+                ids, at = encoder(tokenizer).encode(batch.column("text"))
+                raw, rows = memoryview(ids.astype("<u4").tobytes()), []
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), (at[:-1] * 4).tolist(), (at[1:] * 4).tolist(), strict=True):
+                    own = bytes(raw[a:b]) + end
+                    rows += [(doc, i // step, i // 4, (min(len(own), i + step) - i) // 4, zlib.crc32(own[i : i + step])) for i in range(0, len(own), step)]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

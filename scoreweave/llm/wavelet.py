@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, new_path, written
-from .encode import encoder, in_slices, texts_of
+from .encode import encoder, in_slices
 
 MAGIC = b"WAVM1\n"
 NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -167,9 +167,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits:
 
         for whole in batches:
             for batch in in_slices(whole, "text"):
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts_of(batch.column("text"))), strict=True):
-                    held += [np.frombuffer(raw, "<u4").astype(kind), end]
-                    n = len(raw) // 4 + 1
+                tokens, at = encoder(tokenizer).encode(batch.column("text"))
+                if len(tokens) and int(tokens.max()) >> bits:
+                    raise ValueError(f"a token id does not fit in {bits} bits")
+                tokens = tokens.astype(kind)
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    held += [tokens[a:b], end]
+                    n = b - a + 1
                     ids.append(NO_ID if doc is None else doc)
                     lengths.append(n)
                     size += n

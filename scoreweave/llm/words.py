@@ -63,10 +63,11 @@ class Spans:
     row: np.ndarray
 
 
-def spans(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray, lower: bool = False, empty: bool = False) -> Spans:
+def spans(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray, lower: bool = False, empty: bool = False, cuts: np.ndarray | None = None) -> Spans:
     """Runs of bytes marked inside, never across texts, hashed in segments of bounded size.
 
     empty: also the empty runs between two marks, as a split at single bytes has them.
+    cuts: sorted positions before which a run ends as well.
     """
     n = len(raw)
     keep = inside[raw]
@@ -78,7 +79,7 @@ def spans(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray, lower: bool =
         first, last = keep.copy(), keep.copy()
         first[1:] &= ~keep[:-1]
         last[:-1] &= ~keep[1:]
-        edges = starts[1:-1]
+        edges = starts[1:-1] if cuts is None else np.concatenate([starts[1:-1], cuts])
         edges = edges[(edges > 0) & (edges < n)]
         both = edges[keep[edges] & keep[edges - 1]]
         first[both] = True
