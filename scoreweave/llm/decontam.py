@@ -107,35 +107,68 @@ class Items:
         return out
 
 
+def _blocks(items: DataFrame, block_items: int):
+    """Items in broadcast blocks of bounded number."""
+    spark = items.sparkSession
+    texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = max(1, -(-texts.count() // block_items))
+    tagged = texts.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    for b in range(n):
+        rows = tagged.where(F.col("_block") == b).orderBy("item_id", "text").select("item_id", "text")
+        yield spark.sparkContext.broadcast([(r[0], r[1].encode("utf-8", "replace")) for r in rows.toLocalIterator()])
+
+
+def _found(sent, batch, text_col: str, k: int, threshold: float):
+    """Of one slice: row, item_id and containment of every hit."""
+    global _block
+    if _block is None or _block[0] is not sent:
+        _block = (sent, Items(sent.value, k))
+    block = _block[1]
+    raw, starts = bytes_of(batch.column(text_col))
+    h, r = row_shingles(spans(raw, starts, LETTERS, lower=True), batch.num_rows, k)
+    order = np.argsort(r, kind="stable")
+    h, bounds = h[order], np.searchsorted(r[order], np.arange(batch.num_rows + 1))
+    for i in range(batch.num_rows):
+        own = np.unique(h[bounds[i] : bounds[i + 1]])
+        if len(own):
+            for j, share in block.found_in(own, raw[starts[i] : starts[i + 1]].tobytes(), threshold):
+                yield i, block.ids[j], share
+
+
+_block: tuple | None = None
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
     """doc_id, item_id, containment of every item of which the document holds the threshold's share of shingles."""
-    spark = docs.sparkSession
-    texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-texts.count() // block_items))
-    tagged = texts.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     plain, out = id_and_text(docs), None
-    for b in range(blocks):
-        rows = [(r[0], r[1].encode("utf-8", "replace")) for r in tagged.where(F.col("_block") == b).orderBy("item_id", "text").select("item_id", "text").toLocalIterator()]
-        sent = spark.sparkContext.broadcast(rows)
+    for sent in _blocks(items, block_items):
 
         def run(batches, sent=sent):
             import pyarrow as pa
 
-            block = Items(sent.value, k)
             for whole in batches:
                 for batch in in_slices(whole, "text", 4 << 20):
-                    raw, starts = bytes_of(batch.column("text"))
-                    h, r = row_shingles(spans(raw, starts, LETTERS, lower=True), batch.num_rows, k)
-                    order = np.argsort(r, kind="stable")
-                    h, bounds = h[order], np.searchsorted(r[order], np.arange(batch.num_rows + 1))
-                    ids, got = batch.column("doc_id").to_pylist(), []
-                    for i in range(batch.num_rows):
-                        own = np.unique(h[bounds[i] : bounds[i + 1]])
-                        if len(own):
-                            found = block.found_in(own, raw[starts[i] : starts[i + 1]].tobytes(), threshold)
-                            got += [(ids[i], block.ids[j], share) for j, share in found]
+                    ids = batch.column("doc_id").to_pylist()
+                    got = [(ids[i], item, share) for i, item, share in _found(sent, batch, "text", k, threshold)]
                     yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "containment"])
 
         part = plain.mapInArrow(run, "doc_id long, item_id long, containment double")
         out = part if out is None else out.union(part)
     return out
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
+    """docs without the rows that contain an item."""
+    for sent in _blocks(items, block_items):
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            for whole in batches:
+                for batch in in_slices(whole, "text", 4 << 20):
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[i for i, _, _ in _found(sent, batch, "text", k, threshold)]] = False
+                    yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import decontam, factors, lines, packing, rules, simhash, wavelet
 from .common import table
+from .vocabularies import word_bpe
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
 
 
 def query(fn):
@@ -17,10 +18,6 @@ def query(fn):
     return fn
 
 
-def word_bpe() -> str:
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query
 def op1_best_fit_packing(spark, sf_dir):
     """Every document in sequences of at most 2048 tokens."""

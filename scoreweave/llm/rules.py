@@ -18,7 +18,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
 from .encode import in_slices
 from .words import LINES, SPACED, bytes_of, mix, per_row, repeated, shingles, spans
 
@@ -26,8 +25,9 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 SYMBOLS = b"#*$%&|<>"
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts of STATISTICS and n_lines of every text."""
+def text_statistics(docs: DataFrame, carried: list[str], into: str) -> DataFrame:
+    """The carried columns of every row and, as one struct, the five counts of STATISTICS and n_lines of its text."""
+    texts, names = docs.select(*(F.col(f"`{c}`") for c in carried), F.coalesce(F.col("text"), F.lit("")).alias("_text")), (*STATISTICS, "n_lines")
 
     def run(batches):
         import pyarrow as pa
@@ -35,8 +35,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         is_symbol = np.zeros(256, bool)
         is_symbol[list(SYMBOLS)] = True
         for whole in batches:
-            for batch in in_slices(whole, "text", 4 << 20):
-                raw, starts = bytes_of(batch.column("text"))
+            for batch in in_slices(whole, "_text", 4 << 20):
+                raw, starts = bytes_of(batch.column("_text"))
                 n = batch.num_rows
                 total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[starts])  # noqa: B023,E731
                 words = spans(raw, starts, SPACED)
@@ -53,9 +53,11 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                 for k in range(3):
                     covered[at[twice] + k] = True
                 out = [n_words, chars, total(is_symbol[raw]), per_row(lines.row[spoken][later], n), per_row(words.row[covered], n), per_row(lines.row[spoken], n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", *STATISTICS, "n_lines"])
+                counts = pa.StructArray.from_arrays([pa.array(c) for c in out], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], [*carried, into])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*STATISTICS, "n_lines")))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1]]
+    return texts.mapInArrow(run, ", ".join([*kinds, f"`{into}` struct<{', '.join(f'{c}: bigint' for c in names)}>"]))
 
 
 #: What rules may ask, from the statistics alone.
@@ -145,16 +147,27 @@ def verdict(rules: list[tuple[Test, ...]]) -> Column:
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[tuple[Test, ...]]:
-    """Rules from at most most_rows labelled rows, those with the smallest hash of their id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
-    rows = stats.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "quality", *(c.alias(k) for k, c in feature_columns().items()))
-    t = rows.orderBy("h", *FEATURES, "quality").limit(most_rows).toPandas()
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[tuple[Test, ...]]:
+    """Rules from at most most_rows labelled rows, those with the smallest hash of their id; so few ids are broadcast."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
+    sample = known.orderBy(F.xxhash64("id"), "id", "quality").limit(most_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id")
+    rows = text_statistics(texts, ["id", "quality"], "s").select("id", "quality", "s.*").select("id", "quality", *(c.alias(k) for k, c in feature_columns().items()))
+    t = rows.toPandas()
+    t = t.sort_values(list(t.columns)).sample(frac=1, random_state=0)
     return learn_rules({k: t[k].to_numpy(float) for k in FEATURES}, t["quality"].to_numpy() == 0) if len(t) else []
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, rule (which one rejects) and kept."""
-    stats = written(text_statistics(docs), "statistics")
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(fit(stats, labels)))
+    stats = text_statistics(docs, ["doc_id"], "s").select("doc_id", "s.*")
+    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(fit(docs, labels)))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that the base rule or the list rejects."""
+    into = "_s" + "_" * max(map(len, docs.columns))  # no column has this name
+    rows = text_statistics(docs, docs.columns, into).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), f"{into}.*")
+    kept = rows.where(~base_failed() & verdict(fit(docs, labels)).isNull())
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))

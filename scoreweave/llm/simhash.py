@@ -40,18 +40,19 @@ def fingerprint_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
+    """The columns before the last, which is the text, and fp (the 64 bits as a long)."""
+    *carried, text = texts.columns
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in in_slices(whole, "text"):
-                fps = np.array([fingerprint_of(t, shingle) for t in texts_of(batch.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for batch in in_slices(whole, text):
+                fps = np.array([fingerprint_of(t, shingle) for t in texts_of(batch.column(text))], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], [*carried, "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*carried, "fp")))
 
 
 class _Forest:
@@ -118,12 +119,28 @@ def links_within(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame
     return groups.select("own", "met").mapInArrow(compare, "a long, b long")
 
 
+def _rooted(marked: DataFrame, first, radius: int) -> DataFrame:
+    """fp, its root and the first of its documents, by the given aggregate."""
+    firsts = marked.groupBy("fp").agg(first.alias("first"))
+    groups = connected_components(links_within(firsts.select("fp"), radius)).toDF("fp", "root")
+    return firsts.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that a chain of links reaches."""
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(links_within(firsts.select("fp"), radius)).toDF("fp", "root")
-    rooted = firsts.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = written(fingerprints(id_and_text(docs), shingle), "fingerprints")
+    rooted = _rooted(marked, F.min("doc_id"), radius)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """docs with one document of each group: the one with the smallest doc_id (null: before all), then text hash."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64(text)}
+    marked = written(fingerprints(docs.select(*(c.alias(k) for k, c in key.items()), text.alias("text")), shingle), "fingerprints")
+    stay = _rooted(marked, F.min(F.struct(*key)), radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in key.items()))
+    kept = rows.join(stay, [*key], "left_semi").dropDuplicates([*key])  # equal rows are one document
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))
