@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontam, factors, lines, packing, rules, simhash, wavelet
+from . import decontam, factors, hmm, lines, packing, rules, simhash, wavelet
 from .common import table
 from .vocabularies import word_bpe
 
@@ -94,3 +94,9 @@ FROM b GROUP BY doc_id
 
 
 ORACLES["op10_line_dedup"] = _line_dedup_sql(10)
+
+
+@query
+def op3_hidden_markov_scores(spark, sf_dir):
+    """Exact likelihood of every text under a hidden Markov model of the training texts, and the unigram base."""
+    return hmm.scores(table(spark, sf_dir, "documents"), hmm.fold_is(7, 2))
