@@ -5,9 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontam, factors, hmm, lines, packing, rules, simhash, wavelet
+from . import attribution, decontam, factors, hmm, lines, neighbours, packing, rules, simhash, wavelet
 from .common import table
-from .vocabularies import word_bpe
+from .vocabularies import byte_bpe, byte_bpe_pattern, word_bpe
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
@@ -100,3 +100,18 @@ ORACLES["op10_line_dedup"] = _line_dedup_sql(10)
 def op3_hidden_markov_scores(spark, sf_dir):
     """Exact likelihood of every text under a hidden Markov model of the training texts, and the unigram base."""
     return hmm.scores(table(spark, sf_dir, "documents"), hmm.fold_is(7, 2))
+
+
+@query
+def op7_token_attribution(spark, sf_dir):
+    """Tokens of every stretch of 1000 characters of every document, boundary-crossing ones allotted by the larger part."""
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    stretch = lambda at: F.struct((at / 1000).cast("long").cast("string").alias("name"), at.cast("long").alias("begin"), F.least(at + 1000, size).cast("long").alias("end"))
+    docs = table(spark, sf_dir, "documents").withColumn("sections", F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(1000)), stretch))
+    return attribution.token_counts(docs, byte_bpe(), byte_bpe_pattern(), "sections")
+
+
+@query
+def op8_neighbour_quality(spark, sf_dir):
+    """Quality of every document by the votes of labelled neighbours."""
+    return neighbours.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), neighbours.fold_is(5, 0))
