@@ -32,9 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """df as a table in the shared folder: cuts the lineage and outlives lost executors.
+
+    The write's shuffle files go when it ends, so that a chain of such tables never holds two steps' files.
+    """
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = new_path(df.sparkSession, name), conf.get(clean, None)
+    conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(clean) if before is None else conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: i
     later = some.join(first.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("struct(did, th, place) <> first")
     copies = later.select("did", "th", F.shiftright("place", 10).alias("begin"), (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end"))
     gone = copies.union(_strings_copied(keyed, mixed, length, most_runs))
-    spans = gone.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
+    spans = written(gone.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "end")).alias("gone")), "spans")
 
     def apply(batches):
         import pyarrow as pa
