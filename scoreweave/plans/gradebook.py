@@ -343,7 +343,7 @@ _DECISIONS = f"""decisions AS (SELECT user_id AS result_id, ((user_id // 75) % 1
 def decisions(events):
     user, event = F.col("user_id"), F.col("event_id")
     question = (F.floor(user / 75) % 10 * 10 + event % 7 + 1).cast("long")
-    return events.select(user.alias("result_id"), question.alias("question_id"), S.clamp_grade((F.col("value") / 100).cast("string"))["score"].alias("new_score"), F.col("ts").alias("decided_at"), event.alias("decision_id"))
+    return events.select(user.alias("result_id"), question.alias("question_id"), S.clamp_grade((F.col("value") / 100).cast("string"))["score"].alias("new_score"), F.col("ts").cast("timestamp").alias("decided_at"), event.alias("decision_id"))
 
 
 _REVIEWED = f"""WITH {_DECISIONS}, d AS (SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY result_id, question_id ORDER BY decided_at DESC, decision_id DESC) = 1),

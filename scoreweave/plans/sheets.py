@@ -228,3 +228,26 @@ def apply_scorer(g):
     return scorer_rows(g)
 
 
+
+
+@query("students", "SELECT registration_number, student_name, curso FROM students WHERE student_id % 2 = 0")
+def roster_csv_scan(g):
+    """Half of the students written as roster files, some in Latin-1 with semicolons, and read back."""
+    from scoreweave.sources.work import work_folder
+
+    s, path = g.students().where(F.col("student_id") % 2 == 0), work_folder(g.spark, "rosters")
+    line = lambda by: F.concat_ws(by, "registration_number", "student_name", "curso")
+    for i, (by, kind) in enumerate(((",", "UTF-8"), (";", "ISO-8859-1"))):
+        part = s.where(F.floor(F.col("student_id") / 2) % 2 == i).select(F.col("class_id"), line(by).alias("row"))
+        head = F.lit(f"Escola{by}x\nMatrícula{by}Nome do aluno{by}Curso\n")
+        files = part.groupBy("class_id").agg(F.concat(head, F.array_join(F.array_sort(F.collect_list("row")), "\n")).alias("value"))
+        files.select("value").write.option("encoding", kind).option("lineSep", "\n\n").mode("append").text(f"{path}/{i}")
+    back = L.read_rosters(g.spark, f"{path}/*/*.txt")
+    return back.where(~F.contains(F.lower("registration_number"), F.lit("matr"))).where("registration_number <> 'Escola'").select("registration_number", "student_name", "curso")
+
+
+@query()
+def batch_file_registry(g):
+    """The folder's own files as an upload listing."""
+    files = g.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(g.folder).select("path", "length", "modificationTime")
+    return L.register_batches(files).select("file_name", "size", "reject_reason", "status")
