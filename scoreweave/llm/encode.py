@@ -37,7 +37,7 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """ids of whole texts."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -276,9 +276,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: i
     return marked.mapInArrow(apply, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def digest(docs: DataFrame, length: int = 100) -> DataFrame:
+def digest(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; of equal rows, all but one are copies whole."""
-    out = remove_repeats(docs, length)
+    out = remove_repeats(docs, length, min(k, length))
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     counted = out.groupBy("th", *names).agg(F.count("*").alias("rows"))
     one = counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))

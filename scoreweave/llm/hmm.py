@@ -31,7 +31,7 @@ from .words import SPACED, bytes_of, spans
 RARE = 48  # symbols of rare words, by the power of two of their count; number 0 is the unseen event
 
 
-def coded_blocks(docs: DataFrame, held_out, block_bytes: int = 12 << 20) -> DataFrame:
+def coded_blocks(docs: DataFrame, held_out, block_bytes: int = 6 << 20) -> DataFrame:
     """One row a block: its words (the end is the empty one) and their training counts, its texts as numbers in that list."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -164,9 +164,10 @@ def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int, stret
 
             total = None
             for batch in batches:
-                for row in batch.to_pylist():
-                    symbols = np.frombuffer(row["symbols"], "<u2")
-                    parts = _stretches(symbols, np.array(row["lengths"], np.int64), ~np.array(row["held_out"], bool), stretch)
+                for i in range(batch.num_rows):
+                    symbols = np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2")
+                    lengths, held = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("lengths", "held_out"))
+                    parts = _stretches(symbols, lengths, ~held, stretch)
                     if len(parts[1]):
                         counts = np.concatenate([c.ravel() for c in expected_counts(sent.value, *parts)])
                         total = counts if total is None else total + counts
@@ -206,7 +207,7 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
     for r in symbols.groupBy("symbol").agg(F.sum("c").alias("c")).collect():
         weights[r["symbol"]] = class_total[r["symbol"]] = r["c"]
 
-    back = listed.join(symbols, "word").groupBy("block").agg(F.collect_list(F.struct("local", "c", "symbol")).alias("known"))
+    back = written(listed.join(symbols, "word").groupBy("block").agg(F.collect_list(F.struct("local", "c", "symbol")).alias("known")), "block-words")
     paired = blocks.select("block", "doc_ids", "held_out", "lengths", "ids", F.size("words").alias("n_words")).join(back, "block", "left")
     base, shares = np.log10(n_train + n_words + 1), class_total
 
@@ -215,7 +216,7 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
 
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i4")
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<i4")
                 lengths = batch.column("lengths")[i].values.to_numpy()
                 n = batch.column("n_words")[i].as_py()
                 c, symbol = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -231,7 +232,8 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([symbol[ids].astype("<u2").tobytes()], pa.binary())], [*row, "symbols"])
 
     coded = written(paired.mapInArrow(code, "doc_ids array<long>, held_out array<boolean>, lengths array<long>, base array<double>, share array<double>, known array<long>, symbols binary"), "coded-texts")
-    drop_written(blocks)
+    for done in (blocks, back, counts):
+        drop_written(done)
     m = train(coded, weights / max(weights.sum(), 1), states, rounds, stretch) if n_train else Model(np.ones(1), np.ones((1, 1)), np.ones((1, len(weights))))
     if n_train:
         half = m.emit[:, 1] / 2
@@ -248,7 +250,7 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
             for i in range(batch.num_rows):
                 get = lambda name: batch.column(name)[i].values  # noqa: B023,E731
                 lengths = get("lengths").to_numpy()
-                logs = forward(sent.value, np.frombuffer(batch.column("symbols")[i].as_py(), "<u2"), lengths) + get("share").to_numpy()
+                logs = forward(sent.value, np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2"), lengths) + get("share").to_numpy()
                 yield pa.RecordBatch.from_arrays([get("doc_ids"), get("held_out"), get("lengths"), get("known"), pa.array(np.full(len(lengths), n_train, np.int64)), get("base"), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

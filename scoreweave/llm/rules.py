@@ -35,7 +35,7 @@ def text_statistics(docs: DataFrame, carried: list[str], into: str) -> DataFrame
         is_symbol = np.zeros(256, bool)
         is_symbol[list(SYMBOLS)] = True
         for whole in batches:
-            for batch in in_slices(whole, "_text", 4 << 20):
+            for batch in in_slices(whole, "_text", 2 << 20):
                 raw, starts = bytes_of(batch.column("_text"))
                 n = batch.num_rows
                 total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[starts])  # noqa: B023,E731

@@ -48,7 +48,7 @@ def fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in in_slices(whole, text):
+            for batch in in_slices(whole, text, 2 << 20):
                 fps = np.array([fingerprint_of(t, shingle) for t in texts_of(batch.column(text))], np.uint64)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], [*carried, "fp"])
 

@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits:
             return row.cast(pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_tokens", pa.int64())]))
 
         for whole in batches:
-            for batch in in_slices(whole, "text"):
+            for batch in in_slices(whole, "text", 2 << 20):
                 tokens, at = encoder(tokenizer).encode(batch.column("text"))
                 if len(tokens) and int(tokens.max()) >> bits:
                     raise ValueError(f"a token id does not fit in {bits} bits")
@@ -204,6 +204,9 @@ def read_shards(spark, path: str, index: DataFrame) -> DataFrame:
                     docs = [None if x == NO_ID else x for x in w.doc_ids[i : i + 1024].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + first), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
+    if index.isEmpty():  # nothing was written, so there is no folder either
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+
     # Tokens before each file: by a window within its part, and over the parts, of which there are as many as tasks.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
