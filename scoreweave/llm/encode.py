@@ -3,17 +3,21 @@
 The vocabulary file lower-cases, drops white space, and splits words into runs of letters, single
 digits and runs of other signs before it merges. A text's ids are therefore its pieces' ids in a
 row, where pieces end at ASCII white space and between a letter and an ASCII sign (but for the
-apostrophe, which belongs to some contractions). A worker keeps the ids of pieces it has met.
+apostrophe, which belongs to some contractions). A worker keeps the ids of pieces it has met. A file
+with another normalizer or splitter, and a text that holds a special token's string, is encoded
+whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
 import numpy as np
 
-from .words import SPACED, bytes_of, spans
+from .words import LOWER, SPACED, bytes_of, spans
 
 _LETTER, _SIGN = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -34,66 +38,136 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero((kind[1:] | kind[:-1]) == _LETTER | _SIGN) + 1
 
 
-class PieceEncoder:
-    """ids of whole texts."""
+#: The normalizer and splitter of a file whose texts may be encoded piece by piece.
+_SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
-    def __init__(self, path: str, most_pieces: int = 150_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._merge = self._tokenizer.model.tokenize
-        self._most, self._ids, self._older = most_pieces, {}, {}
-
-    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
-        """ids per piece, as native unsigned 32-bit; of the pieces met, those of the last two rounds are kept."""
-        if len(self._ids) > self._most:
-            self._older, self._ids = self._ids, {}
-        ids, older, merge, rest = self._ids, self._older, self._merge, []
-        for p in set(pieces).difference(ids):
-            if p in older:
-                ids[p] = older[p]
-                continue
-            word = p.decode("utf-8", "replace")
-            if not word.isascii():
-                word = word.lower()
-                word = word.encode().decode("latin-1").translate(_BYTE_SIGNS) if word.isalpha() and max(word) < "\u0100" else ""
-            elif not word.isalpha():
+class TextEncoder:
+    """ids of whole texts, as the library's plain call has them, by that call: for files of any kind."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        got = self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in got]
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """An Arrow string column's ids, one text after another, and where each text begins (with the end)."""
+        ids = self.whole(texts_of(column))
+        return np.concatenate([*ids, np.empty(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+
+
+class PieceEncoder(TextEncoder):
+    """The same ids for files with the normalizer and splitter of _SPLITS, each distinct piece encoded once.
+
+    The ids of pieces met stay in one table, found by the piece's 64-bit hash; a full table starts
+    anew. A text that holds the string of a special token is encoded whole.
+    """
+
+    def __init__(self, tokenizer, special: list[bytes], most_pieces: int = 1_000_000):
+        super().__init__(tokenizer)
+        self._merge, self._special, self._most = tokenizer.model.tokenize, special, most_pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self._hash, self._begin, self._size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._ids, self._used = np.empty(1 << 16, np.uint32), 0
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        """ids per lower-cased piece, as native unsigned 32-bit."""
+        out, merge, rest = [b""] * len(pieces), self._merge, []
+        for i, p in enumerate(pieces):
+            if p.isalpha():  # ASCII letters alone
+                word = p.decode()
+            elif p.isascii():
                 word = ""
+            else:
+                word = p.decode("utf-8", "replace").lower()
+                word = word.encode().decode("latin-1").translate(_BYTE_SIGNS) if word.isalpha() and max(word) < "\u0100" else ""
             if word:  # one run of letters, in composed form: it goes to the merges as it is
-                ids[p] = array("I", [t.id for t in merge(word)]).tobytes()
+                out[i] = array("I", [t.id for t in merge(word)]).tobytes()
             else:
-                rest.append(p)
+                rest.append(i)
         for i in range(0, len(rest), 10_000):
             part = rest[i : i + 10_000]
-            got = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            ids.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, got, strict=True))
-        return list(map(ids.__getitem__, pieces))
+            for j, ids in zip(part, self.whole([pieces[j] for j in part]), strict=True):
+                out[j] = ids.tobytes()
+        return out
+
+    def _look_up(self, hashes: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and number of the ids of sorted distinct pieces; piece(indices) gives the bytes of those not met before."""
+        if len(self._hash) > self._most:
+            self._clear()
+        at = np.searchsorted(self._hash, hashes)
+        met = np.zeros(len(hashes), bool)
+        inside = at < len(self._hash)
+        met[inside] = self._hash[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~met)
+        if len(new):
+            found = self._merged(piece(new))
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            more = np.frombuffer(b"".join(found), np.uint32)
+            if self._used + len(more) > len(self._ids):
+                self._ids = np.concatenate([self._ids[: self._used], np.empty(max(len(more), len(self._ids)), np.uint32)])
+            self._ids[self._used : self._used + len(more)] = more
+            self._hash = np.insert(self._hash, at[new], hashes[new])
+            self._begin = np.insert(self._begin, at[new], self._used + np.cumsum(sizes) - sizes)
+            self._size = np.insert(self._size, at[new], sizes)
+            self._used += len(more)
+            at = np.searchsorted(self._hash, hashes)
+        return self._begin[at], self._size[at]
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """An Arrow string column's ids, one text after another, and where each text begins (with the end)."""
         raw, starts = bytes_of(column)
+        data = LOWER[raw].tobytes()
         s = spans(raw, starts, SPACED, lower=True, cuts=_cuts(raw) if len(raw) > 1 else None)
-        if not len(s.hash):
-            return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
-        _, first, which = np.unique(s.hash, return_index=True, return_inverse=True)
-        known = self._look_up([raw[a:b].tobytes().lower() for a, b in zip(s.start[first].tolist(), s.end[first].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        table, begins = np.frombuffer(b"".join(known), np.uint32), np.cumsum(sizes) - sizes
-        n = sizes[which]
-        ends = np.cumsum(n)
-        ids = table[np.arange(ends[-1]) + np.repeat(begins[which] - (ends - n), n)]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(s.start, starts)]
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    """One per Python worker."""
+        ids, at = np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
+        if len(s.hash):
+            distinct, first, which = np.unique(s.hash, return_index=True, return_inverse=True)
+            begins, sizes = self._look_up(distinct, lambda new: [data[a:b] for a, b in zip(s.start[first[new]].tolist(), s.end[first[new]].tolist(), strict=True)])
+            n = sizes[which]
+            ends = np.cumsum(n)
+            ids = self._ids[np.arange(ends[-1]) + np.repeat(begins[which] - (ends - n), n)]
+            at = np.concatenate([[0], ends])[np.searchsorted(s.start, starts)]
+        return self._with_special(raw, starts, ids, at, data)
+
+    def _with_special(self, raw, starts, ids, at, data) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the texts that hold a special token's string encoded whole."""
+        if not any(t.lower() in data for t in self._special):
+            return ids, at
+        texts = [raw[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        rows = [i for i, t in enumerate(texts) if any(x in t for x in self._special)]
+        for i, own in zip(rows, self.whole([texts[i] for i in rows]), strict=True):
+            parts[i] = own
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """One per Python worker; by pieces only for a file that splits as _cuts does."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        said = json.loads(tokenizer.to_str())
+        special = [t["content"] for t in said["added_tokens"]]
+        # Pieces end between a letter and a sign, so none of them holds a string that has both side by side.
+        by_pieces = all(said[k] == v for k, v in _SPLITS.items()) and all(re.search(r"[A-Za-z][|<>]|[|<>][A-Za-z]", t) for t in special)
+        _encoders[path] = PieceEncoder(tokenizer, [t.encode() for t in special]) if by_pieces else TextEncoder(tokenizer)
     return _encoders[path]
 
 
