@@ -1,14 +1,15 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-Documents are put in size classes by their number of distinct word shingles. For a class the
-shingle hashes fall into 2**(class + 10) buckets and the least hash of each bucket is kept: a
-one-permutation MinHash whose length follows the size of the set, so that a contained shingle of a
-short item is a bucket's least one in long documents as often as in short ones. Items have a sketch
-for every class. A pair with an equal entry is a candidate; exact containment of the shingles
-themselves decides. Items with few shingles keep every hash in their sketch, and are never missed.
+Documents are partitioned by size: with n distinct word shingles, 2**c <= n < 2**(c + 1), a document's
+one-permutation MinHash sketch has 2**c buckets of the hash range and keeps the least hash of each,
+which is between 0.43 and 0.64 of its shingles. An item whose shingles the document contains to the
+threshold shows a number of its own hashes in the sketch; how many it must show at least follows
+from its size and the share kept, such that a contained item fails with a chance of at most MISS.
+Items too small for that bound (fewer than 21 shingles at 0.8) are looked up by every shingle, so none
+of them is missed. Exact containment of the shingles themselves decides on every candidate.
 
-Items are taken in blocks of bounded number and size, each sent to all tasks; more blocks mean more
-passes, never a larger broadcast.
+Items go to all tasks in blocks of bounded bytes, and a batch of documents is looked up in a block's
+sorted hashes at once; more blocks mean more passes, never a larger broadcast.
 
 Defined cases: words are runs of letters and digits, A-Z lower-cased; a text of fewer words than a
 shingle is one shingle; null, empty and wordless texts and items match nothing; a repeated row
@@ -25,8 +26,9 @@ from .common import id_and_text
 from .encode import in_slices
 from .words import LETTERS, LOWER, Spans, bytes_of, shingles, spans
 
-FEW = 8
-SPARE_BITS = 10
+KEPT = (1 - float(np.exp(-2))) / 2  # the share of 2 m distinct hashes that are the least of m buckets
+MISS = 1e-4
+FILTER_BITS = 22
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -52,96 +54,137 @@ def row_shingles(s: Spans, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h, extra]), np.concatenate([rows, short])
 
 
-def sketch(hashes: np.ndarray, size_class: int) -> np.ndarray:
-    """Of sorted distinct hashes, the least of each bucket."""
-    bits = size_class + SPARE_BITS
-    if bits >= 64:
-        return hashes
-    bucket = hashes >> np.uint64(64 - bits)
-    return hashes[np.concatenate([[True], bucket[1:] != bucket[:-1]])] if len(hashes) else hashes
+def sketch(hashes: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the distinct hashes, sorted by row and hash, are the least of their bucket; sizes: of each row."""
+    bits = np.maximum(np.floor(np.log2(np.maximum(sizes, 2))), 1).astype(np.uint64)
+    bucket = hashes >> (np.uint64(64) - bits[rows])
+    least = np.ones(len(hashes), bool)
+    least[1:] = (bucket[1:] != bucket[:-1]) | (rows[1:] != rows[:-1])
+    return least
+
+
+def least_shown(shingles_of: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of an item's hashes a sketch shows at least, if its text contains the threshold's share; 0: no bound."""
+    held = np.ceil(threshold * shingles_of - 1e-9)
+    bound = np.maximum(np.floor(held * KEPT - np.sqrt(held * np.log(1 / MISS) / 2)), 1)  # Hoeffding
+    return np.where((1 - KEPT) ** held <= MISS, bound, 0).astype(np.int64)
+
+
+def sorted_sets(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each row, sorted by row and hash."""
+    order = np.lexsort((h, r))
+    h, r = h[order], r[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    return h[new], r[new]
+
+
+class _Postings:
+    """Sorted hashes with the items that have them, behind a filter by their first bits."""
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        hashes, self.items = hashes[order], items[order]
+        self.values, first = np.unique(hashes, return_index=True)
+        self.bounds = np.append(first, len(hashes))
+        self.first_bits = np.zeros(1 << FILTER_BITS, bool)
+        self.first_bits[self.values >> np.uint64(64 - FILTER_BITS)] = True
+
+    def find(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and item of every hash that an item has."""
+        maybe = np.flatnonzero(self.first_bits[hashes >> np.uint64(64 - FILTER_BITS)])
+        at = np.searchsorted(self.values, hashes[maybe])
+        hit = at < len(self.values)
+        hit[hit] = self.values[at[hit]] == hashes[maybe][hit]
+        at, rows = at[hit], rows[maybe[hit]]
+        n = self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(n)
+        return np.repeat(rows, n), self.items[np.arange(n.sum()) + np.repeat(self.bounds[at] - (ends - n), n)]
 
 
 class Items:
-    """One block of items with their shingles and, on demand, the sketches' postings of each size class."""
+    """One block of items with their shingles' postings."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], k: int):
-        self.k, self.ids, self.sets = k, [i for i, _ in rows], [shingle_set(t, k) for _, t in rows]
+    def __init__(self, rows: list[tuple[int, bytes]], k: int, threshold: float):
         import pyarrow as pa
 
-        raw, starts = bytes_of(pa.array([t for _, t in rows], pa.large_binary()))
-        h, r = row_shingles(spans(raw, starts, LETTERS, lower=True), len(rows), k)
-        order = np.lexsort((h, r))
-        h, r = h[order], r[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
-        self.hash, self.row = h[new], r[new]
+        self.k, self.threshold, self.ids, self.texts = k, threshold, [i for i, _ in rows], [t for _, t in rows]
+        raw, starts = bytes_of(pa.array(self.texts, pa.large_binary()))
+        self.hash, self.row = sorted_sets(*row_shingles(spans(raw, starts, LETTERS, lower=True), len(rows), k))
         self.bounds = np.searchsorted(self.row, np.arange(len(rows) + 1))
-        self._postings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def of(self, i: int) -> np.ndarray:
-        return self.hash[self.bounds[i] : self.bounds[i + 1]]
-
-    def postings(self, size_class: int) -> tuple[np.ndarray, np.ndarray]:
-        if size_class not in self._postings:
-            parts = [self.of(i) if len(self.of(i)) <= FEW else sketch(self.of(i), size_class) for i in range(len(self.ids))]
-            values, rows = np.concatenate([*parts, np.empty(0, np.uint64)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            order = np.argsort(values, kind="stable")
-            self._postings[size_class] = values[order], rows[order]
-        return self._postings[size_class]
-
-    def found_in(self, hashes: np.ndarray, text: bytes, threshold: float) -> list[tuple[int, float]]:
-        """Items, and the share of their shingles, contained in the text with these sorted distinct hashes."""
-        values, rows = self.postings(len(hashes).bit_length())
-        mine = sketch(hashes, len(hashes).bit_length())
-        near = np.unique(rows[np.isin(values, mine)])
-        few = np.searchsorted(hashes, values)
-        few = rows[(few < len(hashes)) & (hashes[np.minimum(few, len(hashes) - 1)] == values)]
-        out, own = [], None
-        for i in np.union1d(near, few).tolist():
-            want = self.of(i)
-            if np.isin(want, hashes, assume_unique=True).sum() < threshold * len(want) - 1e-9:
+        self.sizes = np.diff(self.bounds)
+        self.least = least_shown(self.sizes, threshold)
+        large = self.least[self.row] > 0
+        self.large, self.small = (_Postings(self.hash[m], self.row[m]) for m in (large, ~large))
+        self._sets: dict[int, set[bytes]] = {}
+
+    def _set(self, i: int) -> set[bytes]:
+        if i not in self._sets:
+            if len(self._sets) > 1000:
+                self._sets.clear()
+            self._sets[i] = shingle_set(self.texts[i], self.k)
+        return self._sets[i]
+
+    def candidates(self, hashes: np.ndarray, rows: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Row and item of all pairs that a sketch, or the lookup of every shingle, does not rule out; of n sorted sets."""
+        shown = sketch(hashes, rows, np.bincount(rows, minlength=n))
+        out = []
+        for postings, keep, need in ((self.large, shown, self.least), (self.small, slice(None), np.ceil(self.threshold * self.sizes - 1e-9))):
+            row, item = postings.find(hashes[keep], rows[keep])
+            pairs, times = np.unique(row.astype(np.int64) * max(len(self.ids), 1) + item, return_counts=True)
+            pairs = pairs[times >= need[pairs % max(len(self.ids), 1)]]
+            out += zip((pairs // max(len(self.ids), 1)).tolist(), (pairs % max(len(self.ids), 1)).tolist(), strict=True)
+        return sorted(out)
+
+    def found_in(self, raw: np.ndarray, starts: np.ndarray):
+        """Row, item and containment of every item that a text contains to the threshold."""
+        n = len(starts) - 1
+        h, r = sorted_sets(*row_shingles(spans(raw, starts, LETTERS, lower=True), n, self.k))
+        bounds, last, own = np.searchsorted(r, np.arange(n + 1)), -1, set()
+        for row, item in self.candidates(h, r, n):
+            want, mine = self.hash[self.bounds[item] : self.bounds[item + 1]], h[bounds[row] : bounds[row + 1]]
+            at = np.minimum(np.searchsorted(mine, want), len(mine) - 1)
+            if (mine[at] == want).sum() < self.threshold * len(want) - 1e-9:
                 continue
-            own = shingle_set(text, self.k) if own is None else own
-            share = len(self.sets[i] & own) / len(self.sets[i])
-            if share >= threshold - 1e-9:
-                out.append((i, share))
-        return out
+            if row != last:
+                last, own = row, shingle_set(raw[starts[row] : starts[row + 1]].tobytes(), self.k)
+            share = len(self._set(item) & own) / len(self._set(item))
+            if share >= self.threshold - 1e-9:
+                yield row, item, share
 
 
-def _blocks(items: DataFrame, block_items: int):
-    """Items in broadcast blocks of bounded number."""
+def _blocks(items: DataFrame, block_bytes: int):
+    """Items in broadcast blocks of at most block_bytes of text (a single longer item stands alone)."""
     spark = items.sparkSession
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, -(-texts.count() // block_items))
-    tagged = texts.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for b in range(n):
-        rows = tagged.where(F.col("_block") == b).orderBy("item_id", "text").select("item_id", "text")
-        yield spark.sparkContext.broadcast([(r[0], r[1].encode("utf-8", "replace")) for r in rows.toLocalIterator()])
+    block, size, any_sent = [], 0, False
+    for item, text in texts.toLocalIterator():
+        text = text.encode("utf-8", "replace")
+        if block and size + len(text) > block_bytes:
+            yield spark.sparkContext.broadcast(block)
+            block, size, any_sent = [], 0, True
+        block.append((item, text))
+        size += len(text)
+    if block or not any_sent:
+        yield spark.sparkContext.broadcast(block)
 
 
 def _found(sent, batch, text_col: str, k: int, threshold: float):
     """Of one slice: row, item_id and containment of every hit."""
     global _block
     if _block is None or _block[0] is not sent:
-        _block = (sent, Items(sent.value, k))
-    block = _block[1]
-    raw, starts = bytes_of(batch.column(text_col))
-    h, r = row_shingles(spans(raw, starts, LETTERS, lower=True), batch.num_rows, k)
-    order = np.argsort(r, kind="stable")
-    h, bounds = h[order], np.searchsorted(r[order], np.arange(batch.num_rows + 1))
-    for i in range(batch.num_rows):
-        own = np.unique(h[bounds[i] : bounds[i + 1]])
-        if len(own):
-            for j, share in block.found_in(own, raw[starts[i] : starts[i + 1]].tobytes(), threshold):
-                yield i, block.ids[j], share
+        _block = (sent, Items(sent.value, k, threshold))
+    for row, item, share in _block[1].found_in(*bytes_of(batch.column(text_col))):
+        yield row, _block[1].ids[item], share
 
 
 _block: tuple | None = None
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, containment of every item of which the document holds the threshold's share of shingles."""
     plain, out = id_and_text(docs), None
-    for sent in _blocks(items, block_items):
+    for sent in _blocks(items, block_bytes):
 
         def run(batches, sent=sent):
             import pyarrow as pa
@@ -157,9 +200,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_items: int = 20_000) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
     """docs without the rows that contain an item."""
-    for sent in _blocks(items, block_items):
+    for sent in _blocks(items, block_bytes):
 
         def run(batches, sent=sent):
             import pyarrow as pa
