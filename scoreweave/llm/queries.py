@@ -72,20 +72,25 @@ def op9_suffix_array_dedup(spark, sf_dir):
 
 @query
 def op10_line_dedup(spark, sf_dir):
-    """Later copies of line runs with stretches of ten words or more, removed."""
+    """Later copies of line runs of ten words or more, removed."""
     return lines.digest(table(spark, sf_dir, "documents"), 10)
 
 
-def _line_dedup_sql(min_words: int, levels: int = 13) -> str:
-    """Stretches of 1, 2, 4, ... lines as joined texts; no table here has a document of 2**levels lines."""
-    stretches = " UNION ALL ".join(
-        f"SELECT doc_id, i, {1 << k} AS n, array_to_string(ls[i:i + {(1 << k) - 1}], chr(10)) AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - {(1 << k) - 2})) AS i FROM d WHERE len(ls) >= {1 << k})" for k in range(levels)
-    )
+def _line_dedup_sql(min_words: int) -> str:
+    """Runs of every length n that stand twice or more: one of n + 1 lines is a run of n and the next line's. A run is named by its first place."""
     return f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, md5(s) ORDER BY doc_id, i) > 1 AS later, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words FROM ({stretches})),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
-g AS (SELECT l.doc_id, l.i, any_value(l.line) AS line, count(w.i) > 0 AS gone FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.later AND w.words >= {min_words} AND l.i BETWEEN w.i AND w.i + w.n - 1 GROUP BY l.doc_id, l.i),
+r AS (
+  SELECT 1 AS n, doc_id, i, words, words AS total, first_value(doc_id) OVER s AS fd, first_value(i) OVER s AS fi, count(*) OVER (PARTITION BY line) AS times
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l) WINDOW s AS (PARTITION BY line ORDER BY doc_id, i)
+  UNION ALL
+  SELECT n + 1, doc_id, i, words, total, first_value(doc_id) OVER s, first_value(i) OVER s, count(*) OVER (PARTITION BY fd, fi, nd, ni)
+  FROM (SELECT n, doc_id, i, words, words + lead(total) OVER o AS total, fd, fi, lead(fd) OVER o AS nd, lead(fi) OVER o AS ni, lead(i) OVER o AS j FROM r WHERE times > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE j = i + 1 WINDOW s AS (PARTITION BY fd, fi, nd, ni ORDER BY doc_id, i)
+),
+w AS (SELECT doc_id, i, max(n) AS n FROM r WHERE times > 1 AND total >= {min_words} AND (fd <> doc_id OR fi <> i) GROUP BY doc_id, i),
+g AS (SELECT l.doc_id, l.i, any_value(l.line) AS line, count(w.i) > 0 AS gone FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND l.i BETWEEN w.i AND w.i + w.n - 1 GROUP BY l.doc_id, l.i),
 b AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
