@@ -28,23 +28,41 @@ def load_counts(upserted: DataFrame) -> DataFrame:
 
 
 def apply_reviews(scores: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Overrides: the latest decision (result_id, question_id, new_score, decided_at, decision_id) of a score sets it and clears the flag."""
-    last = latest_per_key(decisions, ["result_id", "question_id"], ["decided_at", "decision_id"]).select("result_id", "question_id", "new_score")
-    out = scores.join(last, ["result_id", "question_id"], "left")
+    """scores (with professor_comment and manual_review_reason) after overrides; the flag and its reason go.
+
+    decisions: decision_id, result_id, question_id, new_score, comment, decided_at. The latest of a
+    score sets its final score and comment, and clears a comment that was there. Decisions without a
+    question (approvals of a result) or without a score change nothing here.
+    """
+    own = decisions.where(F.col("question_id").isNotNull() & F.col("new_score").isNotNull())
+    last = latest_per_key(own, ["result_id", "question_id"], ["decided_at", "decision_id"])
+    out = scores.join(last.select("result_id", "question_id", "new_score", F.col("comment").alias("_comment")), ["result_id", "question_id"], "left")
     decided = F.col("new_score").isNotNull()
-    return out.withColumns({"final_score": F.coalesce("new_score", "final_score"), "requires_manual_review": F.col("requires_manual_review") & ~decided}).drop("new_score")
+    return out.withColumns({
+        "final_score": F.coalesce("new_score", "final_score"), "professor_comment": F.when(decided, F.col("_comment")).otherwise(F.col("professor_comment")),
+        "requires_manual_review": F.col("requires_manual_review") & ~decided, "manual_review_reason": F.when(~decided, F.col("manual_review_reason")),
+    }).drop("new_score", "_comment")
 
 
 def approve_results(results: DataFrame, scores: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Approved results are REVIEWED; their flagged scores take the reviewed or the model's score and lose the flag."""
+    """Approved results are REVIEWED; their flagged scores take the reviewed or the model's score and lose the flag and its reason."""
     mark = approved.select("result_id").distinct().withColumn("_ok", F.lit(True))
     new_results = results.join(mark, "result_id", "left").withColumn("status", F.when(F.col("_ok"), "REVIEWED").otherwise(F.col("status"))).drop("_ok")
     joined = scores.join(mark, "result_id", "left")
     hit = F.coalesce("_ok", F.lit(False)) & F.col("requires_manual_review")
-    new_scores = joined.withColumns({"final_score": F.when(hit, F.coalesce("final_score", "ai_score")).otherwise(F.col("final_score")), "requires_manual_review": F.col("requires_manual_review") & ~hit}).drop("_ok")
+    new_scores = joined.withColumns({
+        "final_score": F.when(hit, F.coalesce("final_score", "ai_score")).otherwise(F.col("final_score")),
+        "requires_manual_review": F.col("requires_manual_review") & ~hit, "manual_review_reason": F.when(~hit, F.col("manual_review_reason")),
+    }).drop("_ok")
     return new_results, new_scores
 
 
+def apply_decisions(results: DataFrame, scores: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """results and scores after overrides and approvals; an approval is a decision without a question."""
+    approved = decisions.where(F.col("question_id").isNull())
+    return approve_results(results, apply_reviews(scores, decisions), approved)
+
+
 def clear_batches(results: DataFrame, scores: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results and scores without those of the given batches (column batch_id)."""
     gone = results.join(batches.select("batch_id").distinct(), "batch_id", "left_semi").select("result_id")

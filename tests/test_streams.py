@@ -1,4 +1,6 @@
-"""A stream whose batches lie in several micro-batches."""
+"""Streams whose rows lie in several micro-batches, and that start again on their checkpoint."""
+
+from datetime import datetime, timedelta
 
 from scoreweave.streaming import grading as X
 
@@ -12,3 +14,35 @@ def test_grading_keeps_a_batch_split_over_triggers(spark, tmp_path):
     X.grade_batches(stream, lambda r: r, path, checkpoint)
     got = spark.read.parquet(path).select("batch_id", "result_id", "flagged").collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_decisions_survive_a_restart(spark, tmp_path):
+    at = datetime(2024, 5, 1)
+    made = lambda i, result, question, score, hours: (i, result, question, score, f"c{i}", at + timedelta(hours=hours))
+    path, checkpoint = X.new_folders(spark, "decisions")
+    folder = f"file://{tmp_path}/in"
+
+    def arrive(*rows):
+        for row in rows:
+            spark.createDataFrame([row], X.DECISION).coalesce(1).write.mode("append").parquet(folder)
+        X.collect_decisions(X.open_stream(spark, folder, files_per_trigger=1), path, checkpoint)
+
+    assert X.latest_decisions(spark, path).count() == 0
+    arrive(made(1, 7, 1, 0.5, 0), made(2, 7, 1, 0.75, 2), made(3, 8, None, None, 1))
+    arrive()  # nothing new
+    arrive(made(4, 7, 1, 0.25, 1), made(5, 9, 2, 1.0, 3), made(1, 7, 1, 0.5, 0))  # an older one, another score, a repeated id
+    got = {(r["result_id"], r["question_id"]): (r["decision_id"], r["new_score"], r["comment"]) for r in X.latest_decisions(spark, path).collect()}
+    assert got == {(7, 1): (2, 0.75, "c2"), (8, None): (3, None, "c3"), (9, 2): (5, 1.0, "c5")}
+
+
+def test_decisions_are_applied(spark):
+    from scoreweave.operators import maintain as M
+
+    at = datetime(2024, 5, 1)
+    scores = spark.createDataFrame([(1, 1, 0.5, None, True, "m", "c"), (1, 2, 0.25, None, True, "m", None), (2, 1, 1.0, None, True, "m", None)], "result_id long, question_id long, ai_score double, final_score double, requires_manual_review boolean, manual_review_reason string, professor_comment string")
+    results = spark.createDataFrame([(1, "GRADED"), (2, "GRADED")], "result_id long, status string")
+    given = spark.createDataFrame([(1, 1, 1, 0.75, None, at), (2, 1, None, None, "ok", at)], X.DECISION)
+    new_results, new_scores = M.apply_decisions(results, scores, given)
+    assert {tuple(r) for r in new_results.collect()} == {(1, "REVIEWED"), (2, "GRADED")}
+    cols = ("result_id", "question_id", "final_score", "requires_manual_review", "manual_review_reason", "professor_comment")
+    assert {tuple(r) for r in new_scores.select(*cols).collect()} == {(1, 1, 0.75, False, None, None), (1, 2, 0.25, False, None, None), (2, 1, None, True, "m", None)}
