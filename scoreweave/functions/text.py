@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once and named, so that plans do not repeat it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def words(text: Column) -> Column:
     """The words between white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
@@ -17,8 +22,7 @@ def word_count(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Lower case, letters and digits of Portuguese only, single spaces."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^a-z0-9áàâãéèêíïóôõöúçñ\s]", " ")
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9áàâãéèêíïóôõöúçñ]+", " "))
 
 
 def student_code(code: Column, *sources: Column) -> Column:
@@ -52,23 +56,34 @@ def first_valid_qr(payloads: Column) -> Column:
 def safe_uuid(text: Column) -> Column:
     """A uuid in lower-case canonical form, or null; braces, urn:uuid: and missing hyphens are accepted."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), "urn:|uuid:", ""), r"^[{}]+|[{}]+$", "")
-    digits = F.lower(F.replace(bare, F.lit("-"), F.lit("")))
-    at = lambda a, n: F.substring(digits, a, n)
-    return F.when(F.regexp_like(digits, F.lit("^[0-9a-f]{32}$")), F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12)))
+
+    def canonical(digits: Column) -> Column:
+        at = lambda a, n: F.substring(digits, a, n)
+        return F.when(F.regexp_like(digits, F.lit("^[0-9a-f]{32}$")), F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12)))
+
+    return let(F.lower(F.replace(bare, F.lit("-"), F.lit(""))), canonical)
 
 
 def strip_code_fence(raw: Column) -> Column:
     """The text inside a code fence: without the first line, and without the last fence and what follows."""
-    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    inner = F.when(F.contains(text, F.lit("\n")), F.substr(text, F.instr(text, F.lit("\n")) + 1)).otherwise(text)
-    cut = F.when(F.contains(inner, F.lit("```")), F.regexp_replace(inner, r"(?s)```(?!.*```).*$", "")).otherwise(inner)
-    return F.when(F.startswith(text, F.lit("```")), F.regexp_replace(cut, r"(?U)^\s+|\s+$", "")).otherwise(text)
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    def inside(text: Column) -> Column:
+        inner = F.when(F.contains(text, F.lit("\n")), F.substr(text, F.instr(text, F.lit("\n")) + 1)).otherwise(text)
+        cut = let(inner, lambda c: F.when(F.contains(c, F.lit("```")), F.regexp_replace(c, r"(?s)```(?!.*```).*$", "")).otherwise(c))
+        return F.when(F.startswith(text, F.lit("```")), bare(cut)).otherwise(text)
+
+    return let(bare(raw), inside)
 
 
 def outer_braces(text: Column) -> Column:
     """From the first opening to the last closing brace, or the text as it is."""
-    start, end = F.instr(text, F.lit("{")), F.length(text) - F.instr(F.reverse(text), F.lit("}")) + 1
-    return F.when((start > 0) & F.contains(text, F.lit("}")) & (end > start), F.substr(text, start, end - start + 1)).otherwise(text)
+
+    def cut(c: Column) -> Column:
+        start, end = F.instr(c, F.lit("{")), F.length(c) - F.instr(F.reverse(c), F.lit("}")) + 1
+        return F.when((start > 0) & F.contains(c, F.lit("}")) & (end > start), F.substr(c, start, end - start + 1)).otherwise(c)
+
+    return let(text, cut)
 
 
 def title_from_filename(name: Column, default: str = "Prova discursiva") -> Column:

@@ -5,35 +5,48 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from scoreweave.functions import text as T
+from scoreweave.functions.text import let
 
 LOW = 0.70
 
+#: What is said about a page's identity.
+FOREIGN_CODE = "QR ignorado por exam_id divergente."
+CODE_AGAINST_LIST = "QR e manifest discordam. Usando QR."
+CODE_AGAINST_HEADER = "QR e cabeçalho discordam. Usando QR."
+HEADER_AGAINST_LIST = "Cabeçalho e manifest discordam. Usando cabeçalho."
+BY_LIST = "Identidade via manifest_fallback. Conferir manualmente."
+NOBODY = "Nenhuma identidade confiável encontrada."
+
 
 def _kept(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda w: w.isNotNull())
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once and named, so that plans do not repeat it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def pick_identity(qr: Column, header: Column, manifest: Column, exam: Column) -> Column:
     """struct(student_id, identity_source, warnings) of a page: its own code, else header, else manifest, else nobody.
 
     A code counts when its student is a uuid and its exam is the batch's.
     """
-    own, head, listed = T.safe_uuid(qr["student_id"]), T.safe_uuid(header), T.safe_uuid(manifest)
-    good = own.isNotNull() & F.coalesce(qr["exam_id"] == exam, F.lit(False))
-    foreign = F.when(own.isNotNull() & ~good, "QR ignorado por exam_id divergente.")
-    by_qr = F.struct(own.alias("student_id"), F.lit("qr").alias("identity_source"), _kept(F.when(listed != own, "QR e manifest discordam. Usando QR."), F.when(head != own, "QR e cabeçalho discordam. Usando QR.")).alias("warnings"))
-    by_head = F.struct(head.alias("student_id"), F.lit("header_ocr").alias("identity_source"), _kept(foreign, F.when(listed != head, "Cabeçalho e manifest discordam. Usando cabeçalho.")).alias("warnings"))
-    by_list = F.struct(listed.alias("student_id"), F.lit("manifest_fallback").alias("identity_source"), _kept(foreign, F.lit("Identidade via manifest_fallback. Conferir manualmente.")).alias("warnings"))
-    nobody = F.struct(F.lit(None).cast("string").alias("student_id"), F.lit("anonymous").alias("identity_source"), _kept(foreign, F.lit("Nenhuma identidade confiável encontrada.")).alias("warnings"))
-    return F.when(good, by_qr).when(head.isNotNull(), by_head).when(listed.isNotNull(), by_list).otherwise(nobody)
+
+    def chosen(x: Column) -> Column:
+        own, head, listed = x["own"], x["head"], x["listed"]
+        good = own.isNotNull() & x["same_exam"]
+        foreign = F.when(own.isNotNull() & ~good, FOREIGN_CODE)
+        by = lambda who, source, *said: F.struct(who.cast("string").alias("student_id"), F.lit(source).alias("identity_source"), _kept(*said).alias("warnings"))
+        return (
+            F.when(good, by(own, "qr", F.when(listed != own, CODE_AGAINST_LIST), F.when(head != own, CODE_AGAINST_HEADER)))
+            .when(head.isNotNull(), by(head, "header_ocr", foreign, F.when(listed != head, HEADER_AGAINST_LIST)))
+            .when(listed.isNotNull(), by(listed, "manifest_fallback", foreign, F.lit(BY_LIST)))
+            .otherwise(by(F.lit(None), "anonymous", foreign, F.lit(NOBODY)))
+        )
+
+    def with_own(q: Column) -> Column:
+        return F.struct(T.safe_uuid(q["student_id"]).alias("own"), T.safe_uuid(header).alias("head"), T.safe_uuid(manifest).alias("listed"), F.coalesce(q["exam_id"] == exam, F.lit(False)).alias("same_exam"))
+
+    return let(let(qr, with_own), chosen)
 
 
 def review_reason(*, score: Column, confidence: Column, justification: Column, flagged: Column, flag_reason: Column, answer: Column, max_score: Column, ocr_error: Column, ocr_confidence: Column, ocr_unstable: Column, parse_failed: Column, visual_ok: Column, misaligned: Column) -> Column:
@@ -111,7 +124,7 @@ def humanize_reason(warnings: Column, technical: Column, empty_answer: Column |
         )
 
     parts = F.concat(F.coalesce(warnings, F.array().cast("array<string>")), F.array(F.coalesce(technical, F.lit(""))))
-    return _let(F.lower(F.array_join(parts, " | ")), chain)
+    return let(F.lower(F.array_join(parts, " | ")), chain)
 
 
 def _any(conditions) -> Column:
@@ -147,19 +160,36 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def alike(least: float):
+    """Whether two texts' similarity reaches `least`: texts whose letters already rule it out are not compared. Null: no."""
+
+    @F.pandas_udf(BooleanType())
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def one(x, y) -> bool:
+            m = SequenceMatcher(None, x, y)
+            return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+        return pd.Series([x is not None and y is not None and one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    return reaches
+
+
 def with_copy_flag(answers: DataFrame, answer: str, prompt: str, name: str = "copied") -> DataFrame:
     """Whether an answer copies its prompt: both of 20 characters or more, and tokens shared for 0.85 or texts alike for 0.86.
 
-    Text likeness is only computed where the lengths allow it and the tokens have not decided.
+    Both texts are normalized and split once a row. Text likeness is only asked for where the lengths
+    allow it and the tokens have not decided.
     """
     rows = answers.withColumns({"_a": T.normalize_text(F.col(answer)), "_p": T.normalize_text(F.col(prompt))})
     la, lp = F.length("_a"), F.length("_p")
-    long = (la >= 20) & (lp >= 20)
-    shared = T.token_overlap(T.words(F.col("_a")), T.words(F.col("_p"))) >= 0.85
-    possible = long & ~shared & (F.least(la, lp) * 2 / (la + lp) >= 0.86)
-    ratio = sequence_ratio(F.when(possible, F.col("_a")), F.when(possible, F.col("_p")))
-    rows = rows.withColumns({"_l": long, "_s": shared}).withColumn("_r", ratio)
-    return rows.withColumn(name, F.col("_l") & (F.col("_s") | F.coalesce(F.col("_r") >= 0.86, F.lit(False)))).drop("_a", "_p", "_l", "_s", "_r")
+    shares = let(F.array_distinct(F.split("_a", " ")), lambda own: F.size(F.array_intersect(own, F.split("_p", " "))) >= F.size(own) * 0.85)
+    state = F.when((la < 20) | (lp < 20), "no").when(shares, "copy").when(F.least(la, lp) * 2 / (la + lp) >= 0.86, "ask").otherwise("no")
+    rows = rows.withColumn("_state", state)
+    asked = lambda c: F.when(F.col("_state") == "ask", F.col(c))
+    rows = rows.withColumn("_alike", alike(0.86)(asked("_a"), asked("_p")))
+    return rows.withColumn(name, (F.col("_state") == "copy") | F.col("_alike")).drop("_a", "_p", "_state", "_alike")
 
 
 #: Terms of which one must stand in the rubric of a question number; per exam in real use.
@@ -178,7 +208,7 @@ def guard_holds(rubrics: DataFrame, guards: DataFrame, text: Column) -> DataFram
 
 
 def error_code(detail: Column) -> Column:
-    return _let(F.lower(F.coalesce(detail, F.lit(""))), _error_chain)
+    return let(F.lower(F.coalesce(detail, F.lit(""))), _error_chain)
 
 
 def _error_chain(low: Column) -> Column:
@@ -224,7 +254,7 @@ def normalize_warning(text: Column) -> Column:
         message = F.when(c == "STUDENT_LINK_WEAK", text).otherwise(_look_up(MESSAGES, c, MESSAGES["PDF_ANALYSIS_FAILED"]))
         return F.struct(c.alias("code"), message.alias("message"), text.alias("detail"), _look_up(STAGES, c, "unknown").alias("stage"))
 
-    return _let(code, told)
+    return let(code, told)
 
 
 def chain_ocr(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -337,31 +337,59 @@ def roster_load_counts(g):
     return M.load_counts(M.roster_upsert(*_roster(g)))
 
 
-_DECISIONS = f"""decisions AS (SELECT user_id AS result_id, ((user_id // 75) % 10) * 10 + event_id % 7 + 1 AS question_id, greatest(0.0, least(1.0, ceil(value / 100 * 4 - 0.5) / 4)) AS new_score, ts AS decided_at, event_id AS decision_id FROM events)"""
+_DECISIONS = """decisions AS (SELECT event_id AS decision_id, user_id AS result_id, CASE WHEN event_id % 4 > 0 THEN ((user_id // 75) % (SELECT count(*) FROM supplier)) * 10 + event_id % 7 + 1 END AS question_id,
+CASE WHEN event_id % 4 > 0 THEN greatest(0.0, least(1.0, ceil(value / 100 * 4 - 0.5) / 4)) END AS new_score, CASE WHEN event_id % 3 > 0 THEN 'nota ' || event_id END AS comment, ts AS decided_at FROM events)"""
 
 
-def decisions(events):
+def decisions(g, events):
+    """Every fourth event approves a result, the others override a score; some have a comment."""
     user, event = F.col("user_id"), F.col("event_id")
-    question = (F.floor(user / 75) % 10 * 10 + event % 7 + 1).cast("long")
-    return events.select(user.alias("result_id"), question.alias("question_id"), S.clamp_grade((F.col("value") / 100).cast("string"))["score"].alias("new_score"), F.col("ts").cast("timestamp").alias("decided_at"), event.alias("decision_id"))
+    question = (F.floor(user / 75) % g.n_exams * 10 + event % 7 + 1).cast("long")
+    override = event % 4 > 0
+    return events.select(
+        event.alias("decision_id"), user.alias("result_id"), F.when(override, question).alias("question_id"), F.when(override, S.clamp_grade((F.col("value") / 100).cast("string"))["score"]).alias("new_score"),
+        F.when(event % 3 > 0, F.concat(F.lit("nota "), event.cast("string"))).alias("comment"), F.col("ts").cast("timestamp").alias("decided_at"),
+    )
+
 
+def reviewable(g):
+    """Scores with a comment on every fifth and a reason where they are flagged."""
+    return g.scores().withColumns({"professor_comment": F.when(F.col("v1") % 5 == 0, "antes"), "manual_review_reason": F.when(F.col("requires_manual_review"), "motivo")})
 
-_REVIEWED = f"""WITH {_DECISIONS}, d AS (SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY result_id, question_id ORDER BY decided_at DESC, decision_id DESC) = 1),
-reviewed AS (SELECT s.result_id, s.question_id, coalesce(d.new_score, s.final_score) AS final_score, s.requires_manual_review AND d.new_score IS NULL AS requires_manual_review FROM scores s LEFT JOIN d USING (result_id, question_id))"""
 
+_REVIEWED = f"""WITH {_DECISIONS}, s AS (SELECT *, CASE WHEN v1 % 5 = 0 THEN 'antes' END AS professor_comment, CASE WHEN requires_manual_review THEN 'motivo' END AS manual_review_reason FROM scores),
+d AS (SELECT * FROM decisions WHERE question_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id, question_id ORDER BY decided_at DESC, decision_id DESC) = 1),
+reviewed AS (SELECT s.result_id, s.question_id, s.ai_score, coalesce(d.new_score, s.final_score) AS final_score, CASE WHEN d.decision_id IS NULL THEN s.professor_comment ELSE d.comment END AS professor_comment,
+s.requires_manual_review AND d.decision_id IS NULL AS requires_manual_review, CASE WHEN d.decision_id IS NULL THEN s.manual_review_reason END AS manual_review_reason FROM s LEFT JOIN d USING (result_id, question_id))"""
+_SCORE_STATE = ("result_id", "question_id", "final_score", "professor_comment", "requires_manual_review", "manual_review_reason")
 
-@query("scores", f"{_REVIEWED} SELECT * FROM reviewed")
+
+@query("scores", f"{_REVIEWED} SELECT {', '.join(_SCORE_STATE)} FROM reviewed")
 def apply_score_review(g):
-    return M.apply_reviews(g.scores(), decisions(g.raw("events"))).select("result_id", "question_id", "final_score", "requires_manual_review")
+    return M.apply_reviews(reviewable(g), decisions(g, g.raw("events"))).select(*_SCORE_STATE)
+
+
+_DECIDED = f"""{_REVIEWED}, ok AS (SELECT DISTINCT result_id, true AS ok FROM decisions WHERE question_id IS NULL),
+decided AS (SELECT result_id, question_id, CASE WHEN ok AND requires_manual_review THEN coalesce(final_score, ai_score) ELSE final_score END AS final_score, professor_comment,
+requires_manual_review AND ok IS NULL AS requires_manual_review, CASE WHEN ok IS NULL THEN manual_review_reason END AS manual_review_reason, CASE WHEN ok THEN 'REVIEWED' ELSE status END AS status
+FROM reviewed JOIN results USING (result_id) LEFT JOIN ok USING (result_id))"""
+
+
+def decided(g, given):
+    results, scores = M.apply_decisions(g.results(), reviewable(g), given)
+    return scores.select(*_SCORE_STATE).join(results.select("result_id", "status"), "result_id")
 
 
 @query("results scores", """WITH s AS (SELECT *, result_id % 2 = 0 AND requires_manual_review AS hit FROM scores)
-SELECT r.result_id, CASE WHEN r.result_id % 2 = 0 THEN 'REVIEWED' ELSE r.status END AS status, coalesce(sum(CASE WHEN hit THEN coalesce(final_score, ai_score) ELSE coalesce(final_score, ai_score, 0.0) END), 0.0) AS total_score, coalesce(bool_or(requires_manual_review AND NOT hit), false) AS flagged
+SELECT r.result_id, CASE WHEN r.result_id % 2 = 0 THEN 'REVIEWED' ELSE r.status END AS status, coalesce(sum(CASE WHEN hit THEN coalesce(final_score, ai_score) ELSE coalesce(final_score, ai_score, 0.0) END), 0.0) AS total_score,
+coalesce(bool_or(requires_manual_review AND NOT hit), false) AS flagged, count(*) FILTER (requires_manual_review AND NOT hit) AS n_reasons
 FROM results r LEFT JOIN s USING (result_id) GROUP BY 1, 2""")
 def approve_results(g):
     approved = g.results().where(F.col("result_id") % 2 == 0).select("result_id")
-    results, scores = M.approve_results(g.results(), g.scores(), approved)
-    return G.result_totals(results, scores).select("result_id", "status", "total_score", "flagged")
+    results, scores = M.approve_results(g.results(), reviewable(g), approved)
+    reasons = scores.groupBy("result_id").agg(F.count("manual_review_reason").alias("n_reasons"))
+    totals = G.result_totals(results, scores).select("result_id", "status", "total_score", "flagged")
+    return totals.join(reasons, "result_id", "left").withColumn("n_reasons", F.coalesce("n_reasons", F.lit(0).cast("long")))
 
 
 @query("results scores", "SELECT r.batch_id, count(DISTINCT r.result_id) AS n_results, count(s.question_id) AS n_scores FROM results r LEFT JOIN scores s USING (result_id) WHERE r.batch_id % 5 <> 0 GROUP BY 1")
@@ -372,7 +400,7 @@ def clear_batch(g):
 
 
 @query("exams questions batches results scores", """SELECT 'exams' AS name, count(*) AS n FROM exams WHERE exam_id NOT IN (2, 5) UNION ALL SELECT 'questions', count(*) FROM questions WHERE exam_id NOT IN (2, 5)
-UNION ALL SELECT 'batches', count(*) FROM batches WHERE exam_id NOT IN (2, 5) UNION ALL SELECT 'results', count(*) FROM results WHERE batch_id % 10 NOT IN (2, 5) UNION ALL SELECT 'scores', count(*) FROM scores WHERE (result_id // 75) % 10 NOT IN (2, 5)""")
+UNION ALL SELECT 'batches', count(*) FROM batches WHERE exam_id NOT IN (2, 5) UNION ALL SELECT 'results', count(*) FROM results WHERE batch_id % (SELECT count(*) FROM supplier) NOT IN (2, 5) UNION ALL SELECT 'scores', count(*) FROM scores WHERE (result_id // 75) % (SELECT count(*) FROM supplier) NOT IN (2, 5)""")
 def cascade_delete_exam(g):
     tables = {"exams": g.exams(), "questions": g.questions(), "batches": g.batches(), "results": g.results(), "scores": g.scores()}
     left = M.delete_exams(tables, g.exams().where(F.col("exam_id").isin(2, 5)))
@@ -484,11 +512,28 @@ def safe_uuid(g):
     return g.raw("orders").select("o_orderkey", T.safe_uuid(raw).alias("id"))
 
 
-@query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Prova de ' || o_orderkey WHEN 1 THEN 'Prova discursiva' WHEN 2 THEN 'a.b' ELSE 'Prova discursiva' END AS title, CASE o_orderkey % 4 WHEN 0 THEN 'Prova_de_' || o_orderkey || '.docx.pdf' WHEN 1 THEN '___.pdf' WHEN 2 THEN 'a.b.PDF' ELSE 'tmp.pdf' END AS pdf FROM orders")
+@query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Prova de ' || o_orderkey WHEN 1 THEN 'Prova discursiva' WHEN 2 THEN 'a.b' ELSE 'Prova discursiva' END AS title FROM orders")
 def title_from_filename(g):
     k = F.col("o_orderkey")
     name = F.when(k % 4 == 0, F.concat(F.lit("Prova_de_"), k.cast("string"), F.lit(".docx"))).when(k % 4 == 1, "___").when(k % 4 == 2, "a.b.PDF").otherwise("")
-    return g.raw("orders").select("o_orderkey", T.title_from_filename(name).alias("title"), T.safe_pdf_name(F.concat(F.lit("/tmp/"), name)).alias("pdf"))
+    return g.raw("orders").select("o_orderkey", T.title_from_filename(name).alias("title"))
+
+
+@query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'nota ' || o_orderkey || '.pdf' WHEN 1 THEN 'a_' || o_orderkey || '.PDF' WHEN 2 THEN o_orderkey || '.docx.pdf' ELSE 'pasta.pdf' END AS pdf FROM orders")
+def safe_pdf_name(g):
+    k, s = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("/tmp/x/nota "), s)).when(k == 1, F.concat(F.lit("a\\"), s, F.lit(".PDF"))).when(k == 2, F.concat(s, F.lit(".docx"))).otherwise("/tmp/pasta/")
+    return g.raw("orders").select("o_orderkey", T.safe_pdf_name(name).alias("pdf"))
+
+
+@query("", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'nota ' || o_orderkey WHEN 1 THEN o_orderkey::VARCHAR WHEN 2 THEN '' WHEN 3 THEN 'a' || chr(10) || '```' || chr(10) || o_orderkey WHEN 4 THEN 'x ```' || o_orderkey || '```' ELSE '{' || o_orderkey || '}' END AS inner_text FROM orders")
+def strip_code_fence(g):
+    k, s = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("```json\nnota "), s, F.lit("\n```"))).when(k == 1, F.concat(F.lit(" "), s, F.lit("\n"))).when(k == 2, F.concat(F.lit("``` "), s))
+        .when(k == 3, F.concat(F.lit("  ```\na\n```\n"), s, F.lit("\n``` fim "))).when(k == 4, F.concat(F.lit("x ```"), s, F.lit("```"))).otherwise(F.concat(F.lit("```\n{"), s, F.lit("}")))
+    )
+    return g.raw("orders").select("o_orderkey", T.strip_code_fence(raw).alias("inner_text"))
 
 
 @query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a' || chr(10) || o_orderkey ELSE 'a' END AS t FROM orders")
@@ -514,11 +559,16 @@ def needs_fallback(g):
     return g.answers().select("result_id", "question_id", S.needs_fallback(T.word_count(F.col("answer_text")), F.col("ocr_confidence")).alias("fallback"))
 
 
-@query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE (o_orderkey % 9)::INT END AS i, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE (o_orderkey % 9) END::DOUBLE AS f FROM orders")
+@query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE (o_orderkey % 9)::INT END AS i FROM orders")
 def int_or_default(g):
     k = F.col("o_orderkey")
-    text = F.when(k % 3 == 0, "x").otherwise((k % 9).cast("string"))
-    return g.raw("orders").select("o_orderkey", S.int_or(text, F.lit(5)).alias("i"), S.float_or(text, F.lit(0.5)).alias("f"))
+    return g.raw("orders").select("o_orderkey", S.int_or(F.when(k % 3 == 0, "x").otherwise((k % 9).cast("string")), F.lit(5)).alias("i"))
+
+
+@query("", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE (o_orderkey % 90) / 8.0 END::DOUBLE AS f FROM orders")
+def float_or_default(g):
+    k = F.col("o_orderkey")
+    return g.raw("orders").select("o_orderkey", S.float_or(F.when(k % 3 == 0, "x").otherwise((k % 90 / 8).cast("string")), F.lit(0.5)).alias("f"))
 
 
 @query("", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'expected_answer' WHEN 1 THEN 'question_text' WHEN 2 THEN 'valor_padrao' WHEN 3 THEN 'instrucoes' WHEN 4 THEN 'critérios de correcao' ELSE 'outro' END AS k FROM orders")

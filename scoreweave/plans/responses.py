@@ -33,6 +33,34 @@ def validate_grade_schema(g):
     return rows.select("result_id", "question_id", F.size(P.missing_keys(F.col("keys"))).alias("n_missing"), F.size(P.suspicious_keys(F.col("keys"))).alias("n_suspicious"), F.array_join(warnings, "; ").alias("warnings"))
 
 
+#: Each of the five required keys stands in a grade by a bit of the order's number; two misspelt ones and one other by two more.
+_KEYS = [(name, 1 << i) for i, name in enumerate((*P.REQUIRED, "revisao_necessaira", "criterios_extra", "outra"))]
+_PRESENT = "list_filter([{}], lambda k: k IS NOT NULL)".format(", ".join(f"CASE WHEN o_orderkey & {bit} > 0 THEN '{name}' END" for name, bit in _KEYS))
+
+
+def _key_rows(g):
+    bits = F.col("o_orderkey")
+    body = F.array_join(F.filter(F.array(*(F.when(bits.bitwiseAND(bit) > 0, f'"{name}": 1') for name, bit in _KEYS)), lambda k: k.isNotNull()), ", ")
+    return g.raw("orders").select("o_orderkey", F.json_object_keys(F.concat(F.lit("{"), body, F.lit("}"))).alias("keys"))
+
+
+@query("", f"SELECT o_orderkey, list_filter({list(P.REQUIRED)}, lambda r: NOT list_contains({_PRESENT}, r)) AS missing FROM orders")
+def missing_keys(g):
+    return _key_rows(g).select("o_orderkey", P.missing_keys(F.col("keys")).alias("missing"))
+
+
+@query("", f"SELECT o_orderkey, list_filter({_PRESENT}, lambda k: k IN ('revisao_necessaira', 'criterios_extra')) AS suspicious FROM orders")
+def suspicious_keys(g):
+    return _key_rows(g).select("o_orderkey", P.suspicious_keys(F.col("keys")).alias("suspicious"))
+
+
+@query("", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ['a', 'b' || o_orderkey] WHEN 1 THEN [o_orderkey::VARCHAR, '2'] ELSE []::VARCHAR[] END AS items FROM orders")
+def string_list(g):
+    k, s = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit('["a", "b'), s, F.lit('"]'))).when(k == 1, F.concat(F.lit("["), s, F.lit(", 2]"))).when(k == 2, F.concat(F.lit('"'), s, F.lit('"'))).when(k == 3, F.concat(F.lit('{"a": '), s, F.lit("}"))).when(k == 4, "null").otherwise("[]")
+    return g.raw("orders").select("o_orderkey", P.string_list(F.try_parse_json(raw)).alias("items"))
+
+
 @query("scores", "SELECT o_orderkey, o_orderkey % 6 NOT IN (1, 4) AS value, o_orderkey % 6 >= 3 AS invalid FROM orders")
 def coerce_bool_literal(g):
     k = F.col("o_orderkey") % 6
@@ -67,7 +95,7 @@ def parse_single_grade(g):
     return rows.select("result_id", "question_id", "p.score", "p.confidence", "p.parse_ok", "p.justification", "p.flagged")
 
 
-_GRADES = """p AS (SELECT result_id AS page_id, batch_id % 10 AS exam_id FROM results WHERE result_id % 3 = 0),
+_GRADES = """p AS (SELECT result_id AS page_id, batch_id % (SELECT count(*) FROM supplier) AS exam_id FROM results),
 w AS (SELECT page_id, exam_id, n AS question_number, CASE n WHEN 1 THEN 1.3 WHEN 2 THEN 0.375 ELSE (page_id % 9) / 8.0 END AS s FROM p CROSS JOIN range(1, 5) r(n))"""
 _GRADED = f"""WITH {_GRADES}, f AS (SELECT p.page_id, q.question_number, CASE WHEN w.s IS NULL THEN 0.0 ELSE greatest(0.0, round_even(least(w.s, 1.0) * 4, 0) / 4) END AS score FROM p JOIN questions q USING (exam_id) LEFT JOIN w ON w.page_id = p.page_id AND w.question_number = q.question_number)"""
 
@@ -77,7 +105,7 @@ def _page_rows(g):
     one = lambda n, s: F.format_string('{"question_number": %d, "score": %s, "justification": "j"}', F.lit(n), s)
     rest = (k % 9 / 8).cast("string")
     body = F.concat(F.lit('{"grades": ['), F.concat_ws(",", one(1, F.lit("1.3")), one(2, F.lit("0.375")), one(3, rest), one(4, rest)), F.lit("]}"))
-    return g.results().where(k % 3 == 0).select(k.alias("page_id"), (F.col("batch_id") % 10).alias("exam_id"), body.alias("json"))
+    return g.results().select(k.alias("page_id"), (F.col("batch_id") % g.n_exams).alias("exam_id"), body.alias("json"))
 
 
 @query("results questions", f"{_GRADED} SELECT * FROM f")
@@ -155,14 +183,14 @@ def ocr_confidence_avg(g):
     return _ocr(g).select("o_orderkey", F.round("o.confidence", 6).alias("confidence"))
 
 
-@query("scores", """SELECT result_id AS run_id, 'Aluno ' || result_id AS student_name, CASE WHEN result_id % 2 = 0 THEN result_id ELSE 4 END::INT AS page_number, question_number, CASE WHEN v1 % 3 = 0 THEN 'baixa' ELSE 'alta' END AS reading_confidence, ai_score AS score, requires_manual_review OR v1 % 3 = 0 AS needs_human_review, '{"x":1}' AS image_region FROM scores WHERE result_id > 0""")
+@query("scores", """SELECT result_id AS run_id, 'Aluno ' || result_id AS student_name, CASE WHEN result_id % 2 = 0 AND result_id > 0 THEN result_id ELSE 4 END::INT AS page_number, question_number, CASE WHEN v1 % 3 = 0 THEN 'baixa' ELSE 'alta' END AS reading_confidence, ai_score AS score, requires_manual_review OR v1 % 3 = 0 AS needs_human_review, '{"x":1}' AS image_region FROM scores""")
 def visual_answers_flatten(g):
     v = F.col("v1")
     grade = F.struct(F.col("ai_score").alias("score"), F.lit("parcial").alias("verdict"), F.col("requires_manual_review").alias("needs_human_review"), F.lit("").alias("review_reason"))
     q = F.struct(F.col("question_number").alias("number"), F.lit("").alias("extracted_answer"), F.lit("t").alias("answer_transcription"), F.when(v % 3 == 0, "baixa").otherwise("alta").alias("reading_confidence"), F.lit(0.9).alias("ocr_confidence"), F.struct(F.lit(1).alias("x")).alias("image_region"), grade.alias("grade"))
     k = F.col("result_id")
     student = F.struct(F.concat(F.lit("Aluno "), k.cast("string")).alias("name"), F.lit("").alias("registration"), F.lit("").alias("student_code"))
-    per = g.scores().where("result_id > 0").groupBy("result_id").agg(F.collect_list(q).alias("questions"))
+    per = g.scores().groupBy("result_id").agg(F.collect_list(q).alias("questions"))
     page = F.struct(F.lit("").alias("detected_student_name"), F.lit("").alias("detected_registration"), F.lit("").alias("detected_student_code"), student.alias("student"), F.when(k % 2 == 0, k.cast("int")).otherwise(0).alias("physical_page"), F.lit(4).alias("page"), F.col("questions"))
     return P.flatten_run(per.select(k.alias("run_id"), F.array(page).alias("pages"))).select("run_id", "student_name", "page_number", "question_number", "reading_confidence", "score", "needs_human_review", "image_region")
 

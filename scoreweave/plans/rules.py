@@ -115,10 +115,14 @@ def normalize_verdict(g):
 _NORMAL = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9áàâãéèêíïóôõöúçñ\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
-@query("answers", f"""WITH n AS (SELECT result_id, question_id, {_NORMAL.format(x='answer_text')} AS a, {_NORMAL.format(x='question_text')} AS b FROM answers)
-SELECT result_id, question_id, length(array_to_string(a, ' ')) >= 20 AND length(array_to_string(b, ' ')) >= 20 AND len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(a))) >= 0.85 AS copied FROM n""")
+@query("answers", f"""WITH t AS (SELECT result_id, question_id, v1 % 23 = 1 AS spelt, CASE WHEN v1 % 23 = 1 THEN regexp_replace(substr(question_text, 1, 120), '([^ ]+)', '\\1x', 'g') ELSE answer_text END AS answer, CASE WHEN v1 % 23 = 1 THEN substr(question_text, 1, 120) ELSE question_text END AS question FROM answers),
+n AS (SELECT result_id, question_id, spelt, {_NORMAL.format(x='answer')} AS a, {_NORMAL.format(x='question')} AS b FROM t)
+SELECT result_id, question_id, length(array_to_string(a, ' ')) >= 20 AND length(array_to_string(b, ' ')) >= 20 AND (spelt OR len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(a))) >= 0.85) AS copied FROM n""")
 def looks_like_copy(g):
-    return R.with_copy_flag(g.answers(), "answer_text", "question_text").select("result_id", "question_id", "copied")
+    """Answers that copy their question; one in 23 spells every word of it with a letter more, which only the likeness of the texts shows."""
+    spelt, start = F.col("v1") % 23 == 1, F.substring("question_text", 1, 120)
+    rows = g.answers().withColumns({"answer": F.when(spelt, F.regexp_replace(start, "([^ ]+)", "$1x")).otherwise(F.col("answer_text")), "question": F.when(spelt, start).otherwise(F.col("question_text"))})
+    return R.with_copy_flag(rows, "answer", "question").select("result_id", "question_id", "copied")
 
 
 @query("questions", """SELECT question_id, CASE WHEN question_number > 3 THEN true WHEN question_number = 1 THEN contains(lower(expected_answer), 'the') ELSE contains(lower(expected_answer), 'que') OR contains(lower(expected_answer), 'der') END AS guard_ok FROM questions""")
@@ -154,7 +158,7 @@ def ocr_provider_chain(g):
 
 @query()
 def sequence_ratio(g):
-    """Likeness of the answers that copy their question, and of those of about its length."""
-    near = F.length("answer_text").between(F.length("question_text") * 0.9, F.length("question_text") * 1.1)
-    pairs = g.answers().where(near)
+    """Likeness of answers and questions where their lengths allow one of 0.86, as the copy rule asks for it."""
+    a, b = F.length("answer_text"), F.length("question_text")
+    pairs = g.answers().where(F.least(a, b) * 2 / (a + b) >= 0.86)
     return pairs.select("result_id", "question_id", F.round(R.sequence_ratio("answer_text", "question_text"), 9).alias("ratio"))

@@ -34,7 +34,14 @@ def overlap_ratio(g):
     return a.join(b, "box_id").select("box_id", F.round(H.overlap_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query()
+_OVERLAP = "greatest(0, least(b.x + b.w, k.x + k.w) - greatest(b.x, k.x)) * greatest(0, least(b.y + b.h, k.y + k.h) - greatest(b.y, k.y)) / least(b.w * b.h, k.w * k.h) > 0.65"
+
+
+@query("", f"""WITH RECURSIVE x AS ({_BOX}), o AS (SELECT page_id, {{'y': y, 'x': x, 'w': w, 'h': h}} AS b, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) AS n FROM x),
+s AS (SELECT page_id, n, [b] AS kept FROM o WHERE n = 1 UNION ALL
+SELECT s.page_id, o.n, CASE WHEN len(list_filter(s.kept, lambda k: {_OVERLAP.replace('b.', 'o.b.')})) > 0 THEN s.kept ELSE list_append(s.kept, o.b) END FROM s JOIN o ON o.page_id = s.page_id AND o.n = s.n + 1),
+f AS (SELECT page_id, unnest(kept) AS b, unnest(range(len(kept))) AS i FROM (SELECT page_id, arg_max(kept, n) AS kept FROM s GROUP BY 1))
+SELECT page_id, i::INT AS index, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM f""")
 def dedupe_boxes(g):
     return H.dedupe_boxes(_boxes(g), ["page_id"])
 
@@ -71,24 +78,39 @@ def upload_reject_reason(g):
     return g.raw("orders").select("o_orderkey", L.reject_reason(F.when(k == 1, "a.doc").otherwise("a.PDF"), F.when(k == 2, 0).when(k == 3, 50 << 20).otherwise(9)).alias("reason"))
 
 
-@query()
+#: The words' lengths folded to the last line's length and the number of lines.
+def _lines_sql(text: str) -> str:
+    words = f"list_filter(regexp_split_to_array(coalesce({text}, ''), '\\s+'), lambda w: w <> '')"
+    step = "CASE WHEN a.c + w.c + 1 > 95 THEN {'c': w.c, 'n': a.n + 1} ELSE {'c': a.c + 1 + w.c, 'n': a.n} END"
+    return f"CASE WHEN len({words}) = 0 THEN 0 ELSE list_reduce(list_transform({words}, lambda w: {{'c': length(w), 'n': 1}}), lambda a, w: {step}).n END"
+
+
+@query("", f"SELECT doc_id, ({_lines_sql('text')})::INT AS n_lines FROM documents")
 def wrap_text(g):
     return g.raw("documents").select("doc_id", F.size(T.wrap_text(F.col("text"))).alias("n_lines"))
 
 
-@query()
+_D = lambda x: f"{x!r}::DOUBLE"
+_FIRST_Y, _LATER_Y = H.PAGE_H - H.MARGIN - H.TOP_INSET - H.HEADER_H - 6 * H.MM, H.PAGE_H - H.MARGIN - H.TOP_INSET - H.CONTINUATION_GAP
+
+
+@query("questions", f"""WITH RECURSIVE t AS (SELECT exam_id, question_number, ({_lines_sql('question_text')}) * {_D(H.LINE_GAP)} + {_D(H.TITLE_GAP)} + {_D(H.TEXT_BOTTOM_GAP)} AS text FROM questions),
+s AS (SELECT exam_id, 0 AS question_number, 1 AS page, {_D(_FIRST_Y)} AS y, 0::DOUBLE AS bottom FROM (SELECT DISTINCT exam_id FROM t) UNION ALL
+SELECT exam_id, question_number, CASE WHEN new THEN page + 1 ELSE page END, top - text - {_D(H.ANSWER_H)} - {_D(H.SPACING)}, top - text - {_D(H.ANSWER_H)} FROM (
+SELECT *, CASE WHEN new THEN {_D(_LATER_Y)} ELSE y END AS top FROM (SELECT t.exam_id, t.question_number, s.page, s.y, t.text, s.y - (t.text + {_D(H.ANSWER_H)} + {_D(H.SPACING)}) < {_D(H.MARGIN)} AS new FROM s JOIN t ON t.exam_id = s.exam_id AND t.question_number = s.question_number + 1)))
+SELECT exam_id, question_number, page, bottom AS y_bottom_pt, {_D(H.ANSWER_H)} AS height_pt, max(page) OVER (PARTITION BY exam_id) AS pages FROM s WHERE question_number > 0""")
 def paginate_questions(g):
     return H.paginate(g.questions())
 
 
-@query("exams students questions", """WITH e AS (SELECT DISTINCT exam_id, class_id FROM exams WHERE exam_id < 10), s AS (SELECT e.exam_id, s.student_id, s.registration_number, p AS page_in_student FROM e JOIN students s USING (class_id) CROSS JOIN range(1, 3) r(p))
+@query("exams students questions", """WITH e AS (SELECT DISTINCT exam_id, class_id FROM exams), s AS (SELECT e.exam_id, s.student_id, s.registration_number, p AS page_in_student FROM e JOIN students s USING (class_id) CROSS JOIN range(1, 3) r(p))
 SELECT exam_id, student_id, registration_number, page_in_student::INT AS page_in_student, 2 AS total_pages_for_student, row_number() OVER (PARTITION BY exam_id ORDER BY registration_number, student_id, page_in_student) - 1 AS physical_index FROM s""")
 def answer_sheet_plan(g):
     layout = g.questions().groupBy("exam_id").agg(F.lit(2).alias("pages"))
     return H.sheet_plan(g.exams(), g.students(), layout)
 
 
-@query("exams students questions", "SELECT exam_id, student_id, row_number() OVER (PARTITION BY exam_id ORDER BY registration_number, student_id) - 1 AS physical_index FROM exams e JOIN students s USING (class_id) WHERE exam_id < 10")
+@query("exams students questions", "SELECT exam_id, student_id, row_number() OVER (PARTITION BY exam_id ORDER BY registration_number, student_id) - 1 AS physical_index FROM exams e JOIN students s USING (class_id)")
 def physical_index(g):
     layout = g.questions().groupBy("exam_id").agg(F.lit(1).alias("pages"))
     return H.sheet_plan(g.exams(), g.students(), layout).select("exam_id", "student_id", "physical_index")
@@ -106,11 +128,11 @@ def manifest_scan(g):
     return H.manifest_boxes(_manifests(g)).select("exam_id", "physical_index", "manifest_student", "question_number")
 
 
-_MAPPED = "p AS (SELECT result_id AS page_id, batch_id % 10 AS exam_id, page_number - 1 AS page_index FROM results), m AS (SELECT page_id, exam_id, CASE page_index WHEN 0 THEN 1 ELSE 3 END AS question_number FROM p WHERE exam_id % 3 = 0 AND page_index IN (0, 1))"
+_MAPPED = "p AS (SELECT result_id AS page_id, batch_id % (SELECT count(*) FROM supplier) AS exam_id, page_number - 1 AS page_index FROM results), m AS (SELECT page_id, exam_id, CASE page_index WHEN 0 THEN 1 ELSE 3 END AS question_number FROM p WHERE exam_id % 3 = 0 AND page_index IN (0, 1))"
 
 
 def _pages(g):
-    return g.results().select(F.col("result_id").alias("page_id"), (F.col("batch_id") % 10).alias("exam_id"), (F.col("page_number") - 1).alias("page_index"))
+    return g.results().select(F.col("result_id").alias("page_id"), (F.col("batch_id") % g.n_exams).alias("exam_id"), (F.col("page_number") - 1).alias("page_index"))
 
 
 @query("results questions", f"WITH {_MAPPED} SELECT m.page_id, q.question_id, 'mapped' AS mode FROM m JOIN questions q USING (exam_id, question_number) UNION ALL SELECT p.page_id, q.question_id, 'legacy' FROM p JOIN questions q USING (exam_id) WHERE p.page_id NOT IN (SELECT page_id FROM m)")
@@ -228,26 +250,31 @@ def apply_scorer(g):
     return scorer_rows(g)
 
 
-
-
-@query("students", "SELECT registration_number, student_name, curso FROM students WHERE student_id % 2 = 0")
+@query("students", "SELECT class_id, registration_number, student_name, curso FROM students")
 def roster_csv_scan(g):
-    """Half of the students written as roster files, some in Latin-1 with semicolons, and read back."""
+    """All students written as roster files, every second one in a Latin-1 file with semicolons, and read back.
+
+    A file holds a class's students of a range of ids, so no file grows with the class.
+    """
     from scoreweave.sources.work import work_folder
 
-    s, path = g.students().where(F.col("student_id") % 2 == 0), work_folder(g.spark, "rosters")
-    line = lambda by: F.concat_ws(by, "registration_number", "student_name", "curso")
+    s, path = g.students(), work_folder(g.spark, "rosters")
+    line = lambda by: F.concat_ws(by, "registration_number", "student_name", "curso", F.concat(F.lit("T"), F.col("class_id").cast("string")))
+    file = [F.col("class_id").alias("c"), F.floor(F.col("student_id") / 5000).alias("part")]
     for i, (by, kind) in enumerate(((",", "UTF-8"), (";", "ISO-8859-1"))):
-        part = s.where(F.floor(F.col("student_id") / 2) % 2 == i).select(F.col("class_id"), line(by).alias("row"))
-        head = F.lit(f"Escola{by}x\nMatrícula{by}Nome do aluno{by}Curso\n")
-        files = part.groupBy("class_id").agg(F.concat(head, F.array_join(F.array_sort(F.collect_list("row")), "\n")).alias("value"))
-        files.select("value").write.option("encoding", kind).option("lineSep", "\n\n").mode("append").text(f"{path}/{i}")
-    back = L.read_rosters(g.spark, f"{path}/*/*.txt")
-    return back.where(~F.contains(F.lower("registration_number"), F.lit("matr"))).where("registration_number <> 'Escola'").select("registration_number", "student_name", "curso")
+        rows = s.where(F.col("student_id") % 2 == i).select(*file, F.col("student_id").alias("at"), line(by).alias("row"))
+        heads = rows.select("c", "part").distinct().select("c", "part", F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("at"), F.lit(t).alias("row")) for n, t in ((-2, f"Escola{by}x"), (-1, f"Matrícula{by}Nome do aluno{by}Curso{by}Turma"))))).alias("h"))
+        every = rows.union(heads.select("c", "part", "h.*")).repartition("c", "part").sortWithinPartitions("c", "part", "at")
+        every.select("c", "part", "row").write.option("encoding", kind).mode("append").partitionBy("c", "part").text(f"{path}/{i}")
+    back = L.read_rosters(g.spark, f"{path}/*/*/*/*.txt")
+    return back.select(F.substring("turma", 2, 10).cast(s.schema["class_id"].dataType).alias("class_id"), "registration_number", "student_name", "curso")
 
 
-@query()
+@query("batches", """WITH f AS (SELECT CASE WHEN batch_id % 7 = 3 THEN 'lote_' || batch_id || '.docx' WHEN batch_id % 2 = 0 THEN 'lote_' || batch_id || '.PDF' ELSE 'lote_' || batch_id || '.pdf' END AS file_name, CASE WHEN batch_id % 11 = 5 THEN 0 ELSE total_pages * 600000 END AS size, batch_id FROM batches)
+SELECT file_name, size, CASE WHEN batch_id % 7 = 3 THEN 'extension' WHEN size <= 0 THEN 'empty' WHEN size > 41943040 THEN 'too_large' END AS reject_reason, CASE WHEN batch_id % 7 <> 3 AND size > 0 AND size <= 41943040 THEN 'PENDING' END AS status FROM f""")
 def batch_file_registry(g):
-    """The folder's own files as an upload listing."""
-    files = g.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(g.folder).select("path", "length", "modificationTime")
+    """The batches as files in an upload folder's listing (path, length, modificationTime)."""
+    b = F.col("batch_id")
+    name = F.concat(F.lit("lote_"), b.cast("string"), F.when(b % 7 == 3, ".docx").when(b % 2 == 0, ".PDF").otherwise(".pdf"))
+    files = g.batches().select(F.concat(F.lit("file:/envios/"), name).alias("path"), F.when(b % 11 == 5, F.lit(0).cast("long")).otherwise(F.col("total_pages") * 600_000).alias("length"), F.col("created_at").alias("modificationTime"))
     return L.register_batches(files).select("file_name", "size", "reject_reason", "status")

@@ -6,13 +6,14 @@ recorded answers from generic tables of any size; every operator takes plain Dat
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreweave.functions import scores as S
 
 QUESTIONS = 7
-EXAMS = 10
 PAGES_PER_BATCH = 75
 
 
@@ -26,6 +27,11 @@ class Grading:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @cached_property
+    def n_exams(self) -> int:
+        """Batches go to all exams in turn; exam ids run from 0."""
+        return self.raw("supplier").count()
+
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
@@ -42,20 +48,21 @@ class Grading:
         return self.raw("supplier").select(F.col("s_suppkey").alias("exam_id"), F.col("s_nationkey").alias("class_id"), F.col("s_name").alias("exam_name"))
 
     def questions(self) -> DataFrame:
-        """Seven questions for each of the first ten exams; texts come from the benchmark table."""
-        numbered = self.exams().where(F.col("exam_id") < EXAMS).select("exam_id", F.explode(F.sequence(F.lit(1), F.lit(QUESTIONS))).alias("question_number"))
+        """Seven questions for each exam; texts come from all items of the benchmark table in turn (their ids run from 0)."""
+        numbered = self.exams().select("exam_id", F.explode(F.sequence(F.lit(1), F.lit(QUESTIONS))).alias("question_number"))
         ids = numbered.withColumn("question_id", F.col("exam_id") * 10 + F.col("question_number"))
-        texts = self.raw("benchmark").where(F.col("item_id") < 40)
+        texts = self.raw("benchmark")
+        n = max(texts.count(), 1)
         asked = texts.select(F.col("item_id").alias("asked"), F.col("text").alias("question_text"))
         expected = texts.select(F.col("item_id").alias("wanted"), F.col("text").alias("expected_answer"))
         return (
-            ids.join(asked, F.col("question_id") % 40 == F.col("asked")).join(expected, (F.col("question_id") + 1) % 40 == F.col("wanted"))
+            ids.join(asked, F.col("question_id") % n == F.col("asked")).join(expected, (F.col("question_id") + 1) % n == F.col("wanted"))
             .select("question_id", "exam_id", "question_number", "question_text", "expected_answer", F.lit(1.0).alias("max_score"))
         )
 
     def batches(self) -> DataFrame:
         batch = F.floor(F.col("o_orderkey") / PAGES_PER_BATCH).cast("long")
-        return self.raw("orders").groupBy(batch.alias("batch_id")).agg(F.min("o_orderdate").alias("created_at"), F.count("*").alias("total_pages")).select("batch_id", (F.col("batch_id") % EXAMS).alias("exam_id"), "created_at", "total_pages")
+        return self.raw("orders").groupBy(batch.alias("batch_id")).agg(F.min("o_orderdate").alias("created_at"), F.count("*").alias("total_pages")).select("batch_id", (F.col("batch_id") % self.n_exams).alias("exam_id"), "created_at", "total_pages")
 
     def results(self) -> DataFrame:
         key = F.col("o_orderkey")
@@ -67,7 +74,7 @@ class Grading:
 
     def raw_scores(self) -> DataFrame:
         """All recorded scores; a result and question may have several, later ones with larger version columns."""
-        exam = F.floor(F.col("l_orderkey") / PAGES_PER_BATCH) % EXAMS
+        exam = F.floor(F.col("l_orderkey") / PAGES_PER_BATCH) % self.n_exams
         ai = S.clamp_grade((F.col("l_discount") * 10).cast("string"))["score"]
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("result_id"), (exam * 10 + F.col("l_linenumber")).cast("long").alias("question_id"), F.col("l_linenumber").alias("question_number"),
