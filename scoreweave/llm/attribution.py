@@ -7,9 +7,11 @@ holds more of its bytes, and to the earlier of two with as many. A token that ov
 is counted under a null section.
 
 Defined cases: null or empty text has one empty section where sections are lines, and no tokens;
-sections past the text's end, or empty ones, have no tokens; null sections: all tokens under the null
-section; overlapping or disordered sections are an error; a null doc_id is kept; repeated rows are
-counted each; an empty table gives no rows.
+sections past the text's end, empty ones, null ones and those with a null begin or end have no tokens
+and no characters; null sections: all tokens under the null section; sections are taken in order of
+their begin, and of two that overlap the one that begins first (of equal begins, the shorter, then the
+earlier in the list) keeps the shared part; a null doc_id is kept; repeated rows are counted each; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +54,17 @@ def allot(token_ends: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple
     return out, crossing
 
 
+def in_order(sections: list[dict | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each section without what an earlier one holds, and the sections by place."""
+    begin, end, low = np.zeros(len(sections), np.int64), np.zeros(len(sections), np.int64), 0
+    whole = [i for i, s in enumerate(sections) if s and s["begin"] is not None and s["end"] is not None]
+    by_place = sorted(whole, key=lambda i: (sections[i]["begin"], sections[i]["end"], i))
+    for i in by_place:
+        begin[i] = max(sections[i]["begin"], low)
+        end[i] = low = max(sections[i]["end"], int(begin[i]))
+    return begin, end, np.array(by_place, np.int64)
+
+
 def token_counts(docs: DataFrame, path: str, pattern: str, sections_col: str | None = None) -> DataFrame:
     """doc_id, section, n_chars, n_tokens, n_crossing: tokens allotted to each section, and how many of them cross a boundary.
 
@@ -75,17 +88,16 @@ def token_counts(docs: DataFrame, path: str, pattern: str, sections_col: str | N
                     head = np.flatnonzero((raw & 0xC0) != 0x80)  # byte where each character begins
                     if sections_col:
                         own = own or []
-                        begin, end = (np.array([s[k] for s in own], np.int64) for k in ("begin", "end"))
-                        if (begin > end).any() or (begin[1:] < end[:-1]).any() or (begin < 0).any():
-                            raise ValueError(f"sections of document {doc} overlap or are out of order")
-                        names, chars = [s["name"] for s in own], np.minimum(end, len(head)) - np.minimum(begin, len(head))
+                        begin, end, by_place = in_order(own)
+                        names, chars = [s and s["name"] for s in own], np.minimum(end, len(head)) - np.minimum(begin, len(head))
                         place = np.append(head, len(raw))
                         begin, end = place[np.minimum(begin, len(head))], place[np.minimum(end, len(head))]
                     else:
                         cut = np.flatnonzero(raw == 10) + 1
                         begin, end = np.concatenate([[0], cut]), np.append(cut, len(raw))
+                        by_place = np.arange(len(begin))
                         names, chars = list(map(str, range(len(begin)))), np.diff(np.searchsorted(head, np.append(begin, len(raw))))
-                    solid = np.flatnonzero(end > begin)  # empty sections hold nothing
+                    solid = by_place[end[by_place] > begin[by_place]]  # empty sections hold nothing
                     section, crossing = allot(token_ends, begin[solid], end[solid])
                     n, crossed = np.zeros(len(names) + 1, np.int64), np.zeros(len(names) + 1, np.int64)
                     target = np.append(solid, len(names))[section]  # -1: the last place

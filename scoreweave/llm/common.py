@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writes, _before = threading.Lock(), 0, None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,18 +37,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scoreweave/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _files_cleaned(conf):
+    """Shuffle files go with their query meanwhile; the session's setting comes back with the last of several writes at once."""
+    global _writes, _before
+    with _lock:
+        _writes += 1
+        if _writes == 1:
+            _before = conf.get(_CLEANUP, None)
+            conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes -= 1
+            if not _writes:
+                conf.unset(_CLEANUP) if _before is None else conf.set(_CLEANUP, _before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and outlives lost executors.
 
     The write's shuffle files go when it ends, so that a chain of such tables never holds two steps' files.
     """
-    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = new_path(df.sparkSession, name), conf.get(clean, None)
-    conf.set(clean, "true")
-    try:
+    path = new_path(df.sparkSession, name)
+    with _files_cleaned(df.sparkSession.conf):
         df.write.parquet(path)
-    finally:
-        conf.unset(clean) if before is None else conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 Terms of a text are its byte pairs, hashed to a fixed number of buckets, and a few counts (words,
-repeated words, signs, lines). Square-rooted counts with inverse document frequencies are projected
-on the leading directions of labelled texts, so documents are vectors of fixed length. The labelled
+repeated words, signs, lines). Square-rooted counts with inverse document frequencies, counted over
+all documents, are projected on the leading directions of labelled texts, so documents are vectors of fixed length. The labelled
 vectors go to all tasks; each document's cosine with every one of them is computed in blocks, and
 its nearest neighbours vote with their similarity as weight.
 
@@ -67,8 +67,7 @@ class Space:
     share: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, size: int) -> Space:
-        idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    def fit(cls, x: np.ndarray, labels: np.ndarray, size: int, idf: np.ndarray) -> Space:
         weighted = x * idf
         _, directions = np.linalg.eigh(weighted.T @ weighted)
         project = (idf[:, None] * directions[:, ::-1][:, :size]).astype(np.float32)
@@ -91,6 +90,25 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """Weights of the terms by the number of documents that have them, over all documents."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, total = 0, np.zeros(BUCKETS + COUNTS, np.int64)
+        for whole in batches:
+            for batch in in_slices(whole, "text", 2 << 20):
+                total += (terms(*bytes_of(batch.column("text"))) > 0).sum(0)
+                n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1)), pa.array(np.append(total, n))], ["term", "n"])
+
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(BUCKETS + COUNTS + 1)
+    n[sums["term"]] = sums["n"]
+    return np.log((1 + n[-1]) / (1 + n[:-1])) + 1
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out_of, most_rows: int = 6000, size: int = 64) -> Space | None:
     """The space of at most most_rows labelled texts outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
@@ -105,11 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of, most_rows: int = 6000,
                 x = terms(*bytes_of(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([v.astype("<f2").tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    vectors = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary")
+    vectors = vectors.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(most_rows)  # also where an id has many rows
+    rows = vectors.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     if not rows.num_rows:
         return None
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f2").reshape(rows.num_rows, -1).astype(np.float32)
-    return Space.fit(x, rows.column("quality").to_numpy() == 1, size)
+    return Space.fit(x, rows.column("quality").to_numpy() == 1, size, inverse_frequencies(docs))
 
 
 def scores(docs: DataFrame, labels: DataFrame, held_out_of, k: int = 15, power: float = 4.0, threshold: float = 0.3) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import attribution, decontam, factors, hmm, lines, neighbours, packing, rules, simhash, wavelet
 from .common import table
 from .vocabularies import byte_bpe, byte_bpe_pattern, word_bpe
 
-QUERIES: dict = {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(fn):

@@ -7,7 +7,7 @@ hash); counts and decisions cover all rows.
 
 Defined cases: null or empty text has zero in every count and is not kept; null labels teach
 nothing; with no labels the list is empty and only the base rule decides; a repeated doc_id with
-several labels teaches once per pair of rows; an empty table gives no rows.
+several labels teaches once per pair of rows, most_rows pairs at most; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,6 +88,16 @@ def _holds(x: dict[str, np.ndarray], tests) -> np.ndarray:
     return ok
 
 
+def _merged(tests: list[Test]) -> list[Test]:
+    """One test of a feature and a direction: the strictest."""
+    best: dict[tuple[str, bool], Test] = {}
+    for t in tests:
+        old = best.get((t.feature, t.at_least))
+        if old is None or (t.value > old.value) == t.at_least:
+            best[t.feature, t.at_least] = t
+    return list(best.values())
+
+
 def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, most_rules: int = 12, most_tests: int = 4, cuts: int = 64) -> list[tuple[Test, ...]]:
     """Rules that find bad rows: each grown on two thirds of the rows that no rule covers yet, pruned on the rest.
 
@@ -127,7 +137,7 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.
 
         if not tests:
             break
-        tests = tests[: max(range(1, len(tests) + 1), key=lambda k: (worth(k), -k))]
+        tests = _merged(tests[: max(range(1, len(tests) + 1), key=lambda k: (worth(k), -k))])
         hit = _holds(prune, tests)
         if not hit.sum() or z[hit].mean() < precision:
             break
@@ -153,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[tup
     sample = known.orderBy(F.xxhash64("id"), "id", "quality").limit(most_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id")
     rows = text_statistics(texts, ["id", "quality"], "s").select("id", "quality", "s.*").select("id", "quality", *(c.alias(k) for k, c in feature_columns().items()))
+    rows = rows.orderBy(F.xxhash64("id"), "id", "quality", *FEATURES).limit(most_rows)  # also where an id has many rows
     t = rows.toPandas()
     t = t.sort_values(list(t.columns)).sample(frac=1, random_state=0)
     return learn_rules({k: t[k].to_numpy(float) for k in FEATURES}, t["quality"].to_numpy() == 0) if len(t) else []
