@@ -5,13 +5,16 @@ has an anchor: the least hash among its windows of `k` bytes. Strings in a row w
 are a run. Equal strings have equal anchors, so only runs whose anchor stands twice can match, and
 those are found by counting, with partial aggregates before every shuffle.
 
-Of runs with equal bytes, all but the first are copies whole. A first run of its bytes whose anchor
-also stands in other bytes is decided by a sparse suffix array: the strings of such runs are sorted,
-and previous and next smaller positions in that order give the longest factor that starts earlier;
-where it reaches `length`, the string is a copy. A task sorts a bounded number of strings at a time:
-an anchor with very many different runs is dealt over salts by the strings' own hash, which equal
-strings share. Hashes of 64 bits under an equal 64-bit anchor stand for equal runs; between
-different runs, bytes decide.
+Runs with equal bytes are one stretch, and all but its first place are copies whole; 64-bit hashes
+of the bytes under an equal 64-bit anchor stand for equal runs. The different stretches of an anchor
+are put in suffix order: all their suffixes of `length` bytes or more are sorted by their bytes,
+neighbours' common prefixes are measured, and the previous and next smaller positions in that order
+give each suffix's longest previous factor, as far as its stretch goes. A factor of `length` bytes or
+more is a later copy of what starts earlier, and its bytes go.
+
+An anchor with more than `most_runs` different stretches (a short passage between ever other words) is
+not sorted in one task: its strings of `length` bytes are grouped by 128-bit hashes, and a partial
+aggregate finds the first of each before the shuffle.
 
 Defined cases: null or empty text has no bytes; a text shorter than the length loses nothing; a null
 doc_id stands before all others; different texts with one doc_id are ordered by their hash; of equal
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import drop_written, id_and_text, written
 from .encode import in_slices, texts_of
 from .words import _power, bytes_of, mix
 
@@ -108,22 +111,31 @@ def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return out
 
 
-def copied_strings(strings: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Which rows of a matrix of equally long strings have an equal row of smaller position."""
-    n, length = strings.shape
-    closed = np.concatenate([strings, np.ones((n, 1), np.uint8)], axis=1)  # no trailing zero, which the string type drops
-    order = np.argsort(np.ascontiguousarray(closed).view(f"S{length + 1}").ravel(), kind="stable")
-    equal = (strings[order[1:]] == strings[order[:-1]]).all(1)
-    member = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])  # of an interval of prefixes of full length
-    copied = np.zeros(n, bool)
+def previous_factors(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factor of each suffix data[begin:begin + size]; suffixes come by position, of length bytes or more.
+
+    Factors shorter than length are given as 0: only intervals of the suffix order whose common
+    prefixes reach the length are walked.
+    """
+    width = int(size.max())
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    strings = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    strings = np.where(np.arange(width) < size[:, None], strings, 0).astype(np.uint8)
+    closed = np.concatenate([strings, np.ones((len(size), 1), np.uint8)], axis=1)  # no trailing zero, which the string type drops
+    order = np.argsort(closed.view(f"S{width + 1}").ravel(), kind="stable")
+    differs = strings[order[1:]] != strings[order[:-1]]
+    lcp = np.where(differs.any(1), differs.argmax(1), width)
+    lcp = np.minimum(lcp, np.minimum(size[order[1:]], size[order[:-1]]))
+    joined = np.concatenate([[False], lcp >= length, [False]])
+    member = joined[1:] | joined[:-1]
+    out = np.zeros(len(size), np.int64)
     if member.any():
         rows = order[member]
-        lcp = np.where(np.concatenate([[False], equal])[member], length, 0)
         ranks = np.empty(len(rows), np.int64)
-        by = np.argsort(position[rows], kind="stable")
-        ranks[by] = np.arange(len(rows))
-        copied[rows] = longest_previous_factor(ranks, lcp)[ranks] >= length
-    return copied
+        ranks[np.argsort(rows, kind="stable")] = np.arange(len(rows))
+        before = np.where(joined[:-1], np.concatenate([[0], lcp]), 0)[member]
+        out[rows] = longest_previous_factor(ranks, before)[ranks]
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -154,101 +166,119 @@ def _runs(docs: DataFrame, length: int, k: int, whole: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long")
 
 
-def _strings_copied(keyed: DataFrame, firsts: DataFrame, length: int, most_runs: int) -> DataFrame:
-    """did, th, begin, end of bytes in first runs whose strings stand earlier in other runs of the anchor."""
-    lists = firsts.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "place", "salts")).alias("runs"))
+def _cut(keyed: DataFrame, stretches: DataFrame, emit, schema: str) -> DataFrame:
+    """emit(batch, lists of the rows' stretches) over the documents that hold stretches (did, th, anchor, place)."""
+    lists = stretches.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "place")).alias("runs"))
+    return keyed.select("did", "th", "text").join(lists, ["did", "th"]).mapInArrow(emit, schema)
+
+
+def _by_suffix_order(keyed: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
+    """did, th, begin, end of bytes in first stretches that stand earlier in other stretches of the anchor."""
 
     def cut(batches):
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         for batch in batches:
             rows = []
-            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
-                for r in own:
-                    start, n = r["place"] >> 10, r["place"] & 1023
-                    data = text[start : start + n - 1 + length]
-                    if r["salts"] == 1:
-                        rows.append((r["anchor"], 0, did, th, start, data, list(range(n))))
-                    else:
-                        dealt: dict[int, list[int]] = {}
-                        for i in range(n):
-                            dealt.setdefault(xxh64_intdigest(data[i : i + length]) % r["salts"], []).append(i)
-                        rows += [(r["anchor"], s, did, th, start + at[0], data[at[0] : at[-1] + length], [i - at[0] for i in at]) for s, at in dealt.items()]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int16()))
+            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")), batch.column("runs"), strict=True):
+                anchors, places = (own.values.field(c).to_numpy() for c in ("anchor", "place"))
+                for anchor, place in zip(anchors.tolist(), places.tolist(), strict=True):
+                    start, n = place >> 10, place & 1023
+                    rows.append((anchor, did, th, start, text[start : start + n - 1 + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 20_000], strict=True), kinds, strict=True)], ["anchor", "salt", "did", "th", "start", "data", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 20_000], strict=True), kinds, strict=True)], ["anchor", "did", "th", "start", "data"])
 
     def decide(batches):
         import pyarrow as pa
 
         def settle(held):
+            """Whole groups of anchors: suffixes of different anchors share no string of length bytes."""
             t = pa.Table.from_batches(held)
-            at = t.column("at").combine_chunks()
             data, begins = bytes_of(t.column("data").combine_chunks())
-            row = np.repeat(np.arange(len(t)), at.value_lengths().to_numpy())
-            offset = at.flatten().to_numpy().astype(np.int64)
-            start = t.column("start").to_numpy()[row] + offset
-            did, th = t.column("did").to_numpy()[row], t.column("th").to_numpy()[row]
+            n = np.diff(begins) - length + 1
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(np.arange(len(n)), n)
+            did, th, start = (t.column(c).to_numpy()[row] for c in ("did", "th", "start"))
+            start, begin, end = start + nth, begins[row] + nth, begins[1:][row]
             by = np.lexsort((start, th, did))
-            start, did, th, at_byte = start[by], did[by], th[by], (begins[row] + offset)[by]
+            start, did, th, begin, end = start[by], did[by], th[by], begin[by], end[by]
             one = np.concatenate([[True], (start[1:] != start[:-1]) | (th[1:] != th[:-1]) | (did[1:] != did[:-1])])  # equal rows are cut out once
-            start, did, th = start[one], did[one], th[one]
-            strings = np.lib.stride_tricks.sliding_window_view(data, length)[at_byte[one]]
-            position = np.arange(len(start))
-            hit = copied_strings(strings, position)
-            return pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(th[hit]), pa.array(start[hit]), pa.array(start[hit] + length)], ["did", "th", "begin", "end"])
+            start, did, th, begin, end = start[one], did[one], th[one], begin[one], end[one]
+            factor = previous_factors(data, begin, end - begin, length)
+            hit = factor >= length
+            return pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(th[hit]), pa.array(start[hit]), pa.array((start + factor)[hit])], ["did", "th", "begin", "end"])
 
-        # Rows come sorted by anchor and salt; a chunk of many groups is settled at once and ends between groups.
+        # Rows come sorted by anchor; a chunk of about 1000 runs is settled at once and ends between two anchors.
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("anchor").to_numpy() ^ (batch.column("salt").to_numpy().astype(np.int64) << 32)
-            if held:
-                last = held[-1].column("anchor")[-1].as_py(), held[-1].column("salt")[-1].as_py()
-                new = [i for i in range(batch.num_rows) if (batch.column("anchor")[i].as_py(), batch.column("salt")[i].as_py()) != last][:1] if (batch.column("anchor")[0].as_py(), batch.column("salt")[0].as_py()) == last else [0]
-                if size >= 2000 and new:
-                    if new[0]:
-                        held.append(batch.slice(0, new[0]))
-                    yield settle(held)
-                    held, size, batch, key = [], 0, batch.slice(new[0]), key[new[0] :]
-            # cut the rest of the batch at group ends, about 2000 runs a chunk
-            ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+            anchor = batch.column("anchor").to_numpy()
+            ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            if held and held[-1].column("anchor")[-1].as_py() != int(anchor[0]):
+                ends = np.concatenate([[0], ends])
             begin = 0
-            while batch.num_rows - begin > 2000:
-                stop = ends[np.searchsorted(ends, begin + 2000)] if len(ends) and ends[-1] >= begin + 2000 else None
-                if stop is None:
-                    break
-                yield settle([*held, batch.slice(begin, stop - begin)])
-                held, size, begin = [], 0, int(stop)
+            for stop in ends.tolist():
+                if size + stop - begin >= 1000:
+                    held.append(batch.slice(begin, stop - begin))
+                    yield settle(held)
+                    held, size, begin = [], 0, stop
             held.append(batch.slice(begin))
             size += batch.num_rows - begin
         if held:
             yield settle(held)
 
-    data = keyed.select("did", "th", "text")
-    cutout = data.join(lists, ["did", "th"]).mapInArrow(cut, "anchor long, salt int, did long, th long, start long, data binary, at array<smallint>")
-    dealt = cutout.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return dealt.mapInArrow(decide, "did long, th long, begin long, end long")
+    cutout = _cut(keyed, stretches, cut, "anchor long, did long, th long, start long, data binary")
+    return cutout.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(decide, "did long, th long, begin long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: int = 2048) -> DataFrame:
+def _by_string(keyed: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with any number of stretches, string by string."""
+
+    def cut(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")), batch.column("runs"), strict=True):
+                place = own.values.field("place").to_numpy()
+                start, n = place >> 10, place & 1023
+                row = np.repeat(np.arange(len(n)), n)
+                at = start[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hashes = np.frombuffer(b"".join(xxh3_128_digest(text[i : i + length]) for i in at.tolist()), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes[:, 0].copy(), hashes[:, 1].copy(), np.full(len(at), did), np.full(len(at), th), at)], ["h1", "h2", "did", "th", "begin"])
+
+    strings = written(_cut(keyed, stretches, cut, "h1 long, h2 long, did long, th long, begin long"), "strings")
+    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("did", "th", "begin")).alias("first"), F.max(F.struct("did", "th", "begin")).alias("last"))
+    first = written(first.where("first <> last").select("h1", "h2", "first"), "first-strings")
+    later = strings.join(first, ["h1", "h2"]).where("struct(did, th, begin) <> first")
+    return later.select("did", "th", "begin", (F.col("begin") + length).alias("end"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) of every document."""
     if not 1 <= k <= length or length > 900:
         raise ValueError("k must lie between 1 and length, length below 900")
     keyed = _keyed(docs)
-    repeated = _runs(keyed, length, k, False).groupBy("anchor").count().where("count > 1").select("anchor")
+    # A table of its own, so that a hot anchor's rows in the join below are split.
+    repeated = written(_runs(keyed, length, k, False).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     some = written(_runs(keyed, length, k, True).join(repeated, "anchor", "left_semi"), "runs")
+    drop_written(repeated)
 
     by_bytes = some.groupBy("anchor", "content").agg(F.min(F.struct("did", "th", "place")).alias("first"), F.count("*").alias("n"))
     first = written(by_bytes, "first-runs")
-    varied = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = first.join(varied, "anchor").select("anchor", "first.*", F.ceil(F.col("kinds") / most_runs).cast("int").alias("salts"))
+    varied = written(first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied")
+    mixed = first.select("anchor", "first.*").join(varied, "anchor")
     later = some.join(first.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("struct(did, th, place) <> first")
-    copies = later.select("did", "th", F.shiftright("place", 10).alias("begin"), (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end"))
-    gone = copies.union(_strings_copied(keyed, mixed, length, most_runs))
+    gone = later.select("did", "th", F.shiftright("place", 10).alias("begin"), (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end"))
+    gone = gone.union(_by_suffix_order(keyed, mixed.where(F.col("kinds") <= most_runs), length))
+    many = varied.where(F.col("kinds") > most_runs)
+    if not many.isEmpty():
+        gone = gone.union(_by_string(keyed, first.select("anchor", "first.*").join(many, "anchor"), length))
     spans = written(gone.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "end")).alias("gone")), "spans")
+    for done in (some, first, varied):
+        drop_written(done)
 
     def apply(batches):
         import pyarrow as pa
