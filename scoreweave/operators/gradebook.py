@@ -110,15 +110,18 @@ def consolidated(results: DataFrame, scores: DataFrame) -> DataFrame:
 def review_queue(results: DataFrame, scores: DataFrame, batches: DataFrame) -> DataFrame:
     """Open flagged results: newest batch first, then page, then id; numbered within each batch and by batch age.
 
-    The position within a batch and the batch's start are added up, so that no task sorts the whole queue.
+    The position within a batch, the batch's start in its day and the day's start are added up, so that
+    no task sorts the whole queue or all batches: only days, of which there are few, stand in one.
     """
     open_ = results_needing_review(results, scores).where(~F.col("status").isin("REVIEWED", "AUTO_APPROVED"))
     dated = open_.join(batches.select("batch_id", "created_at"), "batch_id")
     inside = F.row_number().over(Window.partitionBy("batch_id").orderBy("page_number", "result_id"))
     per = dated.groupBy("created_at", "batch_id").agg(F.count("*").alias("n"))
-    # Batches, not results: one row each, already aggregated.
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("created_at"), "batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per.select("batch_id", before.alias("start"))
+    per = per.withColumn("day", F.to_date("created_at"))
+    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = per.groupBy("day").agg(F.sum("n").alias("n")).select(F.col("day").alias("of_day"), before(Window.orderBy(F.desc_nulls_last("day"))).alias("day_start"))
+    in_day = before(Window.partitionBy("day").orderBy(F.desc("created_at"), "batch_id"))
+    starts = per.select("day", "batch_id", in_day.alias("start")).join(days, F.col("day").eqNullSafe(F.col("of_day"))).select("batch_id", (F.col("start") + F.col("day_start")).alias("start"))
     return dated.withColumn("inside", inside).join(starts, "batch_id").select("result_id", "batch_id", "page_number", "created_at", (F.col("inside") + F.col("start")).alias("position"))
 
 

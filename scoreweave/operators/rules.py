@@ -192,16 +192,8 @@ def with_copy_flag(answers: DataFrame, answer: str, prompt: str, name: str = "co
     return rows.withColumn(name, (F.col("_state") == "copy") | F.col("_alike")).drop("_a", "_p", "_state", "_alike")
 
 
-#: Terms of which one must stand in the rubric of a question number; per exam in real use.
-GUARD_TERMS = {
-    1: ["filamentos", "actina", "miosina", "contração"],
-    2: ["fibras tipo i", "fibras tipo ii", "maratonista", "velocista"],
-    3: ["anaeróbico", "lactato", "queimação", "oxigênio"],
-}
-
-
 def guard_holds(rubrics: DataFrame, guards: DataFrame, text: Column) -> DataFrame:
-    """rubrics with guard_ok: one of the number's terms (question_number, terms) stands in the text, or it has none."""
+    """rubrics with guard_ok: one of the number's terms (a table of the exam: question_number, terms) stands in the text, or it has none."""
     joined = rubrics.join(guards, "question_number", "left")
     ok = F.col("terms").isNull() | F.exists("terms", lambda t: F.contains(F.lower(text), t))
     return joined.withColumn("guard_ok", ok).drop("terms")

@@ -16,6 +16,16 @@ def test_grading_keeps_a_batch_split_over_triggers(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(rows)
 
 
+def test_grading_again_replaces(spark, tmp_path):
+    schema = "batch_id long, result_id long, question_id long, score double"
+    path, checkpoint = X.new_folders(spark, "graded")
+    for rows in ([(1, 1, 1, 0.5), (1, 1, 2, 0.5), (2, 2, 1, 0.25)], [(1, 1, 1, 1.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        X.grade_batches(X.open_stream(spark, f"file://{tmp_path}/in", files_per_trigger=1), lambda r: r, path, checkpoint)
+    got = X.latest_grades(spark, path).select("result_id", "question_id", "score").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.25)]
+
+
 def test_decisions_survive_a_restart(spark, tmp_path):
     at = datetime(2024, 5, 1)
     made = lambda i, result, question, score, hours: (i, result, question, score, f"c{i}", at + timedelta(hours=hours))
