@@ -9,9 +9,9 @@ sum to one.
 
 The corpus is coded in blocks of bounded size, each with its own word list. Word counts are
 aggregates over the blocks' lists and come back to a block by joins on the word, so no list of all
-words is ever in one place; only the symbols' parameters, whose number is fixed, go to all tasks.
-Training sequences are all training texts, in stretches of at most `stretch` tokens; scoring takes
-whole texts.
+words is ever in one place; only the frequent words and the symbols' parameters, whose number is
+fixed, go to all tasks. Training and scoring take whole texts: long ones are walked in stretches
+whose entering states and following probabilities are carried over exactly.
 
 Defined cases: null, empty and wordless texts are the end alone; a null doc_id is in training with
 the rest of fold 0; repeated rows count and are scored each; with no training tokens, every token
@@ -95,31 +95,85 @@ def _by_time(lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), "right").tolist()
 
 
-def forward(m: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+class _Stretches:
+    """Sequences as stretches of at most `most` time steps, with what is carried over their borders.
+
+    A stretch's transfer matrix is the product of its steps' moves and emissions (its first step's
+    without the moves in a sequence's first stretch). Times the matrices before it, the start gives
+    the states in which a stretch is entered; times those after it, ones give what follows it. So
+    all stretches are walked side by side and the result is that of the whole sequences.
+    """
+
+    def __init__(self, m: Model, symbols: np.ndarray, lengths: np.ndarray, most: int, kind):
+        parts = -(-lengths // most)
+        self.nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.begin = np.repeat(np.cumsum(lengths) - lengths, parts) + self.nth * most
+        self.size = np.minimum(most, np.repeat(lengths, parts) - self.nth * most)
+        self.of = np.repeat(np.arange(len(lengths)), parts)
+        self.symbols, self.start, self.moves = symbols, m.start.astype(kind), m.moves.astype(kind)
+        self.k = len(m.start)
+        long = np.flatnonzero(parts[self.of] > 1)
+        by = long[np.argsort(self.nth[long], kind="stable")]
+        bounds = np.searchsorted(self.nth[by], np.arange(1, (parts.max() if len(parts) else 0) + 1))
+        self.later = [by[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]  # stretches number 1, 2, ...
+        self.transfer = np.zeros((len(self.nth) if len(long) else 0, self.k, self.k), kind)
+        if len(long):
+            self.transfer[long] = self._transfers((m.emit / m.emit.max(0)).T.astype(kind), long)
+
+    def _transfers(self, emit: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        order, active = _by_time(self.size[rows])
+        at, first = self.begin[rows][order], (self.nth[rows][order] == 0)[:, None, None]
+        out = np.broadcast_to(np.where(first, np.eye(self.k, dtype=emit.dtype), self.moves), (len(rows), self.k, self.k)).copy()
+        for t, n in enumerate(active):
+            x = out[:n] if t == 0 else (out[:n].reshape(-1, self.k) @ self.moves).reshape(n, self.k, self.k)
+            x = x * emit[self.symbols[at[:n] + t]][:, None, :]
+            out[:n] = x / x.sum((1, 2), keepdims=True) if t % 8 == 7 else x
+        back = np.empty_like(out)
+        back[order] = out / out.sum((1, 2), keepdims=True)
+        return back
+
+    def entries(self) -> np.ndarray:
+        """Shares of the states after the step before each stretch (first stretches: of no use)."""
+        out = np.repeat(self.start[None], len(self.nth), 0)
+        for rows in self.later:
+            v = np.einsum("nk,nkl->nl", out[rows - 1], self.transfer[rows - 1])
+            out[rows] = v / v.sum(1, keepdims=True)
+        return out
+
+    def exits(self) -> np.ndarray:
+        """What each state at a stretch's last step gives for all that follows, up to a factor."""
+        out = np.ones((len(self.nth), self.k), self.start.dtype)
+        for rows in reversed(self.later):
+            v = np.einsum("nkl,nl->nk", self.transfer[rows], out[rows])
+            out[rows - 1] = v / v.max(1, keepdims=True)
+        return out
+
+
+def forward(m: Model, symbols: np.ndarray, lengths: np.ndarray, most: int = 1024) -> np.ndarray:
     """log10 probability of each sequence of symbols; sequences lie one after another."""
-    order, active = _by_time(lengths)
-    at, out = (np.cumsum(lengths) - lengths)[order], np.zeros(len(lengths))
+    s = _Stretches(m, symbols, lengths, most, np.float64)
+    order, active = _by_time(s.size)
+    at, out = s.begin[order], np.zeros(len(order))
     emit = np.ascontiguousarray(m.emit.T)
-    alpha = np.repeat(m.start[None], len(lengths), 0)
+    alpha = np.where((s.nth == 0)[:, None], m.start, s.entries() @ m.moves)[order]
     for t, n in enumerate(active):
         alpha = alpha[:n] if t == 0 else alpha[:n] @ m.moves
         alpha = alpha * emit[symbols[at[:n] + t]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         out[:n] += np.log10(scale)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    return np.bincount(s.of[order], out, len(lengths))
 
 
-def expected_counts(m: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions over the sequences."""
+def expected_counts(m: Model, symbols: np.ndarray, lengths: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch: expected starts, moves and emissions over the whole sequences."""
     k, n_symbols = m.emit.shape
-    order, active = _by_time(lengths)
-    at = (np.cumsum(lengths) - lengths)[order]
-    emit, moves = np.ascontiguousarray(m.emit.T.astype(np.float32)), m.moves.astype(np.float32)
+    s = _Stretches(m, symbols, lengths, most, np.float32)
+    order, active = _by_time(s.size)
+    at, first, entered, follows = s.begin[order], (s.nth == 0)[order], s.entries()[order], s.exits()[order]
+    emit, moves = np.ascontiguousarray(m.emit.T.astype(np.float32)), s.moves
     alphas, scales = [], []
-    alpha = np.repeat(m.start[None].astype(np.float32), len(lengths), 0)
+    alpha = np.where(first[:, None], s.start, entered @ moves)
     for t, n in enumerate(active):
         alpha = (alpha[:n] if t == 0 else alpha[:n] @ moves) * emit[symbols[at[:n] + t]]
         scale = alpha.sum(1, keepdims=True)
@@ -130,30 +184,22 @@ def expected_counts(m: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple
     steps, back = np.zeros((k, k)), np.ones((0, k), np.float32)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
-        beta = np.ones((n, k), np.float32)
-        if len(back):
-            steps += alphas[t][: len(back)].T @ back
-            beta[: len(back)] = back @ moves.T
+        beta, held = follows[:n].copy(), len(back)
+        if held:
+            steps += alphas[t][:held].T @ back
+            beta[:held] = back @ moves.T
+        last = alphas[t][held:]  # stretches that end here: what follows, on the scale of their last step
+        beta[held:] /= (last * beta[held:]).sum(1, keepdims=True)
         gamma[at[:n] + t] = alphas[t] * beta
-        if t:
-            back = emit[symbols[at[:n] + t]] * beta / scales[t]
-    emitted = np.stack([np.bincount(symbols, gamma[:, s], n_symbols) for s in range(k)]) if len(symbols) else np.zeros((k, n_symbols))
+        back = emit[symbols[at[:n] + t]] * beta / scales[t]
+    if len(back):
+        steps += entered[~first].T @ back[~first]
+    emitted = np.stack([np.bincount(symbols, gamma[:, i], n_symbols) for i in range(k)]) if len(symbols) else np.zeros((k, n_symbols))
     starts = gamma[np.cumsum(lengths) - lengths].sum(0, dtype=np.float64) if len(lengths) else np.zeros(k)
     return starts, steps * m.moves, emitted
 
 
-def _stretches(symbols: np.ndarray, lengths: np.ndarray, use: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The used sequences, cut into stretches of at most `most`."""
-    keep = np.repeat(use, lengths)
-    lengths = lengths[use]
-    parts = -(-lengths // most)
-    last = lengths - (parts - 1) * most
-    out = np.full(int(parts.sum()), most)
-    out[np.cumsum(parts) - 1] = last
-    return symbols[keep], out
-
-
-def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int, stretch: int) -> Model:
+def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int) -> Model:
     """Baum-Welch rounds over all training texts; each round's counts are a Spark aggregate of fixed size."""
     spark, m, n = coded.sparkSession, Model.first(states, weights), len(weights)
     for _ in range(rounds):
@@ -167,9 +213,8 @@ def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int, stret
                 for i in range(batch.num_rows):
                     symbols = np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2")
                     lengths, held = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("lengths", "held_out"))
-                    parts = _stretches(symbols, lengths, ~held, stretch)
-                    if len(parts[1]):
-                        counts = np.concatenate([c.ravel() for c in expected_counts(sent.value, *parts)])
+                    if not held.all():
+                        counts = np.concatenate([c.ravel() for c in expected_counts(sent.value, symbols[~np.repeat(held, lengths)], lengths[~held])])
                         total = counts if total is None else total + counts
             if total is not None:
                 at = np.flatnonzero(total)
@@ -185,11 +230,14 @@ def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int, stret
     return m
 
 
-def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8, rounds: int = 5, stretch: int = 512) -> DataFrame:
+def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8, rounds: int = 5, longest: int = 256) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
-    held_out_of: Column -> Column, whether an id stays out of training.
+    held_out_of: Column -> Column, whether an id stays out of training. The `frequent` most frequent
+    words of at most `longest` bytes have symbols of their own, so that their table has a bounded size.
     """
+    if RARE + 1 + frequent > 1 << 16:
+        raise ValueError("symbols are 16-bit numbers: frequent is too large")
     spark = docs.sparkSession
     blocks = written(coded_blocks(docs, held_out_of(F.col("doc_id"))), "coded-blocks")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
@@ -198,16 +246,23 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
 
     # Symbols: RARE classes, the end, the frequent words. P(word | class) is count / class total.
     words = counts.where(F.length("word") > 0)
-    top = words.orderBy(F.desc("c"), "word").limit(frequent)
-    listed_top = [(bytes(r[0]), r[1]) for r in top.collect()]
-    named = spark.createDataFrame([(w, RARE + 1 + i) for i, (w, _) in enumerate(listed_top)], "word binary, symbol int")
-    power = F.least(F.floor(F.log2(F.col("c").cast("double"))) + 1, F.lit(RARE - 1)).cast("int")
-    symbols = counts.join(F.broadcast(named), "word", "left").withColumn("symbol", F.when(F.length("word") == 0, F.lit(RARE)).otherwise(F.coalesce("symbol", power)))
-    weights, class_total = np.zeros(RARE + 1 + len(listed_top)), np.ones(RARE + 1 + len(listed_top))
-    for r in symbols.groupBy("symbol").agg(F.sum("c").alias("c")).collect():
+    top = [(bytes(r[0]), r[1]) for r in words.where(F.length("word") <= longest).orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
+    own = {b"": (ends, RARE)} | {w: (c, RARE + 1 + i) for i, (w, c) in enumerate(top)}
+    named = spark.createDataFrame([(w, *v) for w, v in own.items()], "word binary, c long, symbol int")
+    weights, class_total = np.zeros(RARE + 1 + len(top)), np.ones(RARE + 1 + len(top))
+    for c, symbol in own.values():
+        weights[symbol] = class_total[symbol] = c
+    power = F.least(F.length(F.bin("c")), F.lit(RARE - 1)).alias("symbol")
+    rare = counts.join(F.broadcast(named.select("word")), "word", "left_anti").select("word", "c", power)
+    for r in rare.groupBy("symbol").agg(F.sum("c").alias("c")).collect():
         weights[r["symbol"]] = class_total[r["symbol"]] = r["c"]
 
-    back = written(listed.join(symbols, "word").groupBy("block").agg(F.collect_list(F.struct("local", "c", "symbol")).alias("known")), "block-words")
+    # A frequent word stands in nearly every block: those meet a table of bounded size, only the others are joined by shuffle.
+    listed = listed.select("block", "local", "word")
+    often = listed.join(F.broadcast(named), "word").select("block", "local", "c", "symbol")
+    others = listed.join(F.broadcast(named.select("word")), "word", "left_anti").join(rare, "word").select("block", "local", "c", "symbol")
+    back = written(often.union(others).groupBy("block").agg(F.collect_list(F.struct("local", "c", "symbol")).alias("known")), "block-words")
     paired = blocks.select("block", "doc_ids", "held_out", "lengths", "ids", F.size("words").alias("n_words")).join(back, "block", "left")
     base, shares = np.log10(n_train + n_words + 1), class_total
 
@@ -234,7 +289,7 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
     coded = written(paired.mapInArrow(code, "doc_ids array<long>, held_out array<boolean>, lengths array<long>, base array<double>, share array<double>, known array<long>, symbols binary"), "coded-texts")
     for done in (blocks, back, counts):
         drop_written(done)
-    m = train(coded, weights / max(weights.sum(), 1), states, rounds, stretch) if n_train else Model(np.ones(1), np.ones((1, 1)), np.ones((1, len(weights))))
+    m = train(coded, weights / max(weights.sum(), 1), states, rounds) if n_train else Model(np.ones(1), np.ones((1, 1)), np.ones((1, len(weights))))
     if n_train:
         half = m.emit[:, 1] / 2
         m.emit[:, 0] += half
