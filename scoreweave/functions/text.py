@@ -20,6 +20,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """Whether there are n words or more; looks no further than these."""
+    return F.regexp_like(F.coalesce(text, F.lit("")), F.lit(rf"(?U)(?:\S+\s+){{{n - 1}}}\S"))
+
+
 def normalize_text(text: Column) -> Column:
     """Lower case, letters and digits of Portuguese only, single spaces."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9áàâãéèêíïóôõöúçñ]+", " "))

@@ -61,7 +61,7 @@ def review_reason(*, score: Column, confidence: Column, justification: Column, f
         .when((score < 0) | (score > max_score + 1e-6), F.concat(F.lit("Nota fora do intervalo permitido (0–"), max_score.cast("string"), F.lit(").")))
         .when(confidence.isNull() | F.isnan(confidence) | (F.abs(confidence) == float("inf")) | (confidence < LOW), "Confiança da correção automática abaixo do limiar (0,70).")
         .when(ocr_confidence < LOW, "Confiança do OCR abaixo do limiar (0,70).")
-        .when(T.word_count(answer) < 3, "Texto extraído vazio ou muito curto (menos de 3 palavras).")
+        .when(~T.has_words(answer, 3), "Texto extraído vazio ou muito curto (menos de 3 palavras).")
         .when(true(ocr_unstable) & ~true(visual_ok), "OCR instável (fallback necessário) e sem transcrição visual alternativa.")
         .when((score <= 0) & (F.length(plain) > 200), "Nota zero com resposta longa — possível erro de leitura ou interpretação.")
         .when(((score < max_score) | (score <= 0)) & (F.trim(F.coalesce(justification, F.lit(""))) == ""), "Justificativa obrigatória ausente para nota parcial ou zero.")

@@ -52,6 +52,12 @@ def test_identity(spark):
     assert identity(spark, f"MQPC|e2|{A}|1|2", B, None)[:2] == (B, "header_ocr")
 
 
+def test_has_words_counts_no_further(spark):
+    texts = ["", None, "a", " a  b ", "a b c", "a\u00a0b\tc", "\n a b c d", "a\u2003b", "—"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.has_words(F.col("t"), 3).alias("has"), T.word_count(F.col("t")).alias("n")).collect()
+    assert [r["has"] for r in rows] == [r["n"] >= 3 for r in rows] and sum(r["has"] for r in rows) == 3
+
+
 def test_quantizers_at_random(spark):
     random.seed(3)
     xs = [random.choice([random.uniform(-1, 2), random.randrange(-8, 24) / 16, random.randrange(-8, 24) / 8]) for _ in range(500)]
