@@ -12,20 +12,23 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     """node, root (the smallest node reachable) for every node of a link between two different nodes.
 
     A large-star round ties the larger neighbours of each node to its smallest neighbour, a
-    small-star round the smaller ones; a star with many leaves is dealt over salted groups only by
-    the minimum it needs, which is a map-side combined aggregate. Each round is written to the
-    shared folder and the loop ends when links no longer change.
+    small-star round the smaller ones. The smallest neighbour is a map-side combined aggregate and a
+    table of its own, so that the links of a node with many leaves are split over tasks in the join
+    with it. Each round is written to the shared folder; the loop ends when links no longer change.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("u", "v") if large else edges.select(F.greatest("a", "b"), F.least("a", "b")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
         tied = both.join(low, "u")
         if large:
             out = tied.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = tied.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.toDF("a", "b"))
-        return out.where("a <> b").distinct()
+        after = written(out.where("a <> b").distinct(), "links")
+        for done in (edges, low):
+            drop_written(done)
+        return after
 
     def mark(edges: DataFrame):
         return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
@@ -33,9 +36,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     edges = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
     seen = mark(edges)
     for _ in range(most_rounds):
-        after = written(star(star(edges, True), False), "links")
-        drop_written(edges)
-        edges, before, seen = after, seen, mark(after)
+        edges = star(star(edges, True), False)
+        before, seen = seen, mark(edges)
         if seen == before:
             break
     else:

@@ -3,8 +3,9 @@
 Distinct fingerprints are laid in tiles by the population counts of their four 16-bit quarters.
 Fingerprints within a radius lie in tiles whose counts differ by no more than the radius in sum, so
 each tile meets only those neighbours, and a pair of tiles is compared whole with numpy's exclusive
-or and bit counts. A tile that would exceed a fixed size is dealt over salts. A task keeps a
-spanning forest of the links it finds, never all pairs of a group.
+or and bit counts. There are at most 17**4 tiles, so their counts are a small table; by them a tile's
+own fingerprints and those it meets are both dealt over salts, each pair of parts a row of bounded
+size. A row keeps a spanning forest of the links it finds, never all pairs of a group.
 
 Defined cases: null, empty or wordless texts have fingerprint zero and link like any other; fewer
 words than a shingle are one shingle; equal texts share a fingerprint; a null doc_id never becomes
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import drop_written, id_and_text, written
 from .components import connected_components
 from .encode import in_slices, texts_of
 
@@ -76,27 +77,42 @@ class _Forest:
                 self.kept.append((x, y))
 
 
+def _steps(radius: int) -> list[tuple[int, ...]]:
+    """Differences of four counts that sum to the radius at most."""
+    every = (tuple(int(x) - radius for x in s) for s in np.ndindex(*[2 * radius + 1] * QUARTERS))
+    return [s for s in every if sum(map(abs, s)) <= radius]
+
+
+def _parts(counts: DataFrame, later: list[tuple[int, ...]], own: int, met: int) -> DataFrame:
+    """home, n_own and n_met: into how many parts each tile's own fingerprints and those it meets are dealt."""
+    side = 64 // QUARTERS + 1
+    size = np.zeros([side] * QUARTERS, np.int64)
+    for *at, n in counts.toLocalIterator():  # at most side**QUARTERS rows
+        size[tuple(at)] = n
+    padded = np.pad(size, [(side, side)] * QUARTERS)
+    meets = size + sum(padded[tuple(slice(side + d, 2 * side + d) for d in s)] for s in later)
+    at = np.argwhere(size > 0)
+    n = np.stack([-(-size[tuple(at.T)] // own), -(-meets[tuple(at.T)] // met)], axis=1)
+    rows = [(tuple(a), *b) for a, b in zip(at.tolist(), n.tolist(), strict=True)]
+    return counts.sparkSession.createDataFrame(rows, f"home struct<{', '.join(f'c{i}: int' for i in range(QUARTERS))}>, n_own int, n_met int")
+
+
 def links_within(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that differ in at most radius bits; a spanning
     forest of each tile's links, which has the same components as all of them."""
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)) for i in range(QUARTERS)]
     tiled = fps.select("fp", *(c.alias(f"c{i}") for i, c in enumerate(counts)))
-    largest = tiled.groupBy("c0", "c1", "c2", "c3").count().agg(F.max("count")).head()[0] or 0
-    salts = -(-largest // tile) or 1
-    steps = [s for s in np.ndindex(*[2 * radius + 1] * QUARTERS) if sum(abs(x - radius) for x in s) <= radius]
-    steps = [tuple(int(x) - radius for x in s) for s in steps]
-    later = [s for s in steps if s > (0,) * QUARTERS]
+    later = [s for s in _steps(radius) if s > (0,) * QUARTERS]
+    parts = F.broadcast(_parts(tiled.groupBy("c0", "c1", "c2", "c3").count(), later, tile, 4 * tile))
 
-    # A tile owns its fingerprints under one salt; it meets, under every salt, all of its own tile and of the later neighbours'.
+    # A tile meets its own fingerprints and those of the later neighbours: every part of the one side, every part of the other.
     key = lambda shift: F.struct(*((F.col(f"c{i}") - d).cast("int").alias(f"c{i}") for i, d in enumerate(shift)))
-    salt = F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")
     homes = F.array(*(key(s) for s in [(0,) * QUARTERS, *later]))
-    owned = tiled.select(key((0,) * QUARTERS).alias("home"), salt.alias("salt"), "fp", F.lit(True).alias("own"))
-    met = tiled.select(F.explode(homes).alias("home"), "fp").select("home", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "fp", F.lit(False).alias("own"))
-    # Most of the possible neighbours are empty: a guest only goes where there is an owner.
-    tiles = owned.select("home").distinct()
-    guests = met.join(tiles, "home", "left_semi")
-    groups = owned.union(guests).groupBy("home", "salt").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("met"))
+    part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    owned = tiled.select(key((0,) * QUARTERS).alias("home"), "fp").join(parts, "home").select("home", part("n_own").alias("i"), every("n_met").alias("j"), "fp", F.lit(True).alias("own"))
+    guests = tiled.select(F.explode(homes).alias("home"), "fp").join(parts, "home").select("home", every("n_own").alias("i"), part("n_met").alias("j"), "fp", F.lit(False).alias("own"))
+    groups = owned.union(guests).groupBy("home", "i", "j").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("met"))
 
     def compare(batches):
         import pyarrow as pa
@@ -120,17 +136,19 @@ def links_within(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame
 
 
 def _rooted(marked: DataFrame, first, radius: int) -> DataFrame:
-    """fp, its root and the first of its documents, by the given aggregate."""
-    firsts = marked.groupBy("fp").agg(first.alias("first"))
+    """fp, its root and the first of its documents, by the given aggregate; a written table."""
+    firsts = written(marked.groupBy("fp").agg(first.alias("first")), "distinct-fingerprints")
     groups = connected_components(links_within(firsts.select("fp"), radius)).toDF("fp", "root")
-    return firsts.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(firsts.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    drop_written(firsts)
+    return rooted
 
 
 def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that a chain of links reaches."""
     marked = written(fingerprints(id_and_text(docs), shingle), "fingerprints")
     rooted = _rooted(marked, F.min("doc_id"), radius)
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")  # a table, so that a hot root's rows are split
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
