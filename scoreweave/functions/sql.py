@@ -14,11 +14,13 @@ FUNCTIONS = {
         "x STRING", "STRUCT<score: DOUBLE, invalid: BOOLEAN>",
         """transform(array(try_cast(replace(trim(x), ',', '.') AS DOUBLE)), v ->
         transform(array(greatest(0D, least(1D, ceil(v * 4 - 0.5D) / 4))), n ->
-        CASE WHEN v IS NULL OR isnan(v) OR abs(v) = double('Infinity') THEN named_struct('score', 0D, 'invalid', true) ELSE named_struct('score', n, 'invalid', n <> v) END)[0])[0]""",
+        CASE WHEN v IS NULL OR isnan(v) OR abs(v) = double('Infinity') THEN named_struct('score', 0D, 'invalid', true)
+ELSE named_struct('score', n, 'invalid', n <> v) END)[0])[0]""",
     ),
     "int_or": ("x STRING, other INT", "INT", "coalesce(try_cast(x AS INT), other)"),
     "float_or": ("x STRING, other DOUBLE", "DOUBLE", "coalesce(try_cast(x AS DOUBLE), other)"),
-    "normalize_confidence": ("x STRING", "STRING", "CASE WHEN lower(trim(x)) IN ('alta', 'media', 'baixa') THEN lower(trim(x)) WHEN lower(trim(x)) IN ('média', 'medio', 'médio') THEN 'media' ELSE 'baixa' END"),
+    "normalize_confidence": ("x STRING", "STRING",
+        "CASE WHEN lower(trim(x)) IN ('alta', 'media', 'baixa') THEN lower(trim(x)) WHEN lower(trim(x)) IN ('média', 'medio', 'médio') THEN 'media' ELSE 'baixa' END"),
     "needs_fallback": ("n INT, confidence DOUBLE", "BOOLEAN", "n < 3 OR coalesce(confidence < 0.70D, false)"),
     "sheet_score": ("total DOUBLE, questions INT", "DOUBLE", "CASE WHEN questions > 0 THEN bround(total / questions * 4) / 4 ELSE 0D END"),
     "words": ("x STRING", "ARRAY<STRING>", r"filter(split(coalesce(x, ''), r'(?U)\s+'), w -> w <> '')"),
@@ -29,7 +31,8 @@ FUNCTIONS = {
     "safe_uuid": (
         "x STRING", "STRING",
         r"""transform(array(lower(replace(regexp_replace(regexp_replace(trim(x), 'urn:|uuid:', ''), r'^[{}]+|[{}]+$', ''), '-', ''))), d ->
-        CASE WHEN regexp_like(d, '^[0-9a-f]{32}$') THEN concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 12)) END)[0]""",
+        CASE WHEN regexp_like(d, '^[0-9a-f]{32}$') THEN concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4),
+substr(d, 21, 12)) END)[0]""",
     ),
     "safe_pdf_name": (
         "x STRING", "STRING",

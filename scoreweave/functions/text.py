@@ -46,7 +46,8 @@ def parse_qr(payload: Column, prefix: str = "MQPC") -> Column:
     parts = F.split(F.trim(payload), r"\|")
     page, pages = F.trim(F.get(parts, 3)).try_cast("int"), F.trim(F.get(parts, 4)).try_cast("int")
     good = (F.size(parts) == 5) & (F.get(parts, 0) == prefix) & page.isNotNull() & pages.isNotNull()
-    return F.when(good, F.struct(F.trim(F.get(parts, 1)).alias("exam_id"), F.trim(F.get(parts, 2)).alias("student_id"), page.alias("page"), pages.alias("pages")))
+    return F.when(good, F.struct(F.trim(F.get(parts, 1)).alias("exam_id"), F.trim(F.get(parts, 2)).alias("student_id"), page.alias("page"),
+        pages.alias("pages")))
 
 
 def format_qr(exam: Column, student: Column, page: Column, pages: Column, prefix: str = "MQPC") -> Column:
@@ -113,7 +114,8 @@ def split_list(text: Column) -> Column:
 
 def candidates(primary: Column, fallbacks: Column, default: str, excluded: list[str] = ()) -> Column:
     """Primary and fallbacks in order, each once, without blank and excluded ones; the default when none is left."""
-    every = F.array_distinct(F.filter(F.concat(F.array(F.trim(F.coalesce(primary, F.lit("")))), split_list(fallbacks)), lambda m: (m != "") & ~m.isin(*excluded) if excluded else m != ""))
+    every = F.array_distinct(F.filter(F.concat(F.array(F.trim(F.coalesce(primary, F.lit("")))), split_list(fallbacks)),
+        lambda m: (m != "") & ~m.isin(*excluded) if excluded else m != ""))
     return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(default)))
 
 

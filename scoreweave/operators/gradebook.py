@@ -21,9 +21,11 @@ def count_with_zero(parents: DataFrame, children: DataFrame, key: str, name: str
 
 def result_totals(results: DataFrame, scores: DataFrame) -> DataFrame:
     """Every result with its total effective score, number of scores, and whether any is flagged for review."""
-    per = with_effective(scores).groupBy("result_id").agg(F.sum("effective_score").alias("total_score"), F.count("*").alias("n_scores"), F.bool_or("requires_manual_review").alias("flagged"))
+    per = with_effective(scores).groupBy("result_id").agg(F.sum("effective_score").alias("total_score"), F.count("*").alias("n_scores"),
+        F.bool_or("requires_manual_review").alias("flagged"))
     joined = results.join(per, "result_id", "left")
-    return joined.withColumns({"total_score": F.coalesce("total_score", F.lit(0.0)), "n_scores": F.coalesce("n_scores", F.lit(0)), "flagged": F.coalesce("flagged", F.lit(False))})
+    return joined.withColumns({"total_score": F.coalesce("total_score", F.lit(0.0)), "n_scores": F.coalesce("n_scores", F.lit(0)),
+        "flagged": F.coalesce("flagged", F.lit(False))})
 
 
 def result_status(totals: DataFrame) -> DataFrame:
@@ -34,7 +36,8 @@ def settle_scores(scores: DataFrame) -> DataFrame:
     """Scores of results without any flag get their model score as final where none is set."""
     flagged = scores.where("requires_manual_review").select("result_id").distinct().withColumn("_held", F.lit(True))
     joined = scores.join(flagged, "result_id", "left")
-    return joined.withColumn("final_score", F.when(F.col("_held").isNull(), F.coalesce("final_score", "ai_score")).otherwise(F.col("final_score"))).drop("_held")
+    return joined.withColumn("final_score",
+        F.when(F.col("_held").isNull(), F.coalesce("final_score", "ai_score")).otherwise(F.col("final_score"))).drop("_held")
 
 
 def batch_status(batches: DataFrame, totals: DataFrame) -> DataFrame:
@@ -58,7 +61,8 @@ def with_students(results: DataFrame, students: DataFrame) -> DataFrame:
     """Results with their student, or a name and registration made from the page."""
     joined = results.join(students.drop("class_id"), "student_id", "left")
     page = F.col("page_number").cast("string")
-    return joined.withColumns({"student_name": F.coalesce("student_name", F.concat(F.lit("Aluno (pág. "), page, F.lit(")"))), "registration_number": F.coalesce("registration_number", F.concat(F.lit("P"), page))})
+    return joined.withColumns({"student_name": F.coalesce("student_name", F.concat(F.lit("Aluno (pág. "), page, F.lit(")"))),
+        "registration_number": F.coalesce("registration_number", F.concat(F.lit("P"), page))})
 
 
 def with_class(exams: DataFrame, classes: DataFrame, missing: str = "—") -> DataFrame:
@@ -73,7 +77,8 @@ def final_gradebook(results: DataFrame, scores: DataFrame, questions: DataFrame,
     sheet = totals.join(batches.select("batch_id", "exam_id"), "batch_id").join(per_exam, "exam_id", "left")
     scored = sheet.withColumn("final_score", sheet_score(F.col("total_score"), F.coalesce("n_questions", F.lit(0))))
     named = with_students(scored, students)
-    return named.select("batch_id", "result_id", "registration_number", "student_name", F.coalesce("curso", F.lit("")).alias("curso"), "final_score", F.when(F.col("flagged"), "sim").otherwise("não").alias("needs_review"))
+    return named.select("batch_id", "result_id", "registration_number", "student_name", F.coalesce("curso", F.lit("")).alias("curso"),
+        "final_score", F.when(F.col("flagged"), "sim").otherwise("não").alias("needs_review"))
 
 
 def pivoted_gradebook(results: DataFrame, scores: DataFrame, numbers: list[int]) -> DataFrame:
@@ -87,24 +92,28 @@ def pivoted_gradebook(results: DataFrame, scores: DataFrame, numbers: list[int])
 def result_details(results: DataFrame, scores: DataFrame, questions: DataFrame) -> DataFrame:
     """Each result with its scores as an array in question order."""
     per = with_effective(scores).join(questions.select("question_id", "max_score"), "question_id")
-    nested = per.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("question_number", "ai_score", "final_score", "effective_score", "max_score", "requires_manual_review"))).alias("scores"))
+    nested = per.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("question_number", "ai_score", "final_score",
+        "effective_score", "max_score", "requires_manual_review"))).alias("scores"))
     return results.join(nested, "result_id", "left").withColumn("scores", F.coalesce("scores", F.array().cast(nested.schema["scores"].dataType)))
 
 
 def batch_summary(totals: DataFrame) -> DataFrame:
     t = "total_score"
-    return totals.groupBy("batch_id").agg(F.round(F.avg(t), 6).alias("mean_score"), F.max(t).alias("max_score"), F.min(t).alias("min_score"), F.round(F.stddev_samp(t), 6).alias("stddev_score"))
+    return totals.groupBy("batch_id").agg(F.round(F.avg(t), 6).alias("mean_score"), F.max(t).alias("max_score"),
+        F.min(t).alias("min_score"), F.round(F.stddev_samp(t), 6).alias("stddev_score"))
 
 
 def question_difficulty(scores: DataFrame, questions: DataFrame) -> DataFrame:
     joined = with_effective(scores).join(questions.select("question_id", "exam_id", "max_score"), "question_id")
     share = F.col("effective_score") / F.col("max_score")
-    return joined.groupBy("exam_id", "question_id").agg(F.count("*").alias("n"), F.round(F.avg(share), 6).alias("mean_share"), F.round(F.count_if(share >= 1) / F.count("*"), 6).alias("full_share"))
+    return joined.groupBy("exam_id", "question_id").agg(F.count("*").alias("n"), F.round(F.avg(share), 6).alias("mean_share"),
+        F.round(F.count_if(share >= 1) / F.count("*"), 6).alias("full_share"))
 
 
 def consolidated(results: DataFrame, scores: DataFrame) -> DataFrame:
     totals = result_totals(results, scores)
-    return totals.select("result_id", F.coalesce(F.col("student_id").cast("string"), F.concat(F.lit("P"), F.col("page_number").cast("string"))).alias("identifier"), "total_score", (~F.col("flagged")).alias("reviewed_by_all"))
+    return totals.select("result_id", F.coalesce(F.col("student_id").cast("string"),
+        F.concat(F.lit("P"), F.col("page_number").cast("string"))).alias("identifier"), "total_score", (~F.col("flagged")).alias("reviewed_by_all"))
 
 
 def review_queue(results: DataFrame, scores: DataFrame, batches: DataFrame) -> DataFrame:
@@ -119,10 +128,13 @@ def review_queue(results: DataFrame, scores: DataFrame, batches: DataFrame) -> D
     per = dated.groupBy("created_at", "batch_id").agg(F.count("*").alias("n"))
     per = per.withColumn("day", F.to_date("created_at"))
     before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = per.groupBy("day").agg(F.sum("n").alias("n")).select(F.col("day").alias("of_day"), before(Window.orderBy(F.desc_nulls_last("day"))).alias("day_start"))
+    days = per.groupBy("day").agg(F.sum("n").alias("n")).select(F.col("day").alias("of_day"),
+        before(Window.orderBy(F.desc_nulls_last("day"))).alias("day_start"))
     in_day = before(Window.partitionBy("day").orderBy(F.desc("created_at"), "batch_id"))
-    starts = per.select("day", "batch_id", in_day.alias("start")).join(days, F.col("day").eqNullSafe(F.col("of_day"))).select("batch_id", (F.col("start") + F.col("day_start")).alias("start"))
-    return dated.withColumn("inside", inside).join(starts, "batch_id").select("result_id", "batch_id", "page_number", "created_at", (F.col("inside") + F.col("start")).alias("position"))
+    starts = per.select("day", "batch_id", in_day.alias("start")).join(days, F.col("day").eqNullSafe(F.col("of_day"))).select("batch_id",
+        (F.col("start") + F.col("day_start")).alias("start"))
+    return dated.withColumn("inside", inside).join(starts, "batch_id").select("result_id", "batch_id", "page_number", "created_at",
+        (F.col("inside") + F.col("start")).alias("position"))
 
 
 def next_pending(results: DataFrame, scores: DataFrame, batches: DataFrame, n: int = 1) -> DataFrame:
@@ -160,7 +172,8 @@ def visual_gradebook(answers: DataFrame) -> DataFrame:
     kept = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
     rows = answers.withColumns({
         "identity_key": key, "_name": F.coalesce(kept("student_name"), F.concat(F.lit("Aluno (pág. "), page, F.lit(")"))),
-        "_reg": F.coalesce(kept("registration"), kept("detected_student_code"), F.concat(F.lit("P"), page)), "_class": F.coalesce(F.col("class_name"), F.lit("")),
+        "_reg": F.coalesce(kept("registration"), kept("detected_student_code"), F.concat(F.lit("P"), page)),
+            "_class": F.coalesce(F.col("class_name"), F.lit("")),
     })
     order = F.struct("page_number", "question_number")
     per_question = rows.groupBy("run_id", "identity_key", "question_number").agg(
@@ -169,8 +182,11 @@ def visual_gradebook(answers: DataFrame) -> DataFrame:
         F.collect_list(F.when(kept("review_reason").isNotNull(), F.struct("page_number", "question_number", "review_reason"))).alias("notes"),
     )
     notes = F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("notes"))), 1, 5), lambda n: n["review_reason"])
-    out = per_question.groupBy("run_id", "identity_key").agg(F.min_by("who", "first").alias("who"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"), F.bool_or("review").alias("needs_review"), F.array_join(notes, "; ").alias("notes"), F.count("*").alias("n_questions"))
-    return out.select("run_id", "identity_key", F.col("who._name").alias("student_name"), F.col("who._reg").alias("registration_number"), F.col("who._class").alias("turma"), "total", "needs_review", "notes", "n_questions")
+    out = per_question.groupBy("run_id", "identity_key").agg(F.min_by("who", "first").alias("who"),
+        F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"), F.bool_or("review").alias("needs_review"),
+        F.array_join(notes, "; ").alias("notes"), F.count("*").alias("n_questions"))
+    return out.select("run_id", "identity_key", F.col("who._name").alias("student_name"), F.col("who._reg").alias("registration_number"),
+        F.col("who._class").alias("turma"), "total", "needs_review", "notes", "n_questions")
 
 
 def student_groups(answers: DataFrame) -> DataFrame:
@@ -178,17 +194,22 @@ def student_groups(answers: DataFrame) -> DataFrame:
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     code, registration = text("detected_student_code"), text("registration")
     key = F.coalesce(F.nullif(code, F.lit("")), F.nullif(registration, F.lit("")), F.concat(F.lit("page-"), F.col("page_number").cast("string")))
-    base = F.when(code != "", F.concat(F.lit("Aluno "), code)).otherwise(F.coalesce(F.nullif(F.col("student_name"), F.lit("")), F.lit("Aluno não identificado")))
+    base = F.when(code != "", F.concat(F.lit("Aluno "), code)).otherwise(F.coalesce(F.nullif(F.col("student_name"), F.lit("")),
+        F.lit("Aluno não identificado")))
     label = F.when(registration != "", F.concat(base, F.lit(" ("), registration, F.lit(")"))).otherwise(base)
     rows = answers.withColumns({"group_key": key, "_label": label, "_other": (code != key) & (registration != key)})
-    return rows.groupBy("run_id", "group_key").agg(F.min_by("_label", F.struct("page_number", "question_number")).alias("label"), F.count("*").alias("n_answers"), F.bool_or("_other").alias("mismatch"))
+    return rows.groupBy("run_id", "group_key").agg(F.min_by("_label", F.struct("page_number", "question_number")).alias("label"),
+        F.count("*").alias("n_answers"), F.bool_or("_other").alias("mismatch"))
 
 
 def run_summary(pages: DataFrame, default_vision: str, default_text: str) -> DataFrame:
     """pages: run_id, page, vision_model, text_model, warning, error."""
     first = lambda c, d: F.coalesce(F.min_by(F.nullif(c, F.lit("")), F.when(F.nullif(c, F.lit("")).isNotNull(), F.col("page"))), F.lit(d))
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("page", c)))), lambda x: x[c])
-    out = pages.groupBy("run_id").agg(F.count("*").alias("pages_processed"), first(F.col("vision_model"), default_vision).alias("vision_model_used"), first(F.col("text_model"), default_text).alias("text_model_used"), listed("warning").alias("warnings"), F.array_join(listed("error"), " | ").alias("error"))
+    out = pages.groupBy("run_id").agg(F.count("*").alias("pages_processed"),
+        first(F.col("vision_model"), default_vision).alias("vision_model_used"),
+        first(F.col("text_model"), default_text).alias("text_model_used"), listed("warning").alias("warnings"),
+        F.array_join(listed("error"), " | ").alias("error"))
     return out.withColumn("status", F.when(F.col("error") == "", "SUCCESS").otherwise("FAILED"))
 
 

@@ -13,13 +13,15 @@ def roster_upsert(students: DataFrame, roster: DataFrame) -> DataFrame:
 
     The last row of a registration in a roster wins. action: insert, update (name or curso differ) or keep.
     """
-    new = latest_per_key(roster, ["class_id", "registration_number"], ["line"]).select("class_id", "registration_number", F.col("student_name").alias("_name"), F.col("curso").alias("_curso"), F.lit(True).alias("_new"))
+    new = latest_per_key(roster, ["class_id", "registration_number"], ["line"]).select("class_id", "registration_number",
+        F.col("student_name").alias("_name"), F.col("curso").alias("_curso"), F.lit(True).alias("_new"))
     old = students.withColumn("_old", F.lit(True))
     both = old.join(new, ["class_id", "registration_number"], "full")
     differs = ~F.col("student_name").eqNullSafe(F.col("_name")) | ~F.col("curso").eqNullSafe(F.col("_curso"))
     action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new") & differs, "update").otherwise("keep")
     changed = F.col("_new") & (F.col("_old").isNull() | differs)
-    out = both.withColumn("action", action).withColumns({"student_name": F.when(changed, F.col("_name")).otherwise(F.col("student_name")), "curso": F.when(changed, F.col("_curso")).otherwise(F.col("curso"))})
+    out = both.withColumn("action", action).withColumns({"student_name": F.when(changed, F.col("_name")).otherwise(F.col("student_name")),
+        "curso": F.when(changed, F.col("_curso")).otherwise(F.col("curso"))})
     return out.drop("_name", "_curso", "_new", "_old")
 
 
@@ -111,7 +113,8 @@ def reprocess(batches: DataFrame, requests: DataFrame, transitions: dict[str, st
     outcome = F.when(F.col("_exam").isNotNull(), reprocess_outcome(F.col("status"), transitions, F.col("exam_id"), F.col("_exam")))
     out = out.withColumn("outcome", outcome)
     reset = F.coalesce(F.col("outcome") == "reset", F.lit(False))
-    return out.withColumns({"status": F.when(reset, "PENDING").otherwise(F.col("status")), "total_pages": F.when(reset, F.lit(0)).otherwise(F.col("total_pages"))}).drop("_exam")
+    return out.withColumns({"status": F.when(reset, "PENDING").otherwise(F.col("status")),
+        "total_pages": F.when(reset, F.lit(0)).otherwise(F.col("total_pages"))}).drop("_exam")
 
 
 def evolve(df: DataFrame, columns: dict[str, tuple[str, Column | None]]) -> DataFrame:

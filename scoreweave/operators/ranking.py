@@ -35,6 +35,8 @@ def first_usable(responses: DataFrame, keys: list[str]) -> DataFrame:
     fallback_used: its rank is above 0. With none, error joins all errors in rank order.
     """
     good = F.min_by(F.when(F.col("ok"), F.struct("model_rank", "model", "raw")), F.when(F.col("ok"), F.col("model_rank")))
-    errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("model_rank", F.coalesce("error", F.lit("")).alias("error"))))), lambda e: e["error"]), " | ")
+    errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"),
+        F.struct("model_rank", F.coalesce("error", F.lit("")).alias("error"))))), lambda e: e["error"]), " | ")
     out = responses.groupBy(*keys).agg(good.alias("good"), errors.alias("errors"))
-    return out.select(*keys, F.col("good.model").alias("model_used"), F.col("good.raw").alias("raw"), F.coalesce(F.col("good.model_rank") > 0, F.lit(False)).alias("fallback_used"), F.when(F.col("good").isNull(), F.col("errors")).alias("error"))
+    return out.select(*keys, F.col("good.model").alias("model_used"), F.col("good.raw").alias("raw"),
+        F.coalesce(F.col("good.model_rank") > 0, F.lit(False)).alias("fallback_used"), F.when(F.col("good").isNull(), F.col("errors")).alias("error"))

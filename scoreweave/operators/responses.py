@@ -35,7 +35,8 @@ def message_text(raw: Column) -> Column:
     content = field(v, "choices[0].message.content")
     parts = F.try_variant_get(v, "$.choices[0].message.content", "array<struct<text string>>")
     kind = F.schema_of_variant(content)
-    text = F.when(kind == "STRING", content.try_cast("string")).when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "\n"))
+    text = F.when(kind == "STRING", content.try_cast("string")).when(F.startswith(kind, F.lit("ARRAY")),
+        F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "\n"))
     none = field(v, "choices[0]").isNull()
     error = F.when(v.isNull(), "invalid_json").when(none, "Resposta sem choices.").when(text.isNull(), "Resposta sem conteúdo textual.")
     return F.struct(F.when(error.isNull(), T.strip_code_fence(text)).alias("text"), error.alias("error"))
@@ -48,7 +49,8 @@ def repair_json(df: DataFrame, raw: str) -> DataFrame:
     without trailing commas, with decimal commas between digits as points.
     """
     base = df.withColumn("_a0", T.outer_braces(T.strip_code_fence(F.coalesce(F.col(raw), F.lit("")))))
-    a = base.withColumn("_a1", F.translate("_a0", "“”’‘", "\"\"''")).withColumn("_a2", F.regexp_replace("_a1", r"(?U),\s*([}\]])", "$1")).withColumn("_a3", F.regexp_replace("_a2", r"(?U)(\d),(\d)", "$1.$2"))
+    a = base.withColumn("_a1", F.translate("_a0", "“”’‘", "\"\"''")).withColumn("_a2",
+        F.regexp_replace("_a1", r"(?U),\s*([}\]])", "$1")).withColumn("_a3", F.regexp_replace("_a2", r"(?U)(\d),(\d)", "$1.$2"))
     good = lambda i: is_object(F.try_parse_json(F.col(f"_a{i}")))
     attempt = F.when(good(0), 0).when(good(1), 1).when(good(2), 2).when(good(3), 3)
     out = a.withColumn("attempt", attempt)
@@ -95,8 +97,10 @@ def coerce_bool(v: Column) -> Column:
     """struct(value, invalid) of a flag: booleans and the words true and false; anything else is truthy or not, and invalid."""
     kind, word = F.coalesce(F.schema_of_variant(v), F.lit("VOID")), F.lower(F.trim(v.try_cast("string")))
     value = (
-        F.when(kind == "BOOLEAN", v.try_cast("boolean")).when((kind == "STRING") & (word == "false"), F.lit(False)).when(kind.isin("STRING", "VOID"), F.lit(True))
-        .when(F.startswith(kind, F.lit("ARRAY")), F.to_json(v) != "[]").when(F.startswith(kind, F.lit("OBJECT")), F.to_json(v) != "{}").otherwise(F.coalesce(v.try_cast("double") != 0, F.lit(True)))
+        F.when(kind == "BOOLEAN", v.try_cast("boolean")).when((kind == "STRING") & (word == "false"),
+            F.lit(False)).when(kind.isin("STRING", "VOID"), F.lit(True))
+        .when(F.startswith(kind, F.lit("ARRAY")), F.to_json(v) != "[]").when(F.startswith(kind, F.lit("OBJECT")),
+            F.to_json(v) != "{}").otherwise(F.coalesce(v.try_cast("double") != 0, F.lit(True)))
     )
     return F.struct(value.alias("value"), (~((kind == "BOOLEAN") | ((kind == "STRING") & word.isin("true", "false")))).alias("invalid"))
 
@@ -117,7 +121,8 @@ def normalize_grade(df: DataFrame, max_score: str, prompt: str, confidence: str,
     rows = rows.withColumns({
         "_flag": F.when(failed, F.struct(F.lit(True).alias("value"), F.lit(False).alias("invalid"))).otherwise(coerce_bool(field(v, "revisao_necessaria"))),
         "_warnings": F.when(failed, F.array().cast("array<string>")).otherwise(schema_warnings(keys, v)),
-        "_clamped": F.when(failed, F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("invalid"))).otherwise(S.clamp_grade(either("score", "nota").try_cast("string"))),
+        "_clamped": F.when(failed, F.struct(F.lit(0.0).alias("score"),
+            F.lit(False).alias("invalid"))).otherwise(S.clamp_grade(either("score", "nota").try_cast("string"))),
         "_max": F.coalesce(F.nullif(text_of(v, "max_score").try_cast("double"), F.lit(0.0)), F.nullif(F.col(max_score), F.lit(0.0)), F.lit(1.0)),
         "_answer": F.trim(F.coalesce(F.col(answer), F.lit(""))), "_low": F.lower(F.coalesce(F.col(confidence), F.lit(""))) == "baixa",
     })
@@ -129,14 +134,18 @@ def normalize_grade(df: DataFrame, max_score: str, prompt: str, confidence: str,
     review = asked | low | (R.count_illegible(F.col("_answer")) >= 2) | F.col("_clamped.invalid") | ~valid | flag["invalid"] | copied
     some = lambda c: F.nullif(c, F.lit(""))
     reason = F.coalesce(
-        some(text_of(v, "review_reason")), F.when(failed, "invalid_json"), some(F.array_join(warnings, "; ")), F.when(copied, "Resposta parece cópia do enunciado da questão."),
-        F.when(F.col("_clamped.invalid"), "Nota fora do formato esperado; revisão manual necessária."), F.when(low, "Leitura visual com baixa confiança."), F.lit(""),
+        some(text_of(v, "review_reason")), F.when(failed, "invalid_json"), some(F.array_join(warnings, "; ")),
+            F.when(copied, "Resposta parece cópia do enunciado da questão."),
+        F.when(F.col("_clamped.invalid"), "Nota fora do formato esperado; revisão manual necessária."),
+            F.when(low, "Leitura visual com baixa confiança."), F.lit(""),
     )
     verdict = R.normalize_verdict(text_of(v, "verdict"), F.col("_answer"), F.when(low, "baixa"), score)
     return rows.withColumns({
         "score": F.when(copied, 0.0).otherwise(score), "max_score": F.col("_max"), "verdict": F.when(copied, "incorreta").otherwise(verdict),
-        "justification": F.when(failed, "Resposta da IA em formato inválido. Revisão manual necessária.").otherwise(F.coalesce(either("justification", "comentario").try_cast("string"), F.lit(""))),
-        "detected_concepts": string_list(either("detected_concepts", "criterios_atendidos")), "missing_concepts": string_list(either("missing_concepts", "criterios_ausentes")),
+        "justification": F.when(failed, "Resposta da IA em formato inválido. Revisão manual necessária.").otherwise(F.coalesce(either("justification",
+            "comentario").try_cast("string"), F.lit(""))),
+        "detected_concepts": string_list(either("detected_concepts", "criterios_atendidos")),
+            "missing_concepts": string_list(either("missing_concepts", "criterios_ausentes")),
         "needs_human_review": review, "schema_valid": valid, "parse_warnings": warnings, "review_reason": reason,
     }).drop("_v", "_keys", "_flag", "_warnings", "_clamped", "_max", "_answer", "_low", "_copied")
 
@@ -150,32 +159,44 @@ def parse_single_grade(raw: Column, question_number: Column, max_score: Column)
     whole = F.try_parse_json(raw)
     v = F.coalesce(whole, F.try_parse_json(T.outer_braces(raw)))
     first = lambda *names: F.coalesce(*(text_of(v, n) for n in names))
-    score, top = first("score", "nota"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(first("max_score", "nota_maxima").try_cast("double"), max_score)))
+    score, top = first("score", "nota"), F.least(F.lit(1.0),
+        F.greatest(F.lit(0.0), F.coalesce(first("max_score", "nota_maxima").try_cast("double"), max_score)))
     x = F.coalesce(score, F.lit("0")).try_cast("double")
     outside = F.isnan(x) | (x < -1e-6) | (x > top + 1e-6)
     cut = F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(x, top)))
     given = text_of(v, "grading_confidence").try_cast("double")
     confidence = F.coalesce(first("grading_confidence", "confianca").try_cast("double"), F.lit(0.0))
-    unreadable = (text_of(v, "grading_confidence").isNotNull() & given.isNull()) | (text_of(v, "confianca").isNotNull() & first("grading_confidence", "confianca").try_cast("double").isNull())
-    lists = lambda a, b: F.coalesce(F.try_variant_get(v, f"$.{a}", "array<string>"), F.try_variant_get(v, f"$.{b}", "array<string>"), F.array().cast("array<string>"))
+    unreadable = (text_of(v, "grading_confidence").isNotNull() & given.isNull()) | (text_of(v,
+        "confianca").isNotNull() & first("grading_confidence", "confianca").try_cast("double").isNull())
+    lists = lambda a, b: F.coalesce(F.try_variant_get(v, f"$.{a}", "array<string>"), F.try_variant_get(v, f"$.{b}", "array<string>"),
+        F.array().cast("array<string>"))
     flagged = F.coalesce(first("manual_review_required", "revisao_necessaria").try_cast("boolean"), F.lit(False))
     good = F.struct(
-        F.coalesce(first("question_number", "questao").try_cast("int"), question_number).alias("question_number"), S.quantize_quarter(cut).alias("score"), F.coalesce(first("justification", "comentario"), F.lit("")).alias("justification"),
+        F.coalesce(first("question_number", "questao").try_cast("int"), question_number).alias("question_number"),
+            S.quantize_quarter(cut).alias("score"), F.coalesce(first("justification", "comentario"), F.lit("")).alias("justification"),
         lists("criteria_met", "criterios_atendidos").alias("criteria_met"), lists("criteria_missing", "criterios_ausentes").alias("criteria_missing"),
-        F.when(F.isnan(confidence), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0)))).alias("confidence"), flagged.alias("flagged"), first("manual_review_reason", "motivo_revisao").alias("flag_reason"), (~outside & ~F.isnan(confidence)).alias("parse_ok"),
+        F.when(F.isnan(confidence), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0)))).alias("confidence"),
+            flagged.alias("flagged"), first("manual_review_reason", "motivo_revisao").alias("flag_reason"),
+            (~outside & ~F.isnan(confidence)).alias("parse_ok"),
     )
     none = F.array().cast("array<string>")
-    fallback = F.struct(question_number.alias("question_number"), F.lit(0.0).alias("score"), F.lit("").alias("justification"), none.alias("criteria_met"), none.alias("criteria_missing"), F.lit(0.0).alias("confidence"), F.lit(True).alias("flagged"), F.lit("Falha técnica ou JSON inválido na correção automática.").alias("flag_reason"), F.lit(False).alias("parse_ok"))
+    fallback = F.struct(question_number.alias("question_number"), F.lit(0.0).alias("score"), F.lit("").alias("justification"),
+        none.alias("criteria_met"), none.alias("criteria_missing"), F.lit(0.0).alias("confidence"), F.lit(True).alias("flagged"),
+        F.lit("Falha técnica ou JSON inválido na correção automática.").alias("flag_reason"), F.lit(False).alias("parse_ok"))
     return F.when(~is_object(v) | v.isNull() | x.isNull() | unreadable, fallback).otherwise(good)
 
 
 def page_grades(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """Grades of whole pages (page_id, exam_id, json with grades): cut to the question's maximum, in quarters; questions without one score 0."""
-    listed = pages.withColumn("g", F.explode(F.from_json("json", "struct<grades: array<struct<question_number: int, score: double, justification: string>>>")["grades"]))
-    given = listed.select("page_id", "exam_id", F.col("g.question_number").alias("question_number"), F.coalesce("g.score", F.lit(0.0)).alias("_score"), F.coalesce("g.justification", F.lit("")).alias("justification"))
+    listed = pages.withColumn("g", F.explode(F.from_json("json",
+        "struct<grades: array<struct<question_number: int, score: double, justification: string>>>")["grades"]))
+    given = listed.select("page_id", "exam_id", F.col("g.question_number").alias("question_number"),
+        F.coalesce("g.score", F.lit(0.0)).alias("_score"), F.coalesce("g.justification", F.lit("")).alias("justification"))
     known = questions.select("exam_id", "question_number", "max_score")
-    graded = given.join(known, ["exam_id", "question_number"], "left").withColumn("score", F.greatest(F.lit(0.0), S.quantize_quarter(F.least("_score", F.coalesce("max_score", F.lit(1.0))))))
-    absent = pages.select("page_id", "exam_id").join(known.drop("max_score"), "exam_id").join(given.select("page_id", "question_number"), ["page_id", "question_number"], "left_anti")
+    graded = given.join(known, ["exam_id", "question_number"], "left").withColumn("score",
+        F.greatest(F.lit(0.0), S.quantize_quarter(F.least("_score", F.coalesce("max_score", F.lit(1.0))))))
+    absent = pages.select("page_id", "exam_id").join(known.drop("max_score"), "exam_id").join(given.select("page_id", "question_number"),
+        ["page_id", "question_number"], "left_anti")
     filled = absent.select("page_id", "exam_id", "question_number", F.lit(0.0).alias("score"), F.lit("").alias("justification"))
     return graded.select("page_id", "exam_id", "question_number", "score", "justification").unionByName(filled)
 
@@ -190,15 +211,20 @@ def vision_page(raw: Column, page_number: Column) -> Column:
         answer = str_of(q, "answer_transcription")
         region = F.try_variant_get(q, "$.image_region", "variant")
         return F.struct(
-            F.coalesce(F.try_variant_get(q, "$.number", "string").try_cast("int"), i + 1).alias("number"), str_of(q, "prompt_detected").alias("prompt_detected"), answer.alias("answer_transcription"),
-            S.normalize_confidence(F.try_variant_get(q, "$.reading_confidence", "string")).alias("reading_confidence"), S.clamp_unit(F.try_variant_get(q, "$.ocr_confidence", "string")).alias("ocr_confidence"),
-            str_of(q, "reading_notes").alias("reading_notes"), F.coalesce(F.try_variant_get(q, "$.has_answer", "boolean"), answer != "").alias("has_answer"), F.to_json(region).alias("image_region"),
+            F.coalesce(F.try_variant_get(q, "$.number", "string").try_cast("int"), i + 1).alias("number"),
+                str_of(q, "prompt_detected").alias("prompt_detected"), answer.alias("answer_transcription"),
+            S.normalize_confidence(F.try_variant_get(q, "$.reading_confidence", "string")).alias("reading_confidence"),
+                S.clamp_unit(F.try_variant_get(q, "$.ocr_confidence", "string")).alias("ocr_confidence"),
+            str_of(q, "reading_notes").alias("reading_notes"),
+                F.coalesce(F.try_variant_get(q, "$.has_answer", "boolean"), answer != "").alias("has_answer"), F.to_json(region).alias("image_region"),
         )
 
     name, registration = str_of(v, "student.name"), str_of(v, "student.registration")
     page = F.coalesce(F.nullif(text_of(v, "physical_page").try_cast("int"), F.lit(0)), text_of(v, "page_number").try_cast("int"), page_number)
     questions = F.transform(F.filter(listed, is_object), one)
-    return F.struct(name.alias("name"), registration.alias("registration"), str_of(v, "student.class").alias("class"), T.student_code(str_of(v, "student.student_code"), name, registration).alias("student_code"), page.alias("physical_page"), questions.alias("questions"))
+    return F.struct(name.alias("name"), registration.alias("registration"), str_of(v, "student.class").alias("class"),
+        T.student_code(str_of(v, "student.student_code"), name, registration).alias("student_code"), page.alias("physical_page"),
+        questions.alias("questions"))
 
 
 def rubric_rows(rubrics: DataFrame) -> DataFrame:
@@ -221,16 +247,24 @@ def ocr_result(raw: Column, provider: Column, http_status: Column) -> Column:
     google = F.from_json(raw, f"struct<responses: array<struct<fullTextAnnotation: struct<text: string, pages: array<struct<blocks: array<{block}>>>>>>>")
     mistral = F.from_json(raw, "struct<pages: array<struct<markdown: string, confidence_scores: struct<average_page_confidence_score: double>>>>")
     note = F.get(google["responses"], 0)["fullTextAnnotation"]
-    words = F.flatten(F.transform(F.flatten(F.transform(F.flatten(F.transform(note["pages"], lambda p: F.coalesce(p["blocks"], F.array().cast(f"array<{block}>")))), lambda b: F.coalesce(b["paragraphs"], F.array().cast(f"array<struct<words: array<{word}>>>")))), lambda p: F.transform(F.coalesce(p["words"], F.array().cast(f"array<{word}>")), lambda w: w["confidence"])))
+    words = F.flatten(F.transform(F.flatten(F.transform(F.flatten(F.transform(note["pages"],
+        lambda p: F.coalesce(p["blocks"], F.array().cast(f"array<{block}>")))),
+        lambda b: F.coalesce(b["paragraphs"], F.array().cast(f"array<struct<words: array<{word}>>>")))),
+        lambda p: F.transform(F.coalesce(p["words"], F.array().cast(f"array<{word}>")), lambda w: w["confidence"])))
     pages = F.transform(mistral["pages"], lambda p: p["confidence_scores"]["average_page_confidence_score"])
     is_google = provider == "google_vision"
     found = F.filter(F.when(is_google, words).otherwise(pages), lambda c: c.isNotNull())
     mean = F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, c: a + c) / F.size(found))
-    text = F.when(is_google, F.trim(F.coalesce(note["text"], F.lit("")))).otherwise(T.join_texts(F.transform(F.coalesce(mistral["pages"], F.array().cast("array<struct<markdown: string, confidence_scores: struct<average_page_confidence_score: double>>>")), lambda p: p["markdown"]), "\n\n"))
+    text = F.when(is_google, F.trim(F.coalesce(note["text"],
+        F.lit("")))).otherwise(T.join_texts(F.transform(F.coalesce(mistral["pages"],
+        F.array().cast("array<struct<markdown: string, confidence_scores: struct<average_page_confidence_score: double>>>")),
+        lambda p: p["markdown"]), "\n\n"))
     name = F.when(is_google, "Google Vision").otherwise("Mistral OCR")
-    error = F.when(http_status >= 400, F.concat(name, F.lit(" retornou HTTP "), http_status.cast("string"), F.lit("."))).when(F.try_parse_json(raw).isNull(), F.concat(name, F.lit(" retornou JSON inválido.")))
+    error = F.when(http_status >= 400, F.concat(name, F.lit(" retornou HTTP "), http_status.cast("string"),
+        F.lit("."))).when(F.try_parse_json(raw).isNull(), F.concat(name, F.lit(" retornou JSON inválido.")))
     text, mean = F.when(error.isNull(), text).otherwise(""), F.when(error.isNull(), mean)
-    return F.struct(text.alias("text"), mean.alias("confidence"), S.needs_fallback(T.word_count(text), mean).alias("needs_fallback"), provider.alias("provider"), error.alias("error"))
+    return F.struct(text.alias("text"), mean.alias("confidence"), S.needs_fallback(T.word_count(text), mean).alias("needs_fallback"),
+        provider.alias("provider"), error.alias("error"))
 
 
 def flatten_run(runs: DataFrame) -> DataFrame:
@@ -240,11 +274,16 @@ def flatten_run(runs: DataFrame) -> DataFrame:
     rows = pages.select("run_id", "p", F.explode("p.questions").alias("q"))
     pick = lambda own, student: F.coalesce(some(F.col(f"p.{own}")), some(F.col(f"p.student.{student}")))
     return rows.select(
-        "run_id", pick("detected_student_name", "name").alias("student_name"), pick("detected_registration", "registration").alias("registration"), pick("detected_student_code", "student_code").alias("detected_student_code"),
-        F.coalesce(F.nullif(F.col("p.physical_page"), F.lit(0)), F.nullif(F.col("p.page"), F.lit(0)), F.lit(0)).alias("page_number"), F.coalesce("q.number", F.lit(0)).alias("question_number"),
-        F.coalesce(some(F.col("q.extracted_answer")), some(F.col("q.answer_transcription"))).alias("answer_transcription"), some(F.col("q.reading_confidence")).alias("reading_confidence"), F.col("q.ocr_confidence").alias("ocr_confidence"),
+        "run_id", pick("detected_student_name", "name").alias("student_name"),
+            pick("detected_registration", "registration").alias("registration"),
+            pick("detected_student_code", "student_code").alias("detected_student_code"),
+        F.coalesce(F.nullif(F.col("p.physical_page"), F.lit(0)), F.nullif(F.col("p.page"), F.lit(0)), F.lit(0)).alias("page_number"),
+            F.coalesce("q.number", F.lit(0)).alias("question_number"),
+        F.coalesce(some(F.col("q.extracted_answer")), some(F.col("q.answer_transcription"))).alias("answer_transcription"),
+            some(F.col("q.reading_confidence")).alias("reading_confidence"), F.col("q.ocr_confidence").alias("ocr_confidence"),
         F.to_json("q.image_region").alias("image_region"), F.col("q.grade.score").alias("score"), some(F.col("q.grade.verdict")).alias("verdict"),
-        (F.coalesce("q.grade.needs_human_review", F.lit(False)) | F.coalesce(F.col("q.reading_confidence") == "baixa", F.lit(False))).alias("needs_human_review"), some(F.col("q.grade.review_reason")).alias("review_reason"),
+        (F.coalesce("q.grade.needs_human_review", F.lit(False)) | F.coalesce(F.col("q.reading_confidence") == "baixa",
+            F.lit(False))).alias("needs_human_review"), some(F.col("q.grade.review_reason")).alias("review_reason"),
     )
 
 
@@ -256,11 +295,15 @@ def grade_visual_answers(answers: DataFrame) -> DataFrame:
     """
     low = F.col("reading_confidence") == "baixa"
     where = lambda text: F.format_string(text, F.col("question_number"), F.col("page_number"))
-    kind = F.when(~F.col("has_rubric"), "sem_rubrica").when(~F.col("guard_ok"), "rubrica_trocada").when(F.col("response_error").isNotNull(), "erro").otherwise("corrigida")
+    kind = F.when(~F.col("has_rubric"), "sem_rubrica").when(~F.col("guard_ok"), "rubrica_trocada").when(F.col("response_error").isNotNull(),
+        "erro").otherwise("corrigida")
     swapped = where("Possível troca de rubrica para question_number=%d (página %d).")
-    by = lambda a, b, c, d: F.when(F.col("flow") == "sem_rubrica", a).when(F.col("flow") == "rubrica_trocada", b).when(F.col("flow") == "erro", c).otherwise(d)
+    by = lambda a, b, c, d: F.when(F.col("flow") == "sem_rubrica", a).when(F.col("flow") == "rubrica_trocada",
+        b).when(F.col("flow") == "erro", c).otherwise(d)
     return answers.withColumn("flow", kind).withColumns({
-        "score": by(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.col("score")), "verdict": by(F.lit("sem_rubrica"), F.lit("incorreta"), F.when(low, "ilegivel").otherwise("incorreta"), F.col("verdict")),
+        "score": by(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.col("score")),
+            "verdict": by(F.lit("sem_rubrica"), F.lit("incorreta"), F.when(low, "ilegivel").otherwise("incorreta"), F.col("verdict")),
         "needs_human_review": by(low, F.lit(True), F.lit(True), F.col("needs_human_review")),
-        "review_reason": by(F.when(low, "Leitura visual com baixa confiança.").otherwise(""), swapped, F.substring("response_error", 1, 500), F.col("review_reason")),
+        "review_reason": by(F.when(low, "Leitura visual com baixa confiança.").otherwise(""), swapped,
+            F.substring("response_error", 1, 500), F.col("review_reason")),
     })

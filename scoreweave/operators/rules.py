@@ -35,7 +35,8 @@ def pick_identity(qr: Column, header: Column, manifest: Column, exam: Column) ->
         own, head, listed = x["own"], x["head"], x["listed"]
         good = own.isNotNull() & x["same_exam"]
         foreign = F.when(own.isNotNull() & ~good, FOREIGN_CODE)
-        by = lambda who, source, *said: F.struct(who.cast("string").alias("student_id"), F.lit(source).alias("identity_source"), _kept(*said).alias("warnings"))
+        by = lambda who, source, *said: F.struct(who.cast("string").alias("student_id"), F.lit(source).alias("identity_source"),
+            _kept(*said).alias("warnings"))
         return (
             F.when(good, by(own, "qr", F.when(listed != own, CODE_AGAINST_LIST), F.when(head != own, CODE_AGAINST_HEADER)))
             .when(head.isNotNull(), by(head, "header_ocr", foreign, F.when(listed != head, HEADER_AGAINST_LIST)))
@@ -44,12 +45,15 @@ def pick_identity(qr: Column, header: Column, manifest: Column, exam: Column) ->
         )
 
     def with_own(q: Column) -> Column:
-        return F.struct(T.safe_uuid(q["student_id"]).alias("own"), T.safe_uuid(header).alias("head"), T.safe_uuid(manifest).alias("listed"), F.coalesce(q["exam_id"] == exam, F.lit(False)).alias("same_exam"))
+        return F.struct(T.safe_uuid(q["student_id"]).alias("own"), T.safe_uuid(header).alias("head"), T.safe_uuid(manifest).alias("listed"),
+            F.coalesce(q["exam_id"] == exam, F.lit(False)).alias("same_exam"))
 
     return let(let(qr, with_own), chosen)
 
 
-def review_reason(*, score: Column, confidence: Column, justification: Column, flagged: Column, flag_reason: Column, answer: Column, max_score: Column, ocr_error: Column, ocr_confidence: Column, ocr_unstable: Column, parse_failed: Column, visual_ok: Column, misaligned: Column) -> Column:
+def review_reason(*, score: Column, confidence: Column, justification: Column, flagged: Column, flag_reason: Column, answer: Column,
+    max_score: Column, ocr_error: Column, ocr_confidence: Column, ocr_unstable: Column, parse_failed: Column, visual_ok: Column,
+    misaligned: Column) -> Column:
     """Why a grade needs a person, by the first rule that holds; null if none does."""
     true = lambda c: F.coalesce(c, F.lit(False))
     error = F.nullif(ocr_error, F.lit(""))
@@ -59,12 +63,14 @@ def review_reason(*, score: Column, confidence: Column, justification: Column, f
         .when(error.isNotNull() & ~true(visual_ok), F.concat(F.lit("Falha no OCR: "), error))
         .when(true(parse_failed), "Resposta da IA em formato inválido ou nota fora do intervalo.")
         .when((score < 0) | (score > max_score + 1e-6), F.concat(F.lit("Nota fora do intervalo permitido (0–"), max_score.cast("string"), F.lit(").")))
-        .when(confidence.isNull() | F.isnan(confidence) | (F.abs(confidence) == float("inf")) | (confidence < LOW), "Confiança da correção automática abaixo do limiar (0,70).")
+        .when(confidence.isNull() | F.isnan(confidence) | (F.abs(confidence) == float("inf")) | (confidence < LOW),
+            "Confiança da correção automática abaixo do limiar (0,70).")
         .when(ocr_confidence < LOW, "Confiança do OCR abaixo do limiar (0,70).")
         .when(~T.has_words(answer, 3), "Texto extraído vazio ou muito curto (menos de 3 palavras).")
         .when(true(ocr_unstable) & ~true(visual_ok), "OCR instável (fallback necessário) e sem transcrição visual alternativa.")
         .when((score <= 0) & (F.length(plain) > 200), "Nota zero com resposta longa — possível erro de leitura ou interpretação.")
-        .when(((score < max_score) | (score <= 0)) & (F.trim(F.coalesce(justification, F.lit(""))) == ""), "Justificativa obrigatória ausente para nota parcial ou zero.")
+        .when(((score < max_score) | (score <= 0)) & (F.trim(F.coalesce(justification, F.lit(""))) == ""),
+            "Justificativa obrigatória ausente para nota parcial ou zero.")
         .when(true(flagged), F.coalesce(F.nullif(flag_reason, F.lit("")), F.lit("IA sinalizou revisão manual.")))
     )
 
@@ -81,7 +87,8 @@ def identity_override(scores: DataFrame, default: Column | None = None) -> DataF
 
 def needs_visual_grade(ocr_error: Column, ocr_unstable: Column, parse_ok: Column, confidence: Column, flagged: Column) -> Column:
     """Whether a text grade is weak enough to ask for one from the image."""
-    return F.nullif(ocr_error, F.lit("")).isNotNull() | F.coalesce(ocr_unstable, F.lit(False)) | ~F.coalesce(parse_ok, F.lit(False)) | F.coalesce(confidence < LOW, F.lit(True)) | F.coalesce(flagged, F.lit(False))
+    return F.nullif(ocr_error, F.lit("")).isNotNull() | F.coalesce(ocr_unstable, F.lit(False)) | ~F.coalesce(parse_ok,
+        F.lit(False)) | F.coalesce(confidence < LOW, F.lit(True)) | F.coalesce(flagged, F.lit(False))
 
 
 def score_answers(answers: DataFrame) -> DataFrame:
@@ -91,18 +98,23 @@ def score_answers(answers: DataFrame) -> DataFrame:
     structs text_grade and visual_grade of score, confidence, justification, flagged, flag_reason, parse_ok.
     """
     error = F.nullif(F.col("ocr_error"), F.lit(""))
-    failed = F.struct(F.lit(0.0).alias("score"), F.lit(1.0).alias("confidence"), F.lit("").alias("justification"), F.lit(True).alias("flagged"), error.alias("flag_reason"), F.lit(True).alias("parse_ok"))
+    failed = F.struct(F.lit(0.0).alias("score"), F.lit(1.0).alias("confidence"), F.lit("").alias("justification"),
+        F.lit(True).alias("flagged"), error.alias("flag_reason"), F.lit(True).alias("parse_ok"))
     first = F.when(error.isNotNull(), failed).otherwise(F.col("text_grade"))
     ask = needs_visual_grade(F.col("ocr_error"), F.col("ocr_unstable"), first["parse_ok"], first["confidence"], first["flagged"])
     visual = ask & F.coalesce(F.col("visual_grade.parse_ok"), F.lit(False))
     rows = answers.withColumn("_visual", visual).withColumn("_grade", F.when(visual, F.col("visual_grade")).otherwise(first))
     g = F.col("_grade")
     reason = review_reason(
-        score=g["score"], confidence=g["confidence"], justification=g["justification"], flagged=g["flagged"], flag_reason=g["flag_reason"], answer=F.col("answer_text"), max_score=F.col("max_score"),
-        ocr_error=F.col("ocr_error"), ocr_confidence=F.col("ocr_confidence"), ocr_unstable=F.col("ocr_unstable"), parse_failed=~F.coalesce(g["parse_ok"], F.lit(False)), visual_ok=F.col("_visual") | ~F.coalesce("ocr_unstable", F.lit(False)), misaligned=F.col("misaligned"),
+        score=g["score"], confidence=g["confidence"], justification=g["justification"], flagged=g["flagged"], flag_reason=g["flag_reason"],
+            answer=F.col("answer_text"), max_score=F.col("max_score"),
+        ocr_error=F.col("ocr_error"), ocr_confidence=F.col("ocr_confidence"), ocr_unstable=F.col("ocr_unstable"),
+            parse_failed=~F.coalesce(g["parse_ok"], F.lit(False)), visual_ok=F.col("_visual") | ~F.coalesce("ocr_unstable", F.lit(False)),
+            misaligned=F.col("misaligned"),
     )
     out = rows.withColumn("manual_review_reason", reason).withColumn("requires_manual_review", F.col("manual_review_reason").isNotNull())
-    return out.withColumns({"ai_score": g["score"], "final_score": F.when(~F.col("requires_manual_review"), g["score"]), "used_visual": F.col("_visual")}).drop("_visual", "_grade")
+    return out.withColumns({"ai_score": g["score"], "final_score": F.when(~F.col("requires_manual_review"), g["score"]),
+        "used_visual": F.col("_visual")}).drop("_visual", "_grade")
 
 
 def humanize_reason(warnings: Column, technical: Column, empty_answer: Column | None = None, low_confidence: Column | None = None) -> Column:
@@ -256,23 +268,27 @@ def chain_ocr(results: DataFrame, keys: list[str]) -> DataFrame:
     the first later one with text is taken, else errors are joined. No provider at all: disabled.
     """
     steps = F.array_sort(F.collect_list(F.struct("rank", "text", "confidence", "needs_fallback", "provider", "error")))
-    cols = lambda x: [F.coalesce(x["text"], F.lit("")).alias("text"), x["confidence"].alias("confidence"), x["needs_fallback"].alias("needs_fallback"), x["provider"].alias("provider"), F.nullif(x["error"], F.lit("")).alias("error")]
+    cols = lambda x: [F.coalesce(x["text"], F.lit("")).alias("text"), x["confidence"].alias("confidence"),
+        x["needs_fallback"].alias("needs_fallback"), x["provider"].alias("provider"), F.nullif(x["error"], F.lit("")).alias("error")]
 
     def join(a: Column, b: Column) -> Column:
         good = lambda r: r["error"].isNull() & ~r["needs_fallback"]
         b = F.struct(*cols(b))
         name = F.concat(a["provider"], F.lit("->fallback:"), b["provider"]).alias("provider")
-        taken = F.struct(b["text"].alias("text"), b["confidence"].alias("confidence"), b["needs_fallback"].alias("needs_fallback"), name, b["error"].alias("error"))
+        taken = F.struct(b["text"].alias("text"), b["confidence"].alias("confidence"), b["needs_fallback"].alias("needs_fallback"), name,
+            b["error"].alias("error"))
         errors = F.array_join(_kept(a["error"], b["error"]), "; ")
         neither = F.struct(
-            F.when(a["text"] != "", a["text"]).otherwise(b["text"]).alias("text"), F.coalesce(F.nullif(a["confidence"], F.lit(0.0)), b["confidence"]).alias("confidence"), F.lit(True).alias("needs_fallback"), name,
+            F.when(a["text"] != "", a["text"]).otherwise(b["text"]).alias("text"),
+                F.coalesce(F.nullif(a["confidence"], F.lit(0.0)), b["confidence"]).alias("confidence"), F.lit(True).alias("needs_fallback"), name,
             F.when(errors != "", errors).otherwise("OCR principal e fallback sem texto confiável.").alias("error"),
         )
         return F.when(good(a), a).when(good(b) | (F.trim(b["text"]) != ""), taken).otherwise(neither)
 
     listed = results.groupBy(*keys).agg(steps.alias("_steps"))
     known = F.filter("_steps", lambda s: s["provider"].isNotNull())
-    nothing = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("needs_fallback"), F.lit("disabled").alias("provider"), F.lit("OCR desativado.").alias("error"))
+    nothing = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("needs_fallback"),
+        F.lit("disabled").alias("provider"), F.lit("OCR desativado.").alias("error"))
     listed = listed.withColumn("_known", known)
     folded = F.aggregate(F.slice("_known", 2, 1_000_000), F.struct(*cols(F.get("_known", 0))), join)
     return listed.select(*keys, F.when(F.size("_known") > 0, folded).otherwise(nothing).alias("ocr")).select(*keys, "ocr.*")

@@ -48,7 +48,8 @@ def dedupe_boxes(boxes: DataFrame, keys: list[str], most: float = 0.65) -> DataF
     nothing = F.array().cast("array<struct<y: int, x: int, w: int, h: int>>")
     keep = lambda kept, b: F.when(F.exists(kept, lambda k: overlap_ratio(b, k) > most), kept).otherwise(F.concat(kept, F.array(b)))
     listed = boxes.groupBy(*keys).agg(order.alias("_boxes"))
-    return listed.select(*keys, F.posexplode(F.aggregate("_boxes", nothing, keep)).alias("pos", "b")).select(*keys, F.col("pos").alias("index"), "b.x", "b.y", "b.w", "b.h")
+    return listed.select(*keys, F.posexplode(F.aggregate("_boxes", nothing, keep)).alias("pos", "b")).select(*keys,
+        F.col("pos").alias("index"), "b.x", "b.y", "b.w", "b.h")
 
 
 def region_candidates(boxes: DataFrame) -> DataFrame:
@@ -58,7 +59,8 @@ def region_candidates(boxes: DataFrame) -> DataFrame:
     px, py = (c("w") * 0.02).cast("int"), (c("h") * 0.04).cast("int")
     x, y = F.greatest(F.lit(0), c("x") - px), F.greatest(F.lit(0), c("y") - py)
     right, low = F.least(c("page_w"), c("x") + c("w") + px), F.least(c("page_h"), c("y") + c("h") + py)
-    return boxes.where(big).withColumn("_b", F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (low - y).alias("h"))).drop("x", "y", "w", "h").select("*", "_b.*").drop("_b")
+    return boxes.where(big).withColumn("_b", F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (low - y).alias("h"))).drop("x",
+        "y", "w", "h").select("*", "_b.*").drop("_b")
 
 
 def overlapping_pairs(boxes: DataFrame, keys: list[str], most: float = 0.65) -> DataFrame:
@@ -86,7 +88,8 @@ def paginate(questions: DataFrame) -> DataFrame:
         return F.struct((y - text - ANSWER_H - SPACING).alias("y"), page.alias("page"), F.concat(acc["out"], F.array(box)).alias("out"))
 
     start = F.struct(F.lit(first).alias("y"), F.lit(1).alias("page"), F.array().cast(kind).alias("out"))
-    placed = listed.select("exam_id", F.aggregate("qs", start, place).alias("r")).select("exam_id", F.explode("r.out").alias("b"), F.col("r.page").alias("pages"))
+    placed = listed.select("exam_id", F.aggregate("qs", start, place).alias("r")).select("exam_id", F.explode("r.out").alias("b"),
+        F.col("r.page").alias("pages"))
     return placed.select("exam_id", "b.question_number", "b.page", "b.y_bottom_pt", F.lit(ANSWER_H).alias("height_pt"), "pages")
 
 
@@ -96,7 +99,8 @@ def sheet_plan(exams: DataFrame, students: DataFrame, layout: DataFrame) -> Data
     people = exams.join(sheets, "exam_id").join(students, "class_id")
     rows = people.withColumn("page_in_student", F.explode(F.sequence(F.lit(1), "pages")))
     order = Window.partitionBy("exam_id").orderBy("registration_number", "student_id", "page_in_student")
-    return rows.select("exam_id", "student_id", "registration_number", "page_in_student", F.col("pages").alias("total_pages_for_student"), (F.row_number().over(order) - 1).alias("physical_index"))
+    return rows.select("exam_id", "student_id", "registration_number", "page_in_student", F.col("pages").alias("total_pages_for_student"),
+        (F.row_number().over(order) - 1).alias("physical_index"))
 
 
 MANIFEST = "struct<version: int, pages: array<struct<physical_index: int, exam_id: string, student_id: string, page_in_student: int, total_pages_for_student: int, boxes: array<struct<question_number: int, x_pt: double, y_bottom_pt: double, width_pt: double, height_pt: double>>>>>"
@@ -106,15 +110,18 @@ def manifest_boxes(exams: DataFrame) -> DataFrame:
     """One row per page and box of layout manifests (exam_id, manifest text); the last of several pages with one index wins."""
     pages = exams.select("exam_id", F.posexplode(F.from_json("manifest", MANIFEST)["pages"]).alias("pos", "p"))
     last = pages.groupBy("exam_id", F.col("p.physical_index").alias("physical_index")).agg(F.max_by("p", "pos").alias("p"))
-    return last.select("exam_id", "physical_index", F.col("p.student_id").alias("manifest_student"), F.explode_outer("p.boxes").alias("b")).select("exam_id", "physical_index", "manifest_student", "b.*")
+    return last.select("exam_id", "physical_index", F.col("p.student_id").alias("manifest_student"),
+        F.explode_outer("p.boxes").alias("b")).select("exam_id", "physical_index", "manifest_student", "b.*")
 
 
 def page_questions(pages: DataFrame, boxes: DataFrame, questions: DataFrame) -> DataFrame:
     """Questions to read on each page (exam_id, page_id, page_index): those of its manifest's boxes, or all of the exam without a manifest."""
     known = boxes.select("exam_id", F.col("physical_index").alias("page_index"), "question_number")
     ids = questions.select("exam_id", "question_number", "question_id")
-    mapped = pages.join(known, ["exam_id", "page_index"]).join(ids, ["exam_id", "question_number"]).select("page_id", "question_id", F.lit("mapped").alias("mode"))
-    free = pages.join(known.select("exam_id", "page_index").distinct(), ["exam_id", "page_index"], "left_anti").join(ids, "exam_id").select("page_id", "question_id", F.lit("legacy").alias("mode"))
+    mapped = pages.join(known, ["exam_id", "page_index"]).join(ids, ["exam_id", "question_number"]).select("page_id", "question_id",
+        F.lit("mapped").alias("mode"))
+    free = pages.join(known.select("exam_id", "page_index").distinct(), ["exam_id", "page_index"], "left_anti").join(ids,
+        "exam_id").select("page_id", "question_id", F.lit("legacy").alias("mode"))
     return mapped.unionByName(free)
 
 

@@ -20,17 +20,24 @@ def _responses(g):
 _R = "r AS (SELECT *, v1 % 9 AS k, CASE WHEN v1 % 10 = 0 THEN 0.6 ELSE ai_score END AS given FROM {t})"
 
 
-@query("scores", f"WITH {_R.format(t='scores')} SELECT result_id, question_id, CASE k WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 8 THEN NULL ELSE 0 END AS attempt FROM r")
+@query("scores", f"""WITH {_R.format(t='scores')} SELECT result_id, question_id, CASE k WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 1
+WHEN 8 THEN NULL ELSE 0 END AS attempt FROM r""")
 def repair_json(g):
     return P.repair_json(_responses(g), "raw").select("result_id", "question_id", "attempt")
 
 
-@query("scores", f"""WITH {_R.format(t='scores')} SELECT result_id, question_id, CASE WHEN k = 7 THEN 4 WHEN k = 6 THEN 1 WHEN k = 8 THEN 5 ELSE 0 END AS n_missing, CASE WHEN k = 6 THEN 1 ELSE 0 END AS n_suspicious,
-CASE WHEN k = 7 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''comentario'', ''criterios_atendidos'', ''criterios_ausentes'', ''revisao_necessaria'']' WHEN k = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''revisao_necessaria'']; Chaves suspeitas/ignoradas: [''revisao_necessaira'']' WHEN k = 8 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''nota'', ''comentario'', ''criterios_atendidos'', ''criterios_ausentes'', ''revisao_necessaria'']' ELSE '' END AS warnings FROM r""")
+@query("scores", f"""WITH {_R.format(t='scores')} SELECT result_id, question_id, CASE WHEN k = 7 THEN 4 WHEN k = 6 THEN 1 WHEN k = 8 THEN 5
+ELSE 0 END AS n_missing, CASE WHEN k = 6 THEN 1 ELSE 0 END AS n_suspicious,
+CASE
+WHEN k = 7 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''comentario'', ''criterios_atendidos'', ''criterios_ausentes'', ''revisao_necessaria'']'
+WHEN k = 6 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''revisao_necessaria'']; Chaves suspeitas/ignoradas: [''revisao_necessaira'']'
+WHEN k = 8 THEN 'JSON recuperado, mas schema incompleto: chaves ausentes: [''nota'', ''comentario'', ''criterios_atendidos'', ''criterios_ausentes'', ''revisao_necessaria'']'
+ELSE '' END AS warnings FROM r""")
 def validate_grade_schema(g):
     rows = P.repair_json(_responses(g), "raw").withColumn("keys", F.json_object_keys("json"))
     warnings = P.schema_warnings(F.col("keys"), F.try_parse_json("json"))
-    return rows.select("result_id", "question_id", F.size(P.missing_keys(F.col("keys"))).alias("n_missing"), F.size(P.suspicious_keys(F.col("keys"))).alias("n_suspicious"), F.array_join(warnings, "; ").alias("warnings"))
+    return rows.select("result_id", "question_id", F.size(P.missing_keys(F.col("keys"))).alias("n_missing"),
+        F.size(P.suspicious_keys(F.col("keys"))).alias("n_suspicious"), F.array_join(warnings, "; ").alias("warnings"))
 
 
 #: Each of the five required keys stands in a grade by a bit of the order's number; two misspelt ones and one other by two more.
@@ -54,10 +61,12 @@ def suspicious_keys(g):
     return _key_rows(g).select("o_orderkey", P.suspicious_keys(F.col("keys")).alias("suspicious"))
 
 
-@query("", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ['a', 'b' || o_orderkey] WHEN 1 THEN [o_orderkey::VARCHAR, '2'] ELSE []::VARCHAR[] END AS items FROM orders")
+@query("", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ['a', 'b' || o_orderkey] WHEN 1 THEN [o_orderkey::VARCHAR, '2']
+ELSE []::VARCHAR[] END AS items FROM orders""")
 def string_list(g):
     k, s = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
-    raw = F.when(k == 0, F.concat(F.lit('["a", "b'), s, F.lit('"]'))).when(k == 1, F.concat(F.lit("["), s, F.lit(", 2]"))).when(k == 2, F.concat(F.lit('"'), s, F.lit('"'))).when(k == 3, F.concat(F.lit('{"a": '), s, F.lit("}"))).when(k == 4, "null").otherwise("[]")
+    raw = F.when(k == 0, F.concat(F.lit('["a", "b'), s, F.lit('"]'))).when(k == 1, F.concat(F.lit("["), s, F.lit(", 2]"))).when(k == 2,
+        F.concat(F.lit('"'), s, F.lit('"'))).when(k == 3, F.concat(F.lit('{"a": '), s, F.lit("}"))).when(k == 4, "null").otherwise("[]")
     return g.raw("orders").select("o_orderkey", P.string_list(F.try_parse_json(raw)).alias("items"))
 
 
@@ -73,31 +82,42 @@ _MISSING = "'JSON recuperado, mas schema incompleto: chaves ausentes: "
 _FLAG = "Campo revisao_necessaria com tipo/valor inválido.'"
 
 
-@query("answers", f"""WITH {_R.format(t='answers')}, c AS (SELECT *, v1 % 23 = 0 AS copied, CASE WHEN k = 8 THEN 0.0 WHEN k = 4 THEN 0.5 WHEN given = 0.6 THEN 0.5 ELSE given END AS s, k NOT IN (4, 8) AND given = 0.6 AS bad, v1 % 7 = 0 AS low FROM r)
-SELECT result_id, question_id, CASE WHEN copied THEN 0.0 ELSE s END AS score, CASE WHEN copied THEN 'incorreta' WHEN trim(answer_text) = '' THEN 'sem_resposta' WHEN s >= 0.99 THEN 'correta' WHEN s > 0 THEN 'parcial' ELSE 'incorreta' END AS verdict,
+@query("answers", f"""WITH {_R.format(t='answers')}, c AS (SELECT *, v1 % 23 = 0 AS copied, CASE WHEN k = 8 THEN 0.0 WHEN k = 4 THEN 0.5 WHEN given = 0.6 THEN 0.5 ELSE given END AS s,
+k NOT IN (4, 8) AND given = 0.6 AS bad, v1 % 7 = 0 AS low FROM r)
+SELECT result_id, question_id, CASE WHEN copied THEN 0.0 ELSE s END AS score,
+CASE WHEN copied THEN 'incorreta' WHEN trim(answer_text) = '' THEN 'sem_resposta' WHEN s >= 0.99 THEN 'correta' WHEN s > 0 THEN 'parcial' ELSE 'incorreta' END AS verdict,
 k IN (6, 7, 8) OR low OR bad OR copied AS needs_human_review, k NOT IN (6, 7) AS schema_valid,
-CASE WHEN k = 8 THEN 'invalid_json' WHEN k = 7 THEN {_MISSING}[''comentario'', ''criterios_atendidos'', ''criterios_ausentes'', ''revisao_necessaria'']; {_FLAG} WHEN k = 6 THEN {_MISSING}[''revisao_necessaria'']; Chaves suspeitas/ignoradas: [''revisao_necessaira'']; {_FLAG}
+CASE WHEN k = 8 THEN 'invalid_json'
+WHEN k = 7 THEN {_MISSING}[''comentario'', ''criterios_atendidos'', ''criterios_ausentes'', ''revisao_necessaria'']; {_FLAG}
+WHEN k = 6 THEN {_MISSING}[''revisao_necessaria'']; Chaves suspeitas/ignoradas: [''revisao_necessaira'']; {_FLAG}
 WHEN copied THEN 'Resposta parece cópia do enunciado da questão.' WHEN bad THEN 'Nota fora do formato esperado; revisão manual necessária.' WHEN low THEN 'Leitura visual com baixa confiança.' ELSE '' END AS review_reason FROM c""")
 def normalize_grade(g):
     v = F.col("v1")
     raw = recorded_response(v % 9, F.col("question_number").cast("string"), F.when(v % 10 == 0, "0.6").otherwise(F.col("ai_score").cast("string")))
     rows = g.answers().withColumns({"raw": raw, "reading_confidence": F.when(v % 7 == 0, "baixa").otherwise("alta")})
-    return P.normalize_grade(P.repair_json(rows, "raw"), "max_score", "question_text", "reading_confidence", "answer_text").select("result_id", "question_id", "score", "verdict", "needs_human_review", "schema_valid", "review_reason")
+    return P.normalize_grade(P.repair_json(rows, "raw"), "max_score", "question_text", "reading_confidence",
+        "answer_text").select("result_id", "question_id", "score", "verdict", "needs_human_review", "schema_valid", "review_reason")
 
 
-@query("scores", """WITH r AS (SELECT *, v1 % 5 AS k FROM scores) SELECT result_id, question_id, CASE k WHEN 0 THEN ai_score WHEN 1 THEN ai_score WHEN 2 THEN 1.0 ELSE 0.0 END AS score, CASE WHEN k IN (0, 1, 2) THEN grading_confidence * 0 + 0.82 ELSE 0.0 END AS confidence, k IN (0, 1) AS parse_ok, CASE WHEN k <= 2 THEN 'ok' ELSE '' END AS justification, k > 2 AS flagged FROM r""")
+@query("scores", """WITH r AS (SELECT *, v1 % 5 AS k FROM scores) SELECT result_id, question_id, CASE k WHEN 0 THEN ai_score
+WHEN 1 THEN ai_score WHEN 2 THEN 1.0 ELSE 0.0 END AS score, CASE WHEN k IN (0, 1, 2) THEN grading_confidence * 0 + 0.82
+ELSE 0.0 END AS confidence, k IN (0, 1) AS parse_ok, CASE WHEN k <= 2 THEN 'ok' ELSE '' END AS justification, k > 2 AS flagged FROM r""")
 def parse_single_grade(g):
     k, s = F.col("v1") % 5, F.col("ai_score").cast("string")
     english = F.concat(F.lit('{"score": '), s, F.lit(', "justification": "ok", "grading_confidence": 0.82}'))
     aliases = F.concat(F.lit('Segue ```json {"nota": '), s, F.lit(', "comentario": "ok", "confianca": 0.82, "revisao_necessaria": false} ```'))
-    raw = F.when(k == 0, english).when(k == 1, aliases).when(k == 2, '{"nota": 1.8, "nota_maxima": 1.0, "comentario": "ok", "confianca": 0.82}').when(k == 3, '{"nota": "alta"}').otherwise("sem json")
+    raw = F.when(k == 0, english).when(k == 1, aliases).when(k == 2,
+        '{"nota": 1.8, "nota_maxima": 1.0, "comentario": "ok", "confianca": 0.82}').when(k == 3, '{"nota": "alta"}').otherwise("sem json")
     rows = g.scores().select("result_id", "question_id", P.parse_single_grade(raw, F.col("question_number"), F.lit(1.0)).alias("p"))
     return rows.select("result_id", "question_id", "p.score", "p.confidence", "p.parse_ok", "p.justification", "p.flagged")
 
 
 _GRADES = """p AS (SELECT result_id AS page_id, batch_id % (SELECT count(*) FROM supplier) AS exam_id FROM results),
-w AS (SELECT page_id, exam_id, n AS question_number, CASE n WHEN 1 THEN 1.3 WHEN 2 THEN 0.375 ELSE (page_id % 9) / 8.0 END AS s FROM p CROSS JOIN range(1, 5) r(n))"""
-_GRADED = f"""WITH {_GRADES}, f AS (SELECT p.page_id, q.question_number, CASE WHEN w.s IS NULL THEN 0.0 ELSE greatest(0.0, round_even(least(w.s, 1.0) * 4, 0) / 4) END AS score FROM p JOIN questions q USING (exam_id) LEFT JOIN w ON w.page_id = p.page_id AND w.question_number = q.question_number)"""
+w AS (SELECT page_id, exam_id, n AS question_number, CASE n WHEN 1 THEN 1.3 WHEN 2 THEN 0.375 ELSE (page_id % 9) / 8.0 END AS s FROM p CROSS
+JOIN range(1, 5) r(n))"""
+_GRADED = f"""WITH {_GRADES}, f AS (SELECT p.page_id, q.question_number, CASE WHEN w.s IS NULL THEN 0.0
+ELSE greatest(0.0, round_even(least(w.s, 1.0) * 4, 0) / 4) END AS score FROM p JOIN questions q USING (exam_id) LEFT
+JOIN w ON w.page_id = p.page_id AND w.question_number = q.question_number)"""
 
 
 def _page_rows(g):
@@ -115,7 +135,8 @@ def parse_page_grades(g):
 
 @query("results questions", f"{_GRADED} SELECT * FROM f WHERE question_number > 4")
 def fill_missing_grades(g):
-    return P.page_grades(_page_rows(g), g.questions()).where((F.col("question_number") > 4) & (F.col("justification") == "")).select("page_id", "question_number", "score")
+    return P.page_grades(_page_rows(g), g.questions()).where((F.col("question_number") > 4) & (F.col("justification") == "")).select("page_id",
+        "question_number", "score")
 
 
 @query("results questions", f"{_GRADED} SELECT page_id, sum(score) AS total_score FROM f GROUP BY 1")
@@ -123,19 +144,24 @@ def page_grade_total(g):
     return P.page_grades(_page_rows(g), g.questions()).groupBy("page_id").agg(F.sum("score").alias("total_score"))
 
 
-@query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'nota ' || o_orderkey WHEN 1 THEN 'a' || chr(10) || o_orderkey END AS text, CASE o_orderkey % 4 WHEN 2 THEN 'Resposta sem choices.' WHEN 3 THEN 'Resposta sem conteúdo textual.' END AS error FROM orders")
+@query("", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'nota ' || o_orderkey
+WHEN 1 THEN 'a' || chr(10) || o_orderkey END AS text, CASE o_orderkey % 4 WHEN 2 THEN 'Resposta sem choices.'
+WHEN 3 THEN 'Resposta sem conteúdo textual.' END AS error FROM orders""")
 def model_response_scan(g):
     k, s = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
     wrap = lambda c: F.concat(F.lit('{"choices": [{"message": {"content": '), c, F.lit("}}]}"))
-    raw = F.when(k == 0, wrap(F.concat(F.lit('"```\\nnota '), s, F.lit('\\n```"')))).when(k == 1, wrap(F.concat(F.lit('[{"text": "a"}, {"text": "'), s, F.lit('"}]')))).when(k == 2, '{"choices": []}').otherwise(wrap(F.lit("3")))
+    raw = F.when(k == 0, wrap(F.concat(F.lit('"```\\nnota '), s, F.lit('\\n```"')))).when(k == 1,
+        wrap(F.concat(F.lit('[{"text": "a"}, {"text": "'), s, F.lit('"}]')))).when(k == 2, '{"choices": []}').otherwise(wrap(F.lit("3")))
     return g.raw("orders").select("o_orderkey", P.message_text(raw).alias("m")).select("o_orderkey", "m.text", "m.error")
 
 
-@query("", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'm' || (o_orderkey % 2) END AS model_used, o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 AS fallback_used, CASE WHEN o_orderkey % 3 <> 0 THEN 'e0 | e1' END AS error FROM orders""")
+@query("", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'm' || (o_orderkey % 2) END AS model_used,
+o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 AS fallback_used, CASE WHEN o_orderkey % 3 <> 0 THEN 'e0 | e1' END AS error FROM orders""")
 def first_usable_response(g):
     k = F.col("o_orderkey")
     ok = lambda i: (k % 3 == 0) & ((k % 2 == i) | F.lit(i == 1))
-    one = lambda i: F.struct(F.lit(i).alias("model_rank"), F.lit(f"m{i}").alias("model"), ok(i).alias("ok"), F.when(ok(i), "r").alias("raw"), F.when(~ok(i), f"e{i}").alias("error"))
+    one = lambda i: F.struct(F.lit(i).alias("model_rank"), F.lit(f"m{i}").alias("model"), ok(i).alias("ok"),
+        F.when(ok(i), "r").alias("raw"), F.when(~ok(i), f"e{i}").alias("error"))
     rows = g.raw("orders").select("o_orderkey", F.explode(F.array(one(0), one(1))).alias("r")).select("o_orderkey", "r.*")
     return K.first_usable(rows, ["o_orderkey"]).select("o_orderkey", "model_used", "fallback_used", "error")
 
@@ -143,21 +169,30 @@ def first_usable_response(g):
 def _vision(g):
     k, s = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     raw = F.concat(
-        F.lit('{"student": {"name": "Aluno '), (k % 500).cast("string"), F.lit('", "registration": null}, "physical_page": '), F.when(k % 3 == 0, s).otherwise("0"),
-        F.lit(', "questions": [{"number": 1, "answer_transcription": "r'), s, F.lit('", "reading_confidence": "Média", "ocr_confidence": 1.4, "image_region": {"x": 1}}, 7, {"answer_transcription": "", "ocr_confidence": "0.5"}]}'),
+        F.lit('{"student": {"name": "Aluno '), (k % 500).cast("string"), F.lit('", "registration": null}, "physical_page": '),
+            F.when(k % 3 == 0, s).otherwise("0"),
+        F.lit(', "questions": [{"number": 1, "answer_transcription": "r'), s,
+            F.lit('", "reading_confidence": "Média", "ocr_confidence": 1.4, "image_region": {"x": 1}}, 7, {"answer_transcription": "", "ocr_confidence": "0.5"}]}'),
     )
     return g.raw("orders").select("o_orderkey", P.vision_page(raw, F.lit(9)).alias("p"))
 
 
-@query("", """SELECT o_orderkey, printf('%03d', (o_orderkey % 500)::INT) AS student_code, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey > 0 THEN o_orderkey ELSE 9 END::INT AS physical_page, n::INT AS number, CASE WHEN n = 1 THEN 'r' || o_orderkey ELSE '' END AS answer, CASE WHEN n = 1 THEN 'media' ELSE 'baixa' END AS confidence, CASE WHEN n = 1 THEN 1.0 ELSE 0.5 END AS ocr_confidence, n = 1 AS has_answer FROM orders CROSS JOIN range(1, 3) r(n)""")
+@query("", """SELECT o_orderkey, printf('%03d', (o_orderkey % 500)::INT) AS student_code, CASE
+WHEN o_orderkey % 3 = 0 AND o_orderkey > 0 THEN o_orderkey ELSE 9 END::INT AS physical_page, n::INT AS number, CASE
+WHEN n = 1 THEN 'r' || o_orderkey ELSE '' END AS answer, CASE WHEN n = 1 THEN 'media' ELSE 'baixa' END AS confidence, CASE
+WHEN n = 1 THEN 1.0 ELSE 0.5 END AS ocr_confidence, n = 1 AS has_answer FROM orders CROSS JOIN range(1, 3) r(n)""")
 def normalize_vision_page(g):
-    return _vision(g).select("o_orderkey", "p.student_code", "p.physical_page", F.explode("p.questions").alias("q")).select("o_orderkey", "student_code", "physical_page", "q.number", F.col("q.answer_transcription").alias("answer"), F.col("q.reading_confidence").alias("confidence"), "q.ocr_confidence", "q.has_answer")
+    return _vision(g).select("o_orderkey", "p.student_code", "p.physical_page", F.explode("p.questions").alias("q")).select("o_orderkey",
+        "student_code", "physical_page", "q.number", F.col("q.answer_transcription").alias("answer"),
+        F.col("q.reading_confidence").alias("confidence"), "q.ocr_confidence", "q.has_answer")
 
 
-@query("exams", """SELECT exam_id, n::INT AS number, CASE WHEN exam_id % 3 = 2 AND n = 2 THEN 'b2' ELSE 'a' || n END AS prompt FROM exams CROSS JOIN range(1, 3) r(n)""")
+@query("exams", """SELECT exam_id, n::INT AS number, CASE WHEN exam_id % 3 = 2 AND n = 2 THEN 'b2' ELSE 'a' || n END AS prompt
+FROM exams CROSS JOIN range(1, 3) r(n)""")
 def rubric_by_question(g):
     k = F.col("exam_id") % 3
-    raw = F.when(k == 0, '{"questions": [{"number": 1, "prompt": "a1"}, {"questao": "2", "prompt": "a2"}]}').when(k == 1, '{"1": {"prompt": "a1"}, "2": {"prompt": "a2"}, "x": {"prompt": "zz"}}').otherwise('[{"number": 1, "prompt": "a1"}, {"question_number": 2, "prompt": "a2"}, 5, {"number": 2, "prompt": "b2"}]')
+    raw = F.when(k == 0, '{"questions": [{"number": 1, "prompt": "a1"}, {"questao": "2", "prompt": "a2"}]}').when(k == 1,
+        '{"1": {"prompt": "a1"}, "2": {"prompt": "a2"}, "x": {"prompt": "zz"}}').otherwise('[{"number": 1, "prompt": "a1"}, {"question_number": 2, "prompt": "a2"}, 5, {"number": 2, "prompt": "b2"}]')
     return P.rubric_rows(g.exams().withColumn("json", raw)).select("exam_id", "number", F.get_json_object("rubric", "$.prompt").alias("prompt"))
 
 
@@ -173,7 +208,10 @@ def _ocr(g):
 _OCR = """SELECT o_orderkey, o_orderkey % 2 = 0 AS gv, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS bad FROM orders"""
 
 
-@query("", f"""SELECT o_orderkey, CASE WHEN bad THEN '' WHEN gv THEN 'uma resposta longa' ELSE 'p um' || chr(10) || chr(10) || 'p dois' END AS text, bad AS needs_fallback, CASE WHEN o_orderkey % 11 = 0 THEN CASE WHEN gv THEN 'Google Vision' ELSE 'Mistral OCR' END || ' retornou HTTP 503.' WHEN bad THEN CASE WHEN gv THEN 'Google Vision' ELSE 'Mistral OCR' END || ' retornou JSON inválido.' END AS error FROM ({_OCR})""")
+@query("", f"""SELECT o_orderkey, CASE WHEN bad THEN '' WHEN gv THEN 'uma resposta longa'
+ELSE 'p um' || chr(10) || chr(10) || 'p dois' END AS text, bad AS needs_fallback, CASE WHEN o_orderkey % 11 = 0 THEN CASE
+WHEN gv THEN 'Google Vision' ELSE 'Mistral OCR' END || ' retornou HTTP 503.' WHEN bad THEN CASE WHEN gv THEN 'Google Vision'
+ELSE 'Mistral OCR' END || ' retornou JSON inválido.' END AS error FROM ({_OCR})""")
 def ocr_result_normalize(g):
     return _ocr(g).select("o_orderkey", "o.text", "o.needs_fallback", "o.error")
 
@@ -183,25 +221,42 @@ def ocr_confidence_avg(g):
     return _ocr(g).select("o_orderkey", F.round("o.confidence", 6).alias("confidence"))
 
 
-@query("scores", """SELECT result_id AS run_id, 'Aluno ' || result_id AS student_name, CASE WHEN result_id % 2 = 0 AND result_id > 0 THEN result_id ELSE 4 END::INT AS page_number, question_number, CASE WHEN v1 % 3 = 0 THEN 'baixa' ELSE 'alta' END AS reading_confidence, ai_score AS score, requires_manual_review OR v1 % 3 = 0 AS needs_human_review, '{"x":1}' AS image_region FROM scores""")
+@query("scores", """SELECT result_id AS run_id, 'Aluno ' || result_id AS student_name, CASE
+WHEN result_id % 2 = 0 AND result_id > 0 THEN result_id ELSE 4 END::INT AS page_number, question_number, CASE WHEN v1 % 3 = 0 THEN 'baixa'
+ELSE 'alta' END AS reading_confidence, ai_score AS score, requires_manual_review OR v1 % 3 = 0 AS needs_human_review,
+'{"x":1}' AS image_region FROM scores""")
 def visual_answers_flatten(g):
     v = F.col("v1")
-    grade = F.struct(F.col("ai_score").alias("score"), F.lit("parcial").alias("verdict"), F.col("requires_manual_review").alias("needs_human_review"), F.lit("").alias("review_reason"))
-    q = F.struct(F.col("question_number").alias("number"), F.lit("").alias("extracted_answer"), F.lit("t").alias("answer_transcription"), F.when(v % 3 == 0, "baixa").otherwise("alta").alias("reading_confidence"), F.lit(0.9).alias("ocr_confidence"), F.struct(F.lit(1).alias("x")).alias("image_region"), grade.alias("grade"))
+    grade = F.struct(F.col("ai_score").alias("score"), F.lit("parcial").alias("verdict"),
+        F.col("requires_manual_review").alias("needs_human_review"), F.lit("").alias("review_reason"))
+    q = F.struct(F.col("question_number").alias("number"), F.lit("").alias("extracted_answer"), F.lit("t").alias("answer_transcription"),
+        F.when(v % 3 == 0, "baixa").otherwise("alta").alias("reading_confidence"), F.lit(0.9).alias("ocr_confidence"),
+        F.struct(F.lit(1).alias("x")).alias("image_region"), grade.alias("grade"))
     k = F.col("result_id")
     student = F.struct(F.concat(F.lit("Aluno "), k.cast("string")).alias("name"), F.lit("").alias("registration"), F.lit("").alias("student_code"))
     per = g.scores().groupBy("result_id").agg(F.collect_list(q).alias("questions"))
-    page = F.struct(F.lit("").alias("detected_student_name"), F.lit("").alias("detected_registration"), F.lit("").alias("detected_student_code"), student.alias("student"), F.when(k % 2 == 0, k.cast("int")).otherwise(0).alias("physical_page"), F.lit(4).alias("page"), F.col("questions"))
-    return P.flatten_run(per.select(k.alias("run_id"), F.array(page).alias("pages"))).select("run_id", "student_name", "page_number", "question_number", "reading_confidence", "score", "needs_human_review", "image_region")
-
-
-@query("scores", """WITH f AS (SELECT *, CASE WHEN v1 % 5 = 0 THEN 'sem_rubrica' WHEN question_number <= 3 AND v1 % 4 = 0 THEN 'rubrica_trocada' WHEN v1 % 3 = 0 THEN 'erro' ELSE 'corrigida' END AS flow, v1 % 7 = 0 AS low FROM scores)
-SELECT result_id, question_id, flow, CASE flow WHEN 'sem_rubrica' THEN NULL WHEN 'corrigida' THEN ai_score ELSE 0.0 END AS score, CASE flow WHEN 'sem_rubrica' THEN 'sem_rubrica' WHEN 'rubrica_trocada' THEN 'incorreta' WHEN 'erro' THEN CASE WHEN low THEN 'ilegivel' ELSE 'incorreta' END ELSE 'parcial' END AS verdict,
-CASE flow WHEN 'sem_rubrica' THEN low WHEN 'corrigida' THEN requires_manual_review ELSE true END AS needs_human_review, CASE flow WHEN 'sem_rubrica' THEN CASE WHEN low THEN 'Leitura visual com baixa confiança.' ELSE '' END WHEN 'rubrica_trocada' THEN 'Possível troca de rubrica para question_number=' || question_number || ' (página 3).' WHEN 'erro' THEN 'timeout' ELSE '' END AS review_reason FROM f""")
+    page = F.struct(F.lit("").alias("detected_student_name"), F.lit("").alias("detected_registration"),
+        F.lit("").alias("detected_student_code"), student.alias("student"),
+        F.when(k % 2 == 0, k.cast("int")).otherwise(0).alias("physical_page"), F.lit(4).alias("page"), F.col("questions"))
+    return P.flatten_run(per.select(k.alias("run_id"), F.array(page).alias("pages"))).select("run_id", "student_name", "page_number",
+        "question_number", "reading_confidence", "score", "needs_human_review", "image_region")
+
+
+@query("scores", """WITH f AS (SELECT *, CASE WHEN v1 % 5 = 0 THEN 'sem_rubrica'
+WHEN question_number <= 3 AND v1 % 4 = 0 THEN 'rubrica_trocada' WHEN v1 % 3 = 0 THEN 'erro' ELSE 'corrigida' END AS flow, v1 % 7 = 0 AS low
+FROM scores)
+SELECT result_id, question_id, flow, CASE flow WHEN 'sem_rubrica' THEN NULL WHEN 'corrigida' THEN ai_score ELSE 0.0 END AS score, CASE flow
+WHEN 'sem_rubrica' THEN 'sem_rubrica' WHEN 'rubrica_trocada' THEN 'incorreta' WHEN 'erro' THEN CASE WHEN low THEN 'ilegivel'
+ELSE 'incorreta' END ELSE 'parcial' END AS verdict,
+CASE flow WHEN 'sem_rubrica' THEN low WHEN 'corrigida' THEN requires_manual_review ELSE true END AS needs_human_review, CASE flow
+WHEN 'sem_rubrica' THEN CASE WHEN low THEN 'Leitura visual com baixa confiança.' ELSE '' END
+WHEN 'rubrica_trocada' THEN 'Possível troca de rubrica para question_number=' || question_number || ' (página 3).'
+WHEN 'erro' THEN 'timeout' ELSE '' END AS review_reason FROM f""")
 def grade_visual_answers(g):
     v = F.col("v1")
     rows = g.scores().withColumns({
-        "page_number": F.lit(3), "reading_confidence": F.when(v % 7 == 0, "baixa").otherwise("alta"), "has_rubric": v % 5 != 0, "guard_ok": (F.col("question_number") > 3) | (v % 4 != 0), "response_error": F.when(v % 3 == 0, "timeout"),
+        "page_number": F.lit(3), "reading_confidence": F.when(v % 7 == 0, "baixa").otherwise("alta"), "has_rubric": v % 5 != 0,
+            "guard_ok": (F.col("question_number") > 3) | (v % 4 != 0), "response_error": F.when(v % 3 == 0, "timeout"),
         "score": F.col("ai_score"), "verdict": F.lit("parcial"), "needs_human_review": F.col("requires_manual_review"), "review_reason": F.lit(""),
     })
     return P.grade_visual_answers(rows).select("result_id", "question_id", "flow", "score", "verdict", "needs_human_review", "review_reason")

@@ -15,42 +15,63 @@ def _uuid(x):
     return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(x.cast("string"), 12, "0"))
 
 
-@query("", f"""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN {_UUID.format(x='o_custkey')} END AS qr, o_orderkey % 5 <> 1 AS same_exam, CASE WHEN o_orderkey % 6 = 0 THEN {_UUID.format(x='o_custkey + o_orderkey % 2')} END AS head, CASE WHEN o_orderkey % 7 = 0 THEN {_UUID.format(x='o_custkey + o_orderkey % 4')} END AS man FROM orders),
+@query("", f"""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN {_UUID.format(x='o_custkey')} END AS qr,
+o_orderkey % 5 <> 1 AS same_exam, CASE WHEN o_orderkey % 6 = 0 THEN {_UUID.format(x='o_custkey + o_orderkey % 2')} END AS head, CASE
+WHEN o_orderkey % 7 = 0 THEN {_UUID.format(x='o_custkey + o_orderkey % 4')} END AS man FROM orders),
 g AS (SELECT *, qr IS NOT NULL AND same_exam AS good FROM p)
-SELECT k AS page_id, CASE WHEN good THEN qr ELSE coalesce(head, man) END AS student_id, CASE WHEN good THEN 'qr' WHEN head IS NOT NULL THEN 'header_ocr' WHEN man IS NOT NULL THEN 'manifest_fallback' ELSE 'anonymous' END AS identity_source,
-CASE WHEN good THEN concat_ws('|', CASE WHEN man <> qr THEN 'QR e manifest discordam. Usando QR.' END, CASE WHEN head <> qr THEN 'QR e cabeçalho discordam. Usando QR.' END)
-ELSE concat_ws('|', CASE WHEN qr IS NOT NULL THEN 'QR ignorado por exam_id divergente.' END, CASE WHEN head IS NOT NULL THEN CASE WHEN man <> head THEN 'Cabeçalho e manifest discordam. Usando cabeçalho.' END WHEN man IS NOT NULL THEN 'Identidade via manifest_fallback. Conferir manualmente.' ELSE 'Nenhuma identidade confiável encontrada.' END) END AS warnings FROM g""")
+SELECT k AS page_id, CASE WHEN good THEN qr ELSE coalesce(head, man) END AS student_id, CASE WHEN good THEN 'qr'
+WHEN head IS NOT NULL THEN 'header_ocr' WHEN man IS NOT NULL THEN 'manifest_fallback' ELSE 'anonymous' END AS identity_source,
+CASE WHEN good THEN concat_ws('|', CASE WHEN man <> qr THEN 'QR e manifest discordam. Usando QR.' END, CASE
+WHEN head <> qr THEN 'QR e cabeçalho discordam. Usando QR.' END)
+ELSE concat_ws('|', CASE WHEN qr IS NOT NULL THEN 'QR ignorado por exam_id divergente.' END, CASE WHEN head IS NOT NULL THEN CASE
+WHEN man <> head THEN 'Cabeçalho e manifest discordam. Usando cabeçalho.' END
+WHEN man IS NOT NULL THEN 'Identidade via manifest_fallback. Conferir manualmente.'
+ELSE 'Nenhuma identidade confiável encontrada.' END) END AS warnings FROM g""")
 def pick_identity(g):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     exam = (F.floor(k / 75) % 10).cast("string")
     good = T.format_qr(exam, _uuid(c), F.lit("1"), F.lit("1"))
-    payload = F.when((k % 5 == 0) | (k % 5 == 4), good).when(k % 5 == 1, T.format_qr(F.lit("99"), _uuid(c), F.lit("1"), F.lit("1"))).when(k % 5 == 2, F.concat(F.lit("X"), good))
+    payload = F.when((k % 5 == 0) | (k % 5 == 4), good).when(k % 5 == 1,
+        T.format_qr(F.lit("99"), _uuid(c), F.lit("1"), F.lit("1"))).when(k % 5 == 2, F.concat(F.lit("X"), good))
     who = R.pick_identity(T.parse_qr(payload), F.when(k % 6 == 0, _uuid(c + k % 2)), F.when(k % 7 == 0, _uuid(c + k % 4)), exam)
     out = g.raw("orders").select(k.alias("page_id"), who.alias("w"))
     return out.select("page_id", "w.student_id", "w.identity_source", F.array_join("w.warnings", "|").alias("warnings"))
 
 
 _WORDS = "len(list_filter(regexp_split_to_array(answer_text, '\\s+'), lambda w: w <> ''))"
-_REASON = f"""CASE WHEN misaligned THEN 'Falha no alinhamento/crop da página.' WHEN ocr_error IS NOT NULL AND NOT visual_ok THEN 'Falha no OCR: ' || ocr_error WHEN parse_failed THEN 'Resposta da IA em formato inválido ou nota fora do intervalo.'
-WHEN score < 0 OR score > max_score + 1e-6 THEN 'Nota fora do intervalo permitido (0–' || max_score || ').' WHEN confidence < 0.7 THEN 'Confiança da correção automática abaixo do limiar (0,70).' WHEN ocr_confidence < 0.7 THEN 'Confiança do OCR abaixo do limiar (0,70).'
-WHEN {_WORDS} < 3 THEN 'Texto extraído vazio ou muito curto (menos de 3 palavras).' WHEN ocr_unstable AND NOT visual_ok THEN 'OCR instável (fallback necessário) e sem transcrição visual alternativa.'
-WHEN score <= 0 AND length(trim(answer_text)) > 200 THEN 'Nota zero com resposta longa — possível erro de leitura ou interpretação.' WHEN (score < max_score OR score <= 0) AND trim(coalesce(justification, '')) = '' THEN 'Justificativa obrigatória ausente para nota parcial ou zero.'
+_REASON = f"""CASE WHEN misaligned THEN 'Falha no alinhamento/crop da página.'
+WHEN ocr_error IS NOT NULL AND NOT visual_ok THEN 'Falha no OCR: ' || ocr_error
+WHEN parse_failed THEN 'Resposta da IA em formato inválido ou nota fora do intervalo.'
+WHEN score < 0 OR score > max_score + 1e-6 THEN 'Nota fora do intervalo permitido (0–' || max_score || ').'
+WHEN confidence < 0.7 THEN 'Confiança da correção automática abaixo do limiar (0,70).'
+WHEN ocr_confidence < 0.7 THEN 'Confiança do OCR abaixo do limiar (0,70).'
+WHEN {_WORDS} < 3 THEN 'Texto extraído vazio ou muito curto (menos de 3 palavras).'
+WHEN ocr_unstable AND NOT visual_ok THEN 'OCR instável (fallback necessário) e sem transcrição visual alternativa.'
+WHEN score <= 0 AND length(trim(answer_text)) > 200 THEN 'Nota zero com resposta longa — possível erro de leitura ou interpretação.'
+WHEN (score < max_score OR score <= 0) AND trim(coalesce(justification,
+'')) = '' THEN 'Justificativa obrigatória ausente para nota parcial ou zero.'
 WHEN flagged THEN coalesce(nullif(flag_reason, ''), 'IA sinalizou revisão manual.') END"""
-_ANSWERS = f"""a AS (SELECT *, ai_score AS score, CASE WHEN v1 % 29 = 0 THEN 0.5 ELSE greatest(grading_confidence, 0.6) END AS confidence, CASE WHEN v1 % 13 = 0 THEN NULL ELSE 'justificativa' END AS justification, v1 % 19 = 0 AS flagged, CASE WHEN v1 % 2 = 0 THEN 'motivo' END AS flag_reason,
-CASE WHEN v1 % 31 = 0 THEN 'HTTP 500' END AS ocr_error, v1 % 11 = 0 AS ocr_unstable, v1 % 17 = 0 AS parse_failed, v1 % 3 = 0 AS visual_ok, v1 % 37 = 0 AS misaligned FROM answers)"""
+_ANSWERS = f"""a AS (SELECT *, ai_score AS score, CASE WHEN v1 % 29 = 0 THEN 0.5
+ELSE greatest(grading_confidence, 0.6) END AS confidence, CASE WHEN v1 % 13 = 0 THEN NULL
+ELSE 'justificativa' END AS justification, v1 % 19 = 0 AS flagged, CASE WHEN v1 % 2 = 0 THEN 'motivo' END AS flag_reason,
+CASE WHEN v1 % 31 = 0 THEN 'HTTP 500' END AS ocr_error, v1 % 11 = 0 AS ocr_unstable, v1 % 17 = 0 AS parse_failed, v1 % 3 = 0 AS visual_ok,
+v1 % 37 = 0 AS misaligned FROM answers)"""
 
 
 def _answers(g):
     v = F.col("v1")
     return g.answers().withColumns({
-        "score": F.col("ai_score"), "confidence": F.when(v % 29 == 0, 0.5).otherwise(F.greatest("grading_confidence", F.lit(0.6))), "justification": F.when(v % 13 != 0, "justificativa"), "flagged": v % 19 == 0, "flag_reason": F.when(v % 2 == 0, "motivo"),
-        "ocr_error": F.when(v % 31 == 0, "HTTP 500"), "ocr_unstable": v % 11 == 0, "parse_failed": v % 17 == 0, "visual_ok": v % 3 == 0, "misaligned": v % 37 == 0,
+        "score": F.col("ai_score"), "confidence": F.when(v % 29 == 0, 0.5).otherwise(F.greatest("grading_confidence", F.lit(0.6))),
+            "justification": F.when(v % 13 != 0, "justificativa"), "flagged": v % 19 == 0, "flag_reason": F.when(v % 2 == 0, "motivo"),
+        "ocr_error": F.when(v % 31 == 0, "HTTP 500"), "ocr_unstable": v % 11 == 0, "parse_failed": v % 17 == 0, "visual_ok": v % 3 == 0,
+            "misaligned": v % 37 == 0,
     })
 
 
 @query("answers", f"WITH {_ANSWERS} SELECT result_id, question_id, {_REASON} AS reason FROM a")
 def decide_manual_review(g):
-    names = ("score", "confidence", "justification", "flagged", "flag_reason", "max_score", "ocr_error", "ocr_confidence", "ocr_unstable", "parse_failed", "visual_ok", "misaligned")
+    names = ("score", "confidence", "justification", "flagged", "flag_reason", "max_score", "ocr_error", "ocr_confidence", "ocr_unstable",
+        "parse_failed", "visual_ok", "misaligned")
     reason = R.review_reason(answer=F.col("answer_text"), **{n: F.col(n) for n in names})
     return _answers(g).select("result_id", "question_id", reason.alias("reason"))
 
@@ -59,24 +80,38 @@ _SOURCE = "CASE result_id % 4 WHEN 0 THEN 'manifest_fallback' WHEN 1 THEN 'heade
 
 
 @query("answers", f"""WITH {_ANSWERS}, r AS (SELECT *, {_SOURCE} AS identity_source, {_REASON} AS reason FROM a)
-SELECT result_id, question_id, identity_source <> 'qr' OR reason IS NOT NULL AS requires_manual_review, CASE WHEN identity_source = 'qr' AND reason IS NULL THEN score END AS final_score, CASE WHEN identity_source <> 'qr' THEN coalesce(reason, 'Vinculação sem QR confiável (' || identity_source || '). Conferir aluno/página.') ELSE reason END AS manual_review_reason FROM r""")
+SELECT result_id, question_id, identity_source <> 'qr' OR reason IS NOT NULL AS requires_manual_review, CASE
+WHEN identity_source = 'qr' AND reason IS NULL THEN score END AS final_score, CASE
+WHEN identity_source <> 'qr' THEN coalesce(reason, 'Vinculação sem QR confiável (' || identity_source || '). Conferir aluno/página.')
+ELSE reason END AS manual_review_reason FROM r""")
 def identity_review_override(g):
-    names = ("score", "confidence", "justification", "flagged", "flag_reason", "max_score", "ocr_error", "ocr_confidence", "ocr_unstable", "parse_failed", "visual_ok", "misaligned")
+    names = ("score", "confidence", "justification", "flagged", "flag_reason", "max_score", "ocr_error", "ocr_confidence", "ocr_unstable",
+        "parse_failed", "visual_ok", "misaligned")
     k = F.col("result_id") % 4
-    rows = _answers(g).withColumns({"identity_source": F.when(k == 0, "manifest_fallback").when(k == 1, "header_ocr").otherwise("qr"), "manual_review_reason": R.review_reason(answer=F.col("answer_text"), **{n: F.col(n) for n in names})})
-    rows = rows.withColumn("requires_manual_review", F.col("manual_review_reason").isNotNull()).withColumn("final_score", F.when(~F.col("requires_manual_review"), F.col("score")))
+    rows = _answers(g).withColumns({"identity_source": F.when(k == 0, "manifest_fallback").when(k == 1, "header_ocr").otherwise("qr"),
+        "manual_review_reason": R.review_reason(answer=F.col("answer_text"), **{n: F.col(n) for n in names})})
+    rows = rows.withColumn("requires_manual_review", F.col("manual_review_reason").isNotNull()).withColumn("final_score",
+        F.when(~F.col("requires_manual_review"), F.col("score")))
     return R.identity_override(rows).select("result_id", "question_id", "requires_manual_review", "final_score", "manual_review_reason")
 
 
 _ASK = "ocr_error IS NOT NULL OR ocr_unstable OR parse_failed OR confidence < 0.7 OR flagged"
-_SCORED = f"""WITH {_ANSWERS}, b AS (SELECT * REPLACE (CASE WHEN ocr_error IS NOT NULL THEN 0.0 ELSE score END AS score, CASE WHEN ocr_error IS NOT NULL THEN 1.0 ELSE confidence END AS confidence, CASE WHEN ocr_error IS NOT NULL THEN '' ELSE justification END AS justification, CASE WHEN ocr_error IS NOT NULL THEN true ELSE flagged END AS flagged, coalesce(ocr_error, flag_reason) AS flag_reason, CASE WHEN ocr_error IS NOT NULL THEN false ELSE parse_failed END AS parse_failed) FROM a),
+_SCORED = f"""WITH {_ANSWERS}, b AS (SELECT * REPLACE (CASE WHEN ocr_error IS NOT NULL THEN 0.0 ELSE score END AS score, CASE
+WHEN ocr_error IS NOT NULL THEN 1.0 ELSE confidence END AS confidence, CASE WHEN ocr_error IS NOT NULL THEN ''
+ELSE justification END AS justification, CASE WHEN ocr_error IS NOT NULL THEN true
+ELSE flagged END AS flagged, coalesce(ocr_error, flag_reason) AS flag_reason, CASE WHEN ocr_error IS NOT NULL THEN false
+ELSE parse_failed END AS parse_failed) FROM a),
 c AS (SELECT *, ({_ASK}) AND v1 % 2 = 0 AND v1 % 3 <> 0 AS used FROM b),
-d AS (SELECT * REPLACE (CASE WHEN used THEN 1.0 ELSE score END AS score, CASE WHEN used THEN 0.9 ELSE confidence END AS confidence, CASE WHEN used THEN 'visual' ELSE justification END AS justification, CASE WHEN used THEN false ELSE flagged END AS flagged, CASE WHEN used THEN false ELSE parse_failed END AS parse_failed, used OR NOT ocr_unstable AS visual_ok) FROM c),
+d AS (SELECT * REPLACE (CASE WHEN used THEN 1.0 ELSE score END AS score, CASE WHEN used THEN 0.9 ELSE confidence END AS confidence, CASE
+WHEN used THEN 'visual' ELSE justification END AS justification, CASE WHEN used THEN false ELSE flagged END AS flagged, CASE
+WHEN used THEN false ELSE parse_failed END AS parse_failed, used OR NOT ocr_unstable AS visual_ok) FROM c),
 e AS (SELECT *, {_REASON} AS reason FROM d)"""
 
 
 def score_rows(g):
-    grade = lambda score, confidence, justification, flagged, reason, ok: F.struct(score.cast("double").alias("score"), confidence.cast("double").alias("confidence"), justification.cast("string").alias("justification"), flagged.alias("flagged"), reason.cast("string").alias("flag_reason"), ok.alias("parse_ok"))
+    grade = lambda score, confidence, justification, flagged, reason, ok: F.struct(score.cast("double").alias("score"),
+        confidence.cast("double").alias("confidence"), justification.cast("string").alias("justification"), flagged.alias("flagged"),
+        reason.cast("string").alias("flag_reason"), ok.alias("parse_ok"))
     v = F.col("v1")
     text = grade(F.col("score"), F.col("confidence"), F.col("justification"), F.col("flagged"), F.col("flag_reason"), ~F.col("parse_failed"))
     visual = F.when(v % 2 == 0, grade(F.lit(1.0), F.lit(0.9), F.lit("visual"), F.lit(False), F.lit(None), v % 3 != 0))
@@ -84,20 +119,31 @@ def score_rows(g):
     return rows.drop("score", "confidence", "justification", "flagged", "flag_reason", "final_score", "ai_score", "requires_manual_review")
 
 
-@query("answers", f"{_SCORED} SELECT result_id, question_id, score AS ai_score, CASE WHEN reason IS NULL THEN score END AS final_score, reason IS NOT NULL AS requires_manual_review, reason AS manual_review_reason, used AS used_visual FROM e")
+@query("answers", f"""{_SCORED} SELECT result_id, question_id, score AS ai_score, CASE
+WHEN reason IS NULL THEN score END AS final_score, reason IS NOT NULL AS requires_manual_review, reason AS manual_review_reason,
+used AS used_visual FROM e""")
 def score_answers(g):
-    return R.score_answers(score_rows(g)).select("result_id", "question_id", "ai_score", "final_score", "requires_manual_review", "manual_review_reason", "used_visual")
+    return R.score_answers(score_rows(g)).select("result_id", "question_id", "ai_score", "final_score", "requires_manual_review",
+        "manual_review_reason", "used_visual")
 
 
 @query("answers", f"WITH {_ANSWERS} SELECT result_id, question_id FROM a WHERE {_ASK}")
 def visual_fallback_candidates(g):
     c = F.col
-    return _answers(g).where(R.needs_visual_grade(c("ocr_error"), c("ocr_unstable"), ~c("parse_failed"), c("confidence"), c("flagged"))).select("result_id", "question_id")
-
-
-@query("scores", """WITH w AS (SELECT result_id, question_id, CASE v1 % 9 WHEN 0 THEN 'Sem resposta' WHEN 1 THEN 'Cópia do enunciado' WHEN 2 THEN 'JSON ruim' WHEN 3 THEN 'Expecting property name' WHEN 4 THEN 'manifest_fallback' WHEN 5 THEN 'baixa confiança' WHEN 6 THEN 'fora do tema' WHEN 7 THEN 'algo' END AS t, v1 % 9 AS k, v1 % 41 = 0 AS empty, v1 % 43 = 0 AS low FROM scores)
-SELECT result_id, question_id, CASE WHEN empty OR k = 0 THEN 'Resposta em branco ou não detectada.' WHEN k = 1 THEN 'Resposta parece cópia do enunciado da questão.' WHEN k = 2 THEN 'Falha no formato da resposta da IA. Conferir nota sugerida.' WHEN k = 3 THEN 'Falha ao interpretar resposta da IA. Revisão manual recomendada.'
-WHEN k = 4 THEN 'Vinculação do aluno feita sem QR confiável. Conferir aluno.' WHEN low OR k = 5 THEN 'Baixa confiança na leitura da resposta manuscrita.' WHEN k = 6 THEN 'Resposta fora do tema da questão.' WHEN k = 7 THEN 'Revisão manual recomendada.' ELSE '' END AS reason FROM w""")
+    return _answers(g).where(R.needs_visual_grade(c("ocr_error"), c("ocr_unstable"), ~c("parse_failed"), c("confidence"),
+        c("flagged"))).select("result_id", "question_id")
+
+
+@query("scores", """WITH w AS (SELECT result_id, question_id, CASE v1 % 9 WHEN 0 THEN 'Sem resposta' WHEN 1 THEN 'Cópia do enunciado'
+WHEN 2 THEN 'JSON ruim' WHEN 3 THEN 'Expecting property name' WHEN 4 THEN 'manifest_fallback' WHEN 5 THEN 'baixa confiança'
+WHEN 6 THEN 'fora do tema' WHEN 7 THEN 'algo' END AS t, v1 % 9 AS k, v1 % 41 = 0 AS empty, v1 % 43 = 0 AS low FROM scores)
+SELECT result_id, question_id, CASE WHEN empty OR k = 0 THEN 'Resposta em branco ou não detectada.'
+WHEN k = 1 THEN 'Resposta parece cópia do enunciado da questão.'
+WHEN k = 2 THEN 'Falha no formato da resposta da IA. Conferir nota sugerida.'
+WHEN k = 3 THEN 'Falha ao interpretar resposta da IA. Revisão manual recomendada.'
+WHEN k = 4 THEN 'Vinculação do aluno feita sem QR confiável. Conferir aluno.'
+WHEN low OR k = 5 THEN 'Baixa confiança na leitura da resposta manuscrita.' WHEN k = 6 THEN 'Resposta fora do tema da questão.'
+WHEN k = 7 THEN 'Revisão manual recomendada.' ELSE '' END AS reason FROM w""")
 def humanize_reason(g):
     k = F.col("v1") % 9
     texts = ("Sem resposta", "Cópia do enunciado", "JSON ruim", "Expecting property name", "manifest_fallback", "baixa confiança", "fora do tema", "algo")
@@ -106,7 +152,8 @@ def humanize_reason(g):
     return g.scores().select("result_id", "question_id", reason.alias("reason"))
 
 
-@query("answers", """SELECT result_id, question_id, CASE WHEN v1 % 8 = 0 THEN 'parcial' WHEN trim(answer_text) = '' THEN 'sem_resposta' WHEN ai_score >= 0.99 THEN 'correta' WHEN ai_score > 0 THEN 'parcial' ELSE 'incorreta' END AS verdict FROM answers""")
+@query("answers", """SELECT result_id, question_id, CASE WHEN v1 % 8 = 0 THEN 'parcial' WHEN trim(answer_text) = '' THEN 'sem_resposta'
+WHEN ai_score >= 0.99 THEN 'correta' WHEN ai_score > 0 THEN 'parcial' ELSE 'incorreta' END AS verdict FROM answers""")
 def normalize_verdict(g):
     verdict = R.normalize_verdict(F.when(F.col("v1") % 8 == 0, " Parcial ").otherwise("?"), F.col("answer_text"), F.lit("baixa"), F.col("ai_score"))
     return g.answers().select("result_id", "question_id", verdict.alias("verdict"))
@@ -115,44 +162,67 @@ def normalize_verdict(g):
 _NORMAL = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9áàâãéèêíïóôõöúçñ\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
-@query("answers", f"""WITH t AS (SELECT result_id, question_id, v1 % 23 = 1 AS spelt, CASE WHEN v1 % 23 = 1 THEN regexp_replace(substr(question_text, 1, 120), '([^ ]+)', '\\1x', 'g') ELSE answer_text END AS answer, CASE WHEN v1 % 23 = 1 THEN substr(question_text, 1, 120) ELSE question_text END AS question FROM answers),
+@query("answers", f"""WITH t AS (SELECT result_id, question_id, v1 % 23 = 1 AS spelt, CASE
+WHEN v1 % 23 = 1 THEN regexp_replace(substr(question_text, 1, 120), '([^ ]+)', '\\1x', 'g') ELSE answer_text END AS answer, CASE
+WHEN v1 % 23 = 1 THEN substr(question_text, 1, 120) ELSE question_text END AS question FROM answers),
 n AS (SELECT result_id, question_id, spelt, {_NORMAL.format(x='answer')} AS a, {_NORMAL.format(x='question')} AS b FROM t)
-SELECT result_id, question_id, length(array_to_string(a, ' ')) >= 20 AND length(array_to_string(b, ' ')) >= 20 AND (spelt OR len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(a))) >= 0.85) AS copied FROM n""")
+SELECT result_id, question_id, length(array_to_string(a, ' ')) >= 20 AND length(array_to_string(b,
+' ')) >= 20 AND (spelt OR len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(a))) >= 0.85) AS copied
+FROM n""")
 def looks_like_copy(g):
     """Answers that copy their question; one in 23 spells every word of it with a letter more, which only the likeness of the texts shows."""
     spelt, start = F.col("v1") % 23 == 1, F.substring("question_text", 1, 120)
-    rows = g.answers().withColumns({"answer": F.when(spelt, F.regexp_replace(start, "([^ ]+)", "$1x")).otherwise(F.col("answer_text")), "question": F.when(spelt, start).otherwise(F.col("question_text"))})
+    rows = g.answers().withColumns({"answer": F.when(spelt, F.regexp_replace(start, "([^ ]+)", "$1x")).otherwise(F.col("answer_text")),
+        "question": F.when(spelt, start).otherwise(F.col("question_text"))})
     return R.with_copy_flag(rows, "answer", "question").select("result_id", "question_id", "copied")
 
 
-@query("questions", """SELECT question_id, CASE WHEN question_number > 3 THEN true WHEN question_number = 1 THEN contains(lower(expected_answer), 'the') ELSE contains(lower(expected_answer), 'que') OR contains(lower(expected_answer), 'der') END AS guard_ok FROM questions""")
+@query("questions", """SELECT question_id, CASE WHEN question_number > 3 THEN true
+WHEN question_number = 1 THEN contains(lower(expected_answer), 'the') ELSE contains(lower(expected_answer),
+'que') OR contains(lower(expected_answer), 'der') END AS guard_ok FROM questions""")
 def rubric_guard(g):
     guards = g.spark.createDataFrame([(1, ["the"]), (2, ["que", "der"]), (3, ["que", "der"])], "question_number int, terms array<string>")
     return R.guard_holds(g.questions(), F.broadcast(guards), F.col("expected_answer")).select("question_id", "guard_ok")
 
 
-@query("", """WITH w AS (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders) SELECT o_orderkey, CASE k WHEN 0 THEN 'RUBRIC_MISMATCH' WHEN 1 THEN 'JSON_SCHEMA_INVALID' WHEN 2 THEN 'PDF_RENDER_FAILED' WHEN 3 THEN 'QR_READ_FAILED' WHEN 4 THEN 'TRANSCRIPTION_FAILED' WHEN 5 THEN 'GRADING_FAILED' WHEN 6 THEN 'DATABASE_ERROR' WHEN 7 THEN 'PDF_ANALYSIS_FAILED' WHEN 8 THEN 'PDF_RENDER_FAILED' ELSE 'PDF_ANALYSIS_FAILED' END AS code,
-CASE k WHEN 0 THEN 'grading' WHEN 1 THEN 'grading' WHEN 2 THEN 'student_detection' WHEN 3 THEN 'qr_reading' WHEN 4 THEN 'transcription' WHEN 5 THEN 'grading' WHEN 6 THEN 'database' WHEN 8 THEN 'student_detection' ELSE 'unknown' END AS stage FROM w""")
+@query("", """WITH w AS (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders) SELECT o_orderkey, CASE k WHEN 0 THEN 'RUBRIC_MISMATCH'
+WHEN 1 THEN 'JSON_SCHEMA_INVALID' WHEN 2 THEN 'PDF_RENDER_FAILED' WHEN 3 THEN 'QR_READ_FAILED' WHEN 4 THEN 'TRANSCRIPTION_FAILED'
+WHEN 5 THEN 'GRADING_FAILED' WHEN 6 THEN 'DATABASE_ERROR' WHEN 7 THEN 'PDF_ANALYSIS_FAILED' WHEN 8 THEN 'PDF_RENDER_FAILED'
+ELSE 'PDF_ANALYSIS_FAILED' END AS code,
+CASE k WHEN 0 THEN 'grading' WHEN 1 THEN 'grading' WHEN 2 THEN 'student_detection' WHEN 3 THEN 'qr_reading' WHEN 4 THEN 'transcription'
+WHEN 5 THEN 'grading' WHEN 6 THEN 'database' WHEN 8 THEN 'student_detection' ELSE 'unknown' END AS stage FROM w""")
 def classify_error(g):
-    texts = ("Possível troca de rubrica", "JSON incompleto", "PDF sem imagem", "QR ilegível", "Falha na transcrição", "Correção falhou", "psycopg erro", "pane", "render", "")
+    texts = ("Possível troca de rubrica", "JSON incompleto", "PDF sem imagem", "QR ilegível", "Falha na transcrição", "Correção falhou",
+        "psycopg erro", "pane", "render", "")
     code = R.error_code(F.get(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 10).cast("int")))
     return g.raw("orders").select("o_orderkey", code.alias("code"), R._look_up(R.STAGES, code, "unknown").alias("stage"))
 
 
-@query("", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'GRADING_FAILED' WHEN 1 THEN 'STUDENT_LINK_WEAK' ELSE 'JSON_SCHEMA_INVALID' END AS code, CASE o_orderkey % 3 WHEN 0 THEN 'Falha na correção automática de uma ou mais respostas.' WHEN 1 THEN 'Página sem aluno ' || o_orderkey ELSE 'A IA retornou uma resposta fora do formato esperado.' END AS message, CASE WHEN o_orderkey % 3 = 1 THEN 'unknown' ELSE 'grading' END AS stage FROM orders""")
+@query("", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'GRADING_FAILED' WHEN 1 THEN 'STUDENT_LINK_WEAK'
+ELSE 'JSON_SCHEMA_INVALID' END AS code, CASE o_orderkey % 3 WHEN 0 THEN 'Falha na correção automática de uma ou mais respostas.'
+WHEN 1 THEN 'Página sem aluno ' || o_orderkey ELSE 'A IA retornou uma resposta fora do formato esperado.' END AS message, CASE
+WHEN o_orderkey % 3 = 1 THEN 'unknown' ELSE 'grading' END AS stage FROM orders""")
 def warnings_normalize(g):
     k = F.col("o_orderkey")
     said = F.when(k % 3 == 0, "Falha: grading").when(k % 3 == 1, F.concat(F.lit("Página sem aluno "), k.cast("string"))).otherwise("JSON com schema ruim")
     return g.raw("orders").select("o_orderkey", R.normalize_warning(said).alias("w")).select("o_orderkey", "w.code", "w.message", "w.stage")
 
 
-@query("", """WITH o AS (SELECT o_orderkey, o_orderkey % 6 = 0 AS e1, o_orderkey % 4 = 0 AS n1, o_orderkey % 5 = 0 AS e2, o_orderkey % 3 = 0 AS n2, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'texto um' END AS t1, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'texto dois' END AS t2 FROM orders)
-SELECT o_orderkey, CASE WHEN NOT e1 AND NOT n1 THEN 'a' ELSE 'a->fallback:b' END AS provider, CASE WHEN NOT e1 AND NOT n1 THEN t1 WHEN NOT e2 THEN t2 ELSE CASE WHEN t1 <> '' THEN t1 ELSE t2 END END AS text,
-CASE WHEN NOT e1 AND NOT n1 THEN NULL WHEN NOT e2 THEN NULL ELSE concat_ws('; ', CASE WHEN e1 THEN 'erro a' END, CASE WHEN e2 THEN 'erro b' END) END AS error, CASE WHEN NOT e1 AND NOT n1 THEN false WHEN NOT e2 THEN n2 ELSE true END AS needs_fallback FROM o""")
+@query("", """WITH o AS (SELECT o_orderkey, o_orderkey % 6 = 0 AS e1, o_orderkey % 4 = 0 AS n1, o_orderkey % 5 = 0 AS e2,
+o_orderkey % 3 = 0 AS n2, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'texto um' END AS t1, CASE WHEN o_orderkey % 5 = 0 THEN ''
+ELSE 'texto dois' END AS t2 FROM orders)
+SELECT o_orderkey, CASE WHEN NOT e1 AND NOT n1 THEN 'a' ELSE 'a->fallback:b' END AS provider, CASE WHEN NOT e1 AND NOT n1 THEN t1
+WHEN NOT e2 THEN t2 ELSE CASE WHEN t1 <> '' THEN t1 ELSE t2 END END AS text,
+CASE WHEN NOT e1 AND NOT n1 THEN NULL WHEN NOT e2 THEN NULL ELSE concat_ws('; ', CASE WHEN e1 THEN 'erro a' END, CASE
+WHEN e2 THEN 'erro b' END) END AS error, CASE WHEN NOT e1 AND NOT n1 THEN false WHEN NOT e2 THEN n2 ELSE true END AS needs_fallback FROM o""")
 def ocr_provider_chain(g):
     k = F.col("o_orderkey")
-    step = lambda rank, every, unstable, name, said: F.struct(F.lit(rank).alias("rank"), F.when(k % every == 0, "").otherwise(said).alias("text"), F.lit(0.9).alias("confidence"), ((k % unstable == 0) | (k % every == 0)).alias("needs_fallback"), F.lit(name).alias("provider"), F.when(k % every == 0, f"erro {name}").alias("error"))
-    rows = g.raw("orders").select("o_orderkey", F.explode(F.array(step(1, 6, 4, "a", "texto um"), step(2, 5, 3, "b", "texto dois"))).alias("s")).select("o_orderkey", "s.*")
+    step = lambda rank, every, unstable, name, said: F.struct(F.lit(rank).alias("rank"),
+        F.when(k % every == 0, "").otherwise(said).alias("text"), F.lit(0.9).alias("confidence"),
+        ((k % unstable == 0) | (k % every == 0)).alias("needs_fallback"), F.lit(name).alias("provider"),
+        F.when(k % every == 0, f"erro {name}").alias("error"))
+    rows = g.raw("orders").select("o_orderkey",
+        F.explode(F.array(step(1, 6, 4, "a", "texto um"), step(2, 5, 3, "b", "texto dois"))).alias("s")).select("o_orderkey", "s.*")
     return R.chain_ocr(rows, ["o_orderkey"]).select("o_orderkey", "provider", "text", "error", "needs_fallback")
 
 

@@ -11,18 +11,21 @@ from scoreweave.operators import sheets as H
 from scoreweave.plans.registry import query
 from scoreweave.sources import files as L
 
-_BOX = "SELECT o_orderkey AS box_id, o_orderkey // 20 AS page_id, (o_orderkey * 37 % 500)::INT AS x, (o_orderkey * 91 % 900)::INT AS y, (100 + o_orderkey * 13 % 700)::INT AS w, (20 + o_orderkey * 7 % 300)::INT AS h FROM orders"
+_BOX = """SELECT o_orderkey AS box_id, o_orderkey // 20 AS page_id, (o_orderkey * 37 % 500)::INT AS x, (o_orderkey * 91 % 900)::INT AS y,
+(100 + o_orderkey * 13 % 700)::INT AS w, (20 + o_orderkey * 7 % 300)::INT AS h FROM orders"""
 
 
 def _boxes(g):
     k = F.col("o_orderkey")
-    return g.raw("orders").select(k.alias("box_id"), F.floor(k / 20).cast("long").alias("page_id"), (k * 37 % 500).cast("int").alias("x"), (k * 91 % 900).cast("int").alias("y"), (100 + k * 13 % 700).cast("int").alias("w"), (20 + k * 7 % 300).cast("int").alias("h"))
+    return g.raw("orders").select(k.alias("box_id"), F.floor(k / 20).cast("long").alias("page_id"), (k * 37 % 500).cast("int").alias("x"),
+        (k * 91 % 900).cast("int").alias("y"), (100 + k * 13 % 700).cast("int").alias("w"), (20 + k * 7 % 300).cast("int").alias("h"))
 
 
 _RATIO = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / least(a.w * a.h, b.w * b.h)"
 
 
-@query("", f"WITH x AS ({_BOX}) SELECT a.page_id, a.box_id AS a_id, b.box_id AS b_id FROM x a JOIN x b ON a.page_id = b.page_id AND a.box_id < b.box_id WHERE {_RATIO} > 0.65")
+@query("", f"""WITH x AS ({_BOX}) SELECT a.page_id, a.box_id AS a_id, b.box_id AS b_id FROM x a
+JOIN x b ON a.page_id = b.page_id AND a.box_id < b.box_id WHERE {_RATIO} > 0.65""")
 def box_overlap_pairs(g):
     return H.overlapping_pairs(_boxes(g), ["page_id"])
 
@@ -37,35 +40,45 @@ def overlap_ratio(g):
 _OVERLAP = "greatest(0, least(b.x + b.w, k.x + k.w) - greatest(b.x, k.x)) * greatest(0, least(b.y + b.h, k.y + k.h) - greatest(b.y, k.y)) / least(b.w * b.h, k.w * k.h) > 0.65"
 
 
-@query("", f"""WITH RECURSIVE x AS ({_BOX}), o AS (SELECT page_id, {{'y': y, 'x': x, 'w': w, 'h': h}} AS b, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) AS n FROM x),
+@query("", f"""WITH RECURSIVE x AS ({_BOX}), o AS (SELECT page_id, {{'y': y, 'x': x, 'w': w, 'h': h}} AS b,
+row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) AS n FROM x),
 s AS (SELECT page_id, n, [b] AS kept FROM o WHERE n = 1 UNION ALL
-SELECT s.page_id, o.n, CASE WHEN len(list_filter(s.kept, lambda k: {_OVERLAP.replace('b.', 'o.b.')})) > 0 THEN s.kept ELSE list_append(s.kept, o.b) END FROM s JOIN o ON o.page_id = s.page_id AND o.n = s.n + 1),
+SELECT s.page_id, o.n, CASE WHEN len(list_filter(s.kept, lambda k: {_OVERLAP.replace('b.', 'o.b.')})) > 0 THEN s.kept
+ELSE list_append(s.kept, o.b) END FROM s JOIN o ON o.page_id = s.page_id AND o.n = s.n + 1),
 f AS (SELECT page_id, unnest(kept) AS b, unnest(range(len(kept))) AS i FROM (SELECT page_id, arg_max(kept, n) AS kept FROM s GROUP BY 1))
 SELECT page_id, i::INT AS index, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM f""")
 def dedupe_boxes(g):
     return H.dedupe_boxes(_boxes(g), ["page_id"])
 
 
-@query("", f"""WITH x AS ({_BOX}), c AS (SELECT *, (w * 0.02)::DECIMAL(9, 2) AS u, (h * 0.04)::DECIMAL(9, 2) AS v FROM x WHERE w * h >= 0.025 * 1000 * 1400 AND w >= 350 AND h >= 70 AND y >= 140)
-SELECT box_id, greatest(0, x - trunc(u))::INT AS x, greatest(0, y - trunc(v))::INT AS y, (least(1000, x + w + trunc(u)) - greatest(0, x - trunc(u)))::INT AS w, (least(1400, y + h + trunc(v)) - greatest(0, y - trunc(v)))::INT AS h FROM c""")
+@query("", f"""WITH x AS ({_BOX}), c AS (SELECT *, (w * 0.02)::DECIMAL(9, 2) AS u, (h * 0.04)::DECIMAL(9, 2) AS v FROM x
+WHERE w * h >= 0.025 * 1000 * 1400 AND w >= 350 AND h >= 70 AND y >= 140)
+SELECT box_id, greatest(0, x - trunc(u))::INT AS x, greatest(0, y - trunc(v))::INT AS y, (least(1000, x + w + trunc(u)) - greatest(0,
+x - trunc(u)))::INT AS w, (least(1400, y + h + trunc(v)) - greatest(0, y - trunc(v)))::INT AS h FROM c""")
 def region_candidates(g):
     return H.region_candidates(_boxes(g).withColumns({"page_w": F.lit(1000), "page_h": F.lit(1400)})).select("box_id", "x", "y", "w", "h")
 
 
-@query("", f"WITH b AS ({_BOX}) SELECT box_id, trunc(x * (200 / 72.0))::INT AS l, trunc((842 - y - h) * (200 / 72.0))::INT AS u, trunc((x + w) * (200 / 72.0))::INT AS r, trunc((842 - y) * (200 / 72.0))::INT AS d FROM b")
+@query("", f"""WITH b AS ({_BOX}) SELECT box_id, trunc(x * (200 / 72.0))::INT AS l, trunc((842 - y - h) * (200 / 72.0))::INT AS u,
+trunc((x + w) * (200 / 72.0))::INT AS r, trunc((842 - y) * (200 / 72.0))::INT AS d FROM b""")
 def box_to_pixels(g):
     c = F.col
     px = H.box_to_pixels(c("x").cast("double"), c("y").cast("double"), c("w").cast("double"), c("h").cast("double"), F.lit(842.0))
-    return _boxes(g).select("box_id", px.alias("p")).select("box_id", F.col("p.left").alias("l"), F.col("p.upper").alias("u"), F.col("p.right").alias("r"), F.col("p.lower").alias("d"))
+    return _boxes(g).select("box_id", px.alias("p")).select("box_id", F.col("p.left").alias("l"), F.col("p.upper").alias("u"),
+        F.col("p.right").alias("r"), F.col("p.lower").alias("d"))
 
 
-@query("", """WITH t AS (SELECT o_orderkey, 72 / 25.4 AS mm, (300 + o_orderkey % 700)::DOUBLE AS area FROM orders) SELECT o_orderkey, round(20 * mm - 6 * mm, 6) AS left_x, round(595.0 - 20 * mm + 2 * mm, 6) AS right_x, round(greatest(least(area - 4 * mm, 842.0 - 24 * mm), 28 * mm), 6) AS top_y FROM t""")
+@query("", """WITH t AS (SELECT o_orderkey, 72 / 25.4 AS mm, (300 + o_orderkey % 700)::DOUBLE AS area
+FROM orders) SELECT o_orderkey, round(20 * mm - 6 * mm, 6) AS left_x, round(595.0 - 20 * mm + 2 * mm, 6) AS right_x,
+round(greatest(least(area - 4 * mm, 842.0 - 24 * mm), 28 * mm), 6) AS top_y FROM t""")
 def fiducials(g):
     marks = H.fiducials(F.lit(595.0), F.lit(842.0), (300 + F.col("o_orderkey") % 700).cast("double"))
-    return g.raw("orders").select("o_orderkey", marks.alias("m")).select("o_orderkey", *(F.round(F.get("m", i)[c], 6).alias(n) for i, c, n in ((0, "x_pt", "left_x"), (1, "x_pt", "right_x"), (2, "y_pt", "top_y"))))
+    return g.raw("orders").select("o_orderkey", marks.alias("m")).select("o_orderkey",
+        *(F.round(F.get("m", i)[c], 6).alias(n) for i, c, n in ((0, "x_pt", "left_x"), (1, "x_pt", "right_x"), (2, "y_pt", "top_y"))))
 
 
-@query("", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [1, 2, 3, 4, 5] ELSE list_sort(list_distinct(list_filter([3, (o_orderkey % 9)::INT, 1], lambda p: p BETWEEN 1 AND 5))) END AS pages FROM orders""")
+@query("", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [1, 2, 3, 4, 5]
+ELSE list_sort(list_distinct(list_filter([3, (o_orderkey % 9)::INT, 1], lambda p: p BETWEEN 1 AND 5))) END AS pages FROM orders""")
 def select_pages(g):
     k = F.col("o_orderkey")
     raw = F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("3, "), (k % 9).cast("string"), F.lit(" ,,1, 3")))
@@ -75,7 +88,8 @@ def select_pages(g):
 @query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'extension' WHEN 2 THEN 'empty' WHEN 3 THEN 'too_large' END AS reason FROM orders")
 def upload_reject_reason(g):
     k = F.col("o_orderkey") % 4
-    return g.raw("orders").select("o_orderkey", L.reject_reason(F.when(k == 1, "a.doc").otherwise("a.PDF"), F.when(k == 2, 0).when(k == 3, 50 << 20).otherwise(9)).alias("reason"))
+    return g.raw("orders").select("o_orderkey",
+        L.reject_reason(F.when(k == 1, "a.doc").otherwise("a.PDF"), F.when(k == 2, 0).when(k == 3, 50 << 20).otherwise(9)).alias("reason"))
 
 
 #: The words' lengths folded to the last line's length and the number of lines.
@@ -94,23 +108,31 @@ _D = lambda x: f"{x!r}::DOUBLE"
 _FIRST_Y, _LATER_Y = H.PAGE_H - H.MARGIN - H.TOP_INSET - H.HEADER_H - 6 * H.MM, H.PAGE_H - H.MARGIN - H.TOP_INSET - H.CONTINUATION_GAP
 
 
-@query("questions", f"""WITH RECURSIVE t AS (SELECT exam_id, question_number, ({_lines_sql('question_text')}) * {_D(H.LINE_GAP)} + {_D(H.TITLE_GAP)} + {_D(H.TEXT_BOTTOM_GAP)} AS text FROM questions),
+@query("questions", f"""WITH RECURSIVE t AS (SELECT exam_id, question_number,
+({_lines_sql('question_text')}) * {_D(H.LINE_GAP)} + {_D(H.TITLE_GAP)} + {_D(H.TEXT_BOTTOM_GAP)} AS text FROM questions),
 s AS (SELECT exam_id, 0 AS question_number, 1 AS page, {_D(_FIRST_Y)} AS y, 0::DOUBLE AS bottom FROM (SELECT DISTINCT exam_id FROM t) UNION ALL
-SELECT exam_id, question_number, CASE WHEN new THEN page + 1 ELSE page END, top - text - {_D(H.ANSWER_H)} - {_D(H.SPACING)}, top - text - {_D(H.ANSWER_H)} FROM (
-SELECT *, CASE WHEN new THEN {_D(_LATER_Y)} ELSE y END AS top FROM (SELECT t.exam_id, t.question_number, s.page, s.y, t.text, s.y - (t.text + {_D(H.ANSWER_H)} + {_D(H.SPACING)}) < {_D(H.MARGIN)} AS new FROM s JOIN t ON t.exam_id = s.exam_id AND t.question_number = s.question_number + 1)))
-SELECT exam_id, question_number, page, bottom AS y_bottom_pt, {_D(H.ANSWER_H)} AS height_pt, max(page) OVER (PARTITION BY exam_id) AS pages FROM s WHERE question_number > 0""")
+SELECT exam_id, question_number, CASE WHEN new THEN page + 1 ELSE page END, top - text - {_D(H.ANSWER_H)} - {_D(H.SPACING)},
+top - text - {_D(H.ANSWER_H)} FROM (
+SELECT *, CASE WHEN new THEN {_D(_LATER_Y)} ELSE y END AS top FROM (SELECT t.exam_id, t.question_number, s.page, s.y, t.text,
+s.y - (t.text + {_D(H.ANSWER_H)} + {_D(H.SPACING)}) < {_D(H.MARGIN)} AS new FROM s
+JOIN t ON t.exam_id = s.exam_id AND t.question_number = s.question_number + 1)))
+SELECT exam_id, question_number, page, bottom AS y_bottom_pt, {_D(H.ANSWER_H)} AS height_pt, max(page) OVER (PARTITION BY exam_id) AS pages
+FROM s WHERE question_number > 0""")
 def paginate_questions(g):
     return H.paginate(g.questions())
 
 
-@query("exams students questions", """WITH e AS (SELECT DISTINCT exam_id, class_id FROM exams), s AS (SELECT e.exam_id, s.student_id, s.registration_number, p AS page_in_student FROM e JOIN students s USING (class_id) CROSS JOIN range(1, 3) r(p))
-SELECT exam_id, student_id, registration_number, page_in_student::INT AS page_in_student, 2 AS total_pages_for_student, row_number() OVER (PARTITION BY exam_id ORDER BY registration_number, student_id, page_in_student) - 1 AS physical_index FROM s""")
+@query("exams students questions", """WITH e AS (SELECT DISTINCT exam_id, class_id FROM exams), s AS (SELECT e.exam_id, s.student_id,
+s.registration_number, p AS page_in_student FROM e JOIN students s USING (class_id) CROSS JOIN range(1, 3) r(p))
+SELECT exam_id, student_id, registration_number, page_in_student::INT AS page_in_student, 2 AS total_pages_for_student,
+row_number() OVER (PARTITION BY exam_id ORDER BY registration_number, student_id, page_in_student) - 1 AS physical_index FROM s""")
 def answer_sheet_plan(g):
     layout = g.questions().groupBy("exam_id").agg(F.lit(2).alias("pages"))
     return H.sheet_plan(g.exams(), g.students(), layout)
 
 
-@query("exams students questions", "SELECT exam_id, student_id, row_number() OVER (PARTITION BY exam_id ORDER BY registration_number, student_id) - 1 AS physical_index FROM exams e JOIN students s USING (class_id)")
+@query("exams students questions", """SELECT exam_id, student_id, row_number() OVER (PARTITION BY exam_id
+ORDER BY registration_number, student_id) - 1 AS physical_index FROM exams e JOIN students s USING (class_id)""")
 def physical_index(g):
     layout = g.questions().groupBy("exam_id").agg(F.lit(1).alias("pages"))
     return H.sheet_plan(g.exams(), g.students(), layout).select("exam_id", "student_id", "physical_index")
@@ -118,29 +140,38 @@ def physical_index(g):
 
 def _manifests(g):
     k = F.col("exam_id")
-    page = lambda i, s, q: F.format_string('{"physical_index": %d, "student_id": "%s", "boxes": [{"question_number": %d, "x_pt": 1.5, "y_bottom_pt": 2, "width_pt": 3, "height_pt": 4}, {"question_number": 99, "x_pt": 0, "y_bottom_pt": 0, "width_pt": 1, "height_pt": 1}]}', F.lit(i), F.lit(s), q)
+    page = lambda i, s, q: F.format_string('{"physical_index": %d, "student_id": "%s", "boxes": [{"question_number": %d, "x_pt": 1.5, "y_bottom_pt": 2, "width_pt": 3, "height_pt": 4}, {"question_number": 99, "x_pt": 0, "y_bottom_pt": 0, "width_pt": 1, "height_pt": 1}]}',
+        F.lit(i), F.lit(s), q)
     text = F.concat(F.lit('{"version": 1, "pages": ['), F.concat_ws(",", page(0, "a", F.lit(1)), page(1, "b", F.lit(2)), page(1, "c", F.lit(3))), F.lit("]}"))
     return g.exams().withColumn("manifest", F.when(k % 3 == 0, text).when(k % 3 == 1, "{ruim"))
 
 
-@query("exams", "SELECT exam_id, i::INT AS physical_index, CASE i WHEN 0 THEN 'a' ELSE 'c' END AS manifest_student, q::INT AS question_number FROM exams CROSS JOIN (VALUES (0, 1), (0, 99), (1, 3), (1, 99)) v(i, q) WHERE exam_id % 3 = 0")
+@query("exams", """SELECT exam_id, i::INT AS physical_index, CASE i WHEN 0 THEN 'a'
+ELSE 'c' END AS manifest_student, q::INT AS question_number FROM exams CROSS JOIN (VALUES (0, 1), (0, 99), (1, 3), (1, 99)) v(i, q)
+WHERE exam_id % 3 = 0""")
 def manifest_scan(g):
     return H.manifest_boxes(_manifests(g)).select("exam_id", "physical_index", "manifest_student", "question_number")
 
 
-_MAPPED = "p AS (SELECT result_id AS page_id, batch_id % (SELECT count(*) FROM supplier) AS exam_id, page_number - 1 AS page_index FROM results), m AS (SELECT page_id, exam_id, CASE page_index WHEN 0 THEN 1 ELSE 3 END AS question_number FROM p WHERE exam_id % 3 = 0 AND page_index IN (0, 1))"
+_MAPPED = """p AS (SELECT result_id AS page_id, batch_id % (SELECT count(*) FROM supplier) AS exam_id, page_number - 1 AS page_index
+FROM results), m AS (SELECT page_id, exam_id, CASE page_index WHEN 0 THEN 1 ELSE 3 END AS question_number FROM p
+WHERE exam_id % 3 = 0 AND page_index IN (0, 1))"""
 
 
 def _pages(g):
-    return g.results().select(F.col("result_id").alias("page_id"), (F.col("batch_id") % g.n_exams).alias("exam_id"), (F.col("page_number") - 1).alias("page_index"))
+    return g.results().select(F.col("result_id").alias("page_id"), (F.col("batch_id") % g.n_exams).alias("exam_id"),
+        (F.col("page_number") - 1).alias("page_index"))
 
 
-@query("results questions", f"WITH {_MAPPED} SELECT m.page_id, q.question_id, 'mapped' AS mode FROM m JOIN questions q USING (exam_id, question_number) UNION ALL SELECT p.page_id, q.question_id, 'legacy' FROM p JOIN questions q USING (exam_id) WHERE p.page_id NOT IN (SELECT page_id FROM m)")
+@query("results questions", f"""WITH {_MAPPED} SELECT m.page_id, q.question_id, 'mapped' AS mode FROM m
+JOIN questions q USING (exam_id, question_number) UNION ALL SELECT p.page_id, q.question_id, 'legacy' FROM p
+JOIN questions q USING (exam_id) WHERE p.page_id NOT IN (SELECT page_id FROM m)""")
 def page_questions(g):
     return H.page_questions(_pages(g), H.manifest_boxes(_manifests(g)), g.questions())
 
 
-@query("results", f"WITH {_MAPPED} SELECT p.page_id, CASE WHEN m.page_id IS NOT NULL THEN CASE p.page_index WHEN 0 THEN 'a' ELSE 'c' END END AS manifest_student FROM p LEFT JOIN m USING (page_id)")
+@query("results", f"""WITH {_MAPPED} SELECT p.page_id, CASE WHEN m.page_id IS NOT NULL THEN CASE p.page_index WHEN 0 THEN 'a'
+ELSE 'c' END END AS manifest_student FROM p LEFT JOIN m USING (page_id)""")
 def pages_manifest(g):
     known = H.manifest_boxes(_manifests(g)).select("exam_id", F.col("physical_index").alias("page_index"), "manifest_student").distinct()
     return _pages(g).join(known, ["exam_id", "page_index"], "left").select("page_id", "manifest_student")
@@ -152,39 +183,50 @@ def answers_rubrics(g):
     return g.answers().join(rubrics, "question_id", "left").select("result_id", "question_id", "rubric")
 
 
-@query("", "SELECT doc_id, i - 1 AS line_no, md5(trim(line)) AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''")
+@query("", """SELECT doc_id, i - 1 AS line_no, md5(trim(line)) AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''),
+chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''""")
 def exam_lines_scan(g):
-    return L.text_lines(g.raw("documents"), "doc_id", "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(F.col("text").cast("binary")).alias("line"))
+    return L.text_lines(g.raw("documents"), "doc_id", "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"),
+        F.md5(F.col("text").cast("binary")).alias("line"))
 
 
-@query("exams", """SELECT exam_id, n::INT AS question_number, 'enunciado ' || exam_id || CASE n WHEN 1 THEN chr(10) || 'segunda linha' ELSE '' END AS question_text, CASE n WHEN 1 THEN 'certo' ELSE '(sem resposta)' END AS expected_answer, CASE n WHEN 1 THEN 2.5 ELSE 0.5 END AS max_score FROM exams CROSS JOIN range(1, 3) r(n)""")
+@query("exams", """SELECT exam_id, n::INT AS question_number, 'enunciado ' || exam_id || CASE n WHEN 1 THEN chr(10) || 'segunda linha'
+ELSE '' END AS question_text, CASE n WHEN 1 THEN 'certo' ELSE '(sem resposta)' END AS expected_answer, CASE n WHEN 1 THEN 2.5
+ELSE 0.5 END AS max_score FROM exams CROSS JOIN range(1, 3) r(n)""")
 def parse_exam_lines(g):
     k = F.col("exam_id").cast("string")
-    text = F.concat(F.lit("Título: Prova\nValor padrão: 0,5\nQuestão 1\nEnunciado: enunciado "), k, F.lit("\nsegunda linha\nGabarito: certo\nValor: 2,5\nQuestao 2 (fim)\nPergunta: enunciado "), k, F.lit("\nQ3\nGabarito: perdido\nQuestão 44\n"))
+    text = F.concat(F.lit("Título: Prova\nValor padrão: 0,5\nQuestão 1\nEnunciado: enunciado "), k,
+        F.lit("\nsegunda linha\nGabarito: certo\nValor: 2,5\nQuestao 2 (fim)\nPergunta: enunciado "), k, F.lit("\nQ3\nGabarito: perdido\nQuestão 44\n"))
     docs = g.exams().select("exam_id", text.alias("text"))
-    return L.parse_exam_lines(L.text_lines(docs, "exam_id", "text"), "exam_id", missing_answer="(sem resposta)").select("exam_id", "question_number", "question_text", "expected_answer", "max_score")
+    return L.parse_exam_lines(L.text_lines(docs, "exam_id", "text"), "exam_id", missing_answer="(sem resposta)").select("exam_id",
+        "question_number", "question_text", "expected_answer", "max_score")
 
 
 @query("answers", "SELECT result_id, question_id, question_number AS n, md5(answer_text) AS answer, 'media' AS confidence FROM answers")
 def grading_request_build(g):
     made = L.grading_requests(g.answers().withColumn("reading_confidence", F.lit("media")))
     parsed = F.from_json("request", "struct<question_number: int, student_answer: string, reading_confidence: string>")
-    return made.select("result_id", "question_id", parsed.alias("r")).select("result_id", "question_id", F.col("r.question_number").alias("n"), F.md5(F.col("r.student_answer").cast("binary")).alias("answer"), F.col("r.reading_confidence").alias("confidence"))
+    return made.select("result_id", "question_id", parsed.alias("r")).select("result_id", "question_id",
+        F.col("r.question_number").alias("n"), F.md5(F.col("r.student_answer").cast("binary")).alias("answer"),
+        F.col("r.reading_confidence").alias("confidence"))
 
 
-@query("questions", "SELECT exam_id, count(*) AS n, string_agg(question_text, '|' ORDER BY question_number) AS prompts FROM questions WHERE question_number <= 5 GROUP BY 1")
+@query("questions", """SELECT exam_id, count(*) AS n, string_agg(question_text, '|' ORDER BY question_number) AS prompts FROM questions
+WHERE question_number <= 5 GROUP BY 1""")
 def rubric_payload_build(g):
     made = L.rubric_payload(g.questions(), 5)
     items = F.from_json("payload", "struct<questions: array<struct<number: int, prompt: string>>>")["questions"]
     return made.select("exam_id", F.size(items).cast("long").alias("n"), F.array_join(F.transform(items, lambda q: q["prompt"]), "|").alias("prompts"))
 
 
-@query("results effective", "SELECT r.batch_id, count(DISTINCT r.result_id) AS n_results, sum(e.effective_score) AS total FROM results r LEFT JOIN effective e USING (result_id) GROUP BY 1")
+@query("results effective", """SELECT r.batch_id, count(DISTINCT r.result_id) AS n_results, sum(e.effective_score) AS total FROM results r
+LEFT JOIN effective e USING (result_id) GROUP BY 1""")
 def result_json_sink(g):
     made = L.result_documents(g.results(), G.result_details(g.results(), g.scores(), g.questions()))
     parsed = F.from_json("document", "struct<results: array<struct<result_id: bigint, scores: array<struct<effective_score: double>>>>>")["results"]
     flat = F.flatten(F.transform(parsed, lambda r: F.transform(r["scores"], lambda s: s["effective_score"])))
-    return made.select("batch_id", F.size(parsed).cast("long").alias("n_results"), F.when(F.size(flat) > 0, F.aggregate(flat, F.lit(0.0), lambda a, s: a + s)).alias("total"))
+    return made.select("batch_id", F.size(parsed).cast("long").alias("n_results"),
+        F.when(F.size(flat) > 0, F.aggregate(flat, F.lit(0.0), lambda a, s: a + s)).alias("total"))
 
 
 @query("", "SELECT o_orderkey, {'number': 1, 'score': 0.5} IS NOT NULL AS has_grade, 2 AS n_fields FROM orders")
@@ -195,7 +237,8 @@ def public_grade(g):
     return public.select("o_orderkey", F.get("qs", 0).isNotNull().alias("has_grade"), F.size(F.json_object_keys(F.to_json(F.get("qs", 0)))).alias("n_fields"))
 
 
-_DETAIL = """d AS (SELECT t.batch_id, e.result_id, e.question_number, e.effective_score AS score, e.ocr_confidence, e.requires_manual_review AS review, e.v1 % 6 = 0 AS weak FROM effective e JOIN totals t USING (result_id))"""
+_DETAIL = """d AS (SELECT t.batch_id, e.result_id, e.question_number, e.effective_score AS score, e.ocr_confidence,
+e.requires_manual_review AS review, e.v1 % 6 = 0 AS weak FROM effective e JOIN totals t USING (result_id))"""
 _FRIENDLY = "CASE WHEN weak THEN 'Vinculação do aluno feita sem QR confiável. Conferir aluno.' WHEN ocr_confidence < 0.7 THEN 'Baixa confiança na leitura da resposta manuscrita.' ELSE '' END"
 
 
@@ -203,17 +246,21 @@ def _details(g):
     rows = G.with_effective(g.scores()).join(g.results().select("result_id", "batch_id"), "result_id")
     said = F.when(F.col("v1") % 6 == 0, F.array(F.lit("manifest_fallback"))).otherwise(F.array().cast("array<string>"))
     reason = R.humanize_reason(said, F.lit(""), None, F.col("ocr_confidence") < 0.7)
-    return rows.select("batch_id", "result_id", "question_number", F.col("effective_score").alias("score"), F.when(F.col("requires_manual_review"), "sim").otherwise("não").alias("needs_review"), reason.alias("reason"))
+    return rows.select("batch_id", "result_id", "question_number", F.col("effective_score").alias("score"),
+        F.when(F.col("requires_manual_review"), "sim").otherwise("não").alias("needs_review"), reason.alias("reason"))
 
 
-@query("effective totals", f"WITH {_DETAIL} SELECT batch_id, result_id, question_number, score, CASE WHEN review THEN 'sim' ELSE 'não' END AS needs_review, {_FRIENDLY} AS reason FROM d")
+@query("effective totals", f"""WITH {_DETAIL} SELECT batch_id, result_id, question_number, score, CASE WHEN review THEN 'sim'
+ELSE 'não' END AS needs_review, {_FRIENDLY} AS reason FROM d""")
 def gradebook_detail(g):
     return _details(g)
 
 
-@query("effective totals", f"WITH {_DETAIL} SELECT batch_id, result_id, question_number, score, coalesce(nullif({_FRIENDLY}, ''), 'Revisão manual recomendada.') AS reason FROM d WHERE review")
+@query("effective totals", f"""WITH {_DETAIL} SELECT batch_id, result_id, question_number, score, coalesce(nullif({_FRIENDLY}, ''),
+'Revisão manual recomendada.') AS reason FROM d WHERE review""")
 def gradebook_review(g):
-    return _details(g).where("needs_review = 'sim'").select("batch_id", "result_id", "question_number", "score", F.coalesce(F.nullif("reason", F.lit("")), F.lit("Revisão manual recomendada.")).alias("reason"))
+    return _details(g).where("needs_review = 'sim'").select("batch_id", "result_id", "question_number", "score",
+        F.coalesce(F.nullif("reason", F.lit("")), F.lit("Revisão manual recomendada.")).alias("reason"))
 
 
 @query("scores", "SELECT result_id, list(question_number ORDER BY question_number) AS numbers FROM scores GROUP BY 1")
@@ -221,18 +268,21 @@ def pages_concat(g):
     return g.scores().groupBy("result_id").agg(F.array_sort(F.collect_list("question_number")).alias("numbers"))
 
 
-@query("raw_scores", "SELECT result_id, question_number, v1 FROM raw_scores QUALIFY row_number() OVER (PARTITION BY result_id, question_number ORDER BY v1 DESC, v2 DESC, v3 DESC) = 1")
+@query("raw_scores", """SELECT result_id, question_number, v1 FROM raw_scores QUALIFY row_number() OVER (PARTITION BY result_id,
+question_number ORDER BY v1 DESC, v2 DESC, v3 DESC) = 1""")
 def last_wins_by_key(g):
     from scoreweave.operators.ranking import latest_per_key
 
     return latest_per_key(g.raw_scores(), ["result_id", "question_number"], ["v1", "v2", "v3"]).select("result_id", "question_number", "v1")
 
 
-@query("raw_scores", "SELECT result_id, question_number, v1 FROM raw_scores QUALIFY row_number() OVER (PARTITION BY result_id, question_number ORDER BY v1, v2, v3) = 1")
+@query("raw_scores", """SELECT result_id, question_number, v1 FROM raw_scores QUALIFY row_number() OVER (PARTITION BY result_id,
+question_number ORDER BY v1, v2, v3) = 1""")
 def first_answer_per_page_question(g):
     from scoreweave.operators.ranking import first_per_key
 
-    return first_per_key(g.raw_scores().where("question_number > 0"), ["result_id", "question_number"], ["v1", "v2", "v3"]).select("result_id", "question_number", "v1")
+    return first_per_key(g.raw_scores().where("question_number > 0"), ["result_id", "question_number"],
+        ["v1", "v2", "v3"]).select("result_id", "question_number", "v1")
 
 
 def scorer_rows(g):
@@ -263,18 +313,26 @@ def roster_csv_scan(g):
     file = [F.col("class_id").alias("c"), F.floor(F.col("student_id") / 5000).alias("part")]
     for i, (by, kind) in enumerate(((",", "UTF-8"), (";", "ISO-8859-1"))):
         rows = s.where(F.col("student_id") % 2 == i).select(*file, F.col("student_id").alias("at"), line(by).alias("row"))
-        heads = rows.select("c", "part").distinct().select("c", "part", F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("at"), F.lit(t).alias("row")) for n, t in ((-2, f"Escola{by}x"), (-1, f"Matrícula{by}Nome do aluno{by}Curso{by}Turma"))))).alias("h"))
+        heads = rows.select("c", "part").distinct().select("c", "part",
+            F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("at"), F.lit(t).alias("row")) for n,
+            t in ((-2, f"Escola{by}x"), (-1, f"Matrícula{by}Nome do aluno{by}Curso{by}Turma"))))).alias("h"))
         every = rows.union(heads.select("c", "part", "h.*")).repartition("c", "part").sortWithinPartitions("c", "part", "at")
         every.select("c", "part", "row").write.option("encoding", kind).mode("append").partitionBy("c", "part").text(f"{path}/{i}")
     back = L.read_rosters(g.spark, f"{path}/*/*/*/*.txt")
     return back.select(F.substring("turma", 2, 10).cast(s.schema["class_id"].dataType).alias("class_id"), "registration_number", "student_name", "curso")
 
 
-@query("batches", """WITH f AS (SELECT CASE WHEN batch_id % 7 = 3 THEN 'lote_' || batch_id || '.docx' WHEN batch_id % 2 = 0 THEN 'lote_' || batch_id || '.PDF' ELSE 'lote_' || batch_id || '.pdf' END AS file_name, CASE WHEN batch_id % 11 = 5 THEN 0 ELSE total_pages * 600000 END AS size, batch_id FROM batches)
-SELECT file_name, size, CASE WHEN batch_id % 7 = 3 THEN 'extension' WHEN size <= 0 THEN 'empty' WHEN size > 41943040 THEN 'too_large' END AS reject_reason, CASE WHEN batch_id % 7 <> 3 AND size > 0 AND size <= 41943040 THEN 'PENDING' END AS status FROM f""")
+@query("batches", """WITH f AS (SELECT CASE WHEN batch_id % 7 = 3 THEN 'lote_' || batch_id || '.docx'
+WHEN batch_id % 2 = 0 THEN 'lote_' || batch_id || '.PDF' ELSE 'lote_' || batch_id || '.pdf' END AS file_name, CASE
+WHEN batch_id % 11 = 5 THEN 0 ELSE total_pages * 600000 END AS size, batch_id FROM batches)
+SELECT file_name, size, CASE WHEN batch_id % 7 = 3 THEN 'extension' WHEN size <= 0 THEN 'empty'
+WHEN size > 41943040 THEN 'too_large' END AS reject_reason, CASE
+WHEN batch_id % 7 <> 3 AND size > 0 AND size <= 41943040 THEN 'PENDING' END AS status FROM f""")
 def batch_file_registry(g):
     """The batches as files in an upload folder's listing (path, length, modificationTime)."""
     b = F.col("batch_id")
     name = F.concat(F.lit("lote_"), b.cast("string"), F.when(b % 7 == 3, ".docx").when(b % 2 == 0, ".PDF").otherwise(".pdf"))
-    files = g.batches().select(F.concat(F.lit("file:/envios/"), name).alias("path"), F.when(b % 11 == 5, F.lit(0).cast("long")).otherwise(F.col("total_pages") * 600_000).alias("length"), F.col("created_at").alias("modificationTime"))
+    files = g.batches().select(F.concat(F.lit("file:/envios/"), name).alias("path"),
+        F.when(b % 11 == 5, F.lit(0).cast("long")).otherwise(F.col("total_pages") * 600_000).alias("length"),
+        F.col("created_at").alias("modificationTime"))
     return L.register_batches(files).select("file_name", "size", "reject_reason", "status")

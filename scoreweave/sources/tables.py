@@ -62,12 +62,14 @@ class Grading:
 
     def batches(self) -> DataFrame:
         batch = F.floor(F.col("o_orderkey") / PAGES_PER_BATCH).cast("long")
-        return self.raw("orders").groupBy(batch.alias("batch_id")).agg(F.min("o_orderdate").alias("created_at"), F.count("*").alias("total_pages")).select("batch_id", (F.col("batch_id") % self.n_exams).alias("exam_id"), "created_at", "total_pages")
+        return self.raw("orders").groupBy(batch.alias("batch_id")).agg(F.min("o_orderdate").alias("created_at"),
+            F.count("*").alias("total_pages")).select("batch_id", (F.col("batch_id") % self.n_exams).alias("exam_id"), "created_at", "total_pages")
 
     def results(self) -> DataFrame:
         key = F.col("o_orderkey")
         return self.raw("orders").select(
-            key.alias("result_id"), F.floor(key / PAGES_PER_BATCH).cast("long").alias("batch_id"), F.when(key % 17 != 0, F.col("o_custkey")).alias("student_id"),
+            key.alias("result_id"), F.floor(key / PAGES_PER_BATCH).cast("long").alias("batch_id"),
+                F.when(key % 17 != 0, F.col("o_custkey")).alias("student_id"),
             (key % PAGES_PER_BATCH + 1).cast("int").alias("page_number"),
             F.when(F.col("o_orderstatus") == "F", "AUTO_APPROVED").when(F.col("o_orderstatus") == "O", "GRADED").otherwise("REVIEWED").alias("status"),
         )
@@ -77,7 +79,8 @@ class Grading:
         exam = F.floor(F.col("l_orderkey") / PAGES_PER_BATCH) % self.n_exams
         ai = S.clamp_grade((F.col("l_discount") * 10).cast("string"))["score"]
         return self.raw("lineitem").select(
-            F.col("l_orderkey").alias("result_id"), (exam * 10 + F.col("l_linenumber")).cast("long").alias("question_id"), F.col("l_linenumber").alias("question_number"),
+            F.col("l_orderkey").alias("result_id"), (exam * 10 + F.col("l_linenumber")).cast("long").alias("question_id"),
+                F.col("l_linenumber").alias("question_number"),
             ai.alias("ai_score"), F.when(F.col("l_returnflag") != "N", ai).alias("final_score"),
             ((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O") & (F.col("l_quantity") >= 49)).alias("requires_manual_review"),
             F.round(1 - F.col("l_tax") * 5, 2).alias("ocr_confidence"), F.round(0.5 + F.col("l_quantity") / 100, 2).alias("grading_confidence"),
@@ -93,13 +96,16 @@ class Grading:
     def answers(self) -> DataFrame:
         """Scores with the answer's and the question's text; some answers are blank, some copy the question."""
         docs = self.raw("documents").select(F.col("doc_id").alias("v1"), F.col("text").alias("doc_text"))
-        own = self.scores().join(self.questions().select("question_id", "question_text", "expected_answer", "max_score"), "question_id").join(docs, "v1", "left")
-        return own.withColumn("answer_text", F.when(F.col("v1") % 23 == 0, F.col("question_text")).otherwise(F.coalesce("doc_text", F.lit("")))).drop("doc_text")
+        own = self.scores().join(self.questions().select("question_id", "question_text", "expected_answer", "max_score"),
+            "question_id").join(docs, "v1", "left")
+        return own.withColumn("answer_text",
+            F.when(F.col("v1") % 23 == 0, F.col("question_text")).otherwise(F.coalesce("doc_text", F.lit("")))).drop("doc_text")
 
 
 def recorded_response(variant: Column, number: Column, score: Column) -> Column:
     """The text of a recorded model response, well formed or damaged in one of eight ways."""
-    body = lambda grade: F.concat(F.lit('"nota": '), grade, F.lit(', "comentario": "Resposta da questao '), number, F.lit('", "criterios_atendidos": ["conceito"], "criterios_ausentes": [], "revisao_necessaria": false'))
+    body = lambda grade: F.concat(F.lit('"nota": '), grade, F.lit(', "comentario": "Resposta da questao '), number,
+        F.lit('", "criterios_atendidos": ["conceito"], "criterios_ausentes": [], "revisao_necessaria": false'))
     clean = F.concat(F.lit("{"), body(score), F.lit("}"))
     return (
         F.when(variant == 0, clean)

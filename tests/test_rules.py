@@ -17,7 +17,9 @@ def one(spark, **columns):
 
 
 def reason(spark, **over):
-    base = {"score": 1.0, "confidence": 0.95, "justification": "j", "flagged": False, "flag_reason": None, "answer": "uma resposta boa", "max_score": 1.0, "ocr_error": None, "ocr_confidence": 0.95, "ocr_unstable": False, "parse_failed": False, "visual_ok": False, "misaligned": False} | over
+    base = {"score": 1.0, "confidence": 0.95, "justification": "j", "flagged": False, "flag_reason": None, "answer": "uma resposta boa",
+        "max_score": 1.0, "ocr_error": None, "ocr_confidence": 0.95, "ocr_unstable": False, "parse_failed": False, "visual_ok": False,
+        "misaligned": False} | over
     kinds = {"flag_reason": "string", "ocr_error": "string", "justification": "string", "ocr_confidence": "double", "confidence": "double"}
     cols = {k: F.lit(v).cast(kinds[k]) if k in kinds else F.lit(v) for k, v in base.items()}
     return one(spark, r=R.review_reason(**cols))["r"]
@@ -48,20 +50,23 @@ def test_identity(spark):
     assert identity(spark, f"MQPC|e1|{A}|1|2", None, B) == (A, "qr", ["QR e manifest discordam. Usando QR."])
     assert identity(spark, None, None, B)[:2] == (B, "manifest_fallback")
     assert identity(spark, None, None, None)[:2] == (None, "anonymous")
-    assert identity(spark, f"MQPC|e2|{A}|1|2", None, B)[1:] == ("manifest_fallback", ["QR ignorado por exam_id divergente.", "Identidade via manifest_fallback. Conferir manualmente."])
+    assert identity(spark, f"MQPC|e2|{A}|1|2", None, B)[1:] == ("manifest_fallback",
+        ["QR ignorado por exam_id divergente.", "Identidade via manifest_fallback. Conferir manualmente."])
     assert identity(spark, f"MQPC|e2|{A}|1|2", B, None)[:2] == (B, "header_ocr")
 
 
 def test_has_words_counts_no_further(spark):
     texts = ["", None, "a", " a  b ", "a b c", "a\u00a0b\tc", "\n a b c d", "a\u2003b", "—"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.has_words(F.col("t"), 3).alias("has"), T.word_count(F.col("t")).alias("n")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.has_words(F.col("t"), 3).alias("has"),
+        T.word_count(F.col("t")).alias("n")).collect()
     assert [r["has"] for r in rows] == [r["n"] >= 3 for r in rows] and sum(r["has"] for r in rows) == 3
 
 
 def test_quantizers_at_random(spark):
     random.seed(3)
     xs = [random.choice([random.uniform(-1, 2), random.randrange(-8, 24) / 16, random.randrange(-8, 24) / 8]) for _ in range(500)]
-    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", S.quantize_quarter(F.col("x")).alias("q"), S.clamp_grade(F.col("x").cast("string")).alias("g")).collect()
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", S.quantize_quarter(F.col("x")).alias("q"),
+        S.clamp_grade(F.col("x").cast("string")).alias("g")).collect()
     for r in rows:
         assert r["q"] == round(r["x"] * 4) / 4
         near = min([0.0, 0.25, 0.5, 0.75, 1.0], key=lambda a: abs(a - r["x"]))
@@ -73,8 +78,12 @@ def test_quantizers_at_random(spark):
 
 def test_repair_and_normalize(spark):
     rows = spark.createDataFrame([
-        (1, '{"nota": 0.5 "comentario": "x"}', "qual a resposta correta disso tudo", "outra coisa"), (2, '{"nota": 1, "comentario": "c", "criterios_atendidos": [], "criterios_ausentes": [], "revisao_necessaria": false}', "Explique o papel da actina na contração", "Explique o papel da actina na contração"),
-        (3, '{"nota": 0.5, "comentario": "c", "criterios_atendidoss": [], "criterios_ausentes": [], "revisao_necessaira": false}', "q", "resposta"), (4, '{"nota": 0.5, "comentario": "c", "criterios_atendidos": [], "criterios_ausentes": [], "revisao_necessaria": "t"}', "q", "resposta"),
+        (1, '{"nota": 0.5 "comentario": "x"}', "qual a resposta correta disso tudo", "outra coisa"),
+            (2, '{"nota": 1, "comentario": "c", "criterios_atendidos": [], "criterios_ausentes": [], "revisao_necessaria": false}',
+            "Explique o papel da actina na contração", "Explique o papel da actina na contração"),
+        (3, '{"nota": 0.5, "comentario": "c", "criterios_atendidoss": [], "criterios_ausentes": [], "revisao_necessaira": false}', "q",
+            "resposta"), (4, '{"nota": 0.5, "comentario": "c", "criterios_atendidos": [], "criterios_ausentes": [], "revisao_necessaria": "t"}',
+            "q", "resposta"),
         (5, '{"analysis": "a", "nota": 1}', "q", "resposta"), (6, None, None, None),
     ], "id int, raw string, prompt string, answer string").withColumns({"max_score": F.lit(1.0), "conf": F.lit("alta")})
     got = {r["id"]: r for r in P.normalize_grade(P.repair_json(rows, "raw"), "max_score", "prompt", "conf", "answer").collect()}
@@ -96,7 +105,9 @@ def test_single_grade(spark):
 
 
 def test_ocr_chain(spark):
-    rows = spark.createDataFrame([(1, 0, "", None, True, "mistral_ocr", "HTTP 500"), (1, 1, "texto bom aqui", 0.9, False, "google_vision", None), (2, 0, "", None, True, None, None)], "k int, rank int, text string, confidence double, needs_fallback boolean, provider string, error string")
+    rows = spark.createDataFrame([(1, 0, "", None, True, "mistral_ocr", "HTTP 500"),
+        (1, 1, "texto bom aqui", 0.9, False, "google_vision", None), (2, 0, "", None, True, None, None)],
+        "k int, rank int, text string, confidence double, needs_fallback boolean, provider string, error string")
     got = {r["k"]: r for r in R.chain_ocr(rows, ["k"]).collect()}
     assert (got[1]["text"], got[1]["provider"], got[1]["error"]) == ("texto bom aqui", "mistral_ocr->fallback:google_vision", None)
     assert got[2]["provider"] == "disabled"

@@ -49,10 +49,12 @@ def test_decisions_are_applied(spark):
     from scoreweave.operators import maintain as M
 
     at = datetime(2024, 5, 1)
-    scores = spark.createDataFrame([(1, 1, 0.5, None, True, "m", "c"), (1, 2, 0.25, None, True, "m", None), (2, 1, 1.0, None, True, "m", None)], "result_id long, question_id long, ai_score double, final_score double, requires_manual_review boolean, manual_review_reason string, professor_comment string")
+    scores = spark.createDataFrame([(1, 1, 0.5, None, True, "m", "c"), (1, 2, 0.25, None, True, "m", None),
+        (2, 1, 1.0, None, True, "m", None)], "result_id long, question_id long, ai_score double, final_score double, requires_manual_review boolean, manual_review_reason string, professor_comment string")
     results = spark.createDataFrame([(1, "GRADED"), (2, "GRADED")], "result_id long, status string")
     given = spark.createDataFrame([(1, 1, 1, 0.75, None, at), (2, 1, None, None, "ok", at)], X.DECISION)
     new_results, new_scores = M.apply_decisions(results, scores, given)
     assert {tuple(r) for r in new_results.collect()} == {(1, "REVIEWED"), (2, "GRADED")}
     cols = ("result_id", "question_id", "final_score", "requires_manual_review", "manual_review_reason", "professor_comment")
-    assert {tuple(r) for r in new_scores.select(*cols).collect()} == {(1, 1, 0.75, False, None, None), (1, 2, 0.25, False, None, None), (2, 1, None, True, "m", None)}
+    assert {tuple(r) for r in new_scores.select(*cols).collect()} == {(1, 1, 0.75, False, None, None), (1, 2, 0.25, False, None, None),
+        (2, 1, None, True, "m", None)}
