@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, sections_col: str | N
                     for c, v in zip(cols, ([doc] * k, [*names, None][:k], [*chars.tolist(), 0][:k], n[:k].tolist(), crossed[:k].tolist()), strict=True):
                         c += v
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "section", "n_chars", "n_tokens", "n_crossing"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                    ["doc_id", "section", "n_chars", "n_tokens", "n_crossing"])
 
     return plain.mapInArrow(run, "doc_id long, section string, n_chars long, n_tokens long, n_crossing long")

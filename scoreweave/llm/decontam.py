@@ -50,7 +50,8 @@ def row_shingles(s: Spans, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(short):
         return h, rows
     first = np.searchsorted(s.row, short)
-    extra = np.array([shingles(Spans(s.hash[a : a + c], None, None, s.row[a : a + c]), int(c))[0][0] for a, c in zip(first, counts[short], strict=True)], np.uint64)
+    extra = np.array([shingles(Spans(s.hash[a : a + c], None, None, s.row[a : a + c]), int(c))[0][0] for a,
+        c in zip(first, counts[short], strict=True)], np.uint64)
     return np.concatenate([h, extra]), np.concatenate([rows, short])
 
 
@@ -193,7 +194,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
                 for batch in in_slices(whole, "text", 2 << 20):
                     ids = batch.column("doc_id").to_pylist()
                     got = [(ids[i], item, share) for i, item, share in _found(sent, batch, "text", k, threshold)]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "containment"])
+                    yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j,
+                        kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "containment"])
 
         part = plain.mapInArrow(run, "doc_id long, item_id long, containment double")
         out = part if out is None else out.union(part)

@@ -40,7 +40,8 @@ def _cuts(raw: np.ndarray) -> np.ndarray:
 
 #: The normalizer and splitter of a file whose texts may be encoded piece by piece.
 _SPLITS = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
     "pre_tokenizer": {
         "type": "Sequence",
         "pretokenizers": [
@@ -134,7 +135,8 @@ class PieceEncoder(TextEncoder):
         ids, at = np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
         if len(s.hash):
             distinct, first, which = np.unique(s.hash, return_index=True, return_inverse=True)
-            begins, sizes = self._look_up(distinct, lambda new: [data[a:b] for a, b in zip(s.start[first[new]].tolist(), s.end[first[new]].tolist(), strict=True)])
+            begins, sizes = self._look_up(distinct,
+                lambda new: [data[a:b] for a, b in zip(s.start[first[new]].tolist(), s.end[first[new]].tolist(), strict=True)])
             n = sizes[which]
             ends = np.cumsum(n)
             ids = self._ids[np.arange(ends[-1]) + np.repeat(begins[which] - (ends - n), n)]

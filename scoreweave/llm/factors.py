@@ -180,14 +180,16 @@ def _by_suffix_order(keyed: DataFrame, stretches: DataFrame, length: int) -> Dat
 
         for batch in batches:
             rows = []
-            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")), batch.column("runs"), strict=True):
+            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")),
+                batch.column("runs"), strict=True):
                 anchors, places = (own.values.field(c).to_numpy() for c in ("anchor", "place"))
                 for anchor, place in zip(anchors.tolist(), places.tolist(), strict=True):
                     start, n = place >> 10, place & 1023
                     rows.append((anchor, did, th, start, text[start : start + n - 1 + length]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 20_000], strict=True), kinds, strict=True)], ["anchor", "did", "th", "start", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c,
+                    k in zip(zip(*rows[i : i + 20_000], strict=True), kinds, strict=True)], ["anchor", "did", "th", "start", "data"])
 
     def decide(batches):
         import pyarrow as pa
@@ -207,7 +209,8 @@ def _by_suffix_order(keyed: DataFrame, stretches: DataFrame, length: int) -> Dat
             start, did, th, begin, end = start[one], did[one], th[one], begin[one], end[one]
             factor = previous_factors(data, begin, end - begin, length)
             hit = factor >= length
-            return pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(th[hit]), pa.array(start[hit]), pa.array((start + factor)[hit])], ["did", "th", "begin", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(th[hit]), pa.array(start[hit]),
+                pa.array((start + factor)[hit])], ["did", "th", "begin", "end"])
 
         # Rows come sorted by anchor; a chunk of about 1000 runs is settled at once and ends between two anchors.
         held, size = [], 0
@@ -241,13 +244,15 @@ def _by_string(keyed: DataFrame, stretches: DataFrame, length: int) -> DataFrame
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")), batch.column("runs"), strict=True):
+            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")),
+                batch.column("runs"), strict=True):
                 place = own.values.field("place").to_numpy()
                 start, n = place >> 10, place & 1023
                 row = np.repeat(np.arange(len(n)), n)
                 at = start[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 hashes = np.frombuffer(b"".join(xxh3_128_digest(text[i : i + length]) for i in at.tolist()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes[:, 0].copy(), hashes[:, 1].copy(), np.full(len(at), did), np.full(len(at), th), at)], ["h1", "h2", "did", "th", "begin"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes[:, 0].copy(), hashes[:, 1].copy(), np.full(len(at), did),
+                    np.full(len(at), th), at)], ["h1", "h2", "did", "th", "begin"])
 
     strings = written(_cut(keyed, stretches, cut, "h1 long, h2 long, did long, th long, begin long"), "strings")
     first = strings.groupBy("h1", "h2").agg(F.min(F.struct("did", "th", "begin")).alias("first"), F.max(F.struct("did", "th", "begin")).alias("last"))
@@ -271,7 +276,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: i
     varied = written(first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied")
     mixed = first.select("anchor", "first.*").join(varied, "anchor")
     later = some.join(first.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("struct(did, th, place) <> first")
-    gone = later.select("did", "th", F.shiftright("place", 10).alias("begin"), (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end"))
+    gone = later.select("did", "th", F.shiftright("place", 10).alias("begin"),
+        (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end"))
     gone = gone.union(_by_suffix_order(keyed, mixed.where(F.col("kinds") <= most_runs), length))
     many = varied.where(F.col("kinds") > most_runs)
     if not many.isEmpty():
@@ -300,7 +306,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: i
                 for c, v in zip(cols, (len(text), removed, spans_n, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"),
+                *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     marked = keyed.join(spans, ["did", "th"], "left").select("doc_id", "th", "text", "gone")
     return marked.mapInArrow(apply, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

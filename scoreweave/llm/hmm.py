@@ -31,7 +31,7 @@ from .words import SPACED, bytes_of, spans
 RARE = 48  # symbols of rare words, by the power of two of their count; number 0 is the unseen event
 
 
-def coded_blocks(docs: DataFrame, held_out, block_bytes: int = 6 << 20) -> DataFrame:
+def coded_blocks(docs: DataFrame, held_out, block_bytes: int = 4 << 20) -> DataFrame:
     """One row a block: its words (the end is the empty one) and their training counts, its texts as numbers in that list."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -55,9 +55,11 @@ def coded_blocks(docs: DataFrame, held_out, block_bytes: int = 6 << 20) -> DataF
             ends = np.searchsorted(s.start, starts)
             ids = np.insert(rank[which].astype(np.int32) if len(first) else np.empty(0, np.int32), ends[1:], 0)
             lengths = np.diff(ends) + 1
-            row = {"block": [TaskContext.get().partitionId() << 32 | number], "words": [words], "counts": [counts.astype(np.int64)], "doc_ids": [t.column("doc_id").to_pylist()], "held_out": [held], "lengths": [lengths], "ids": [ids.astype("<i4").tobytes()]}
+            row = {"block": [TaskContext.get().partitionId() << 32 | number], "words": [words], "counts": [counts.astype(np.int64)],
+                "doc_ids": [t.column("doc_id").to_pylist()], "held_out": [held], "lengths": [lengths], "ids": [ids.astype("<i4").tobytes()]}
             number += 1
-            kinds = {"block": pa.int64(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "doc_ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "ids": pa.binary()}
+            kinds = {"block": pa.int64(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "doc_ids": pa.list_(pa.int64()),
+                "held_out": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "ids": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in kinds.items()], list(kinds))
 
         number, slices, size = 0, [], 0
@@ -223,7 +225,8 @@ def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int) -> Mo
         sums = coded.select("lengths", "held_out", "symbols").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros(states + states * states + states * n)
         total[sums["at"].to_numpy()] = sums["n"].to_numpy()
-        start, moves, emit = total[:states] + 1e-3, total[states : states + states**2].reshape(states, states) + 1e-3, total[states + states**2 :].reshape(states, n)
+        start, moves, emit = total[:states] + 1e-3, total[states : states + states**2].reshape(states,
+            states) + 1e-3, total[states + states**2 :].reshape(states, n)
         emit = emit + 0.5 * weights  # no state gives a symbol that is in use no mass
         m = Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
         sent.unpersist()
@@ -240,7 +243,8 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
         raise ValueError("symbols are 16-bit numbers: frequent is too large")
     spark = docs.sparkSession
     blocks = written(coded_blocks(docs, held_out_of(F.col("doc_id"))), "coded-blocks")
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "local",
+        F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = written(listed.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
     n_train, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
 
@@ -282,11 +286,14 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
                 at = np.cumsum(lengths) - lengths
                 share = np.where(c > 0, np.log10(np.maximum(c, 1) / shares[symbol]), 0.0)
                 sums = [np.add.reduceat(x[ids], at) for x in (np.log10(c + 1) - base, share, (c > 0).astype(np.int64))]
-                row = {"doc_ids": batch.column("doc_ids")[i].values, "held_out": batch.column("held_out")[i].values, "lengths": lengths, "base": sums[0], "share": sums[1], "known": sums[2]}
+                row = {"doc_ids": batch.column("doc_ids")[i].values, "held_out": batch.column("held_out")[i].values, "lengths": lengths,
+                    "base": sums[0], "share": sums[1], "known": sums[2]}
                 cols = [pa.ListArray.from_arrays([0, len(lengths)], v if isinstance(v, pa.Array) else pa.array(v)) for v in row.values()]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([symbol[ids].astype("<u2").tobytes()], pa.binary())], [*row, "symbols"])
 
-    coded = written(paired.mapInArrow(code, "doc_ids array<long>, held_out array<boolean>, lengths array<long>, base array<double>, share array<double>, known array<long>, symbols binary"), "coded-texts")
+    coded = written(paired.mapInArrow(code,
+        "doc_ids array<long>, held_out array<boolean>, lengths array<long>, base array<double>, share array<double>, known array<long>, symbols binary"),
+        "coded-texts")
     for done in (blocks, back, counts):
         drop_written(done)
     m = train(coded, weights / max(weights.sum(), 1), states, rounds) if n_train else Model(np.ones(1), np.ones((1, 1)), np.ones((1, len(weights))))
@@ -306,7 +313,9 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
                 get = lambda name: batch.column(name)[i].values  # noqa: B023,E731
                 lengths = get("lengths").to_numpy()
                 logs = forward(sent.value, np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2"), lengths) + get("share").to_numpy()
-                yield pa.RecordBatch.from_arrays([get("doc_ids"), get("held_out"), get("lengths"), get("known"), pa.array(np.full(len(lengths), n_train, np.int64)), get("base"), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([get("doc_ids"), get("held_out"), get("lengths"), get("known"),
+                    pa.array(np.full(len(lengths), n_train, np.int64)), get("base"), pa.array(logs)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -42,7 +42,8 @@ TEXT = ("did", "th")
 def _keyed(docs: DataFrame) -> DataFrame:
     """Each row as a struct, with the text's key: did (the id, nulls first) and th (hash of the text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.struct("*").alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("th"))
+    return docs.select(F.struct("*").alias("row"), text.alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("th"))
 
 
 def _rounds(lines: DataFrame, most: int):
@@ -72,7 +73,8 @@ def shortest_stretches(lines: DataFrame, min_words: int) -> DataFrame:
     up = Window.partitionBy(*TEXT).orderBy("v", "asks", "i").rowsBetween(Window.unboundedPreceding, 0)
     ends = on.select(*TEXT, "i", "asks", F.min(F.when(F.col("asks") == 1, F.col("i"))).over(down).alias("end")).where("asks = 0 and end is not null")
     begins = back.select(*TEXT, "i", "asks", F.max(F.when(F.col("asks") == 0, F.col("i"))).over(up).alias("begin")).where("asks = 1 and begin is not null")
-    return ends.select(*TEXT, "i", (F.col("end") - F.col("i") + 1).alias("n")).union(begins.select(*TEXT, F.col("begin").alias("i"), (F.col("i") - F.col("begin") + 1).alias("n"))).distinct()
+    return ends.select(*TEXT, "i", (F.col("end") - F.col("i") + 1).alias("n")).union(begins.select(*TEXT, F.col("begin").alias("i"),
+        (F.col("i") - F.col("begin") + 1).alias("n"))).distinct()
 
 
 def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
@@ -98,22 +100,26 @@ def without_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """row, did, th, n_lines, n_removed, n_runs and kept (the text without the lines that go) for every row."""
     keyed = _keyed(docs)
     split = keyed.select(*TEXT, F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = split.select(*TEXT, "i", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"))
+    lines = split.select(*TEXT, "i", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"),
+        F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"))
     lines = written(lines.dropDuplicates([*TEXT, "i"]), "lines")
     going = later_copies(lines, min_words)
 
     # +1 where a stretch begins and -1 after it; a line goes where the sum is above zero.
-    marks = going.select(*TEXT, "i", F.lit(1).alias("d")).union(going.select(*TEXT, (F.col("i") + F.col("n")).alias("i"), F.lit(-1).alias("d"))).withColumn("line", F.lit(False))
+    marks = going.select(*TEXT, "i", F.lit(1).alias("d")).union(going.select(*TEXT, (F.col("i") + F.col("n")).alias("i"),
+        F.lit(-1).alias("d"))).withColumn("line", F.lit(False))
     both = lines.select(*TEXT, "i", F.lit(0).alias("d"), F.lit(True).alias("line")).union(marks).repartition(*TEXT)
     so_far = Window.partitionBy(*TEXT).orderBy("i")
-    gone = both.groupBy(*TEXT, "i").agg(F.sum("d").alias("d"), F.max("line").alias("line")).withColumn("gone", F.sum("d").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) > 0).where("line")
+    gone = both.groupBy(*TEXT, "i").agg(F.sum("d").alias("d"), F.max("line").alias("line")).withColumn("gone",
+        F.sum("d").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) > 0).where("line")
     begins = gone.withColumn("begins", F.col("gone") & ~F.coalesce(F.lag("gone").over(so_far), F.lit(False)))
     flags = begins.groupBy(*TEXT).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "gone"))), lambda x: x["gone"]).alias("flags"),
         F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.count_if("begins").alias("n_runs"),
     )
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.get("flags", i)), "\n")
-    return keyed.join(flags, [*TEXT]).select("row", *TEXT, "n_lines", "n_removed", "n_runs", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(left).alias("kept"))
+    return keyed.join(flags, [*TEXT]).select("row", *TEXT, "n_lines", "n_removed", "n_runs",
+        F.when(F.col("n_removed") == 0, F.col("text")).otherwise(left).alias("kept"))
 
 
 def digest(docs: DataFrame, min_words: int = 10) -> DataFrame:
@@ -122,7 +128,8 @@ def digest(docs: DataFrame, min_words: int = 10) -> DataFrame:
     rows = out.select(F.col("row.doc_id").alias("doc_id"), "th", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
     one = rows.groupBy(*rows.columns).agg(F.count("*").alias("rows")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     pick = lambda of_copy, name: F.when(F.col("nth") > 1, of_copy).otherwise(F.col(name)).alias(name)
-    return one.select("doc_id", "n_lines", pick(F.col("n_lines"), "n_removed"), pick(F.lit(1).cast("long"), "n_runs"), pick(F.sha2(F.lit(b""), 256), "kept_sha256"))
+    return one.select("doc_id", "n_lines", pick(F.col("n_lines"), "n_removed"), pick(F.lit(1).cast("long"), "n_runs"),
+        pick(F.sha2(F.lit(b""), 256), "kept_sha256"))
 
 
 def kept_documents(docs: DataFrame, min_words: int = 10) -> DataFrame:

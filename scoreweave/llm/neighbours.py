@@ -78,7 +78,8 @@ class Space:
         for i in range(0, len(x), block):
             v = _unit(x[i : i + block] @ self.project)
             cosine = v @ self.vectors.T
-            near = np.argpartition(-cosine, min(k, cosine.shape[1]) - 1, axis=1)[:, :k] if cosine.shape[1] > k else np.broadcast_to(np.arange(cosine.shape[1]), (len(v), cosine.shape[1]))
+            near = np.argpartition(-cosine, min(k, cosine.shape[1]) - 1, axis=1)[:,
+                :k] if cosine.shape[1] > k else np.broadcast_to(np.arange(cosine.shape[1]), (len(v), cosine.shape[1]))
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** power
             total = weight.sum(1)
             some = total > 0
@@ -121,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of, most_rows: int = 6000,
         for whole in batches:
             for batch in in_slices(whole, "text", 2 << 20):
                 x = terms(*bytes_of(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([v.astype("<f2").tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"),
+                    pa.array([v.astype("<f2").tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
 
     vectors = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary")
     vectors = vectors.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(most_rows)  # also where an id has many rows
@@ -135,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of, most_rows: int = 6000,
 def scores(docs: DataFrame, labels: DataFrame, held_out_of, k: int = 15, power: float = 4.0, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held_out_of))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_of(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_of(F.col("doc_id")).alias("held_out"),
+        F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -144,7 +147,8 @@ def scores(docs: DataFrame, labels: DataFrame, held_out_of, k: int = 15, power:
             for batch in in_slices(whole, "text", 2 << 20):
                 x = terms(*bytes_of(batch.column("text")))
                 score = np.full(len(x), 0.5) if sent.value is None else sent.value.score(x, k, power)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score),
+                    pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return plain.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -52,7 +52,9 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 #: Lower-cased runs of letters and digits of a text; bytes of other alphabets count as letters.
 _LETTER_WORDS = """list_filter(string_split(regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda x: x <> '')"""
-_SHINGLES = "SELECT {id} AS id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM (SELECT {id}, {words} AS w FROM {table})"
+_SHINGLES = """SELECT {id} AS id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM (SELECT {id}, {words} AS w
+FROM {table})"""
 ORACLES["op4_benchmark_decontamination"] = f"""
 WITH d AS ({_SHINGLES.format(id="doc_id", words=_LETTER_WORDS.format(text="text"), table="documents")}),
 b AS ({_SHINGLES.format(id="item_id", words=_LETTER_WORDS.format(text="text"), table="benchmark")}),
@@ -85,11 +87,13 @@ r AS (
   FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l) WINDOW s AS (PARTITION BY line ORDER BY doc_id, i)
   UNION ALL
   SELECT n + 1, doc_id, i, words, total, first_value(doc_id) OVER s, first_value(i) OVER s, count(*) OVER (PARTITION BY fd, fi, nd, ni)
-  FROM (SELECT n, doc_id, i, words, words + lead(total) OVER o AS total, fd, fi, lead(fd) OVER o AS nd, lead(fi) OVER o AS ni, lead(i) OVER o AS j FROM r WHERE times > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  FROM (SELECT n, doc_id, i, words, words + lead(total) OVER o AS total, fd, fi, lead(fd) OVER o AS nd, lead(fi) OVER o AS ni,
+lead(i) OVER o AS j FROM r WHERE times > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY i))
   WHERE j = i + 1 WINDOW s AS (PARTITION BY fd, fi, nd, ni ORDER BY doc_id, i)
 ),
 w AS (SELECT doc_id, i, max(n) AS n FROM r WHERE times > 1 AND total >= {min_words} AND (fd <> doc_id OR fi <> i) GROUP BY doc_id, i),
-g AS (SELECT l.doc_id, l.i, any_value(l.line) AS line, count(w.i) > 0 AS gone FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND l.i BETWEEN w.i AND w.i + w.n - 1 GROUP BY l.doc_id, l.i),
+g AS (SELECT l.doc_id, l.i, any_value(l.line) AS line, count(w.i) > 0 AS gone FROM l LEFT
+JOIN w ON w.doc_id = l.doc_id AND l.i BETWEEN w.i AND w.i + w.n - 1 GROUP BY l.doc_id, l.i),
 b AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
@@ -110,7 +114,8 @@ def op3_hidden_markov_scores(spark, sf_dir):
 def op7_token_attribution(spark, sf_dir):
     """Tokens of every stretch of 1000 characters of every document, boundary-crossing ones allotted by the larger part."""
     size = F.char_length(F.coalesce("text", F.lit("")))
-    stretch = lambda at: F.struct((at / 1000).cast("long").cast("string").alias("name"), at.cast("long").alias("begin"), F.least(at + 1000, size).cast("long").alias("end"))
+    stretch = lambda at: F.struct((at / 1000).cast("long").cast("string").alias("name"), at.cast("long").alias("begin"),
+        F.least(at + 1000, size).cast("long").alias("end"))
     docs = table(spark, sf_dir, "documents").withColumn("sections", F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(1000)), stretch))
     return attribution.token_counts(docs, byte_bpe(), byte_bpe_pattern(), "sections")
 

@@ -52,7 +52,8 @@ def text_statistics(docs: DataFrame, carried: list[str], into: str) -> DataFrame
                 covered = np.zeros(len(words.hash), bool)
                 for k in range(3):
                     covered[at[twice] + k] = True
-                out = [n_words, chars, total(is_symbol[raw]), per_row(lines.row[spoken][later], n), per_row(words.row[covered], n), per_row(lines.row[spoken], n)]
+                out = [n_words, chars, total(is_symbol[raw]), per_row(lines.row[spoken][later], n), per_row(words.row[covered], n),
+                    per_row(lines.row[spoken], n)]
                 counts = pa.StructArray.from_arrays([pa.array(c) for c in out], names)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], counts], [*carried, into])
 
@@ -66,7 +67,8 @@ FEATURES: dict[str, Column | None] = dict.fromkeys(("words", "mean_word_chars",
 
 def feature_columns() -> dict[str, Column]:
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    values = (F.col("n_words").cast("double"), ratio("word_chars", "n_words"), ratio("n_symbols", "n_words"), ratio("n_dup_lines", "n_lines"), ratio("n_repeat_words", "n_words"), ratio("n_words", "n_lines"))
+    values = (F.col("n_words").cast("double"), ratio("word_chars", "n_words"), ratio("n_symbols", "n_words"),
+        ratio("n_dup_lines", "n_lines"), ratio("n_repeat_words", "n_words"), ratio("n_words", "n_lines"))
     return dict(zip(FEATURES, values, strict=True))
 
 
@@ -98,7 +100,8 @@ def _merged(tests: list[Test]) -> list[Test]:
     return list(best.values())
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, most_rules: int = 12, most_tests: int = 4, cuts: int = 64) -> list[tuple[Test, ...]]:
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, most_rules: int = 12, most_tests: int = 4,
+    cuts: int = 64) -> list[tuple[Test, ...]]:
     """Rules that find bad rows: each grown on two thirds of the rows that no rule covers yet, pruned on the rest.
 
     A rule whose precision on the pruning rows is below the stated one ends the list.
@@ -162,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[tup
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
     sample = known.orderBy(F.xxhash64("id"), "id", "quality").limit(most_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id")
-    rows = text_statistics(texts, ["id", "quality"], "s").select("id", "quality", "s.*").select("id", "quality", *(c.alias(k) for k, c in feature_columns().items()))
+    rows = text_statistics(texts, ["id", "quality"], "s").select("id", "quality", "s.*").select("id", "quality",
+        *(c.alias(k) for k, c in feature_columns().items()))
     rows = rows.orderBy(F.xxhash64("id"), "id", "quality", *FEATURES).limit(most_rows)  # also where an id has many rows
     t = rows.toPandas()
     t = t.sort_values(list(t.columns)).sample(frac=1, random_state=0)

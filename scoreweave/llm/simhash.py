@@ -110,9 +110,12 @@ def links_within(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame
     homes = F.array(*(key(s) for s in [(0,) * QUARTERS, *later]))
     part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    owned = tiled.select(key((0,) * QUARTERS).alias("home"), "fp").join(parts, "home").select("home", part("n_own").alias("i"), every("n_met").alias("j"), "fp", F.lit(True).alias("own"))
-    guests = tiled.select(F.explode(homes).alias("home"), "fp").join(parts, "home").select("home", every("n_own").alias("i"), part("n_met").alias("j"), "fp", F.lit(False).alias("own"))
-    groups = owned.union(guests).groupBy("home", "i", "j").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("met"))
+    owned = tiled.select(key((0,) * QUARTERS).alias("home"), "fp").join(parts, "home").select("home", part("n_own").alias("i"),
+        every("n_met").alias("j"), "fp", F.lit(True).alias("own"))
+    guests = tiled.select(F.explode(homes).alias("home"), "fp").join(parts, "home").select("home", every("n_own").alias("i"),
+        part("n_met").alias("j"), "fp", F.lit(False).alias("own"))
+    groups = owned.union(guests).groupBy("home", "i", "j").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"),
+        F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("met"))
 
     def compare(batches):
         import pyarrow as pa

@@ -72,7 +72,8 @@ def build(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, bits: in
     sizes = np.array([len(b) for part in blocks for b in part], np.int64)
     places = np.append(0, np.cumsum(sizes))
     head = json.dumps({"bits": bits, "n": len(tokens), "docs": len(doc_ids), "zeros": zeros, "lists": [len(x) for x in lists]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, before.astype("<u4").tobytes(), places.astype("<u4").tobytes(), *lists, *(b for part in blocks for b in part)])
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, before.astype("<u4").tobytes(), places.astype("<u4").tobytes(), *lists,
+        *(b for part in blocks for b in part)])
 
 
 class WaveletMatrix:
@@ -282,7 +283,8 @@ def read_shards(spark, path: str, index: DataFrame) -> DataFrame:
                     starts, n = (ends - lengths)[i : i + 1024], lengths[i : i + 1024]
                     ids = [tokens[a : a + b].tobytes() for a, b in zip(starts, n, strict=True)]
                     docs = [None if x == NO_ID else x for x in doc_ids[i : i + 1024].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + first), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + first), pa.array(n),
+                        pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     if index.isEmpty():  # nothing was written, so there is no folder either
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")

@@ -23,7 +23,8 @@ def corpus():
     sentence = lambda n: " ".join(random.choices(vocabulary, k=n))
     passage = sentence(60) + ".\n" + sentence(12) + "."
     texts = [sentence(random.randint(1, 90)) + random.choice([".", "!\n", "\n\n"]) + sentence(random.randint(0, 40)) for _ in range(60)]
-    texts += [texts[0], texts[0], texts[1] + " fim", passage + "\n" + sentence(5), sentence(7) + "\n" + passage, "Aa" * 300, "so so so " * 80, "", None, "   \n\t ", "%%% *** &&&", sentence(3000)]
+    texts += [texts[0], texts[0], texts[1] + " fim", passage + "\n" + sentence(5), sentence(7) + "\n" + passage, "Aa" * 300,
+        "so so so " * 80, "", None, "   \n\t ", "%%% *** &&&", sentence(3000)]
     rows = [(i, t, None, "s", 1, "x", "y", 3) for i, t in enumerate(texts)]
     return [*rows, (None, sentence(30), None, None, None, None, None, None), rows[3], rows[3]]
 
@@ -47,7 +48,8 @@ def test_ids_equal_the_library(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(word_bpe())
-    texts = [x for _, x in known()] + ["a<|endoftext|>b", "<|startoftext|>A <|ENDOFTEXT|> é<|endoftext|><|endoftext|>", "don't 've'S ×,÷.é,«a»… x　Z 12a3b É.Ñ'T 😀!!a", "it's!'s 'S,'s a_b-c__d éà'll"]
+    texts = [x for _, x in known()] + ["a<|endoftext|>b", "<|startoftext|>A <|ENDOFTEXT|> é<|endoftext|><|endoftext|>",
+        "don't 've'S ×,÷.é,«a»… x　Z 12a3b É.Ñ'T 😀!!a", "it's!'s 'S,'s a_b-c__d éà'll"]
     ids, at = encoder(word_bpe()).encode(pa.array(texts))
     for i, text in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
@@ -268,7 +270,9 @@ def test_forward_is_exact_and_training_climbs():
 
 def test_decontamination(spark, docs, none):
     by = dict(known())
-    items = spark.createDataFrame([(1, " ".join(by[71].split()[100:112]).encode().upper().decode() + "!"), (2, "nada disso está em texto algum daqui hoje"), (3, None), (4, ""), (5, " ".join(by[7].split()[:3])), (6, " ".join(by[71].split()[500:540]))], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(by[71].split()[100:112]).encode().upper().decode() + "!"),
+        (2, "nada disso está em texto algum daqui hoje"), (3, None), (4, ""), (5, " ".join(by[7].split()[:3])),
+        (6, " ".join(by[71].split()[500:540]))], "item_id long, text string")
 
     def brute(text, item):
         q, d = decontam.shingle_set((item or "").encode(), 5), decontam.shingle_set(text.encode(), 5)
@@ -307,7 +311,8 @@ def test_sketches_find_contained_items(spark):
         n = Counter(i for s in decontam.shingle_set(text.encode(), 5) for i in by_shingle.get(s, ()))
         want |= {(d, i) for i, c in n.items() if c >= 0.8 * len(sets[i]) - 1e-9}
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), table).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(spark.createDataFrame(docs,
+        "doc_id long, text string").repartition(4), table).collect()}
     assert len(want) > 2000 and got <= want and len(got) >= 0.999 * len(want)
 
 
@@ -338,12 +343,14 @@ def test_quality_rules(spark, docs, none):
 
 def test_verdict_is_the_first_rule_that_holds(docs):
     t = rules.Test
-    listed = [(t("words", True, 80.0), t("symbols_per_word", False, 0.1)), (t("mean_word_chars", True, 4.5),), (t("dup_line_share", True, 0.2), t("words_per_line", False, 30.0))]
+    listed = [(t("words", True, 80.0), t("symbols_per_word", False, 0.1)), (t("mean_word_chars", True, 4.5),),
+        (t("dup_line_share", True, 0.2), t("words_per_line", False, 30.0))]
     stats = rules.text_statistics(docs, ["doc_id"], "s").select("doc_id", "s.*").withColumn("rule", rules.verdict(listed))
     seen = set()
     for r in stats.collect():
         per = lambda a, b: r[a] / max(r[b], 1)  # noqa: B023,E731
-        x = {"words": r["n_words"], "mean_word_chars": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "words_per_line": per("n_words", "n_lines")}
+        x = {"words": r["n_words"], "mean_word_chars": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"),
+            "dup_line_share": per("n_dup_lines", "n_lines"), "words_per_line": per("n_words", "n_lines")}
         want = next((i for i, tests in enumerate(listed) if all(x[q.feature] >= q.value if q.at_least else x[q.feature] < q.value for q in tests)), None)
         assert r["rule"] == want
         seen.add(want)
@@ -397,7 +404,8 @@ def test_wavelet_rank_and_select():
 def test_attribution(spark, docs, none):
     encoding, _ = attribution._encoding(byte_bpe(), byte_bpe_pattern())
     size = 7
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(F.coalesce("text", F.lit(""))) - 1, F.lit(0)), F.lit(size)), lambda a: F.struct(a.cast("string").alias("name"), a.cast("long").alias("begin"), (a + size).cast("long").alias("end")))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(F.coalesce("text", F.lit(""))) - 1, F.lit(0)), F.lit(size)),
+        lambda a: F.struct(a.cast("string").alias("name"), a.cast("long").alias("begin"), (a + size).cast("long").alias("end")))
     got = {}
     for r in attribution.token_counts(docs.dropDuplicates(["doc_id"]).withColumn("s", cut), byte_bpe(), byte_bpe_pattern(), "s").collect():
         got.setdefault(r["doc_id"], Counter())[r["section"]] += r["n_tokens"]
@@ -410,7 +418,8 @@ def test_attribution(spark, docs, none):
             want[str(held.index(max(held)) * size)] += 1
             at += n
         assert {k: v for k, v in got[d].items() if v} == dict(want)
-    rows = [(1, "abcdef ghi" * 2000, [("b", 5, 9_000), None, ("a", 0, 6), ("n", None, 4), ("m", 3, None), ("e", 30_000, 40_000), ("v", 7, 3)]), (2, "x y", None), (None, None, [("a", 0, 5)])]
+    rows = [(1, "abcdef ghi" * 2000, [("b", 5, 9_000), None, ("a", 0, 6), ("n", None, 4), ("m", 3, None), ("e", 30_000, 40_000),
+        ("v", 7, 3)]), (2, "x y", None), (None, None, [("a", 0, 5)])]
     odd = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<name: string, begin: bigint, end: bigint>>")
     out = {(r["doc_id"], r["section"], r["n_chars"]): r["n_tokens"] for r in attribution.token_counts(odd, byte_bpe(), byte_bpe_pattern(), "s").collect()}
     assert set(out) == {(1, "a", 6), (1, "b", 8994), (1, None, 0), (1, "n", 0), (1, "m", 0), (1, "e", 0), (1, "v", 0), (2, None, 0), (None, "a", 0)}

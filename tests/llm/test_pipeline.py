@@ -23,7 +23,8 @@ def rows():
     item = sentence(25)
     near = texts[3].split()  # in one line, which line dedup leaves
     near[len(near) // 2] = "outra"
-    texts += [texts[0], texts[0], " ".join(near), texts[5] + "\n" + passage, passage + "\n" + texts[6], texts[8] + " " + item.upper() + " " + texts[9], item, "so so so " * 90, "# $ % & " * 40, "", None, sentence(2500)]
+    texts += [texts[0], texts[0], " ".join(near), texts[5] + "\n" + passage, passage + "\n" + texts[6],
+        texts[8] + " " + item.upper() + " " + texts[9], item, "so so so " * 90, "# $ % & " * 40, "", None, sentence(2500)]
     made = [(i, t, "pt", "s", 1, "r", 1, 2, 3, "f", 4, "x", "y") for i, t in enumerate(texts)]
     made += [(None, text(), *[None] * 11), made[4], made[4]]
     return made, [(1, item), (2, sentence(30)), (3, ""), (None, None)]
@@ -51,7 +52,10 @@ def good_quality(docs, listed):
         three = Counter(zip(w, w[1:], w[2:]))
         twice = len({j for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
         n = max(len(w), 1)
-        x = {"words": len(w), "mean_word_chars": sum(len(p.decode()) for p in w) / n, "symbols_per_word": sum((t or "").count(c) for c in "#*$%&|<>") / n, "dup_line_share": (len(said) - len(set(said))) / max(len(said), 1), "repeat_word_share": twice / n, "words_per_line": len(w) / max(len(said), 1)}
+        x = {"words": len(w), "mean_word_chars": sum(len(p.decode()) for p in w) / n,
+            "symbols_per_word": sum((t or "").count(c) for c in "#*$%&|<>") / n,
+            "dup_line_share": (len(said) - len(set(said))) / max(len(said), 1), "repeat_word_share": twice / n,
+            "words_per_line": len(w) / max(len(said), 1)}
         bad = any(all(x[q.feature] >= q.value if q.at_least else x[q.feature] < q.value for q in tests) for tests in listed)
         if len(w) >= 50 and 100 * twice <= 50 * len(w) and not bad:
             out.append((d, t))
@@ -114,7 +118,8 @@ def test_stages_against_brute_force(spark, folder):
     labels, items = spark.read.parquet(f"{folder}/labels.parquet"), rows()[1]
     listed = rules.fit(table, labels)
     brute = {
-        "quality_rules": lambda d: good_quality(d, listed), "line_dedup": without_line_runs, "near_dedup": one_of_near_copies, "decontamination": lambda d: without_items(d, items),
+        "quality_rules": lambda d: good_quality(d, listed), "line_dedup": without_line_runs, "near_dedup": one_of_near_copies,
+            "decontamination": lambda d: without_items(d, items),
     }
     docs, want, sizes = table, [(r[0], r[1]) for r in rows()[0]], []
     for name, stage in corpus_pipeline.STAGES[:-1]:
