@@ -191,17 +191,24 @@ def alike(least: float):
 def with_copy_flag(answers: DataFrame, answer: str, prompt: str, name: str = "copied") -> DataFrame:
     """Whether an answer copies its prompt: both of 20 characters or more, and tokens shared for 0.85 or texts alike for 0.86.
 
-    Both texts are normalized and split once a row. Text likeness is only asked for where the lengths
-    allow it and the tokens have not decided.
+    A long answer whose start alone has more distinct tokens than such a share of the prompt's allows,
+    and is too long to be alike, is no copy, whatever follows; only the others are normalized whole, once.
+    Text likeness is only asked for where the lengths allow it and the tokens have not decided.
     """
-    rows = answers.withColumns({"_a": T.normalize_text(F.col(answer)), "_p": T.normalize_text(F.col(prompt))})
+    text = F.coalesce(F.col(answer), F.lit(""))
+    reach = F.length(F.coalesce(F.col(prompt), F.lit(""))) * 2 + 100
+    rows = answers.withColumns({"_p": T.normalize_text(F.col(prompt)), "_start": T.normalize_text(F.substr(text, F.lit(1), reach))})
+    ended = let(F.split("_start", " "), lambda w: F.size(F.array_distinct(F.slice(w, 1, F.size(w) - 1))))  # the last token may be cut
+    other = (F.length(text) > reach) & (ended * 0.85 > F.size(F.split("_p", " "))) & (F.length("_start") > F.length("_p") * (2 / 0.86 - 1))
+    rows = rows.withColumn("_other", other).withColumn("_a", F.when(~F.col("_other"), T.normalize_text(F.col(answer))))
     la, lp = F.length("_a"), F.length("_p")
     shares = let(F.array_distinct(F.split("_a", " ")), lambda own: F.size(F.array_intersect(own, F.split("_p", " "))) >= F.size(own) * 0.85)
-    state = F.when((la < 20) | (lp < 20), "no").when(shares, "copy").when(F.least(la, lp) * 2 / (la + lp) >= 0.86, "ask").otherwise("no")
+    alike_length = F.least(la, lp) * 2 / (la + lp) >= 0.86
+    state = F.when(F.col("_other") | (la < 20) | (lp < 20), "no").when(shares, "copy").when(alike_length, "ask").otherwise("no")
     rows = rows.withColumn("_state", state)
     asked = lambda c: F.when(F.col("_state") == "ask", F.col(c))
     rows = rows.withColumn("_alike", alike(0.86)(asked("_a"), asked("_p")))
-    return rows.withColumn(name, (F.col("_state") == "copy") | F.col("_alike")).drop("_a", "_p", "_state", "_alike")
+    return rows.withColumn(name, (F.col("_state") == "copy") | F.col("_alike")).drop("_a", "_p", "_start", "_other", "_state", "_alike")
 
 
 def guard_holds(rubrics: DataFrame, guards: DataFrame, text: Column) -> DataFrame:

@@ -55,6 +55,34 @@ def test_identity(spark):
     assert identity(spark, f"MQPC|e2|{A}|1|2", B, None)[:2] == (B, "header_ocr")
 
 
+def test_copies_against_plain_python(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefé", k=rng.randint(2, 7))) for _ in range(60)]
+    pairs = []
+    for _ in range(150):
+        p = rng.choices(words, k=rng.randint(2, 25))
+        kind = rng.randrange(6)
+        a = {0: rng.choices(words, k=rng.randint(1, 300)), 1: p * rng.randint(1, 20), 2: p[: rng.randint(1, len(p))], 3: [w + "x" for w in p], 4: p + rng.choices(words, k=rng.randint(0, 6)), 5: p * 9 + rng.choices(words, k=80)}[kind]
+        pairs.append((" ".join(a).upper() + rng.choice(["", ".", " !?", "\n"]), ", ".join(p)))
+    pairs += [(None, "uma pergunta longa demais aqui"), ("uma resposta longa demais aqui", None), ("", "")]
+
+    def plain(t):
+        return re.sub("[^a-z0-9áàâãéèêíïóôõöúçñ]+", " ", (t or "").lower()).strip(" ")
+
+    def copied(a, p):
+        a, p = plain(a), plain(p)
+        own = set(a.split(" "))
+        return len(a) >= 20 and len(p) >= 20 and (len(own & set(p.split(" "))) >= 0.85 * len(own) or SequenceMatcher(None, a, p).ratio() >= 0.86)
+
+    rows = spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(pairs)], "i int, a string, p string")
+    got = {r["i"]: r["copied"] for r in R.with_copy_flag(rows, "a", "p").collect()}
+    want = {i: copied(a, p) for i, (a, p) in enumerate(pairs)}
+    assert got == want and 30 < sum(want.values()) < 120
+
+
 def test_has_words_counts_no_further(spark):
     texts = ["", None, "a", " a  b ", "a b c", "a\u00a0b\tc", "\n a b c d", "a\u2003b", "—"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.has_words(F.col("t"), 3).alias("has"),
