@@ -27,7 +27,9 @@ def has_words(text: Column, n: int) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Lower case, letters and digits of Portuguese only, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9áàâãéèêíïóôõöúçñ]+", " "))
+    kept = "a-z0-9áàâãéèêíïóôõöúçñ"
+    # A single space is no match: it stays, and is by far the most frequent.
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{kept}]{{2,}}|[^{kept} ]", " "))
 
 
 def student_code(code: Column, *sources: Column) -> Column:
