@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import attribution, decontam, factors, hmm, lines, neighbours, packing, rules, simhash, wavelet
+from . import attribution, decontam, factors, hmm, lines, neighbours, packing, ranked, rules, simhash, toxicity, variants, wavelet
 from .common import table
 from .vocabularies import byte_bpe, byte_bpe_pattern, word_bpe
 
@@ -124,3 +124,63 @@ def op7_token_attribution(spark, sf_dir):
 def op8_neighbour_quality(spark, sf_dir):
     """Quality of every document by the votes of labelled neighbours."""
     return neighbours.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), neighbours.fold_is(5, 0))
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ranked.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+ORACLES["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest({_LETTER_WORDS.format(text="text")}) AS t FROM documents),
+n AS (SELECT r, count(*) AS n FROM d GROUP BY r),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+p AS (SELECT r, doc_id, t, count(*) AS tf FROM d GROUP BY r, doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY t),
+q AS (SELECT DISTINCT item_id, unnest({_LETTER_WORDS.format(text="text")}) AS t FROM benchmark),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+FROM q JOIN w USING (t) JOIN p USING (t) JOIN n USING (r), total GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Every word of five code points and three occurrences with its frequent neighbour and the last form it goes back to."""
+    return variants.spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: crc32 byte by byte over UTF-8 (characters below U+0800); neighbours meet by the pattern of all but one character.
+ORACLES["op12_spelling_variants"] = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+FROM (SELECT unnest(range(0, 256)) AS b)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+'[a-zÀ-ÿ]+')) AS run FROM documents),
+pairs AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END)) AS bs FROM pairs),
+h AS (SELECT run, n, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+results AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+p AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS less, substr(word, 1, i - 1) || substr(word, i + 1) AS bare
+FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM p a JOIN p b ON a.less = b.less AND a.word <> b.word
+  UNION SELECT DISTINCT p.word, w.word, w.n FROM p JOIN w ON p.bare = w.word
+  UNION SELECT DISTINCT w.word, p.word, p.n FROM p JOIN w ON p.bare = w.word
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    """Toxicity of every document by a model that is held to the same score when names of groups are swapped."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.fold_is(3, 1), 0.7)

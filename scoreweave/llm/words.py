@@ -63,14 +63,16 @@ class Spans:
     row: np.ndarray
 
 
-def spans(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray, lower: bool = False, empty: bool = False, cuts: np.ndarray | None = None) -> Spans:
+def spans(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray | None, lower: bool = False, empty: bool = False, cuts: np.ndarray | None = None,
+        keep: np.ndarray | None = None) -> Spans:
     """Runs of bytes marked inside, never across texts, hashed in segments of bounded size.
 
+    keep: the marks of the bytes where they stand, in place of inside, which marks bytes by their value.
     empty: also the empty runs between two marks, as a split at single bytes has them.
     cuts: sorted positions before which a run ends as well.
     """
     n = len(raw)
-    keep = inside[raw]
+    keep = inside[raw] if keep is None else keep
     if empty:
         cut = np.flatnonzero(~keep)
         begin = np.sort(np.concatenate([starts[:-1], cut + 1]))
