@@ -28,6 +28,7 @@ from .common import crc32_mod, drop_written, written
 from .encode import in_slices
 from .words import SPACED, bytes_of, spans
 
+TINY = 1e-30  # no state's share is less, so that what the future says of a state stays finite
 RARE = 48  # symbols of rare words, by the power of two of their count; number 0 is the unseen event
 
 
@@ -97,13 +98,20 @@ def _by_time(lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), "right").tolist()
 
 
+def _from_logs(v: np.ndarray) -> np.ndarray:
+    """Columns of logarithms as shares, however small they are."""
+    v = np.exp(v - v.max(0))
+    return v / v.sum(0)
+
+
 class _Stretches:
     """Sequences as stretches of at most `most` time steps, with what is carried over their borders.
 
-    A stretch's transfer matrix is the product of its steps' moves and emissions (its first step's
-    without the moves in a sequence's first stretch). Times the matrices before it, the start gives
-    the states in which a stretch is entered; times those after it, ones give what follows it. So
-    all stretches are walked side by side and the result is that of the whole sequences.
+    The states after a sequence's first stretch follow from the start, what its last stretch gives each
+    state before it from the end. A stretch between has a transfer matrix, the product of its steps'
+    moves and emissions, whose rows are scaled at every step and keep their scales as logarithms. From
+    these come the states in which each stretch is entered and what follows it, so all stretches are
+    walked side by side and the result is that of the whole sequences. Arrays have a row a state.
     """
 
     def __init__(self, m: Model, symbols: np.ndarray, lengths: np.ndarray, most: int, kind):
@@ -111,60 +119,89 @@ class _Stretches:
         self.nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         self.begin = np.repeat(np.cumsum(lengths) - lengths, parts) + self.nth * most
         self.size = np.minimum(most, np.repeat(lengths, parts) - self.nth * most)
-        self.of = np.repeat(np.arange(len(lengths)), parts)
-        self.symbols, self.start, self.moves = symbols, m.start.astype(kind), m.moves.astype(kind)
-        self.k = len(m.start)
-        long = np.flatnonzero(parts[self.of] > 1)
-        by = long[np.argsort(self.nth[long], kind="stable")]
-        bounds = np.searchsorted(self.nth[by], np.arange(1, (parts.max() if len(parts) else 0) + 1))
-        self.later = [by[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]  # stretches number 1, 2, ...
-        self.transfer = np.zeros((len(self.nth) if len(long) else 0, self.k, self.k), kind)
-        if len(long):
-            self.transfer[long] = self._transfers((m.emit / m.emit.max(0)).T.astype(kind), long)
-
-    def _transfers(self, emit: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        self.of, self.left = np.repeat(np.arange(len(lengths)), parts), np.repeat(parts, parts) - self.nth  # left: this one and those after it
+        self.symbols, self.start, self.moves, self.k = symbols, m.start.astype(kind), m.moves.astype(kind), len(m.start)
+        top = m.emit.max(0)
+        self.emit = np.ascontiguousarray((m.emit / np.where(top > 0, top, 1)).astype(kind))  # a factor a symbol is of no account here
+        self.entered, self.follows = np.repeat(self.start[:, None], len(self.nth), 1), np.ones((self.k, len(self.nth)), kind)
+        if (parts > 1).any():
+            self._carry()
+
+    def _carry(self) -> None:
+        with np.errstate(divide="ignore"):
+            first, last = np.flatnonzero((self.nth == 0) & (self.left > 1)), np.flatnonzero((self.nth > 0) & (self.left == 1))
+            between = np.flatnonzero((self.nth > 0) & (self.left > 1))
+            after, before = np.log(self._after(first)), np.log(self._before(last))
+            transfer, scale, place = *self._transfers(between), np.zeros(len(self.nth), np.int64)
+            place[between] = np.arange(len(between))
+            self.entered[:, first + 1] = np.exp(after)
+            self.follows[:, last - 1] = np.exp(before)
+            for j in range(1, int(self.nth.max())):  # the stretches number j that have another after them, and those number j from the end
+                rows = between[self.nth[between] == j]
+                v = np.log(self.entered[:, rows].astype(np.float64)) + scale[:, place[rows]]
+                self.entered[:, rows + 1] = _from_logs(np.log(np.einsum("kn,lkn->ln", _from_logs(v), transfer[:, :, place[rows]])))
+                rows = between[self.left[between] == j + 1]
+                v = np.log(np.einsum("lkn,ln->kn", transfer[:, :, place[rows]], self.follows[:, rows].astype(np.float64))) + scale[:, place[rows]]
+                self.follows[:, rows - 1] = _from_logs(v)
+
+    def _emitted(self, rows: np.ndarray, t: int) -> np.ndarray:
+        return self.emit.take(self.symbols[self.begin[rows] + t], 1)
+
+    def _after(self, rows: np.ndarray) -> np.ndarray:
+        """Shares of the states at the end of first stretches."""
+        v = np.repeat(self.start[:, None], len(rows), 1)
+        for t in range(int(self.size[rows].max(initial=0))):
+            v = (v if t == 0 else self.moves.T @ v) * self._emitted(rows, t)
+            v /= v.sum(0)
+            np.maximum(v, TINY, out=v)
+        return v
+
+    def _before(self, rows: np.ndarray) -> np.ndarray:
+        """What last stretches give each state of the step before them, up to a factor."""
         order, active = _by_time(self.size[rows])
-        at, first = self.begin[rows][order], (self.nth[rows][order] == 0)[:, None, None]
-        out = np.broadcast_to(np.where(first, np.eye(self.k, dtype=emit.dtype), self.moves), (len(rows), self.k, self.k)).copy()
-        for t, n in enumerate(active):
-            x = out[:n] if t == 0 else (out[:n].reshape(-1, self.k) @ self.moves).reshape(n, self.k, self.k)
-            x = x * emit[self.symbols[at[:n] + t]][:, None, :]
-            out[:n] = x / x.sum((1, 2), keepdims=True) if t % 8 == 7 else x
-        back = np.empty_like(out)
-        back[order] = out / out.sum((1, 2), keepdims=True)
+        v = np.ones((self.k, len(rows)), self.moves.dtype)
+        for t in range(len(active) - 1, -1, -1):
+            n = active[t]
+            w = self.moves @ (v[:, :n] * self._emitted(rows[order[:n]], t))
+            v[:, :n] = np.maximum(w / w.sum(0), TINY)
+        back = np.empty_like(v)
+        back[:, order] = v
         return back
 
-    def entries(self) -> np.ndarray:
-        """Shares of the states after the step before each stretch (first stretches: of no use)."""
-        out = np.repeat(self.start[None], len(self.nth), 0)
-        for rows in self.later:
-            v = np.einsum("nk,nkl->nl", out[rows - 1], self.transfer[rows - 1])
-            out[rows] = v / v.sum(1, keepdims=True)
-        return out
-
-    def exits(self) -> np.ndarray:
-        """What each state at a stretch's last step gives for all that follows, up to a factor."""
-        out = np.ones((len(self.nth), self.k), self.start.dtype)
-        for rows in reversed(self.later):
-            v = np.einsum("nkl,nl->nk", self.transfer[rows], out[rows])
-            out[rows - 1] = v / v.max(1, keepdims=True)
-        return out
+    def _transfers(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Transfer matrices (to, from, stretch) of stretches of full size and the logarithms of their rows' scales (from, stretch)."""
+        k, n = self.k, len(rows)
+        x = np.repeat(self.moves.T[:, :, None], n, 2)
+        logs, product = np.zeros((k, n)), np.ones((k, n))
+        for t in range(int(self.size[rows].max(initial=0))):
+            if t:
+                x = (self.moves.T @ x.reshape(k, k * n)).reshape(k, k, n)
+            x *= self._emitted(rows, t)[:, None, :]
+            scale = x.sum(0)
+            x /= scale
+            np.maximum(x, TINY, out=x)
+            product *= scale
+            if t % 4 == 3:
+                logs += np.log(product)
+                product[:] = 1
+        return x, logs + np.log(product)
 
 
 def forward(m: Model, symbols: np.ndarray, lengths: np.ndarray, most: int = 1024) -> np.ndarray:
     """log10 probability of each sequence of symbols; sequences lie one after another."""
     s = _Stretches(m, symbols, lengths, most, np.float64)
     order, active = _by_time(s.size)
-    at, out = s.begin[order], np.zeros(len(order))
-    emit = np.ascontiguousarray(m.emit.T)
-    alpha = np.where((s.nth == 0)[:, None], m.start, s.entries() @ m.moves)[order]
+    at, out, product = s.begin[order], np.zeros(len(order)), np.ones(len(order))
+    alpha, emit = np.where(s.nth == 0, s.start[:, None], s.moves.T @ s.entered)[:, order], np.ascontiguousarray(m.emit)
     for t, n in enumerate(active):
-        alpha = alpha[:n] if t == 0 else alpha[:n] @ m.moves
-        alpha = alpha * emit[symbols[at[:n] + t]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        out[:n] += np.log10(scale)
-    return np.bincount(s.of[order], out, len(lengths))
+        alpha = (alpha[:, :n] if t == 0 else s.moves.T @ alpha[:, :n]) * emit.take(symbols[at[:n] + t], 1)
+        scale = alpha.sum(0)
+        alpha /= scale
+        product[:n] *= scale
+        if t % 4 == 3:
+            out += np.log10(product)
+            product[:] = 1
+    return np.bincount(s.of[order], out + np.log10(product), len(lengths))
 
 
 def expected_counts(m: Model, symbols: np.ndarray, lengths: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,35 +209,60 @@ def expected_counts(m: Model, symbols: np.ndarray, lengths: np.ndarray, most: in
     k, n_symbols = m.emit.shape
     s = _Stretches(m, symbols, lengths, most, np.float32)
     order, active = _by_time(s.size)
-    at, first, entered, follows = s.begin[order], (s.nth == 0)[order], s.entries()[order], s.exits()[order]
-    emit, moves = np.ascontiguousarray(m.emit.T.astype(np.float32)), s.moves
-    alphas, scales = [], []
-    alpha = np.where(first[:, None], s.start, entered @ moves)
-    for t, n in enumerate(active):
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ moves) * emit[symbols[at[:n] + t]]
-        scale = alpha.sum(1, keepdims=True)
-        alpha = alpha / scale
-        alphas.append(alpha)
-        scales.append(scale)
-    gamma = np.empty((len(symbols), k), np.float32)
-    steps, back = np.zeros((k, k)), np.ones((0, k), np.float32)
+    first, entered, follows = (s.nth == 0)[order], s.entered[:, order], s.follows[:, order]
+    # Tokens by time step: those of step t lie from at[t] on, in the order of the stretches.
+    at, rank = np.cumsum([0, *active]), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    step = np.arange(len(symbols)) - np.repeat(s.begin, s.size)
+    place = at[step] + np.repeat(rank, s.size)
+    by_time = np.empty_like(symbols)
+    by_time[place] = symbols
+    states = s.emit.take(by_time, 1)  # emissions, then what the past says of each step's states, then the past and the future
+    parts = [states[:, a : a + n] for a, n in zip(at.tolist(), active, strict=False)]
+    for t, now in enumerate(parts):
+        now *= np.where(first, s.start[:, None], s.moves.T @ entered) if t == 0 else s.moves.T @ parts[t - 1][:, : now.shape[1]]
+        now /= now.sum(0)
+        np.maximum(now, TINY, out=now)
+    steps, back = np.zeros((k, k)), np.ones((k, 0), np.float32)
     for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        beta, held = follows[:n].copy(), len(back)
+        now, held = parts[t], back.shape[1]
+        beta = follows[:, : active[t]].copy()  # stretches that end here: what follows, up to a factor
+        beta[:, :held] = s.moves @ back
+        both = now * beta
+        scale = both.sum(0)
         if held:
-            steps += alphas[t][:held].T @ back
-            beta[:held] = back @ moves.T
-        last = alphas[t][held:]  # stretches that end here: what follows, on the scale of their last step
-        beta[held:] /= (last * beta[held:]).sum(1, keepdims=True)
-        gamma[at[:n] + t] = alphas[t] * beta
-        back = emit[symbols[at[:n] + t]] * beta / scales[t]
-    if len(back):
-        steps += entered[~first].T @ back[~first]
-    emitted = np.stack([np.bincount(symbols, gamma[:, i], n_symbols) for i in range(k)]) if len(symbols) else np.zeros((k, n_symbols))
-    starts = gamma[np.cumsum(lengths) - lengths].sum(0, dtype=np.float64) if len(lengths) else np.zeros(k)
+            steps += now[:, :held] @ (back / scale[:held]).T
+        np.divide(both, scale, out=now)
+        beta /= scale
+        back = s.emit.take(by_time[at[t] : at[t + 1]], 1) * beta
+    later = np.flatnonzero(~first)
+    if len(later):
+        into = back[:, later]
+        steps += entered[:, later] @ (into / (entered[:, later] * (s.moves @ into)).sum(0)).T
+    emitted = np.stack([np.bincount(by_time, g, n_symbols) for g in states]) if len(symbols) else np.zeros((k, n_symbols))
+    starts = states[:, place[np.cumsum(lengths) - lengths]].sum(1, dtype=np.float64) if len(lengths) else np.zeros(k)
     return starts, steps * m.moves, emitted
 
 
+def _together(batches, columns, most_tokens: int = 1_250_000):
+    """Symbols and lengths of some blocks' texts, of most_tokens or few more, and the blocks' other columns: long arrays waste less on each step."""
+    held, tokens = [], 0
+
+    def given():
+        return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [h[2] for h in held]
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            symbols = np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2")
+            held.append((symbols, batch.column("lengths")[i].values.to_numpy(), {c: batch.column(c)[i].values for c in columns}))
+            tokens += len(symbols)
+            if tokens >= most_tokens:
+                yield given()
+                held, tokens = [], 0
+    if held:
+        yield given()
+
+
 def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int) -> Model:
     """Baum-Welch rounds over all training texts; each round's counts are a Spark aggregate of fixed size."""
     spark, m, n = coded.sparkSession, Model.first(states, weights), len(weights)
@@ -211,13 +273,11 @@ def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int) -> Mo
             import pyarrow as pa
 
             total = None
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    symbols = np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2")
-                    lengths, held = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("lengths", "held_out"))
-                    if not held.all():
-                        counts = np.concatenate([c.ravel() for c in expected_counts(sent.value, symbols[~np.repeat(held, lengths)], lengths[~held])])
-                        total = counts if total is None else total + counts
+            for symbols, lengths, rows in _together(batches, ("held_out",)):
+                held = np.concatenate([r["held_out"].to_numpy(zero_copy_only=False) for r in rows])
+                if not held.all():
+                    counts = np.concatenate([c.ravel() for c in expected_counts(sent.value, symbols[~np.repeat(held, lengths)], lengths[~held])])
+                    total = counts if total is None else total + counts
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
@@ -225,6 +285,8 @@ def train(coded: DataFrame, weights: np.ndarray, states: int, rounds: int) -> Mo
         sums = coded.select("lengths", "held_out", "symbols").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros(states + states * states + states * n)
         total[sums["at"].to_numpy()] = sums["n"].to_numpy()
+        if not np.isfinite(total).all():
+            raise ArithmeticError("expected counts that are not finite")
         start, moves, emit = total[:states] + 1e-3, total[states : states + states**2].reshape(states,
             states) + 1e-3, total[states + states**2 :].reshape(states, n)
         emit = emit + 0.5 * weights  # no state gives a symbol that is in use no mass
@@ -308,14 +370,14 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
     def score(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda name: batch.column(name)[i].values  # noqa: B023,E731
-                lengths = get("lengths").to_numpy()
-                logs = forward(sent.value, np.frombuffer(batch.column("symbols")[i].as_buffer(), "<u2"), lengths) + get("share").to_numpy()
-                yield pa.RecordBatch.from_arrays([get("doc_ids"), get("held_out"), get("lengths"), get("known"),
-                    pa.array(np.full(len(lengths), n_train, np.int64)), get("base"), pa.array(logs)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for symbols, lengths, rows in _together(batches, ("doc_ids", "held_out", "known", "base", "share")):
+            get = lambda name: pa.concat_arrays([r[name] for r in rows])  # noqa: B023,E731
+            logs = forward(sent.value, symbols, lengths) + get("share").to_numpy()
+            if not np.isfinite(logs).all():
+                raise ArithmeticError("a score that is not finite")
+            yield pa.RecordBatch.from_arrays([get("doc_ids"), get("held_out"), pa.array(lengths), get("known"),
+                pa.array(np.full(len(lengths), n_train, np.int64)), get("base"), pa.array(logs)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

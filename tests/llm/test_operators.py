@@ -241,6 +241,37 @@ def test_stretches_carry_whole_sequences():
             assert np.allclose(a, b, atol=1e-4)
 
 
+@pytest.mark.parametrize("off", [1e-4, 1e-6, 1e-8, 1e-12])
+@pytest.mark.filterwarnings("error")
+def test_sharp_models_stay_finite(off):
+    """States that hardly move and hardly share symbols, and a symbol that no state has: as in plain 64-bit steps over the whole text."""
+    k, n = 3, 3200
+    sharp = (np.full((k, k), off) + np.eye(k)) / (1 + k * off)
+    emit = np.concatenate([sharp, np.zeros((k, 1))], 1)
+    m = hmm.Model(np.array([1 - 2 * off, off, off]), sharp, emit)
+    rng = np.random.default_rng(5)
+    symbols = np.concatenate([np.repeat(rng.integers(0, k, n // 100), 100), rng.integers(0, k, n), [0], np.repeat([2, 1, 0], 700)])
+    lengths = np.array([n, n, 1, 2100])
+    counts = hmm.expected_counts(m, symbols, lengths)
+    steps, emitted, starts, at = np.zeros((k, k)), np.zeros((k, k + 1)), np.zeros(k), 0
+    for size, log in zip(lengths, hmm.forward(m, symbols, lengths), strict=True):
+        x = symbols[at : at + size]
+        a, b, scale = np.zeros((size, k)), np.ones((size, k)), np.zeros(size)
+        for t in range(size):
+            a[t] = (m.start if t == 0 else a[t - 1] @ m.moves) * m.emit[:, x[t]]
+            scale[t] = a[t].sum()
+            a[t] /= scale[t]
+        assert math.isclose(log, np.log10(scale).sum(), rel_tol=1e-9)
+        for t in range(size - 1, 0, -1):
+            b[t - 1] = m.moves @ (m.emit[:, x[t]] * b[t]) / scale[t]
+            steps += np.outer(a[t - 1], m.emit[:, x[t]] * b[t] / scale[t]) * m.moves
+        np.add.at(emitted.T, x, a * b)
+        starts += a[0] * b[0]
+        at += size
+    for got, want in zip(counts, (starts, steps, emitted), strict=True):
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=2e-3, atol=1e-2)
+
+
 def test_forward_is_exact_and_training_climbs():
     rng = np.random.default_rng(1)
     m = hmm.Model.first(3, rng.dirichlet(np.ones(5)))
