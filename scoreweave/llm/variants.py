@@ -72,14 +72,14 @@ def noisy_words(docs: DataFrame, least: int = 5, one_in: int = 97) -> DataFrame:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in in_slices(whole, "text", 16 << 20):
+            for batch in in_slices(whole, "text", 4 << 20):
                 raw, starts = bytes_of(batch.column("text"))
                 data = LOWER[raw]
                 s = spans(raw, starts, None, lower=True, keep=letters(raw))
                 ids = ["" if i is None else str(i) for i in batch.column("doc_id").to_pylist()]
                 before = np.array([zlib.crc32(f"{i}:".encode()) for i in ids], np.uint32)
                 h = checksums(data, s.start, s.end, before[s.row])
-                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)])
                 size = points[s.end] - points[s.start]
                 struck = h % one_in == 0
                 whole_words = np.flatnonzero(~struck & (size >= least))
