@@ -170,8 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of, terms=IDENTITY_TERMS, s
     kinds = _kinds(terms)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     sample = known.where(~held_out_of(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    sampled = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(most_rows).repartition(16)
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = named.select("doc_id", "h").join(F.broadcast(sample), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "h").limit(most_rows)
+    sampled = named.join(F.broadcast(rows), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "toxic"])  # texts move only now, and most_rows of them
     keyed = sampled.select((F.col("toxic") == 1).cast("int").alias("toxic"), "text").mapInArrow(copy_keys, "toxic int, text string, k0 long, k1 long, k2 long")
     for key in ("k0", "k1", "k2"):
         keyed = keyed.groupBy("toxic", key).agg(F.min(F.struct("text", *(k for k in ("k0", "k1", "k2") if k != key))).alias("r")).select("toxic", key, "r.*")
@@ -225,8 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_of, terms=IDENTITY_TERMS, s
         import pyarrow as pa
 
         total, n = np.zeros((k, k)), 0
+        names = np.sort(spans(*bytes_of(pa.array(sorted(kinds), pa.large_binary())), LETTERS).hash)
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
+            s = spans(*bytes_of(batch.column("text")), LETTERS, lower=True)
+            for text in batch.column("text").take(pa.array(np.unique(s.row[np.isin(s.hash, names)]))).to_pylist():
                 for sentence, others in swapped(text.encode("utf-8", "replace"), kinds, turns):
                     row, at = sent.value.present(*bytes_of(pa.array([sentence, *others], pa.large_binary())))
                     own = np.bincount(at[row == 0], minlength=k)
