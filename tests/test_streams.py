@@ -2,28 +2,97 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from scoreweave.streaming import grading as X
 
 
-def test_grading_keeps_a_batch_split_over_triggers(spark, tmp_path):
-    rows = [(i % 2, i, i % 3 == 0) for i in range(40)]
-    for k in range(4):
-        spark.createDataFrame(rows[k::4], "batch_id long, result_id long, flagged boolean").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    path, checkpoint = X.new_folders(spark, "graded")
-    stream = X.open_stream(spark, f"file://{tmp_path}/in", files_per_trigger=1)
-    X.grade_batches(stream, lambda r: r, path, checkpoint)
-    got = spark.read.parquet(path).select("batch_id", "result_id", "flagged").collect()
-    assert sorted(map(tuple, got)) == sorted(rows)
-
-
-def test_grading_again_replaces(spark, tmp_path):
-    schema = "batch_id long, result_id long, question_id long, score double"
-    path, checkpoint = X.new_folders(spark, "graded")
-    for rows in ([(1, 1, 1, 0.5), (1, 1, 2, 0.5), (2, 2, 1, 0.25)], [(1, 1, 1, 1.0)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-        X.grade_batches(X.open_stream(spark, f"file://{tmp_path}/in", files_per_trigger=1), lambda r: r, path, checkpoint)
-    got = X.latest_grades(spark, path).select("result_id", "question_id", "score").collect()
-    assert sorted(map(tuple, got)) == [(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.25)]
+ANSWERS = "batch_id long, result_id long, question_id long, score double, total_pages int"
+
+
+def _sent(spark, folder, rows, files=1):
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], ANSWERS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _graded(spark, path):
+    return sorted(map(tuple, X.latest_grades(spark, path).select("batch_id", "result_id", "question_id", "score", "complete").collect()), key=str)
+
+
+def test_a_batch_split_over_triggers_is_graded_once_it_is_whole(spark, tmp_path):
+    rows = [(b, 10 * b + page, q, 0.25, 5) for q in range(2) for b in range(3) for page in range(5)]
+    folder, (path, checkpoint) = f"file://{tmp_path}/in", X.new_folders(spark, "graded")
+    _sent(spark, folder, rows, 3)  # a page's two answers are in one file, a batch's pages in several
+    asked = []
+    X.grade_batches(X.open_stream(spark, folder, 1, "arrived_at"), lambda r: asked.append(1) or r, path, checkpoint)
+    assert _graded(spark, path) == sorted(((b, p, q, s, True) for b, p, q, s, _ in rows), key=str) and len(asked) >= 3
+    generations = X.generations(spark, path).collect()
+    assert {r["batch_id"]: (r["n_rows"], r["complete"]) for r in generations} == {b: (10, True) for b in range(3)}
+    files = [f for f in spark.read.parquet(f"{path}/rows").inputFiles()]
+    assert len(files) <= 2 * len(asked)  # not one for each batch and task
+
+
+def test_grading_again_replaces_the_whole_batch(spark, tmp_path):
+    folder, (path, checkpoint) = f"file://{tmp_path}/in", X.new_folders(spark, "graded")
+    grade = lambda: X.grade_batches(X.open_stream(spark, folder, 1, "arrived_at"), lambda r: r, path, checkpoint)
+    first = [(1, 1, 1, 0.5, 2), (1, 1, 2, 0.5, 2), (1, 2, 1, 0.75, 2), (2, 3, 1, 0.25, 1)]
+    _sent(spark, folder, first)
+    grade()
+    kept = [(2, 3, 1, 0.25, True)]
+    assert _graded(spark, path) == sorted([r[:4] + (True,) for r in first])
+    _sent(spark, folder, [(1, 1, 1, 1.0, 1)])  # again, with one page and fewer answers
+    grade()
+    assert _graded(spark, path) == [(1, 1, 1, 1.0, True), *kept]
+    _sent(spark, folder, [(1, 5, 1, 0.0, 2)])  # half of a third round: the second one stands until it is whole
+    grade()
+    assert _graded(spark, path) == [(1, 1, 1, 1.0, True), *kept]
+    last = X.compact_grades(spark, path)
+    assert last is not None and _graded(spark, path) == [(1, 1, 1, 1.0, True), *kept] and X.compact_grades(spark, path) == last
+    _sent(spark, folder, [(1, 6, 1, 0.25, 2)])
+    grade()
+    third = [(1, 5, 1, 0.0, True), (1, 6, 1, 0.25, True), *kept]
+    assert _graded(spark, path) == third
+    assert X.compact_grades(spark, path, drop_before=True) > last and _graded(spark, path) == third
+    assert not X._folders(spark, f"{path}/rows", "epoch")
+
+
+def test_an_epoch_that_comes_again_is_replaced(spark, tmp_path):
+    folder, (path, checkpoint) = f"file://{tmp_path}/in", X.new_folders(spark, "graded")
+    _sent(spark, folder, [(1, 1, 1, 0.5, 1), (2, 2, 1, 0.5, 1)])
+    for _ in range(2):  # a new checkpoint: the same epoch number with the same rows
+        X.grade_batches(X.open_stream(spark, folder, 64, "arrived_at"), lambda r: r, path, checkpoint + str(_))
+    assert _graded(spark, path) == [(1, 1, 1, 0.5, True), (2, 2, 1, 0.5, True)]
+
+
+def test_a_short_batch_leaves_when_its_time_is_over(spark, tmp_path):
+    folder, (path, checkpoint) = f"file://{tmp_path}/in", X.new_folders(spark, "graded")
+    grade = lambda: X.grade_batches(X.open_stream(spark, folder, 1, "arrived_at"), lambda r: r, path, checkpoint, 1, "0 seconds")
+    _sent(spark, folder, [(1, 1, 1, 0.5, 3), (1, None, None, None, 3)])
+    grade()
+    _sent(spark, folder, [(2, 2, 1, 0.5, 1)])
+    grade()
+    told = lambda: {(r["batch_id"], r["complete"], r["n_rows"]) for r in X.generations(spark, path).collect()}
+    assert _graded(spark, path)[-1] == (2, 2, 1, 0.5, True) and told() == {(1, False, 2), (2, True, 1)}
+    _sent(spark, folder, [(2, 9, 1, 0.5, 4)])  # a short round of a batch that is whole: it does not replace it
+    grade()
+    _sent(spark, folder, [(3, 3, 1, 0.5, 1)])
+    grade()
+    assert told() == {(1, False, 2), (2, True, 1), (3, True, 1)} and (2, 2, 1, 0.5, True) in _graded(spark, path)
+
+
+def test_nothing_graded_yet(spark):
+    path, _ = X.new_folders(spark, "graded")
+    assert X.generations(spark, path) is None and X.compact_grades(spark, path) is None
+    with pytest.raises(ValueError):
+        X.latest_grades(spark, path)
+
+
+def test_state_settings_come_back(spark):
+    from scoreweave.streaming.gate import ROCKS_DB, STORE, rocks_db
+
+    with rocks_db(spark):
+        assert spark.conf.get(STORE) == ROCKS_DB
+    assert spark.conf.get(STORE, "") != ROCKS_DB
 
 
 def test_decisions_survive_a_restart(spark, tmp_path):
