@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.operators.ranking import latest_per_key
 
 
+#: What a load of a roster answers.
+LOAD_MESSAGES = {
+    "loaded": "{inserted} novos, {updated} atualizados.",
+    "too_many_rows": "Máximo {most} alunos.",
+    "nothing_changed": "Nenhuma linha de aluno válida encontrada.",
+}
+
+
 def roster_upsert(students: DataFrame, roster: DataFrame) -> DataFrame:
     """students (class_id, registration_number, student_name, curso) after loading roster rows (the same and line).
 
@@ -25,6 +35,53 @@ def roster_upsert(students: DataFrame, roster: DataFrame) -> DataFrame:
     return out.drop("_name", "_curso", "_new", "_old")
 
 
+MOST_ROSTER_ROWS = 2000
+
+
+@dataclass
+class RosterLoad:
+    """Tables after a load of rosters, and what became of each: loaded, too_many_rows or nothing_changed."""
+
+    students: DataFrame
+    classes: DataFrame
+    report: DataFrame
+
+
+def load_rosters(students: DataFrame, classes: DataFrame, roster: DataFrame, most_rows: int = MOST_ROSTER_ROWS) -> RosterLoad:
+    """Rosters of many classes loaded at once, each all or nothing.
+
+    students, roster: as in roster_upsert, the roster's rows with turma besides. classes: class_id,
+    class_name. A roster of more than most_rows rows is refused whole: its students and its class stay
+    as they are. Of the others, a class that is not there is created, as "Turma" and the first eight
+    characters of its id, and takes the name of the first row with a turma, even where no student
+    changes, which is reported. students gains action (insert, update, keep), classes gains action
+    (create, rename, keep); the report has class_id, n_rows, inserted, updated, outcome and message.
+    A null class_id is no class: its rows are loaded nowhere. Repeated registrations count as rows.
+    """
+    named = roster.where("class_id is not null")
+    turma = F.nullif(F.trim("turma"), F.lit(""))
+    loads = named.groupBy("class_id").agg(F.count("*").alias("n_rows"), F.min_by(turma, F.when(turma.isNotNull(), F.col("line"))).alias("turma"))
+    loads = loads.withColumn("refused", F.col("n_rows") > most_rows)
+    rows = named.join(loads.where("refused").select("class_id"), "class_id", "left_anti")
+    after = roster_upsert(students, rows.drop("turma"))
+    changed = load_counts(after)
+
+    told = loads.where("not refused").select("class_id", "turma", F.lit(True).alias("_loaded"))
+    both = classes.withColumn("_there", F.lit(True)).join(told, "class_id", "full")
+    created = F.concat(F.lit("Turma "), F.substring(F.col("class_id").cast("string"), 1, 8))
+    name = F.when(F.col("_there").isNull(), F.coalesce("turma", created)).otherwise(F.coalesce("turma", "class_name"))
+    action = F.when(F.col("_there").isNull(), "create").when(~name.eqNullSafe(F.col("class_name")), "rename").otherwise("keep")
+    new_classes = both.withColumns({"action": action, "class_name": name}).drop("_there", "_loaded", "turma")
+
+    outcome = F.when(F.col("refused"), "too_many_rows").when(F.col("inserted") + F.col("updated") == 0, "nothing_changed").otherwise("loaded")
+    report = loads.select("class_id", "n_rows", "refused").join(changed, "class_id", "left")
+    report = report.withColumns({c: F.when(F.col("refused"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long") for c in ("inserted", "updated")})
+    said = F.create_map(*(F.lit(x) for pair in LOAD_MESSAGES.items() for x in pair))
+    report = report.withColumn("outcome", outcome).withColumn("message", F.replace(F.replace(F.replace(F.element_at(said, F.col("outcome")),
+        F.lit("{most}"), F.lit(str(most_rows))), F.lit("{inserted}"), F.col("inserted").cast("string")), F.lit("{updated}"), F.col("updated").cast("string")))
+    return RosterLoad(after, new_classes, report.drop("refused"))
+
+
 def load_counts(upserted: DataFrame) -> DataFrame:
     return upserted.groupBy("class_id").agg(F.count_if(F.col("action") == "insert").alias("inserted"), F.count_if(F.col("action") == "update").alias("updated"))
 

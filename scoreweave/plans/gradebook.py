@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreweave.functions import scores as S
@@ -10,6 +11,8 @@ from scoreweave.operators import gradebook as G
 from scoreweave.operators import maintain as M
 from scoreweave.operators import ranking as R
 from scoreweave.plans.registry import query
+from scoreweave.sources.stored import GradingStore
+from scoreweave.sources.work import work_folder
 
 # --- scans, filters, projections
 
@@ -399,6 +402,58 @@ def roster_load_counts(g):
     return M.load_counts(M.roster_upsert(*_roster(g)))
 
 
+_LOADS = """base AS (SELECT *, (row_number() OVER (PARTITION BY class_id ORDER BY student_id))::INT AS line FROM students),
+loads AS (SELECT class_id, registration_number, CASE WHEN class_id % 6 <> 2 AND student_id % 6 = 0 THEN student_name || ' Filho' ELSE student_name END AS student_name,
+curso, CASE WHEN class_id % 4 = 0 AND line > 2 THEN ' T' || class_id || ' ' ELSE '' END AS turma, line FROM base WHERE line <= 40
+UNION ALL SELECT class_id + 1000, registration_number, student_name, curso, CASE WHEN class_id % 2 = 0 THEN 'Nova ' || class_id END, line FROM base WHERE line <= 3
+UNION ALL SELECT class_id, 'X' || i, 'Aluno', 'C', 'Grande', 100000 + i::INT FROM classes CROSS JOIN range(2001) r(i) WHERE class_id % 6 = 1),
+sizes AS (SELECT class_id, count(*) AS n_rows, arg_min(trim(turma), line) FILTER (trim(turma) <> '') AS turma, count(*) > 2000 AS refused FROM loads GROUP BY 1),
+last AS (SELECT * FROM loads JOIN sizes USING (class_id) WHERE NOT refused QUALIFY row_number() OVER (PARTITION BY class_id, registration_number ORDER BY line DESC) = 1)"""
+_LOAD_ACTION = """CASE WHEN s.class_id IS NULL THEN 'insert' WHEN s.student_name IS DISTINCT FROM l.student_name OR s.curso IS DISTINCT FROM l.curso THEN 'update' ELSE 'keep' END"""
+
+
+def _loaded(g):
+    """Rosters of forty students of each class: some renamed, some classes named, every sixth unchanged, every sixth with 2001 rows too many, and new classes."""
+    base = g.students().withColumn("line", F.row_number().over(Window.partitionBy("class_id").orderBy("student_id")))
+    c, line = F.col("class_id"), F.col("line")
+    cols = ("class_id", "registration_number", "student_name", "curso", "turma", "line")
+    renamed = F.when((c % 6 != 2) & (F.col("student_id") % 6 == 0), F.concat("student_name", F.lit(" Filho"))).otherwise(F.col("student_name"))
+    named = F.when((c % 4 == 0) & (line > 2), F.concat(F.lit(" T"), c.cast("string"), F.lit(" "))).otherwise("")
+    first = base.where(line <= 40).withColumn("student_name", renamed).withColumn("turma", named).select(*cols)
+    new = base.where(line <= 3).withColumn("turma", F.when(c % 2 == 0, F.concat(F.lit("Nova "), c.cast("string")))).withColumn("class_id", c + 1000).select(*cols)
+    i = F.explode(F.sequence(F.lit(0), F.lit(2000))).alias("i")
+    large = g.classes().where(c % 6 == 1).select("class_id", i).select("class_id", F.concat(F.lit("X"), F.col("i").cast("string")).alias("registration_number"),
+        F.lit("Aluno").alias("student_name"), F.lit("C").alias("curso"), F.lit("Grande").alias("turma"), (F.col("i") + 100_000).alias("line"))
+    return M.load_rosters(g.students().drop("student_id"), g.classes(), first.unionByName(new).unionByName(large))
+
+
+@query("students classes", f"""WITH {_LOADS}, u AS (SELECT l.class_id, {_LOAD_ACTION} AS action FROM last l
+LEFT JOIN students s ON s.class_id = l.class_id AND s.registration_number = l.registration_number),
+n AS (SELECT class_id, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated FROM u GROUP BY 1)
+SELECT z.class_id, z.n_rows, coalesce(inserted, 0) AS inserted, coalesce(updated, 0) AS updated,
+CASE WHEN refused THEN 'too_many_rows' WHEN inserted + updated = 0 THEN 'nothing_changed' ELSE 'loaded' END AS outcome,
+CASE WHEN refused THEN 'Máximo 2000 alunos.' WHEN inserted + updated = 0 THEN 'Nenhuma linha de aluno válida encontrada.'
+ELSE inserted || ' novos, ' || updated || ' atualizados.' END AS message FROM sizes z LEFT JOIN n USING (class_id)""")
+def roster_load_report(g):
+    return _loaded(g).report
+
+
+@query("students classes", f"""WITH {_LOADS} SELECT coalesce(c.class_id, z.class_id) AS class_id, CASE WHEN c.class_id IS NULL
+THEN coalesce(z.turma, 'Turma ' || left(z.class_id::VARCHAR, 8)) ELSE coalesce(z.turma, c.class_name) END AS class_name,
+CASE WHEN c.class_id IS NULL THEN 'create' WHEN z.turma IS NOT NULL AND z.turma <> c.class_name THEN 'rename' ELSE 'keep' END AS action
+FROM classes c FULL JOIN (SELECT * FROM sizes WHERE NOT refused) z ON c.class_id = z.class_id""")
+def roster_load_classes(g):
+    return _loaded(g).classes
+
+
+@query("students classes", f"""WITH {_LOADS} SELECT coalesce(s.class_id, l.class_id) AS class_id, coalesce(s.registration_number, l.registration_number) AS registration_number,
+coalesce(l.student_name, s.student_name) AS student_name, coalesce(l.curso, s.curso) AS curso,
+CASE WHEN l.class_id IS NULL THEN 'keep' ELSE {_LOAD_ACTION} END AS action
+FROM students s FULL JOIN last l ON s.class_id = l.class_id AND s.registration_number = l.registration_number""")
+def roster_load_students(g):
+    return _loaded(g).students
+
+
 _DECISIONS = """decisions AS (SELECT event_id AS decision_id, user_id AS result_id, CASE
 WHEN event_id % 4 > 0 THEN ((user_id // 75) % (SELECT count(*) FROM supplier)) * 10 + event_id % 7 + 1 END AS question_id,
 CASE WHEN event_id % 4 > 0 THEN greatest(0.0, least(1.0, ceil(value / 100 * 4 - 0.5) / 4)) END AS new_score, CASE
@@ -473,6 +528,54 @@ def clear_batch(g):
     return results.join(n, "result_id", "left").groupBy("batch_id").agg(F.count("*").alias("n_results"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_scores"))
 
 
+def _store(g, batches=None):
+    """The bound tables as stored tables of a hundred batches a partition."""
+    folder = work_folder(g.spark, "store")
+    return GradingStore(g.spark, folder, 100).create(g.batches() if batches is None else batches, g.results(), g.scores())
+
+
+def _left(store):
+    """n_results and n_scores of every batch that is still there, from the store's files."""
+    n = store.scores.read().groupBy("batch_id").agg(F.count("*").alias("n_scores"))
+    results = store.results.read().groupBy("batch_id").agg(F.count("*").alias("n_results"))
+    return results.join(n, "batch_id", "left").select("batch_id", "n_results", F.coalesce("n_scores", F.lit(0).cast("long")).alias("n_scores"))
+
+
+@query("results scores", """WITH n AS (SELECT r.batch_id, count(DISTINCT r.result_id) AS n_results, count(s.question_id) AS n_scores
+FROM results r LEFT JOIN scores s USING (result_id) GROUP BY 1), gone AS (SELECT * FROM n WHERE batch_id % 5 = 0 OR batch_id // 100 = 1)
+SELECT batch_id, n_results, n_scores FROM n WHERE batch_id % 5 <> 0 AND batch_id // 100 <> 1
+UNION ALL SELECT -1, coalesce(sum(n_results), 0), coalesce(sum(n_scores), 0) FROM gone UNION ALL SELECT -2, 0, 0""")
+def stored_clear_batch(g):
+    """Every fifth batch and a whole partition cleared in stored tables; batch -1 has what was removed, -2 what a second run removed."""
+    store = _store(g)
+    gone = g.batches().where((F.col("batch_id") % 5 == 0) | (F.floor(F.col("batch_id") / 100) == 1))
+    counts = [store.clear_batches(gone) for _ in range(2)]
+    told = [(-1 - i, n["results"], n["scores"]) for i, n in enumerate(counts)]
+    return _left(store).union(g.spark.createDataFrame(told, "batch_id long, n_results long, n_scores long"))
+
+
+@query("exams batches results scores", """WITH gone AS (SELECT batch_id FROM batches WHERE exam_id IN (2, 5)),
+n AS (SELECT count(*) FILTER (batch_id NOT IN (SELECT batch_id FROM gone)) AS n_left, count(*) FILTER (batch_id IN (SELECT batch_id FROM gone)) AS n_gone,
+'batches' AS name FROM batches
+UNION ALL SELECT count(*) FILTER (batch_id NOT IN (SELECT batch_id FROM gone)), count(*) FILTER (batch_id IN (SELECT batch_id FROM gone)), 'results' FROM results
+UNION ALL SELECT count(*) FILTER (result_id // 75 NOT IN (SELECT batch_id FROM gone)), count(*) FILTER (result_id // 75 IN (SELECT batch_id FROM gone)), 'scores'
+FROM scores JOIN results USING (result_id)) SELECT * FROM n""")
+def stored_cascade_delete_exam(g):
+    store = _store(g)
+    gone = store.delete_exams(g.exams().where(F.col("exam_id").isin(2, 5)))
+    left = {"batches": store.batches, "results": store.results, "scores": store.scores}
+    parts = [t.read().agg(F.count("*").alias("n_left")).select(F.lit(n).alias("name"), "n_left", F.lit(gone[n]).cast("long").alias("n_gone")) for n, t in left.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("results students", """SELECT r.result_id, CASE WHEN s.class_id = 5 THEN NULL ELSE r.student_id END AS student_id FROM results r
+LEFT JOIN students s USING (student_id)""")
+def stored_unlink_class(g):
+    store = _store(g)
+    store.unlink_students(g.students().where("class_id = 5"))
+    return store.results.read().select("result_id", "student_id")
+
+
 @query("exams questions batches results scores", """SELECT 'exams' AS name, count(*) AS n FROM exams WHERE exam_id NOT IN (2, 5)
 UNION ALL SELECT 'questions', count(*) FROM questions WHERE exam_id NOT IN (2, 5)
 UNION ALL SELECT 'batches', count(*) FROM batches WHERE exam_id NOT IN (2, 5) UNION ALL SELECT 'results', count(*) FROM results
@@ -511,6 +614,21 @@ def reprocess_batches(g):
     return M.reprocess(batches, requests, M.REPROCESS)
 
 
+@query("batches results scores", f"""WITH b AS (SELECT batch_id, exam_id, total_pages, {_STATUS} AS status, batch_id % 3 = 0 AND batch_id % 4 <> 0 AND batch_id % 5 <> 4 AS reset FROM batches)
+SELECT b.batch_id, CASE WHEN reset THEN 'PENDING' ELSE b.status END AS status, CASE WHEN reset THEN 0 ELSE total_pages END AS total_pages,
+count(DISTINCT r.result_id) FILTER (NOT reset) AS n_results, count(s.question_id) FILTER (NOT reset) AS n_scores
+FROM b LEFT JOIN results r USING (batch_id) LEFT JOIN scores s USING (result_id) GROUP BY ALL""")
+def stored_reprocess_batches(g):
+    b = F.col("batch_id")
+    status = F.when(b % 5 == 0, "FAILED").when(b % 5 == 1, "DONE").when(b % 5 == 2, "REVIEW_PENDING").when(b % 5 == 3, "PENDING").otherwise("PROCESSING")
+    batches = g.batches().select("batch_id", "exam_id", "total_pages").withColumn("status", status)
+    store = _store(g, batches)
+    store.reprocess(batches.where(b % 3 == 0).select("batch_id", F.when(b % 4 == 0, F.col("exam_id") + 100).otherwise(F.col("exam_id")).alias("exam_id")))
+    zero = F.lit(0).cast("long")
+    out = store.batches.read().join(_left(store), "batch_id", "left")
+    return out.select("batch_id", "status", "total_pages", F.coalesce("n_results", zero).alias("n_results"), F.coalesce("n_scores", zero).alias("n_scores"))
+
+
 @query("results", "SELECT result_id, status, '[]' AS warnings_json, false AS requires_manual_review, NULL::INT AS physical_page FROM results")
 def evolve_schema(g):
     out = M.evolve(g.results().select("result_id", "status"),
