@@ -42,6 +42,34 @@ def message_text(raw: Column) -> Column:
     return F.struct(F.when(error.isNull(), T.strip_code_fence(text)).alias("text"), error.alias("error"))
 
 
+def error_message(raw: Column) -> Column:
+    """The short message of a provider's error body.
+
+    An object: error.message, else error.code; an error that is no object as it is; else message or detail;
+    else the body itself. What is no JSON: the text, trimmed. A body or plain text is cut to 300 characters; empty and null
+    bodies, and an error object without message and code, say 'sem detalhe'. Empty texts, zero and false count as absent
+    before the last choice. Values that are no text are spelt as in JSON.
+    """
+    v = F.try_parse_json(raw)
+    error, told = field(v, "error"), text_of(v, "error")
+
+    def said(path: str) -> Column:
+        kind, text = F.schema_of_variant(field(v, path)), text_of(v, path)
+        return F.when((text != "") & ((kind == "STRING") | ~text.isin("0", "false")), text)
+
+    in_error = F.coalesce(said("error.message"), said("error.code"), F.lit("sem detalhe"))
+    plain = F.coalesce(F.nullif(raw, F.lit("")), F.lit("sem detalhe"))
+    outside = F.coalesce(said("message"), text_of(v, "detail"))
+    cut = lambda text: F.substring(text, 1, 300)
+    return (
+        F.when(v.isNull(), cut(F.trim(plain)))
+        .when(is_object(v) & is_object(error), in_error)
+        .when(is_object(v) & told.isNotNull(), told)
+        .when(is_object(v) & outside.isNotNull(), outside)
+        .otherwise(cut(raw))
+    )
+
+
 def repair_json(df: DataFrame, raw: str) -> DataFrame:
     """df with attempt (0 to 3, null if none worked) and json (the text that parses to an object).
 

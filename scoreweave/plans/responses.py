@@ -155,6 +155,27 @@ def model_response_scan(g):
     return g.raw("orders").select("o_orderkey", P.message_text(raw).alias("m")).select("o_orderkey", "m.text", "m.error")
 
 
+@query("", """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'limite ' || o_orderkey WHEN 1 THEN (400 + o_orderkey % 100)::VARCHAR
+WHEN 2 THEN 'texto ' || o_orderkey WHEN 3 THEN 'detalhe ' || o_orderkey WHEN 4 THEN 'Bad gateway ' || o_orderkey WHEN 7 THEN '{"outro": ' || o_orderkey || '}'
+WHEN 8 THEN repeat('x', 300) ELSE 'sem detalhe' END AS message FROM orders""")
+def model_error_scan(g):
+    """Error bodies of nine shapes."""
+    k, s = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("string")
+    around = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    raw = (
+        F.when(k == 0, around('{"error": {"message": "limite ', s, '", "code": 429}}'))
+        .when(k == 1, around('{"error": {"message": "", "code": ', (F.col("o_orderkey") % 100 + 400).cast("string"), "}}"))
+        .when(k == 2, around('{"error": "texto ', s, '", "message": "outra"}'))
+        .when(k == 3, around('{"error": null, "message": null, "detail": "detalhe ', s, '"}'))
+        .when(k == 4, around("  Bad gateway ", s, "  "))
+        .when(k == 5, '{"error": {}}')
+        .when(k == 6, "")
+        .when(k == 7, around('{"outro": ', s, "}"))
+        .otherwise(F.repeat(F.lit("x"), 400))
+    )
+    return g.raw("orders").select("o_orderkey", P.error_message(raw).alias("message"))
+
+
 @query("", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'm' || (o_orderkey % 2) END AS model_used,
 o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 AS fallback_used, CASE WHEN o_orderkey % 3 <> 0 THEN 'e0 | e1' END AS error FROM orders""")
 def first_usable_response(g):

@@ -190,6 +190,25 @@ def exam_lines_scan(g):
         F.md5(F.col("text").cast("binary")).alias("line"))
 
 
+@query("questions", """WITH t AS (SELECT exam_id, string_agg('Questão ' || question_number || chr(10) || ' Enunciado: ' || question_text || chr(10) || ' ' || chr(10)
+|| 'Gabarito: ' || expected_answer, chr(10) ORDER BY question_number) AS text FROM questions GROUP BY 1)
+SELECT exam_id, i - 1 AS line_no, md5(trim(line)) AS line FROM (SELECT exam_id, unnest(string_split(text, chr(10))) AS line,
+generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t) WHERE trim(line) <> ''""")
+def exam_files_scan(g):
+    """Exam texts written as files, one for each exam, and read back whole."""
+    from scoreweave.sources.work import work_folder
+
+    folder = work_folder(g.spark, "exams")
+    said = F.concat(F.lit("Questão "), F.col("question_number").cast("string"), F.lit("\n Enunciado: "), F.col("question_text"), F.lit("\n \nGabarito: "),
+        F.col("expected_answer"))
+    ordered = F.array_sort(F.collect_list(F.struct("question_number", said.alias("said"))))
+    texts = g.questions().groupBy("exam_id").agg(F.array_join(F.transform(ordered, lambda q: q["said"]), "\n").alias("text"))
+    texts.repartition("exam_id").write.partitionBy("exam_id").text(folder)
+    back = L.read_texts(g.spark, folder).select(F.regexp_extract("file", r"exam_id=(\d+)", 1).cast("long").alias("exam_id"), "text")
+    return L.text_lines(back, "exam_id", "text").select("exam_id", F.col("line_no").cast("long").alias("line_no"),
+        F.md5(F.col("text").cast("binary")).alias("line"))
+
+
 @query("exams", """SELECT exam_id, n::INT AS question_number, 'enunciado ' || exam_id || CASE n WHEN 1 THEN chr(10) || 'segunda linha'
 ELSE '' END AS question_text, CASE n WHEN 1 THEN 'certo' ELSE '(sem resposta)' END AS expected_answer, CASE n WHEN 1 THEN 2.5
 ELSE 0.5 END AS max_score FROM exams CROSS JOIN range(1, 3) r(n)""")
