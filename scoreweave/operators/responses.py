@@ -29,6 +29,13 @@ def text_of(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "string")
 
 
+def said(v: Column, path: str) -> Column:
+    """text_of, with empty texts, zero and false as null."""
+    kind, text = F.schema_of_variant(field(v, path)), text_of(v, path)
+    zero = (kind != "STRING") & ((text == "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    return F.when((text != "") & ~zero, text)
+
+
 def message_text(raw: Column) -> Column:
     """struct(text, error) of a recorded response: string content, or list content joined by line breaks."""
     v = F.try_parse_json(raw)
@@ -52,14 +59,9 @@ def error_message(raw: Column) -> Column:
     """
     v = F.try_parse_json(raw)
     error, told = field(v, "error"), text_of(v, "error")
-
-    def said(path: str) -> Column:
-        kind, text = F.schema_of_variant(field(v, path)), text_of(v, path)
-        return F.when((text != "") & ((kind == "STRING") | ~text.isin("0", "false")), text)
-
-    in_error = F.coalesce(said("error.message"), said("error.code"), F.lit("sem detalhe"))
+    in_error = F.coalesce(said(v, "error.message"), said(v, "error.code"), F.lit("sem detalhe"))
     plain = F.coalesce(F.nullif(raw, F.lit("")), F.lit("sem detalhe"))
-    outside = F.coalesce(said("message"), text_of(v, "detail"))
+    outside = F.coalesce(said(v, "message"), text_of(v, "detail"))
     cut = lambda text: F.substring(text, 1, 300)
     return (
         F.when(v.isNull(), cut(F.trim(plain)))
@@ -137,9 +139,20 @@ def string_list(v: Column) -> Column:
     return F.coalesce(v.try_cast("array<string>"), F.array().cast("array<string>"))
 
 
-def normalize_grade(df: DataFrame, max_score: str, prompt: str, confidence: str, answer: str) -> DataFrame:
+def highest_score(response: Column, question: Column, rubric: Column | None = None) -> Column:
+    """The maximum that holds for a grade: the response's max_score, else the question's, else the rubric's max_score or valor, else 1.
+
+    response and rubric are VARIANTs. Zero, false and empty texts count as absent; one that is no number is 1.
+    """
+    of_rubric = [] if rubric is None else [said(rubric, "max_score"), said(rubric, "valor")]
+    first = F.coalesce(said(response, "max_score"), F.nullif(question.cast("double"), F.lit(0.0)).cast("string"), *of_rubric)
+    return F.coalesce(first.try_cast("double"), F.lit(1.0))
+
+
+def normalize_grade(df: DataFrame, max_score: str, prompt: str, confidence: str, answer: str, rubric: str | None = None) -> DataFrame:
     """Grades from repaired responses (columns attempt, json): score, verdict, lists, review flag and its reason.
 
+    rubric: a column of JSON text that may have the maximum where neither the response nor max_score says it.
     A response that no repair could read scores 0 and goes to review.
     """
     rows = R.with_copy_flag(df, answer, prompt, "_copied").withColumn("_v", F.try_parse_json("json")).withColumn("_keys", F.json_object_keys("json"))
@@ -151,7 +164,7 @@ def normalize_grade(df: DataFrame, max_score: str, prompt: str, confidence: str,
         "_warnings": F.when(failed, F.array().cast("array<string>")).otherwise(schema_warnings(keys, v)),
         "_clamped": F.when(failed, F.struct(F.lit(0.0).alias("score"),
             F.lit(False).alias("invalid"))).otherwise(S.clamp_grade(either("score", "nota").try_cast("string"))),
-        "_max": F.coalesce(F.nullif(text_of(v, "max_score").try_cast("double"), F.lit(0.0)), F.nullif(F.col(max_score), F.lit(0.0)), F.lit(1.0)),
+        "_max": highest_score(v, F.col(max_score), None if rubric is None else F.try_parse_json(F.col(rubric))),
         "_answer": F.trim(F.coalesce(F.col(answer), F.lit(""))), "_low": F.lower(F.coalesce(F.col(confidence), F.lit(""))) == "baixa",
     })
     copied, low, flag = F.col("_copied"), F.col("_low"), F.col("_flag")

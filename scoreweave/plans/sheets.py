@@ -85,11 +85,12 @@ def select_pages(g):
     return g.raw("orders").select("o_orderkey", H.select_pages(raw, F.lit(5)).alias("pages"))
 
 
-@query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'extension' WHEN 2 THEN 'empty' WHEN 3 THEN 'too_large' END AS reason FROM orders")
+@query("", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'extension' WHEN o_orderkey % 3 = 1 THEN 'content_type'
+WHEN o_orderkey % 4 = 2 THEN 'empty' WHEN o_orderkey % 4 = 3 THEN 'too_large' END AS reason FROM orders""")
 def upload_reject_reason(g):
-    k = F.col("o_orderkey") % 4
-    return g.raw("orders").select("o_orderkey",
-        L.reject_reason(F.when(k == 1, "a.doc").otherwise("a.PDF"), F.when(k == 2, 0).when(k == 3, 50 << 20).otherwise(9)).alias("reason"))
+    k, t = F.col("o_orderkey") % 4, F.col("o_orderkey") % 3
+    return g.raw("orders").select("o_orderkey", L.reject_reason(F.when(k == 1, "a.doc").otherwise("a.PDF"),
+        F.when(k == 2, 0).when(k == 3, 50 << 20).otherwise(9), content_type=F.when(t == 1, "text/html").when(t == 2, "application/x-pdf")).alias("reason"))
 
 
 #: The words' lengths folded to the last line's length and the number of lines.
@@ -190,6 +191,14 @@ def exam_lines_scan(g):
         F.md5(F.col("text").cast("binary")).alias("line"))
 
 
+@query("exams", """SELECT exam_id, n::INT AS question_number, n <> 3 AS kept, CASE n WHEN 2 THEN 'Questão 2: resposta esperada não informada.'
+WHEN 3 THEN 'Questão 3 ignorada: enunciado vazio.' END AS warning FROM exams CROSS JOIN range(1, 4) r(n)""")
+def exam_line_warnings(g):
+    """Kept and dropped questions of the texts of parse_exam_lines, with their warnings."""
+    lines = L.text_lines(_exam_texts(g), "exam_id", "text")
+    return L.read_exam_lines(lines, "exam_id", missing_answer="(sem resposta)").select("exam_id", "question_number", "kept", "warning")
+
+
 @query("questions", """WITH t AS (SELECT exam_id, string_agg('Questão ' || question_number || chr(10) || ' Enunciado: ' || question_text || chr(10) || ' ' || chr(10)
 || 'Gabarito: ' || expected_answer, chr(10) ORDER BY question_number) AS text FROM questions GROUP BY 1)
 SELECT exam_id, i - 1 AS line_no, md5(trim(line)) AS line FROM (SELECT exam_id, unnest(string_split(text, chr(10))) AS line,
@@ -213,12 +222,15 @@ def exam_files_scan(g):
 ELSE '' END AS question_text, CASE n WHEN 1 THEN 'certo' ELSE '(sem resposta)' END AS expected_answer, CASE n WHEN 1 THEN 2.5
 ELSE 0.5 END AS max_score FROM exams CROSS JOIN range(1, 3) r(n)""")
 def parse_exam_lines(g):
+    return L.parse_exam_lines(L.text_lines(_exam_texts(g), "exam_id", "text"), "exam_id", missing_answer="(sem resposta)").select("exam_id",
+        "question_number", "question_text", "expected_answer", "max_score")
+
+
+def _exam_texts(g):
     k = F.col("exam_id").cast("string")
     text = F.concat(F.lit("Título: Prova\nValor padrão: 0,5\nQuestão 1\nEnunciado: enunciado "), k,
         F.lit("\nsegunda linha\nGabarito: certo\nValor: 2,5\nQuestao 2 (fim)\nPergunta: enunciado "), k, F.lit("\nQ3\nGabarito: perdido\nQuestão 44\n"))
-    docs = g.exams().select("exam_id", text.alias("text"))
-    return L.parse_exam_lines(L.text_lines(docs, "exam_id", "text"), "exam_id", missing_answer="(sem resposta)").select("exam_id",
-        "question_number", "question_text", "expected_answer", "max_score")
+    return g.exams().select("exam_id", text.alias("text"))
 
 
 @query("answers", "SELECT result_id, question_id, question_number AS n, md5(answer_text) AS answer, 'media' AS confidence FROM answers")
@@ -304,6 +316,19 @@ def first_answer_per_page_question(g):
         ["v1", "v2", "v3"]).select("result_id", "question_number", "v1")
 
 
+@query("raw_scores", """WITH a AS (SELECT result_id, CASE WHEN v1 % 29 <> 0 THEN question_number END AS question_number, v1, v2, v3 FROM raw_scores),
+n AS (SELECT result_id, question_number, arg_min(v1, (v1, v2, v3)) AS v1, count(*) AS n FROM a GROUP BY 1, 2)
+SELECT result_id, question_number, CASE WHEN question_number IS NOT NULL THEN v1 END AS v1, question_number IS NOT NULL AS kept,
+n - (question_number IS NOT NULL)::INT AS n_warnings, CASE WHEN question_number IS NULL THEN 'Questão sem número válido na página ' || result_id || '.'
+WHEN n > 1 THEN 'Questão duplicada na leitura visual (Q' || question_number || ', página ' || result_id || '); mantendo primeira ocorrência.' END AS warning FROM n""")
+def first_answers_with_warnings(g):
+    """Each page's first answers, and what was dropped with its warning; every 29th answer has no number."""
+    from scoreweave.operators.ranking import first_answers
+
+    rows = g.raw_scores().withColumn("question_number", F.when(F.col("v1") % 29 != 0, F.col("question_number")).otherwise(0))
+    return first_answers(rows, "result_id", "question_number", ["v1", "v2", "v3"]).select("result_id", "question_number", "v1", "kept", "n_warnings", "warning")
+
+
 def scorer_rows(g):
     """Answers scored by a user's function on pandas batches."""
     from scoreweave.functions.scorer import apply_scorer

@@ -97,3 +97,35 @@ def test_pages_of_progress_are_exact(spark, tmp_path):
     arrive((1, 11, True), (1, 10, None), (1, None, False), (3, 30, False))
     assert told() == {(1, 2, 5, 1, "REVIEW_PENDING", 66), (2, 1, 1, 1, "REVIEW_PENDING", None), (3, 1, 1, 0, "DONE", None)}
     assert "percent" not in X.latest_progress(spark, path).columns
+
+
+def test_reject_reasons_in_order(spark):
+    cases = [("a.pdf", 1, None, None), ("A.PDF", 1, "application/pdf", None), ("a.pdf", 1, "", None), ("a.doc", 0, "text/html", "extension"),
+        (None, 1, None, "extension"), ("a.pdf", 0, "text/html", "content_type"), ("a.pdf", 0, "application/x-pdf", "empty"), ("a.pdf", (40 << 20) + 1, None, "too_large"),
+        ("a.pdf", 40 << 20, None, None)]
+    rows = spark.createDataFrame(cases, "name string, size long, type string, want string")
+    got = rows.select("want", L.reject_reason(F.col("name"), F.col("size"), content_type=F.col("type")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_highest_score(spark):
+    cases = [('{"max_score": 2}', 3.0, '{"max_score": 4}', 2.0), ('{"max_score": 0}', 3.0, None, 3.0), ("{}", 0.0, '{"max_score": 4, "valor": 5}', 4.0),
+        (None, None, '{"max_score": "", "valor": "5.5"}', 5.5), (None, None, '{"valor": "5,5"}', 1.0), ("{}", None, "{}", 1.0), ("{}", None, None, 1.0), ('{"max_score": "viel"}', 3.0, None, 1.0),
+        ('{"max_score": false}', None, '{"valor": 2.5}', 2.5)]
+    rows = spark.createDataFrame(cases, "response string, question double, rubric string, want double")
+    of = lambda c: F.try_parse_json(F.col(c))
+    got = rows.select("want", P.highest_score(of("response"), F.col("question"), of("rubric")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_first_answers_and_what_they_replace(spark):
+    from scoreweave.operators.ranking import first_answers
+
+    rows = spark.createDataFrame([(1, 1, "b", 2), (1, 1, "a", 1), (1, 1, "c", 3), (1, 0, "x", 4), (1, -2, "y", 5), (1, None, "z", 6), (2, 1, None, 1),
+        (None, 1, "q", 1)], "page long, number int, text string, at int")
+    got = {(r["page"], r["number"]): (r["text"], r["kept"], r["n_warnings"], r["warning"]) for r in first_answers(rows, "page", "number", ["at"]).collect()}
+    assert got == {
+        (1, 1): ("a", True, 2, "Questão duplicada na leitura visual (Q1, página 1); mantendo primeira ocorrência."),
+        (1, None): (None, False, 3, "Questão sem número válido na página 1."), (2, 1): (None, True, 0, None), (None, 1): ("q", True, 0, None),
+    }
+    assert first_answers(rows.limit(0), "page", "number", ["at"]).count() == 0
