@@ -88,6 +88,24 @@ def repair_json(df: DataFrame, raw: str) -> DataFrame:
     return out.withColumn("json", picked).drop("_a0", "_a1", "_a2", "_a3")
 
 
+#: What stands for a response that no repair could read.
+UNREADABLE = {"nota": 0.0, "comentario": "Resposta da IA em formato inválido. Revisão manual necessária."}
+
+
+def repair_or_replace(df: DataFrame, raw: str, most: int = 500) -> DataFrame:
+    """repair_json, with json, where no attempt worked, as an object that scores 0, asks for review and shows the response's start.
+
+    Its erro_parse is json_root_not_object if the response is JSON but no object, else invalid_json; raw_response_preview
+    has the first `most` characters of the response as it came (null: empty). attempt stays null there.
+    """
+    given = F.coalesce(F.col(raw), F.lit(""))
+    error = F.when(F.try_parse_json(F.trim(T.strip_code_fence(given))).isNotNull(), "json_root_not_object").otherwise("invalid_json")
+    none = F.array().cast("array<string>")
+    instead = F.to_json(F.struct(*(F.lit(value).alias(key) for key, value in UNREADABLE.items()), none.alias("criterios_atendidos"), none.alias("criterios_ausentes"),
+        F.lit(True).alias("revisao_necessaria"), error.alias("erro_parse"), F.substring(given, 1, most).alias("raw_response_preview")))
+    return repair_json(df, raw).withColumn("json", F.when(F.col("attempt").isNotNull(), F.col("json")).otherwise(instead))
+
+
 def missing_keys(keys: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce(keys, F.array().cast("array<string>")))
 
@@ -348,3 +366,15 @@ def grade_visual_answers(answers: DataFrame) -> DataFrame:
         "review_reason": by(F.when(low, "Leitura visual com baixa confiança.").otherwise(""), swapped,
             F.substring("response_error", 1, 500), F.col("review_reason")),
     })
+
+
+def with_rubrics(answers: DataFrame, rubrics: DataFrame, number: str = "question_number") -> DataFrame:
+    """answers (exam_id, number, ...) with rubric, JSON text: its question's; the exam's whole document where that names no question; else null.
+
+    rubrics has one json an exam_id. Empty documents, and those that are neither object nor array, are none.
+    """
+    mapped, v = rubric_rows(rubrics).select("exam_id", F.col("number").alias(number), "rubric"), F.try_parse_json("json")
+    some = (is_object(v) | is_array(v)) & ~F.to_json(v).isin("{}", "[]")
+    whole = rubrics.where(some).join(mapped.select("exam_id").distinct(), "exam_id", "left_anti").select("exam_id", F.col("json").alias("_whole"))
+    joined = answers.join(mapped, ["exam_id", number], "left").join(whole, "exam_id", "left")
+    return joined.select(*(F.col(f"`{c}`") for c in answers.columns), F.coalesce("rubric", "_whole").alias("rubric"))

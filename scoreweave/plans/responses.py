@@ -217,6 +217,25 @@ def rubric_by_question(g):
     return P.rubric_rows(g.exams().withColumn("json", raw)).select("exam_id", "number", F.get_json_object("rubric", "$.prompt").alias("prompt"))
 
 
+@query("answers exams", """SELECT a.result_id, a.question_id, CASE WHEN exam_id % 3 = 0 AND a.question_number <= 5 THEN '{"number":' || a.question_number || '}'
+WHEN exam_id % 3 = 1 THEN '{"criterio":"geral ' || exam_id || '"}' END AS rubric FROM answers a JOIN questions USING (question_id)""")
+def answers_with_rubrics(g):
+    """Exams with a rubric for five questions, with one for the whole document, and with an empty one."""
+    k, id_ = F.col("exam_id") % 3, F.col("exam_id").cast("string")
+    five = F.lit("[" + ",".join(f'{{"number":{n}}}' for n in range(1, 6)) + "]")
+    json = F.when(k == 0, five).when(k == 1, F.concat(F.lit('{"criterio":"geral '), id_, F.lit('"}'))).otherwise("{}")
+    answers = g.answers().join(g.questions().select("question_id", "exam_id"), "question_id")
+    return P.with_rubrics(answers, g.exams().select("exam_id", json.alias("json"))).select("result_id", "question_id", "rubric")
+
+
+@query("scores", f"""WITH {_R.format(t='scores')} SELECT result_id, question_id, CASE WHEN k = 8 THEN 'invalid_json' END AS error,
+CASE WHEN k = 8 THEN '{{nota: ' END AS preview, k NOT IN (6, 7) AS has_flag FROM r""")
+def repair_or_replace(g):
+    rows = P.repair_or_replace(_responses(g), "raw")
+    return rows.select("result_id", "question_id", F.get_json_object("json", "$.erro_parse").alias("error"),
+        F.get_json_object("json", "$.raw_response_preview").alias("preview"), F.get_json_object("json", "$.revisao_necessaria").isNotNull().alias("has_flag"))
+
+
 def _ocr(g):
     k = F.col("o_orderkey")
     google = F.concat(F.lit('{"responses": [{"fullTextAnnotation": {"text": " uma resposta longa ", "pages": [{"blocks": [{"paragraphs": [{"words": [{"confidence": 0.5}, {"confidence": 1.0}, {}]}]}]}]}}]}'))

@@ -129,3 +129,20 @@ def test_first_answers_and_what_they_replace(spark):
         (1, None): (None, False, 3, "Questão sem número válido na página 1."), (2, 1): (None, True, 0, None), (None, 1): ("q", True, 0, None),
     }
     assert first_answers(rows.limit(0), "page", "number", ["at"]).count() == 0
+
+
+def test_what_cannot_be_repaired_is_replaced(spark):
+    cases = [('{"nota": 1}', None, None), ("[1]", "json_root_not_object", "[1]"), ("x" * 600, "invalid_json", "x" * 500), (None, "invalid_json", ""), ("{a", "invalid_json", "{a")]
+    rows = spark.createDataFrame(cases, "raw string, error string, preview string")
+    for r in P.repair_or_replace(rows, "raw").collect():
+        read = json.loads(r["json"])
+        assert (read.get("erro_parse"), read.get("raw_response_preview")) == (r["error"], r["preview"]), r
+        if r["error"]:
+            assert r["attempt"] is None and read["nota"] == 0 and read["revisao_necessaria"] is True and read["criterios_atendidos"] == []
+
+
+def test_rubrics_of_questions_and_of_whole_documents(spark):
+    rubrics = spark.createDataFrame([(1, '[{"number":1}]'), (2, '{"texto":"tudo"}'), (3, "{}"), (4, "kein JSON"), (5, None)], "exam_id long, json string")
+    answers = spark.createDataFrame([(e, n) for e in range(1, 7) for n in (1, 2)], "exam_id long, question_number int")
+    got = {(r["exam_id"], r["question_number"]): r["rubric"] for r in P.with_rubrics(answers, rubrics).collect()}
+    assert len(got) == 12 and {k: v for k, v in got.items() if v} == {(1, 1): '{"number":1}', (2, 1): '{"texto":"tudo"}', (2, 2): '{"texto":"tudo"}'}
