@@ -166,6 +166,71 @@ def wrap_text(text: Column, most: int = 95) -> Column:
     return F.aggregate(words(text), start, step, lambda a: F.when(a["cur"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["cur"]))))
 
 
+#: Widths of the characters of Helvetica, in thousandths of the font's size (Adobe's core metrics). An accented
+#: letter is as wide as its letter, an accented i as a dotless one; other characters count as OTHER_WIDTH.
+HELVETICA = {
+    191: "'",
+    222: "ijl\u2018\u2019\u201a",
+    260: "|",
+    278: " !,./:;I[\\]ftÌÍÎÏìíîï\u00a0·",
+    333: "()-`r\u00ad¡¨´\u201c\u201d\u201e‹›²³¹",
+    334: "{}",
+    355: '"',
+    365: "º",
+    370: "ª",
+    389: "*",
+    400: "°",
+    469: "^",
+    500: "Jcksvxyzçýÿšž",
+    556: "#$0123456789?L_abdeghnopqu¢£¥§«»€¿àáâãäåèéêëñòóôõöùúûüµ–",
+    584: "+<=>~¬±×÷",
+    611: "FTZßøŽ",
+    667: "&ABEKPSVXYÀÁÂÃÄÅÈÉÊËÝŠŸ",
+    722: "CDHNRUwÇÑÙÚÛÜ",
+    737: "©®",
+    778: "GOQÒÓÔÕÖØ",
+    833: "Mm",
+    889: "%æ",
+    944: "W",
+    1000: "Æ…—Œ™",
+    1015: "@",
+}
+OTHER_WIDTH = 556
+
+
+def text_width(text: Column, widths: dict[int, str] = HELVETICA, other: int = OTHER_WIDTH) -> Column:
+    """The width of a text's characters, in thousandths of the font's size.
+
+    Each width counts the characters that have it by what is left of the text without them.
+    """
+    out = F.length(text) * other
+    for width, chars in widths.items():
+        if width != other:
+            out = out + (F.length(text) - F.length(F.translate(text, chars, ""))) * (width - other)
+    return out
+
+
+def wrap_by_width(text: Column, most_pt: float, size_pt: float = 8, widths: dict[int, str] = HELVETICA) -> Column:
+    """Lines of at most most_pt points, broken greedily between words; a wider word is a line of its own.
+
+    Words are measured once each, and their places summed; a line's width is a difference of places.
+    """
+    most = int(most_pt * 1000 / size_pt + 1e-6)
+    space = next((w for w, chars in widths.items() if " " in chars), OTHER_WIDTH)
+    measured = F.transform(words(text), lambda w: F.struct(w.alias("w"), text_width(w, widths).cast("long").alias("n")))
+
+    def step(acc, x):
+        end = acc["end"] + space + x["n"]
+        full = (acc["end"] >= 0) & (end > most)
+        lines = F.when(full, F.concat(acc["lines"], F.array(acc["cur"]))).otherwise(acc["lines"])
+        first = full | (acc["end"] < 0)
+        cur = F.when(first, x["w"]).otherwise(F.concat_ws(" ", acc["cur"], x["w"]))
+        return F.struct(lines.alias("lines"), cur.alias("cur"), F.when(first, x["n"]).otherwise(end).alias("end"))
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur"), F.lit(-1).cast("long").alias("end"))
+    return F.aggregate(measured, start, step, lambda a: F.when(a["end"] < 0, a["lines"]).otherwise(F.concat(a["lines"], F.array(a["cur"]))))
+
+
 def criteria_json(items: Column) -> Column:
     """JSON text of a list, null when it is empty."""
     return F.when(F.size(items) > 0, F.to_json(items))

@@ -16,6 +16,7 @@ TITLE_GAP, LINE_GAP, TEXT_BOTTOM_GAP = 5 * MM, 4 * MM, 2 * MM
 ANSWER_H = (10 + 4 * 5 + 3) * MM
 SPACING, HEADER_H = 4 * MM, (8 + 12 + 22 + 8) * MM
 MARK, MARK_GAP = 4 * MM, 2 * MM
+TEXT_W = PAGE_W - 2 * MARGIN
 
 
 def box_to_pixels(x: Column, y_bottom: Column, w: Column, h: Column, page_h: Column, dpi: int = 200) -> Column:
@@ -64,18 +65,43 @@ def region_candidates(boxes: DataFrame) -> DataFrame:
 
 
 def overlapping_pairs(boxes: DataFrame, keys: list[str], most: float = 0.65) -> DataFrame:
-    """Pairs of boxes (box_id, x, y, w, h) of a page that overlap by more; only pairs within a page are formed."""
-    side = lambda s: boxes.select(*keys, F.col("box_id").alias(f"{s}_id"), F.struct("x", "y", "w", "h").alias(s))
-    return side("a").join(side("b"), keys).where((F.col("a_id") < F.col("b_id")) & (overlap_ratio(F.col("a"), F.col("b")) > most)).select(*keys, "a_id", "b_id")
+    """Pairs of boxes (box_id, x, y, w, h; w and h above 0) of a page that overlap by more of the smaller one, most not below 0.
 
-
-def paginate(questions: DataFrame) -> DataFrame:
+    Boxes lie in grids whose cells double from level to level. A box lives on the first level with cells as
+    large as itself, so it touches four of them at most, and is looked for on that level and on the larger
+    levels that its page has. A pair is formed in the cell that holds the upper left corner of the common
+    part, on the level of the larger box: once, and only there. Boxes of no area overlap nothing.
+    """
+    page = F.array_sort(F.collect_set("_level"))
+    sized = boxes.where("w > 0 and h > 0").select(*keys, "box_id", F.struct("x", "y", "w", "h").alias("box"),
+        F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("w", "h").cast("double")) - 1e-9)).cast("int").alias("_level"))
+    levels = sized.groupBy(*keys).agg(page.alias("_levels"))
+    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+
+    def spread(rows: DataFrame, level: str) -> DataFrame:
+        span = lambda p, s: F.sequence(cell(F.col(f"box.{p}"), F.col(level)), cell(F.col(f"box.{p}") + F.col(f"box.{s}"), F.col(level)))
+        return rows.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
+
+    at = [*keys, "_level", "_cx", "_cy"]
+    homes = spread(sized, "_level").select(*at, F.col("box_id").alias("_home"), F.col("box").alias("a"))
+    on = sized.withColumnRenamed("_level", "_own").join(levels, keys)
+    looked = on.select(*keys, "box_id", "box", "_own", F.explode(F.filter("_levels", lambda v: v >= F.col("_own"))).alias("_level"))
+    guests = spread(looked, "_level").select(*at, F.col("box_id").alias("_guest"), F.col("box").alias("b"), "_own")
+    corner = (cell(F.greatest("a.x", "b.x"), F.col("_level")) == F.col("_cx")) & (cell(F.greatest("a.y", "b.y"), F.col("_level")) == F.col("_cy"))
+    once = (F.col("_own") < F.col("_level")) | (F.col("_home") < F.col("_guest"))
+    met = homes.join(guests, at).where(corner & once & (F.col("_home") != F.col("_guest")) & (overlap_ratio(F.col("a"), F.col("b")) > most))
+    return met.select(*keys, F.least("_home", "_guest").alias("a_id"), F.greatest("_home", "_guest").alias("b_id"))
+
+
+def paginate(questions: DataFrame, width_pt: float | None = None) -> DataFrame:
     """exam_id, question_number, page, y_bottom_pt, height_pt, pages: questions laid in order on A4 sheets.
 
     A block that no longer fits begins a new sheet; the first sheet has the header, later ones a gap.
-    Lines are wrapped by characters.
+    Lines are wrapped by characters, or by the widths of the font where a width in points is given
+    (that of the text column is TEXT_W).
     """
-    lines = F.size(T.wrap_text(F.col("question_text")))
+    text = F.col("question_text")
+    lines = F.size(T.wrap_text(text) if width_pt is None else T.wrap_by_width(text, width_pt))
     listed = questions.groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("question_number", lines.alias("lines")))).alias("qs"))
     first, later = PAGE_H - MARGIN - TOP_INSET - HEADER_H - 6 * MM, PAGE_H - MARGIN - TOP_INSET - CONTINUATION_GAP
     kind = "array<struct<question_number: int, page: int, y_bottom_pt: double>>"

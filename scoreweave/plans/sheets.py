@@ -10,6 +10,9 @@ from scoreweave.operators import rules as R
 from scoreweave.operators import sheets as H
 from scoreweave.plans.registry import query
 from scoreweave.sources import files as L
+from scoreweave.sources import requests as N
+from scoreweave.sources.publish import Published, Sheet
+from scoreweave.sources.work import work_folder
 
 _BOX = """SELECT o_orderkey AS box_id, o_orderkey // 20 AS page_id, (o_orderkey * 37 % 500)::INT AS x, (o_orderkey * 91 % 900)::INT AS y,
 (100 + o_orderkey * 13 % 700)::INT AS w, (20 + o_orderkey * 7 % 300)::INT AS h FROM orders"""
@@ -105,12 +108,30 @@ def wrap_text(g):
     return g.raw("documents").select("doc_id", F.size(T.wrap_text(F.col("text"))).alias("n_lines"))
 
 
+#: The words' widths folded to the place in the last line and the number of lines.
+def _lines_by_width_sql(text: str) -> str:
+    wide = "".join(f"WHEN contains({_quoted(chars)}, c) THEN {w} " for w, chars in T.HELVETICA.items())
+    words = f"list_filter(regexp_split_to_array(coalesce({text}, ''), '\\s+'), lambda w: w <> '')"
+    width = f"list_sum(list_transform(string_split(w, ''), lambda c: CASE {wide} ELSE {T.OTHER_WIDTH} END))"
+    step = f"CASE WHEN a.c + w.c + 278 > {int(H.TEXT_W * 125)} THEN {{'c': w.c, 'n': a.n + 1}} ELSE {{'c': a.c + 278 + w.c, 'n': a.n}} END"
+    return f"CASE WHEN len({words}) = 0 THEN 0 ELSE list_reduce(list_transform({words}, lambda w: {{'c': {width}::BIGINT, 'n': 1}}), lambda a, w: {step}).n END"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("", f"SELECT doc_id, ({_lines_by_width_sql('text')})::INT AS n_lines FROM documents")
+def wrap_by_width(g):
+    return g.raw("documents").select("doc_id", F.size(T.wrap_by_width(F.col("text"), H.TEXT_W)).alias("n_lines"))
+
+
 _D = lambda x: f"{x!r}::DOUBLE"
 _FIRST_Y, _LATER_Y = H.PAGE_H - H.MARGIN - H.TOP_INSET - H.HEADER_H - 6 * H.MM, H.PAGE_H - H.MARGIN - H.TOP_INSET - H.CONTINUATION_GAP
 
 
-@query("questions", f"""WITH RECURSIVE t AS (SELECT exam_id, question_number,
-({_lines_sql('question_text')}) * {_D(H.LINE_GAP)} + {_D(H.TITLE_GAP)} + {_D(H.TEXT_BOTTOM_GAP)} AS text FROM questions),
+_layout_sql = lambda lines: f"""WITH RECURSIVE t AS (SELECT exam_id, question_number,
+({lines('question_text')}) * {_D(H.LINE_GAP)} + {_D(H.TITLE_GAP)} + {_D(H.TEXT_BOTTOM_GAP)} AS text FROM questions),
 s AS (SELECT exam_id, 0 AS question_number, 1 AS page, {_D(_FIRST_Y)} AS y, 0::DOUBLE AS bottom FROM (SELECT DISTINCT exam_id FROM t) UNION ALL
 SELECT exam_id, question_number, CASE WHEN new THEN page + 1 ELSE page END, top - text - {_D(H.ANSWER_H)} - {_D(H.SPACING)},
 top - text - {_D(H.ANSWER_H)} FROM (
@@ -118,11 +139,19 @@ SELECT *, CASE WHEN new THEN {_D(_LATER_Y)} ELSE y END AS top FROM (SELECT t.exa
 s.y - (t.text + {_D(H.ANSWER_H)} + {_D(H.SPACING)}) < {_D(H.MARGIN)} AS new FROM s
 JOIN t ON t.exam_id = s.exam_id AND t.question_number = s.question_number + 1)))
 SELECT exam_id, question_number, page, bottom AS y_bottom_pt, {_D(H.ANSWER_H)} AS height_pt, max(page) OVER (PARTITION BY exam_id) AS pages
-FROM s WHERE question_number > 0""")
+FROM s WHERE question_number > 0"""
+
+
+@query("questions", _layout_sql(_lines_sql))
 def paginate_questions(g):
     return H.paginate(g.questions())
 
 
+@query("questions", _layout_sql(_lines_by_width_sql))
+def paginate_by_widths(g):
+    return H.paginate(g.questions(), H.TEXT_W)
+
+
 @query("exams students questions", """WITH e AS (SELECT DISTINCT exam_id, class_id FROM exams), s AS (SELECT e.exam_id, s.student_id,
 s.registration_number, p AS page_in_student FROM e JOIN students s USING (class_id) CROSS JOIN range(1, 3) r(p))
 SELECT exam_id, student_id, registration_number, page_in_student::INT AS page_in_student, 2 AS total_pages_for_student,
@@ -205,8 +234,6 @@ SELECT exam_id, i - 1 AS line_no, md5(trim(line)) AS line FROM (SELECT exam_id,
 generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t) WHERE trim(line) <> ''""")
 def exam_files_scan(g):
     """Exam texts written as files, one for each exam, and read back whole."""
-    from scoreweave.sources.work import work_folder
-
     folder = work_folder(g.spark, "exams")
     said = F.concat(F.lit("Questão "), F.col("question_number").cast("string"), F.lit("\n Enunciado: "), F.col("question_text"), F.lit("\n \nGabarito: "),
         F.col("expected_answer"))
@@ -253,13 +280,56 @@ def rubric_payload_build(g):
 @query("results effective", """SELECT r.batch_id, count(DISTINCT r.result_id) AS n_results, sum(e.effective_score) AS total FROM results r
 LEFT JOIN effective e USING (result_id) GROUP BY 1""")
 def result_json_sink(g):
+    """The batches' documents, published as lines of JSON and read back."""
     made = L.result_documents(g.results(), G.result_details(g.results(), g.scores(), g.questions()))
+    to = Published(g.spark, work_folder(g.spark, "documents"))
+    to.write(documents=Sheet(made, "json", F.floor(F.col("batch_id") / 1000), ("batch_id",)))
     parsed = F.from_json("document", "struct<results: array<struct<result_id: bigint, scores: array<struct<effective_score: double>>>>>")["results"]
     flat = F.flatten(F.transform(parsed, lambda r: F.transform(r["scores"], lambda s: s["effective_score"])))
-    return made.select("batch_id", F.size(parsed).cast("long").alias("n_results"),
+    return to.read("documents").select("batch_id", F.size(parsed).cast("long").alias("n_results"),
         F.when(F.size(flat) > 0, F.aggregate(flat, F.lit(0.0), lambda a, s: a + s)).alias("total"))
 
 
+_TEMPLATE = "Q{question_number} ({max_score})\n{question_text}\n{expected_answer}\n{ocr_text}"
+
+
+@query("answers", """SELECT result_id, question_id, md5('Q' || question_number || ' (' || max_score || ')' || chr(10) || question_text || chr(10)
+|| expected_answer || chr(10) || CASE WHEN v1 % 7 = 0 OR answer_text = '' THEN '(vazio)' ELSE answer_text END) AS asked FROM answers""")
+def question_request_lines(g):
+    """One call for each answer, published as lines and read back; every seventh answer has no text."""
+    rows = g.answers().withColumn("ocr_text", F.when(F.col("v1") % 7 != 0, F.col("answer_text")))
+    made = N.question_requests(rows, _TEMPLATE, "Corrija.", "modelo", ["result_id", "question_id"])
+    to = Published(g.spark, work_folder(g.spark, "requests"))
+    to.write(requests=Sheet(made, "json", F.floor(F.col("result_id") / 100_000), ("result_id", "question_id")))
+    call = F.from_json("request", "struct<messages: array<struct<role: string, content: string>>>")
+    return to.read("requests").select("result_id", "question_id", F.md5(F.get(call["messages"], 1)["content"].cast("binary")).alias("asked"))
+
+
+@query("results questions", """WITH t AS (SELECT exam_id, string_agg('**Questão ' || question_number || '** (vale ' || max_score || ' pts)' || chr(10)
+|| 'Enunciado: ' || question_text || chr(10) || 'Gabarito: ' || expected_answer || chr(10), chr(10) ORDER BY question_number) AS listed FROM questions GROUP BY 1)
+SELECT result_id AS page_id, md5(listed || '#' || 'lido ' || result_id) AS asked FROM results r
+JOIN t ON t.exam_id = r.batch_id % (SELECT count(*) FROM supplier) WHERE result_id % 5 <> 0""")
+def exam_request_lines(g):
+    """One call for each page with all questions of its exam; every fifth page is blank."""
+    pages = _pages(g).withColumn("ocr_text", F.when(F.col("page_id") % 5 == 0, " \n").otherwise(F.concat(F.lit("lido "), F.col("page_id").cast("string"))))
+    made = N.exam_requests(pages, g.questions(), "{questions_text}#{ocr_text}", "Corrija.", "modelo", ["page_id"])
+    call = F.from_json("request", "struct<messages: array<struct<role: string, content: string>>>")
+    return made.select("page_id", F.md5(F.get(call["messages"], 1)["content"].cast("binary")).alias("asked"))
+
+
+@query("results", """SELECT result_id, CASE WHEN student_id IS NOT NULL OR page_number % 2 = 0 THEN 3 ELSE 2 END AS n_parts,
+student_id AS known_student, CASE WHEN page_number % 2 = 0 THEN page_number END AS known_page FROM results""")
+def vision_context_prompts(g):
+    """The prompt of each page with what is known of it; a page of which nothing is known has no context."""
+    page = F.when(F.col("page_number") % 2 == 0, F.col("page_number"))
+    rows = g.results().select("result_id", "student_id", page.alias("page"))
+    parts = F.split("prompt", "\n\n")
+    known = F.from_json(F.element_at(F.split(F.get(parts, 1), "\n", 2), 2), "struct<student_id: bigint, page: int>")
+    made = N.context_prompts(rows, "Leia a página.", ["student_id", "page"], ["result_id"])
+    return made.select("result_id", F.size(parts).alias("n_parts"), F.when(F.size(parts) == 3, known).alias("k")).select("result_id", "n_parts",
+        F.col("k.student_id").alias("known_student"), F.col("k.page").alias("known_page"))
+
+
 @query("", "SELECT o_orderkey, {'number': 1, 'score': 0.5} IS NOT NULL AS has_grade, 2 AS n_fields FROM orders")
 def public_grade(g):
     grade = F.struct(F.lit(1).alias("number"), F.lit(0.5).alias("score"), F.lit("cru").alias("raw_grading_json"))
@@ -294,6 +364,20 @@ def gradebook_review(g):
         F.coalesce(F.nullif("reason", F.lit("")), F.lit("Revisão manual recomendada.")).alias("reason"))
 
 
+@query("effective totals", f"""WITH {_DETAIL} SELECT 'detail' AS sheet, batch_id, count(*) AS n, sum(score) AS total FROM d GROUP BY 2
+UNION ALL SELECT 'review', batch_id, count(*), sum(score) FROM d WHERE review GROUP BY 2
+UNION ALL SELECT 'final', batch_id, count(*), sum(total_score) FROM totals GROUP BY 2""")
+def gradebook_sheets_sink(g):
+    """The three sheets published together as CSV in folders of batch ranges, and read back."""
+    details = _details(g)
+    final = G.result_totals(g.results(), g.scores()).select("batch_id", "result_id", "status", "total_score")
+    to = Published(g.spark, work_folder(g.spark, "gradebook"))
+    L.publish_gradebook(to, final, details, details.where("needs_review = 'sim'"))
+    sums = lambda n, score: to.read(n).groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(score).alias("total")).select(
+        F.lit(n).alias("sheet"), "batch_id", "n", "total")
+    return sums("detail", "score").unionByName(sums("review", "score")).unionByName(sums("final", "total_score"))
+
+
 @query("scores", "SELECT result_id, list(question_number ORDER BY question_number) AS numbers FROM scores GROUP BY 1")
 def pages_concat(g):
     return g.scores().groupBy("result_id").agg(F.array_sort(F.collect_list("question_number")).alias("numbers"))
@@ -350,8 +434,6 @@ def roster_csv_scan(g):
 
     A file holds a class's students of a range of ids, so no file grows with the class.
     """
-    from scoreweave.sources.work import work_folder
-
     s, path = g.students(), work_folder(g.spark, "rosters")
     line = lambda by: F.concat_ws(by, "registration_number", "student_name", "curso", F.concat(F.lit("T"), F.col("class_id").cast("string")))
     file = [F.col("class_id").alias("c"), F.floor(F.col("student_id") / 5000).alias("part")]
