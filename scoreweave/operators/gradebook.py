@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreweave.functions.scores import effective_score, quantize_quarter, sheet_score
-from scoreweave.operators.ranking import latest_per_key
+from scoreweave.functions.scores import effective_score, sheet_score
 
 
 def with_effective(scores: DataFrame) -> DataFrame:
@@ -211,12 +210,3 @@ def run_summary(pages: DataFrame, default_vision: str, default_text: str) -> Dat
         first(F.col("text_model"), default_text).alias("text_model_used"), listed("warning").alias("warnings"),
         F.array_join(listed("error"), " | ").alias("error"))
     return out.withColumn("status", F.when(F.col("error") == "", "SUCCESS").otherwise("FAILED"))
-
-
-def quarter_mean(total, n):
-    return quantize_quarter(total / n)
-
-
-def last_by_position(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Of several rows of a key, the one at the last position."""
-    return latest_per_key(df, keys, [position])
