@@ -82,14 +82,3 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def crc32_mod(id_col, n: int):
     """crc32 of the id as decimal text, modulo n: the stated split into folds. A null id: fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))
-
-
-def each_in_arrow(fn, size: int = 1):
-    """fn(RecordBatch) -> RecordBatch as a mapInArrow function that skips empty batches."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows >= size:
-                yield fn(batch)
-
-    return run
