@@ -13,8 +13,8 @@ give each suffix's longest previous factor, as far as its stretch goes. A factor
 more is a later copy of what starts earlier, and its bytes go.
 
 An anchor with more than `most_runs` different stretches (a short passage between ever other words) is
-not sorted in one task: its strings of `length` bytes are grouped by 128-bit hashes, and a partial
-aggregate finds the first of each before the shuffle.
+not sorted in one task: the stretches alone are anchored again by longer windows, so that few of them
+share an anchor, and go the same way. The last windows are whole strings: equal ones are equal runs.
 
 Defined cases: null or empty text has no bytes; a text shorter than the length loses nothing; a null
 doc_id stands before all others; different texts with one doc_id are ordered by their hash; of equal
@@ -24,6 +24,7 @@ rows one is the first and the others are its copies; an empty table gives no row
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -236,29 +237,34 @@ def _by_suffix_order(keyed: DataFrame, stretches: DataFrame, length: int) -> Dat
     return cutout.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(decide, "did long, th long, begin long, end long")
 
 
-def _by_string(keyed: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with any number of stretches, string by string."""
+def _longer_windows(keyed: DataFrame, stretches: DataFrame, length: int, k: int) -> DataFrame:
+    """The runs inside stretches (did, th, anchor, place), by windows of k bytes: as _runs has them for whole texts."""
 
     def cut(batches):
         import pyarrow as pa
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for did, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("did", "th")), texts_of(batch.column("text")),
-                batch.column("runs"), strict=True):
-                place = own.values.field("place").to_numpy()
-                start, n = place >> 10, place & 1023
-                row = np.repeat(np.arange(len(n)), n)
-                at = start[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hashes = np.frombuffer(b"".join(xxh3_128_digest(text[i : i + length]) for i in at.tolist()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes[:, 0].copy(), hashes[:, 1].copy(), np.full(len(at), did),
-                    np.full(len(at), th), at)], ["h1", "h2", "did", "th", "begin"])
+            parts, at = [], []  # the stretches' bytes; document and start of each
+            for i, (text, own) in enumerate(zip(texts_of(batch.column("text")), batch.column("runs"), strict=True)):
+                for place in own.values.field("place").to_numpy().tolist():
+                    start, n = place >> 10, place & 1023
+                    parts.append(text[start : start + n - 1 + length])
+                    at.append((i, start))
+            if not parts:
+                continue
+            did, th = (batch.column(c).to_numpy() for c in ("did", "th"))
+            document, begin = np.array(at, np.int64).reshape(-1, 2).T
+            data = b"".join(parts)
+            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            for anchor, _, row, start, n in runs(np.frombuffer(data, np.uint8), starts, length, k):
+                first = starts[row] + start
+                # Of its own kind, as window and run may be the same bytes here.
+                content = np.array([xxh64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist(), strict=True)], np.uint64)
+                cols = [anchor.view(np.int64), content.view(np.int64), did[document[row]], th[document[row]], begin[row] + start << 10 | n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "content", "did", "th", "place"])
 
-    strings = written(_cut(keyed, stretches, cut, "h1 long, h2 long, did long, th long, begin long"), "strings")
-    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("did", "th", "begin")).alias("first"), F.max(F.struct("did", "th", "begin")).alias("last"))
-    first = written(first.where("first <> last").select("h1", "h2", "first"), "first-strings")
-    later = strings.join(first, ["h1", "h2"]).where("struct(did, th, begin) <> first")
-    return later.select("did", "th", "begin", (F.col("begin") + length).alias("end"))
+    return _cut(keyed, stretches, cut, "anchor long, content long, did long, th long, place long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: int = 1024) -> DataFrame:
@@ -271,19 +277,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, most_runs: i
     some = written(_runs(keyed, length, k, True).join(repeated, "anchor", "left_semi"), "runs")
     drop_written(repeated)
 
-    by_bytes = some.groupBy("anchor", "content").agg(F.min(F.struct("did", "th", "place")).alias("first"), F.count("*").alias("n"))
-    first = written(by_bytes, "first-runs")
-    varied = written(first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied")
-    mixed = first.select("anchor", "first.*").join(varied, "anchor")
-    later = some.join(first.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("struct(did, th, place) <> first")
-    gone = later.select("did", "th", F.shiftright("place", 10).alias("begin"),
-        (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end"))
-    gone = gone.union(_by_suffix_order(keyed, mixed.where(F.col("kinds") <= most_runs), length))
-    many = varied.where(F.col("kinds") > most_runs)
-    if not many.isEmpty():
-        gone = gone.union(_by_string(keyed, first.select("anchor", "first.*").join(many, "anchor"), length))
-    spans = written(gone.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "end")).alias("gone")), "spans")
-    for done in (some, first, varied):
+    gone, used = [], []
+    for longer in ((k + 3 * length) // 4, length, None):
+        by_bytes = some.groupBy("anchor", "content").agg(F.min(F.struct("did", "th", "place")).alias("first"), F.count("*").alias("n"))
+        first = written(by_bytes, "first-runs")
+        varied = written(first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied")
+        used += [some, first, varied]
+        later = some.join(first.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("struct(did, th, place) <> first")
+        gone.append(later.select("did", "th", F.shiftright("place", 10).alias("begin"),
+            (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023) - 1 + length).alias("end")))
+        if longer is None:  # runs of one string, so that different ones share none
+            break
+        mixed = first.select("anchor", "first.*").join(varied, "anchor")
+        gone.append(_by_suffix_order(keyed, mixed.where(F.col("kinds") <= most_runs), length))
+        if varied.where(F.col("kinds") > most_runs).isEmpty():
+            break
+        some = written(_longer_windows(keyed, mixed.where(F.col("kinds") > most_runs), length, longer), "runs")
+    spans = written(reduce(DataFrame.union, gone).groupBy("did", "th").agg(F.collect_set(F.struct("begin", "end")).alias("gone")), "spans")
+    for done in used:
         drop_written(done)
 
     def apply(batches):

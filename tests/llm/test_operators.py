@@ -532,6 +532,35 @@ def test_longest_previous_factors(docs, none, most_runs):
     assert factors.digest(none).count() == 0
 
 
+def test_hot_passages_by_longer_windows(spark, monkeypatch):
+    """A passage between ever other words, shorter and longer than a string: right bytes, and no row per string."""
+    rng, length, most = random.Random(12), 40, 30
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(30, 60)))
+    short, long = noise()[:30], noise() + noise()
+    rows = [(i, noise() + (short if i % 3 else long) + noise() + (noise()[:9] + short if i % 5 == 0 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, want = set(), {}
+    for d, t in rows:
+        gone = bytearray(len(t))
+        for j in range(len(t) - length + 1):
+            if t[j : j + length] in seen:
+                gone[j : j + length] = b"\1" * length
+            seen.add(t[j : j + length])
+        want[d] = "".join(c for c, g in zip(t, gone) if not g)
+    made, cut = [], factors._longer_windows
+    strings = F.sum(F.col("place").bitwiseAND(1023))
+
+    def counted(keyed, stretches, length, k):
+        out = cut(keyed, stretches, length, k)
+        made.append((k, out.count(), stretches.agg(strings).head()[0]))
+        return out
+
+    monkeypatch.setattr(factors, "_longer_windows", counted)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in factors.remove_repeats(docs, length, 12, most).collect()}
+    assert got == want and sum(map(len, got.values())) < sum(len(t) for _, t in rows)
+    assert made[0][0] == 33 and 2 * made[0][1] < made[0][2]
+
+
 def test_previous_factors_of_suffixes():
     rng = random.Random(2)
     for _ in range(20):
