@@ -56,7 +56,7 @@ def fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*carried, "fp")))
 
 
-class _Forest:
+class Forest:
     """Keeps, of links, those that join two trees."""
 
     def __init__(self):
@@ -125,7 +125,7 @@ def links_within(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame
             for own, met in zip(batch.column("own"), batch.column("met"), strict=True):
                 x = own.values.to_numpy().view(np.uint64)
                 y = met.values.to_numpy().view(np.uint64)
-                forest = _Forest()
+                forest = Forest()
                 for i in range(0, len(x), 256):
                     for j in range(0, len(y), 8192):
                         near = np.bitwise_count(x[i : i + 256, None] ^ y[None, j : j + 8192]) <= radius
