@@ -7,10 +7,10 @@ those are found by counting, with partial aggregates before every shuffle.
 
 Runs with equal bytes are one stretch, and all but its first place are copies whole; 64-bit hashes
 of the bytes under an equal 64-bit anchor stand for equal runs. The different stretches of an anchor
-are put in suffix order: all their suffixes of `length` bytes or more are sorted by their bytes,
-neighbours' common prefixes are measured, and the previous and next smaller positions in that order
-give each suffix's longest previous factor, as far as its stretch goes. A factor of `length` bytes or
-more is a later copy of what starts earlier, and its bytes go.
+are put in suffix order: their suffixes whose first `length` bytes stand twice (others have no factor
+of that length) are sorted by their bytes, neighbours' common prefixes are measured, and the previous
+and next smaller positions in that order give each suffix's longest previous factor, as far as its
+stretch goes. A factor of `length` bytes or more is a later copy of what starts earlier, and its bytes go.
 
 An anchor with more than `most_runs` different stretches (a short passage between ever other words) is
 not sorted in one task: the stretches alone are anchored again by longer windows, so that few of them
@@ -34,7 +34,8 @@ from .common import drop_written, id_and_text, written
 from .encode import in_slices, texts_of
 from .words import _power, bytes_of, mix
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16  # arrays of a segment stay in a core's cache
+PLACE = np.uint64((1 << 20) - 1)  # bits of a window's place in its segment
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -48,12 +49,15 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
 def runs(raw: np.ndarray, starts: np.ndarray, length: int, k: int):
     """Of many texts in one buffer: anchor, hash of the bytes, row, start in the text and strings of each run.
 
-    Runs hold at most length - k + 1 strings and end at segments of the buffer. A run in which the
-    anchor's window stands twice may repeat within itself: its first string becomes a run of its
-    own, so that the anchor counts twice and its runs differ.
+    Windows are compared by the upper bits of their hashes, and of equal ones the first counts, so
+    that the least one's place comes with it. Strings with one place are a run: at most length - k + 1
+    of them, all different. Runs side by side with the same anchor (the window stands twice, as in
+    periodic bytes) may hold equal strings: they are one run, whose first string becomes a run of its
+    own, so that the anchor counts twice and its runs differ. Runs end at segments of the buffer.
     """
     w, top = length - k + 1, len(raw)
     up, down = _power(SEGMENT + length + 1)
+    places = np.arange(SEGMENT + length, dtype=np.uint64)
     for x in range(0, top, SEGMENT):
         part = raw[x : x + SEGMENT + length - 1]
         m = len(part) - length + 1
@@ -61,35 +65,38 @@ def runs(raw: np.ndarray, starts: np.ndarray, length: int, k: int):
             break
         with np.errstate(over="ignore"):
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-            h = mix((sums[k:] - sums[:-k]) * down[: len(part) - k + 1])
-        least = _sliding(h, w, np.minimum)
-        marks = np.zeros(m + 1, np.int32)  # strings that would cross the end of a text
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            h = sums[k:] - sums[:-k]
+            h *= down[: len(h)]
+        least = h & ~PLACE
+        least |= places[: len(h)]
+        least = _sliding(least, w, np.minimum)
         ends = starts[np.searchsorted(starts, x, "right") : np.searchsorted(starts, x + m + length)] - x
-        np.add.at(marks, np.clip(ends - length + 1, 0, m), 1)
-        np.add.at(marks, np.clip(ends, 0, m), -1)
-        valid = np.cumsum(marks[:m]) == 0
-        same = valid[1:] & valid[:-1] & (least[1:] == least[:-1])
-        a = np.flatnonzero(valid & ~np.concatenate([[False], same]))
-        b = np.flatnonzero(valid & ~np.concatenate([same, [False]])) + 1
-        if not len(a):
+        edges = np.concatenate([ends, ends - length + 1])  # strings that would cross the end of a text are between these
+        begins = np.concatenate([[True], least[1:] != least[:-1]])
+        begins[edges[(edges > 0) & (edges < m)]] = True
+        a = np.flatnonzero(begins)
+        b = np.append(a[1:], m)
+        row = np.searchsorted(starts, a + x, "right") - 1
+        fits = a + x + length <= starts[row + 1]
+        if not fits.any():
             continue
-        shown = np.where(valid, least, np.uint64(0))
-        pad = np.zeros(w - 1, np.uint64)
-        at = np.flatnonzero(h == _sliding(np.concatenate([pad, shown, pad]), w, np.maximum))
-        twice = np.unique(h[at[1:]][(h[at[1:]] == h[at[:-1]]) & (at[1:] - at[:-1] < w)])
-        if len(twice):
-            cut = np.isin(least[a], twice) & (b - a > 1)
-            a, b = np.sort(np.concatenate([a, a[cut] + 1])), np.sort(np.concatenate([b, a[cut] + 1]))
-        pieces = -(-(b - a) // w)
-        if pieces.max() > 1:
+        a, b, row = a[fits], b[fits], row[fits]
+        anchor = mix(h[least[a] & PLACE])
+        head = np.concatenate([[True], (a[1:] != b[:-1]) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+        if not head.all():
+            at = np.flatnonzero(head)
+            several = (np.diff(np.append(at, len(a))) > 1).astype(np.int64)
+            a, b, anchor = a[at], b[np.append(at[1:], len(a)) - 1], anchor[at]
+            pieces = several - -(b - a - several) // w
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            a, b = np.repeat(a, pieces) + nth * w, np.repeat(b, pieces)
-            b = np.minimum(a + w, b)
+            a, b, anchor, several = (np.repeat(v, pieces) for v in (a, b, anchor, several))
+            a += several * (nth > 0) * (1 + (nth - 1) * w)
+            b = np.where(several == 0, b, np.where(nth == 0, a + 1, np.minimum(a + w, b)))
+            row = np.searchsorted(starts, a + x, "right") - 1
         with np.errstate(over="ignore"):
-            content = mix((sums[b - 1 + length] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-        row = np.searchsorted(starts, a + x, "right") - 1
-        yield least[a], content, row, a + x - starts[row], b - a
+            content = mix((sums[b - 1 + length] - sums[a]) * down[a] + mix((b - a).astype(np.uint64)))
+        yield anchor, content, row, a + x - starts[row], b - a
 
 
 def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -120,16 +127,22 @@ def previous_factors(data: np.ndarray, begin: np.ndarray, size: np.ndarray, leng
     """
     width = int(size.max())
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    strings = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
-    strings = np.where(np.arange(width) < size[:, None], strings, 0).astype(np.uint8)
-    closed = np.concatenate([strings, np.ones((len(size), 1), np.uint8)], axis=1)  # no trailing zero, which the string type drops
-    order = np.argsort(closed.view(f"S{width + 1}").ravel(), kind="stable")
-    differs = strings[order[1:]] != strings[order[:-1]]
+    strings = np.empty((len(size), width + 2), np.uint8)
+    strings[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    strings[:, :width][np.arange(width) >= size[:, None]] = 0
+    strings[:, width:] = size.astype(">u2").view(np.uint8).reshape(-1, 2)  # of strings that differ in zeros at their ends, the shorter first
+    order = np.argsort(strings.view(f"V{width + 2}").ravel(), kind="stable")
+    strings = strings[order]
+    differs = strings[1:, :width] != strings[:-1, :width]
     lcp = np.where(differs.any(1), differs.argmax(1), width)
     lcp = np.minimum(lcp, np.minimum(size[order[1:]], size[order[:-1]]))
     joined = np.concatenate([[False], lcp >= length, [False]])
     member = joined[1:] | joined[:-1]
     out = np.zeros(len(size), np.int64)
+    # Two suffixes by themselves: the later one's factor is their common prefix. Others are walked.
+    two = np.flatnonzero(joined[1:-1] & ~joined[:-2] & ~joined[2:])
+    out[np.maximum(order[two], order[two + 1])] = lcp[two]
+    member[two] = member[two + 1] = False
     if member.any():
         rows = order[member]
         ranks = np.empty(len(rows), np.int64)
@@ -139,6 +152,45 @@ def previous_factors(data: np.ndarray, begin: np.ndarray, size: np.ndarray, leng
     return out
 
 
+def later_copies(did, th, start, data: np.ndarray, begins: np.ndarray, length: int):
+    """did, th, begin, end of the bytes that stand earlier, of stretches data[begins[i]:begins[i + 1]] at start in their documents.
+
+    Only suffixes whose first length bytes stand twice (by their hash: equal strings have equal ones)
+    are put in order. Spans that touch are one.
+    """
+    by = np.lexsort((start, th, did))
+    did, th, start = did[by], th[by], start[by]
+    doc = np.cumsum(np.concatenate([[0], (did[1:] != did[:-1]) | (th[1:] != th[:-1])]))
+    n = np.diff(begins)[by] - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = begins[:-1][by][row] + nth
+    up, down = _power(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * up[: len(data)], out=sums[1:])
+        h = (sums[begin + length] - sums[begin]) * down[begin]
+    order = np.argsort(h)
+    equal = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:]] |= equal
+    twice[order[:-1]] |= equal
+    row, begin = row[twice], begin[twice]
+    place = (doc << 40)[row] | start[row] + nth[twice]
+    # Equal rows of documents may be cut into other runs: their strings count once.
+    place, one = np.unique(place, return_index=True)
+    row, begin = row[one], begin[one]
+    if not len(place):
+        return did[:0], th[:0], start[:0], start[:0]
+    factor = previous_factors(data, begin, begins[1:][by][row] - begin, length)
+    hit = factor >= length
+    first, last = place[hit], np.maximum.accumulate((place + factor)[hit])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]])[: len(first)])
+    row = row[hit][new]
+    below = (1 << 40) - 1
+    return did[row], th[row], first[new] & below, last[np.append(new[1:], len(last))[: len(new)] - 1] & below
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     plain = id_and_text(docs)
     return plain.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
@@ -199,19 +251,8 @@ def _by_suffix_order(keyed: DataFrame, stretches: DataFrame, length: int) -> Dat
             """Whole groups of anchors: suffixes of different anchors share no string of length bytes."""
             t = pa.Table.from_batches(held)
             data, begins = bytes_of(t.column("data").combine_chunks())
-            n = np.diff(begins) - length + 1
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.repeat(np.arange(len(n)), n)
-            did, th, start = (t.column(c).to_numpy()[row] for c in ("did", "th", "start"))
-            start, begin, end = start + nth, begins[row] + nth, begins[1:][row]
-            by = np.lexsort((start, th, did))
-            start, did, th, begin, end = start[by], did[by], th[by], begin[by], end[by]
-            one = np.concatenate([[True], (start[1:] != start[:-1]) | (th[1:] != th[:-1]) | (did[1:] != did[:-1])])  # equal rows are cut out once
-            start, did, th, begin, end = start[one], did[one], th[one], begin[one], end[one]
-            factor = previous_factors(data, begin, end - begin, length)
-            hit = factor >= length
-            return pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(th[hit]), pa.array(start[hit]),
-                pa.array((start + factor)[hit])], ["did", "th", "begin", "end"])
+            got = later_copies(*(t.column(c).to_numpy() for c in ("did", "th", "start")), data, begins, length)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["did", "th", "begin", "end"])
 
         # Rows come sorted by anchor; a chunk of about 1000 runs is settled at once and ends between two anchors.
         held, size = [], 0

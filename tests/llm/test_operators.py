@@ -561,6 +561,69 @@ def test_hot_passages_by_longer_windows(spark, monkeypatch):
     assert made[0][0] == 33 and 2 * made[0][1] < made[0][2]
 
 
+def test_factors_of_suffixes_ending_in_zeros():
+    """Suffixes that differ in zeros at their ends: the shorter first, so that neighbours have the longest common prefix."""
+    data = np.frombuffer(b"ab\0\0" + b"ab" + b"ab\0", np.uint8)
+    assert factors.previous_factors(data, np.array([0, 4, 6]), np.array([4, 2, 3]), 2).tolist() == [0, 2, 3]
+
+
+@pytest.mark.parametrize("k", [4, 9, 12])
+def test_runs_cover_strings_once(monkeypatch, k):
+    monkeypatch.setattr(factors, "SEGMENT", 64)
+    rng, length = random.Random(5), 12
+    texts = [bytes(rng.choices(b"ab\0", k=rng.randint(0, 90))) for _ in range(20)]
+    texts += [b"x" * 150, b"xyz" * 40, b"", b"a" * 11, b"a" * 12, texts[0], bytes(100), b"q" + b"x" * 80]
+    raw, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    anchor_of, times, strings, rows, place_of = {}, Counter(), Counter(), 0, set()
+    for anchor, content, row, start, n in factors.runs(raw, starts, length, k):
+        for a, c, r, at, m in zip(anchor.tolist(), content.tolist(), row.tolist(), start.tolist(), n.tolist()):
+            assert 1 <= m <= length - k + 1
+            times[a] += 1
+            rows += 1
+            for j in range(at, at + m):
+                s = texts[r][j : j + length]
+                assert len(s) == length and (r, j) not in place_of
+                place_of.add((r, j))
+                strings[s] += 1
+                assert anchor_of.setdefault(s, a) == a
+            assert anchor_of.setdefault((a, c), texts[r][at : at + m - 1 + length]) == texts[r][at : at + m - 1 + length]
+    assert len(place_of) == sum(max(0, len(t) - length + 1) for t in texts)
+    assert all(times[anchor_of[s]] > 1 for s, n in strings.items() if n > 1)
+    assert k == length or rows < len(place_of) / 2
+
+
+def test_later_copies_are_whole_spans(monkeypatch):
+    """One row a span, and only suffixes whose first bytes stand twice are put in order."""
+    ordered, put = [], factors.previous_factors
+    monkeypatch.setattr(factors, "previous_factors", lambda data, begin, *more: ordered.append(len(begin)) or put(data, begin, *more))
+    rng, length = random.Random(3), 10
+    same = bytes(rng.choices(b"abcdefgh", k=40))
+    for _ in range(30):
+        docs = [bytes(rng.choices(b"abcdefgh", k=60)) + (same if rng.random() < 0.7 else same[5:30]) + bytes(rng.choices(b"ab\0", k=rng.randint(0, 30))) for _ in range(6)]
+        docs += [docs[2], bytes(30)]
+        ids = list(range(7)) + [6]  # different texts with one id: by their hashes
+        hashes = [0] * 7 + [1]
+        seen, want = set(), []
+        for d, t in enumerate(docs):
+            gone = bytearray(len(t))
+            for j in range(len(t) - length + 1):
+                if t[j : j + length] in seen:
+                    gone[j : j + length] = b"\1" * length
+                seen.add(t[j : j + length])
+            edges = [j for j in range(len(t) + 1) if (j < len(t) and gone[j]) != (j > 0 and gone[j - 1])]
+            want += [(ids[d], hashes[d], a, b) for a, b in zip(edges[::2], edges[1::2])]
+        shuffled = rng.sample(range(8), 8)
+        data = np.frombuffer(b"".join(docs[d] for d in shuffled), np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(docs[d]) for d in shuffled])])
+        did, th = np.array(ids)[shuffled], np.array(hashes)[shuffled]
+        got = factors.later_copies(did, th, np.zeros(8, np.int64), data, begins, length)
+        assert sorted(zip(*(c.tolist() for c in got))) == sorted(want)
+        counts = Counter(t[j : j + length] for t in docs for j in range(len(t) - length + 1))
+        assert ordered.pop() == sum(n for n in counts.values() if n > 1) < sum(counts.values())
+    alone = factors.later_copies(np.array([1]), np.array([1]), np.array([7]), np.frombuffer(b"abcdefghijklm", np.uint8), np.array([0, 13]), length)
+    assert [len(c) for c in alone] == [0] * 4
+
+
 def test_previous_factors_of_suffixes():
     rng = random.Random(2)
     for _ in range(20):
