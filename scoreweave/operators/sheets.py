@@ -119,14 +119,33 @@ def paginate(questions: DataFrame, width_pt: float | None = None) -> DataFrame:
     return placed.select("exam_id", "b.question_number", "b.page", "b.y_bottom_pt", F.lit(ANSWER_H).alias("height_pt"), "pages")
 
 
+#: Exams and students of a plan are dealt over so many parts each; a task joins one part of either.
+PLAN_PARTS = 8
+
+
 def sheet_plan(exams: DataFrame, students: DataFrame, layout: DataFrame) -> DataFrame:
-    """Every student of an exam's class with every sheet of the exam; physical_index counts an exam's sheets by registration from 0."""
+    """Every student of an exam's class with every sheet of the exam; physical_index counts an exam's sheets by registration from 0.
+
+    Students are placed once for the exams of one class (or of the same several classes), not once for each exam. An
+    exam's numbers follow from these places, so the plan's rows, exams times students, are neither sorted nor shuffled.
+    Rows that agree in registration and student_id have all their first sheets before their second ones.
+    """
     sheets = layout.groupBy("exam_id").agg(F.max("pages").alias("pages"))
-    people = exams.join(sheets, "exam_id").join(students, "class_id")
-    rows = people.withColumn("page_in_student", F.explode(F.sequence(F.lit(1), "pages")))
-    order = Window.partitionBy("exam_id").orderBy("registration_number", "student_id", "page_in_student")
-    return rows.select("exam_id", "student_id", "registration_number", "page_in_student", F.col("pages").alias("total_pages_for_student"),
-        (F.row_number().over(order) - 1).alias("physical_index"))
+    asked = exams.groupBy("exam_id").agg(F.array_sort(F.collect_list("class_id")).alias("_classes")).join(sheets, "exam_id")
+    kinds = asked.groupBy("_classes").agg(F.min("exam_id").alias("_kind"))
+    person = ["_kind", "registration_number", "student_id"]
+    people = kinds.select("_kind", F.explode("_classes").alias("class_id")).join(students, "class_id").groupBy(*person).agg(F.count("*").alias("_copies"))
+    earlier = Window.partitionBy("_kind").orderBy("registration_number", "student_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = people.withColumn("_before", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)))
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(PLAN_PARTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(PLAN_PARTS - 1)))
+    own = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    own = own.withColumn("_s", part("student_id", "registration_number")).withColumn("_e", every)
+    sides = asked.join(kinds, "_classes").select("_kind", "exam_id", "pages", F.explode(F.sequence(F.lit(1), "pages")).alias("page_in_student"))
+    sides = sides.withColumn("_e", part("exam_id")).withColumn("_s", every)
+    index = F.col("_before") * F.col("pages") + (F.col("page_in_student") - 1) * F.col("_copies") + F.col("_copy")
+    return own.join(sides, ["_kind", "_e", "_s"]).select("exam_id", "student_id", "registration_number", "page_in_student",
+        F.col("pages").alias("total_pages_for_student"), index.cast("int").alias("physical_index"))
 
 
 MANIFEST = "struct<version: int, pages: array<struct<physical_index: int, exam_id: string, student_id: string, page_in_student: int, total_pages_for_student: int, boxes: array<struct<question_number: int, x_pt: double, y_bottom_pt: double, width_pt: double, height_pt: double>>>>>"

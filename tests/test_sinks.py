@@ -202,3 +202,22 @@ def test_operators_from_sql(spark):
     assert rows("SELECT r.message FROM sw_roster_report() r JOIN sw_roster_classes() c USING (class_id)") == [("1 novos, 1 atualizados.",)]
     with pytest.raises(ValueError, match="no such columns"):
         Q.register_table_function(spark, "sw_x", pages, ["nothing"])
+
+
+def test_sheet_plan_places_students_once(spark):
+    """Exams of one, of several and of repeated classes, repeated students; the plan's own rows are neither sorted nor shuffled."""
+    from scoreweave.operators import sheets as H
+
+    exams = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 1), (4, 2), (5, 2), (5, 2), (6, 9), (7, None), (8, 1)], "exam_id long, class_id long")
+    people = [(10, 1, "b"), (11, 1, "a"), (12, 1, None), (12, 1, None), (13, 2, "a"), (11, 2, "a"), (14, 2, "c")]
+    students = spark.createDataFrame(people, "student_id long, class_id long, registration_number string")
+    layout = spark.createDataFrame([(1, 1), (1, 3), (2, 2), (3, 1), (4, 2), (5, 3), (6, 2), (7, 1)], "exam_id long, pages int")
+    plan = H.sheet_plan(exams, students, layout)
+    most = {1: 3, 2: 2, 3: 1, 4: 2, 5: 3, 6: 2, 7: 1}
+    rows = sorted((e, r is not None, r or "", s, p) for e, c in [tuple(x) for x in exams.collect()] for s, k, r in people if c == k for p in range(1, most.get(e, 0) + 1))
+    at, want = {}, []
+    for e, some, r, s, p in rows:
+        want.append((e, s, r if some else None, p, most[e], at.setdefault(e, 0)))
+        at[e] += 1
+    assert sorted(map(str, map(tuple, plan.collect()))) == sorted(map(str, want)) and len(want) == 55
+    assert "windowspecdefinition(exam_id" not in plan._jdf.queryExecution().toString()
