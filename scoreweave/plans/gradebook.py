@@ -810,8 +810,9 @@ list_filter(string_split(trim(regexp_replace(regexp_replace(lower(answer_text),
 '[^a-z0-9áàâãéèêíïóôõöúçñ\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS b FROM answers)
 SELECT result_id, question_id, round(len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(a))), 9) AS overlap FROM n""")
 def token_overlap(g):
-    tokens = lambda c: T.words(T.normalize_text(F.col(c)))
-    return g.answers().select("result_id", "question_id", F.round(T.token_overlap(tokens("answer_text"), tokens("question_text")), 9).alias("overlap"))
+    tokens = lambda c: F.array_distinct(T.words(T.normalize_text(c)))
+    rows = g.answers({"own": tokens, "n_own": lambda c: F.size(tokens(c))}, {"asked": tokens})
+    return rows.select("result_id", "question_id", F.round(T.token_overlap(F.col("own"), F.col("asked"), F.col("n_own")), 9).alias("overlap"))
 
 
 @query("answers", """SELECT result_id, question_id, CASE WHEN trim(answer_text) <> '' AND NOT starts_with(lower(trim(answer_text)),
