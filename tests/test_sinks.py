@@ -221,3 +221,16 @@ def test_sheet_plan_places_students_once(spark):
         at[e] += 1
     assert sorted(map(str, map(tuple, plan.collect()))) == sorted(map(str, want)) and len(want) == 55
     assert "windowspecdefinition(exam_id" not in plan._jdf.queryExecution().toString()
+
+
+def test_finished_after_dealing(spark, tmp_path):
+    """What finish adds is published in order, in no shuffle; JSON lines are compressed."""
+    names = spark.createDataFrame([(i, "texto " * 400 + str(i)) for i in range(5)], "k long, name string")
+    rows = spark.range(2000).select("id", (F.col("id") % 5).alias("k"))
+    to = Published(spark, f"file://{tmp_path}/out")
+    assert to.write(all=Sheet(rows, "json", F.floor(F.col("id") / 1000), ("id",), lambda r: r.join(F.broadcast(names), "k"))) == {"all": 2000}
+    back = to.read("all")
+    assert sorted(back.columns) == ["id", "k", "name", "part"] and back.where("name = 'x'").count() == 0
+    assert {(r["id"], r["part"], r["name"][-1]) for r in back.collect()} == {(i, i // 1000, str(i % 5)) for i in range(2000)}
+    files = [p for p in tmp_path.rglob("*.json.gz")]
+    assert files and sum(p.stat().st_size for p in files) < 200_000 and not list(tmp_path.rglob("part-*.json"))
