@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, drop_written, written
+from .common import crc32_mod, drop_written, few_rows_at_once, written
 from .encode import in_slices
 from .words import SPACED, bytes_of, spans
 
@@ -305,6 +305,12 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
         raise ValueError("symbols are 16-bit numbers: frequent is too large")
     spark = docs.sparkSession
     blocks = written(coded_blocks(docs, held_out_of(F.col("doc_id"))), "coded-blocks")
+    with few_rows_at_once(spark):  # a row is a block of some megabytes; a large file or partition holds a hundred
+        return _scores_of(blocks, frequent, states, rounds, longest)
+
+
+def _scores_of(blocks: DataFrame, frequent: int, states: int, rounds: int, longest: int) -> DataFrame:
+    spark = blocks.sparkSession
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "local",
         F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = written(listed.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
@@ -379,7 +385,10 @@ def scores(docs: DataFrame, held_out_of, frequent: int = 4096, states: int = 8,
                 pa.array(np.full(len(lengths), n_train, np.int64)), get("base"), pa.array(logs)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = written(coded.mapInArrow(score, kind), "text-scores")
+    drop_written(coded)
+    return out
 
 
 def fold_is(n: int, fold: int):

@@ -679,3 +679,26 @@ def test_line_runs_of_any_length(spark):
     got = lines.digest(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
     assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] < 5} == {1: 0, 2: 3, 3: 3, 4: 7}
     assert Counter(map(tuple, got)) == Counter(without_later_runs(rows, 10))
+
+
+def test_blocks_are_read_by_few_rows(spark, tmp_path):
+    """However many rows of megabytes a file holds, a task has few of them at once; the session's settings come back."""
+    from scoreweave.llm.common import few_rows_at_once
+
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+
+    with few_rows_at_once(spark):
+        got = [r[0] for r in spark.read.parquet(f"{tmp_path}/t").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 100 and max(got) <= 4 and [spark.conf.get(k) for k in keys] == before
+
+    docs = spark.createDataFrame([(i, f"um texto {i} " * 5) for i in range(30)], "doc_id long, text string")
+    scored = hmm.scores(docs, hmm.fold_is(7, 2), states=2, rounds=1)
+    assert "MapInArrow" not in scored._jdf.queryExecution().toString() and scored.count() == 30
+    assert [spark.conf.get(k) for k in keys] == before
